@@ -60,6 +60,7 @@ def test_blocks_give_the_same_classes(spark, monkeypatch):
     import tickloom.llm.jaccard_join as m
 
     monkeypatch.setattr(m, "BLOCK", 3)
+    monkeypatch.setattr(m, "SKETCH_BLOCK", 5)
     rnd = random.Random(1)
     base = [f"t{i}" for i in range(200)]
     rows = []

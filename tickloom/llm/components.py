@@ -2,7 +2,8 @@
 
 Every step is an aggregation with partial sums and a join that the adaptive
 planner may split, so no node's neighbours meet in one task; the edges of each
-round are a table in the shared folder.
+round are a table in the shared folder.  A forest of at most ``ONE_TASK`` edges
+needs no rounds: one task finds its roots.
 """
 
 from __future__ import annotations
@@ -17,6 +18,10 @@ from pyspark.sql import functions as F
 from tickloom.llm.workspace import Workspace
 
 
+#: Edges (16 bytes each) whose roots one task may find; more take the rounds.
+ONE_TASK = 500_000
+
+
 class Forest:
     """Union-find over the keys seen so far, with the least key as root."""
 
@@ -53,13 +58,27 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges in one stream: (node, root) of every node."""
+    forest = Forest()
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            forest.join(a, b)
+    nodes = list(forest.up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([forest.root(x) for x in nodes], pa.int64())], names=["node", "component"])
+
+
 def components(edges: DataFrame, ws: Workspace, name: str = "cc") -> DataFrame:
     """(node, component) of every node of an edge; component is the least node reachable.
 
     edges: two long columns (a, b), any order, repeats and loops allowed; rows with a null are ignored.
     """
-    edges = edges.toDF("a", "b").where("a <> b").mapInArrow(_forests, "a long, b long").where("a <> b").distinct()
+    edges = edges.toDF("a", "b").where("a <> b").mapInArrow(_forests, "a long, b long").distinct()
     table, seen, k = ws.write(edges, f"{name}0"), None, 0
+    if table.count() <= ONE_TASK:
+        nodes = ws.write(table.repartition(1).mapInArrow(_roots, "node long, component long"), f"{name}1")
+        ws.drop(f"{name}0")
+        return nodes
     while True:
         both = table.union(table.select("b", "a")).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -13,9 +13,11 @@ emitted.  A band has ``slack`` parts to spare: a pair all of whose equal parts
 are empty has more than ``slack`` empty parts on both sides, and such sets go
 through further levels dealt by other hashes (the last one emits empty parts).
 
-Copies share one node (a digest of the set) and are never expanded.  Candidates
-are gathered into candidate classes; classes over ``BLOCK`` nodes are compared
-in pairs of blocks, so no group meets in one task.
+Copies share one node (a digest of the set) and are never expanded.  Nodes with
+equal parts gather in candidate classes; within them sizes and sketches are
+compared, which leaves classes of likely links, and within those the sets.  Both
+comparisons deal a class in pairs of blocks, so no group meets in one task, and
+give a spanning forest of the links, never all pairs.
 """
 
 from __future__ import annotations
@@ -29,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.components import Forest, components
+from tickloom.llm.components import components
 from tickloom.llm.text import mix, shingles, signed
 from tickloom.llm.workspace import Workspace
 
-#: Nodes compared against each other in one task.
-BLOCK = 256
+#: Nodes of a block whose sketches, or whose sets, are compared with another block's in one task.
+SKETCH_BLOCK, BLOCK = 4096, 512
 #: A table of at most so many ids (16 bytes each) is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 500_000
 #: Sets that a map task remembers in order to emit copies once.
@@ -106,11 +108,12 @@ def _nodes(n: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, node, proof = (np.zeros(batch.num_rows, t) for t in (np.int64, np.uint64, np.uint64))
+            bits: list[bytes | None] = [None] * batch.num_rows
             for _, row, s in _sets(iter([batch]), n):
                 size[row] = len(s)
                 if len(s):
-                    node[row], proof[row] = digest(s, seed), digest(s, seed + 1000)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(signed(node)), pa.array(signed(proof))], names=["doc_id", "n_shingles", "node", "proof"])
+                    node[row], proof[row], bits[row] = digest(s, seed), digest(s, seed + 1000), sketch(s).tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(signed(node)), pa.array(signed(proof)), pa.array(bits, pa.binary())], names=["doc_id", "n_shingles", "node", "proof", "sketch"])
 
     return run
 
@@ -179,59 +182,96 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
+class _Pairs:
+    """Pairs of a group that sizes and sketches allow, where they may still join two trees of its forest."""
+
+    def __init__(self, sizes: np.ndarray, sketches: np.ndarray, sides: np.ndarray, num: int, den: int) -> None:
+        self.sizes, self.sketches, self.sides, self.num, self.den = sizes, sketches, sides, num, den
+        self.across = len(np.unique(sides)) > 1
+        self.tree = np.arange(len(sizes))
+
+    def after(self, i: int) -> np.ndarray:
+        """Rows over i, in another tree, that may link with it; where two sides occur, of the other side."""
+        b = np.flatnonzero(self.tree[i + 1 :] != self.tree[i]) + i + 1
+        if self.across:
+            b = b[self.sides[b] != self.sides[i]]
+        lo, hi = np.minimum(self.sizes[b], self.sizes[i]), np.maximum(self.sizes[b], self.sizes[i])
+        b = b[self.den * lo >= self.num * hi]
+        far = np.bitwise_count(self.sketches[b] ^ self.sketches[i]).sum(axis=1, dtype=np.int64)
+        return b[far * (self.den + self.num) <= (self.den - self.num) * (self.sizes[b] + self.sizes[i])]
+
+    def join(self, i: int, j: int) -> None:
+        self.tree[self.tree == self.tree[j]] = self.tree[i]
+
+
+def likely(sizes: np.ndarray, sketches: np.ndarray, sides: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that sizes and sketches allow."""
+    pairs, out = _Pairs(sizes, sketches, sides, num, den), []
+    for i in range(len(sizes) - 1):
+        b = pairs.after(i)
+        for j in b[np.unique(pairs.tree[b], return_index=True)[1]].tolist():
+            pairs.join(i, j)
+            out.append((i, j))
+    return out
+
+
 def linked(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Of the pairs at or over num/den, a spanning forest; where two sides occur, only pairs across."""
+    """A spanning forest of the pairs at or over num/den."""
     sizes = np.array([len(s) for s in sets], np.int64)
-    sketches = np.stack([sketch(s) for s in sets])
-    across, forest, out = len(np.unique(sides)) > 1, Forest(), []
+    pairs, out = _Pairs(sizes, np.stack([sketch(s) for s in sets]), sides, num, den), []
     for i in range(len(sets) - 1):
-        b = np.arange(i + 1, len(sets))
-        lo, hi = np.minimum(sizes[b], sizes[i]), np.maximum(sizes[b], sizes[i])
-        ok = den * lo >= num * hi
-        if across:
-            ok &= sides[b] != sides[i]
-        b = b[ok]
-        if len(b):
-            far = np.bitwise_count(sketches[b] ^ sketches[i]).sum(axis=1).astype(np.int64)
-            b = b[far * (den + num) <= (den - num) * (sizes[b] + sizes[i])]
-        for j in b.tolist():
-            if forest.root(i) != forest.root(j):
+        for j in pairs.after(i).tolist():
+            if pairs.tree[i] != pairs.tree[j]:
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if den * both >= num * (sizes[i] + sizes[j] - both):
-                    forest.join(i, j)
+                    pairs.join(i, j)
                     out.append((i, j))
     return out
 
 
-def _verify(num: int, den: int):
-    """Rows (cls, i, j, side, node, members) sorted by the first three: links within each block pair."""
+def _within(compare):
+    """Rows (cls, i, j, side, node, ...) sorted by the first three: compare() gives each block pair's forest of links."""
 
-    def flush(group: list[tuple[int, int, bytes]]) -> pa.RecordBatch | None:
+    def flush(group: list[tuple]) -> pa.RecordBatch | None:
         if len(group) < 2:
             return None
-        nodes = np.array([g[1] for g in group], np.int64)
-        found = linked([np.frombuffer(g[2], np.uint64) for g in group], np.array([g[0] for g in group]), num, den)
+        side, node, *rest = zip(*group)
+        found = compare(np.array(side), *rest)
         if not found:
             return None
+        nodes = np.array(node, np.int64)
         a, b = np.array(found, np.int64).T
         return pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, []
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for cls, i, j, side, node, members in zip(*columns):
-                if (cls, i, j) != key:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:3] != key:
                     if (out := flush(group)) is not None:
                         yield out
-                    key, group = (cls, i, j), []
-                group.append((side, node, members))
+                    key, group = row[:3], []
+                group.append(row[3:])
         if (out := flush(group)) is not None:
             yield out
 
     return run
 
 
+def _block_pairs(members: DataFrame, *columns: str) -> DataFrame:
+    """Members of classes (cls, blocks, node, ...) dealt to all pairs of their class's blocks, side by side."""
+    return (
+        members.withColumn("side", F.pmod("node", "blocks").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        .select("cls", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", *columns)
+        .repartition("cls", "i", "j").sortWithinPartitions("cls", "i", "j")
+    )
+
+
+def _with_blocks(label: DataFrame, size: int) -> DataFrame:
+    """(node, cls, blocks): how many blocks of about size nodes each class needs."""
+    return label.join(label.groupBy("cls").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks")), "cls")
+
+
 def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of docs.
 
@@ -248,8 +288,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     seed = 0
     while True:
-        table = ws.write(rows.mapInArrow(_nodes(n, seed), "doc_id long, n_shingles long, node long, proof long"), f"nodes{seed}")
-        least = table.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("proof").alias("p"), F.max("proof").alias("q"))
+        table = ws.write(rows.mapInArrow(_nodes(n, seed), "doc_id long, n_shingles long, node long, proof long, sketch binary"), f"nodes{seed}")
+        least = table.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("proof").alias("p"), F.max("proof").alias("q"), F.max("n_shingles").alias("n"), F.min("sketch").alias("sketch"))
         classes = ws.write(least, f"classes{seed}")
         if classes.where("p <> q").isEmpty():  # else two different sets share a node: another digest
             break
@@ -258,19 +298,20 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     keys = rows.mapInArrow(_keys(n, num, den, seed), "key long, node long")
     stars = keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars, "a long, b long")
     label = components(stars, ws, "candidates").toDF("node", "cls")
+    members = _with_blocks(label, SKETCH_BLOCK).join(classes.select("node", "n", "sketch"), "node")
+
+    def by_sketch(sides, n, bits):
+        return likely(np.array(n, np.int64), np.frombuffer(b"".join(bits), np.uint64).reshape(-1, _WORDS), sides, num, den)
 
-    sizes = label.groupBy("cls").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    wanted = ws.write(label.join(sizes, "cls").join(classes.select("node", "rep"), "node").select("node", "cls", "blocks", "rep"), "wanted")
+    def by_set(sides, sets):
+        return linked([np.frombuffer(x, np.uint64) for x in sets], sides, num, den)
+
+    label = components(_block_pairs(members, "n", "sketch").mapInArrow(_within(by_sketch), "a long, b long"), ws, "likely").toDF("node", "cls")
+    wanted = ws.write(_with_blocks(label, BLOCK).join(classes.select("node", "rep"), "node").select("node", "cls", "blocks", "rep"), "wanted")
     small = wanted.count() <= BROADCAST_ROWS
     found = rows.join(F.broadcast(wanted) if small else wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "cls", "blocks", "text")
     sets = found.mapInArrow(_members(n, seed), "cls long, blocks int, node long, members binary")
-    block = F.pmod("node", "blocks").cast("int")
-    pairs = (
-        sets.withColumn("side", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .select("cls", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "members")
-        .repartition("cls", "i", "j").sortWithinPartitions("cls", "i", "j")
-    )
-    links = components(pairs.mapInArrow(_verify(num, den), "a long, b long"), ws, "links").toDF("node", "root")
+    links = components(_block_pairs(sets, "members").mapInArrow(_within(by_set), "a long, b long"), ws, "links").toDF("node", "root")
 
     home = classes.select("node", "rep").join(links, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     least = home.groupBy("root").agg(F.min("rep").alias("component_id"))
