@@ -3,8 +3,8 @@
 P(grade > k) = sigmoid(w.x - t_k) with one weight vector w for all thresholds
 t_0 <= t_1 <= ...; the expected severity is the sum of these probabilities.
 Features are the words of a text and their first four and five bytes, present
-or absent, known by 64-bit hash.  The model keeps the features that tell the
-grades apart most clearly, so a long clean text gathers no noise.
+or absent, known by 64-bit hash.  The model keeps the features that most clearly
+mark toxic texts, so neither a long clean text nor an empty one gathers noise.
 
 The classifier is fitted on a bounded sample of labelled rows (``FIT_ROWS`` of
 toxic and as many of clean ones); every text is scored whole.
@@ -23,8 +23,10 @@ from tickloom.llm.text import _LOWER, signed, slices, span_hashes
 
 #: Labelled rows of each class to fit on, features kept, and severity from which a document is toxic.
 FIT_ROWS, FEATURES, TOXIC = 6000, 4096, 0.5
-#: Distinct strong features that make a toxic text of grade 2 and 3 where labels only say toxic or not.
-GRADES = (3, 6)
+#: Distinct markers that make a toxic text of grade 2 and 3 where labels only say toxic or not.
+GRADES = (7, 13)
+#: Least log odds of a marker, and toxic texts that it must be seen in.
+MARGIN, SEEN = 2.0, 8
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _MASK = (1 << 20) - 1
@@ -73,56 +75,60 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(total - self.thresholds, -40, 40)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_features: int = FEATURES, steps: int = 300, l2: float = 1e-3) -> Ordinal:
-    """The model of least penalised cumulative-link loss over rows of distinct feature hashes."""
-    top = int(grades.max()) if len(grades) else 0
-    if not top:
-        return Ordinal(np.zeros(0, np.uint64), np.zeros(0), np.full(1, 40.0))
+def markers(rows: list[np.ndarray], toxic: np.ndarray, n_features: int = FEATURES) -> np.ndarray:
+    """The features that surely mark toxic texts: log odds two deviations over MARGIN, seen in SEEN toxic texts."""
     flat = np.concatenate(rows)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    bad = np.repeat(toxic > 0, [len(r) for r in rows])
     keys, at = np.unique(flat, return_inverse=True)
-    bad = grades[owner] > 0
     n1, n0 = np.bincount(at, bad, len(keys)), np.bincount(at, ~bad, len(keys))
-    m1, m0 = max((grades > 0).sum(), 1), max((grades == 0).sum(), 1)
+    m1, m0 = max((toxic > 0).sum(), 1), max((toxic <= 0).sum(), 1)
     odds = np.log((n1 + 0.5) / (m1 - n1 + 0.5)) - np.log((n0 + 0.5) / (m0 - n0 + 0.5))
-    z = odds / np.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))
-    best = np.argsort(-np.abs(z), kind="stable")[:n_features]
-    best = best[(n1 + n0)[best] >= 3]
-    index = np.full(len(keys), -1)
-    index[best] = np.arange(len(best))
-    keep = index[at] >= 0
-    col, row = index[at][keep], owner[keep]
-    w, t = np.zeros(len(best)), np.arange(top, dtype=float)
-    balance = np.where(grades > 0, 0.5 / m1, 0.5 / m0)
-    steps_w, steps_t = np.full(len(w), 1e-8), np.full(top, 1e-8)
+    least = odds - 2 * np.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))
+    best = np.argsort(-least, kind="stable")[:n_features]
+    return np.sort(keys[best[(least[best] > MARGIN) & (n1[best] >= SEEN)]])
+
+
+def _hits(rows: list[np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key index) of every known feature of the rows."""
+    flat = np.concatenate(rows)
+    at = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
+    keep = keys[at] == flat
+    return np.repeat(np.arange(len(rows)), [len(r) for r in rows])[keep], at[keep]
+
+
+def grade(rows: list[np.ndarray], toxic: np.ndarray, steps: tuple[int, ...] = GRADES) -> np.ndarray:
+    """Severity grades where labels only say toxic or not: 0 for clean texts, else 1 and
+    one more for each step that the number of the text's markers reaches."""
+    out = (toxic > 0).astype(np.int64)
+    keys = markers(rows, toxic) if out.any() else np.zeros(0, np.uint64)
+    if len(keys):
+        n = np.bincount(_hits(rows, keys)[0], minlength=len(rows))
+        out += out * sum((n >= s).astype(np.int64) for s in steps)
+    return out
+
+
+def fit(rows: list[np.ndarray], grades: np.ndarray, n_features: int = FEATURES, steps: int = 400, l2: float = 1e-6) -> Ordinal:
+    """The model of least penalised cumulative-link loss over rows of distinct feature hashes."""
+    top = int(grades.max()) if len(grades) else 0
+    keys = markers(rows, grades, n_features) if top else np.zeros(0, np.uint64)
+    if not len(keys):
+        return Ordinal(keys, np.zeros(0), np.full(max(top, 1), 40.0))
+    row, col = _hits(rows, keys)
+    w, t = np.zeros(len(keys)), np.arange(top, dtype=float)
+    steps_w, steps_t = np.full(len(w), 1e-12), np.full(top, 1e-12)
     over = grades[:, None] > np.arange(top)
     for _ in range(steps):
         x = np.bincount(row, w[col], len(rows))
         p = 1 / (1 + np.exp(-np.clip(x[:, None] - t, -40, 40)))
-        g = (p - over) * balance[:, None]
-        gw = np.bincount(col, g.sum(1)[row], len(w)) + l2 * w / len(best)
+        g = (p - over) / len(rows)
+        gw = np.bincount(col, g.sum(1)[row], len(w)) + l2 * w
         gt = -g.sum(0)
         steps_w += gw**2
         steps_t += gt**2
-        w -= 0.3 * gw / np.sqrt(steps_w)
-        t -= 0.1 * gt / np.sqrt(steps_t)
+        w -= 0.5 * gw / np.sqrt(steps_w)
+        t -= 0.5 * gt / np.sqrt(steps_t)
         t = np.maximum.accumulate(t)
-    return Ordinal(keys[best], w, t)
-
-
-def grade(rows: list[np.ndarray], toxic: np.ndarray, steps: tuple[int, ...] = GRADES) -> np.ndarray:
-    """Severity grades where labels only say toxic or not: 0 for clean texts, else 1 and one more
-    for each step that the number of the text's strong features (seen in toxic texts alone) reaches."""
-    out = (toxic > 0).astype(np.int64)
-    if not out.any():
-        return out
-    clean = np.unique(np.concatenate([r for r, y in zip(rows, out) if not y] or [np.zeros(0, np.uint64)]))
-    keys, n = np.unique(np.concatenate([r for r, y in zip(rows, out) if y]), return_counts=True)
-    strong = np.setdiff1d(keys[n >= 5], clean)
-    for i in np.flatnonzero(out):
-        hits = np.isin(rows[i], strong).sum()
-        out[i] += sum(hits >= s for s in steps)
-    return out
+    return Ordinal(keys, w, t)
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
