@@ -22,7 +22,8 @@ def plain(path):
 def odd_texts():
     rnd = random.Random(3)
     parts = ["a", "It's", "don't", " ", "  ", "\n", "\n\n", "\t", "é", "é", "́", "漢字", "123", "...", "\xa0", "　", "\x1c", "\x85", "<|endoftext|>", "İ", "ΟΔΟΣ", "👍🏽", "word", "ß", "‍", "\r\n", "\x0b"]
-    return ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 30))) for _ in range(3000)]
+    latin = ["a", "It's", "École", "STRASSE", "ß,", "x.", "word", ",", ".", "...", "12", " ", " ", " ", "\n", "\n", "  ", "\t", "é", "ÿ", "Ā", "-", "_", "a.b", "<|endoftext|>", "µ", "ª"]
+    return ["".join(rnd.choice(k) for _ in range(rnd.randint(0, 30))) for k in (parts, latin) for _ in range(3000)]
 
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
@@ -41,7 +42,7 @@ def test_code_round_trip():
 
 
 def table(spark):
-    rows = [(i, t, "x") for i, t in enumerate(odd_texts()[:300])] + [(900, None, None), (None, "null id", "x"), (5, "again", "x"), (901, "long text " * 30000, "x")]
+    rows = [(i, t, "x") for i, t in enumerate(odd_texts()[2850:3150])] + [(900, None, None), (None, "null id", "x"), (5, "again", "x"), (901, "long text " * 30000, "x")]
     random.Random(1).shuffle(rows)
     return rows, spark.createDataFrame(rows, "doc_id long, text string, ids string").repartition(3)
 

@@ -2,27 +2,58 @@
 
 The pre-tokenizers used here never join characters across the start of a run of
 white space, so a text is the sequence of its units (white space and the word
-after it) and its ids are theirs.  Units are encoded by the tokenizers library
-and remembered; the memory of a task is bounded.
+after it) and its ids are theirs; likewise a comma or full stop after a letter,
+and the text after a lone newline, start anew.  Units are encoded by the
+tokenizers library (plain words by its BPE model at once, which is what its
+pipeline would do) and remembered; the memory of a task is bounded.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-#: The characters with Unicode's property White_Space.
+# The characters with Unicode's property White_Space.
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-#: White space and the word after it; a comma or full stop after a letter or digit starts a unit of its own.
-_UNIT = re.compile(f"[{_WHITE}]*[^{_WHITE},.]*[0-9A-Za-zÀ-ÖØ-öø-ÿ](?=[,.])|[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
+_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+_UNIT = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
+_PLAIN = re.compile(f"([{_LATIN}]+)([,.]?)")
+#: Texts where str.split or str.lower may differ from the tokenizer's rules, and where a space has white space after it.
+_ODD = re.compile("[\x1c-\x1f]|[^\x00-\u012f\u0131-\u024f]")
+_SPACED = re.compile(f" [{_WHITE}]")
 #: Units in each of the two generations that a task remembers; units over LONG characters are not kept.
 MEMORY, LONG = 400_000, 64
 
 
+def _byte_letters() -> dict[int, str]:
+    """Latin letters as byte-level BPE spells them: a printable byte is its own character, the others follow from 256."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spelt = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*own}))}
+    return {c: "".join(spelt[b] for b in chr(c).encode()) for c in range(256) if chr(c).isalpha()}
+
+
+class _Memory(dict):
+    """Ids of units made on demand, in two generations of bounded size."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        self.make, self.before = make, {}
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.before.get(unit)
+        if ids is None:
+            ids = self.make(unit)
+        if len(unit) <= LONG:
+            if len(self) >= MEMORY:
+                self.before = dict(self)
+                self.clear()
+            self[unit] = ids
+        return ids
+
+
 class Encoder:
     """text to little-endian unsigned 32-bit ids; strings of special tokens are ordinary text."""
 
@@ -32,32 +63,46 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memory: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.bare = self._whole(" a b") == self._whole("a") + self._whole("b")  # white space is dropped
+        self.lower = self.bare and self._whole("AÉ") == self._whole("aé")
+        probes = ["word", "élève", "schönßü", "Zq"]
+        self.plain = {x: all(self._spelt(x, p.lower() if self.lower else p) == self._whole(x + p) for p in probes) for x in ("", " ")}
+        self.memory = {x: _Memory(lambda u, x=x: self._unit(x, u)) for x in ("", " ")}
+        self.any = _Memory(self._whole)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _spelt(self, space: str, word: str) -> bytes:
+        """A word of Latin letters through the BPE model."""
+        word = word.translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize("Ġ" + word if space else word)], "<u4").tobytes()
+
+    def _unit(self, space: str, unit: str) -> bytes:
+        """A unit without the space before it, where there is one."""
+        if m := _PLAIN.fullmatch(unit):
+            word, mark = m.groups()
+            if mark:
+                return self.memory[space][word] + self.any[mark]
+            return self._spelt(space, word) if self.plain[space] else self._whole(space + word)
+        if not self.bare:
+            left, line, right = unit.partition("\n")
+            if line and left and right and left[-1] not in _WHITE and right[0] not in _WHITE:
+                return self.memory[space][left] + self.any[line] + self.memory[""][right]
+        return self._whole(space + unit)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        units, memory, before = _UNIT.findall(text), self.memory, self.before
-        new = [u for u in set(units) if u not in memory]
-        if new:
-            if len(memory) + len(new) > MEMORY:
-                self.before, self.memory = before, memory = memory, {}
-                new = list(set(units))
-            unknown = []
-            for u in new:
-                if (x := before.get(u)) is None:
-                    unknown.append(u)
-                else:
-                    memory[u] = x
-            if unknown:
-                for u, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False)):
-                    memory[u] = np.array(e.ids, "<u4").tobytes()
-        out = b"".join(map(memory.__getitem__, units))
-        for u in new:
-            if len(u) > LONG:
-                del memory[u]
-        return out
+        if self.bare:
+            if _ODD.search(text):
+                return b"".join(map(self.any.__getitem__, _UNIT.findall(text)))
+            return b"".join(map(self.memory[""].__getitem__, (text.lower() if self.lower else text).split()))
+        if _SPACED.search(text):
+            return b"".join(map(self.any.__getitem__, _UNIT.findall(text)))
+        first, *rest = text.split(" ")
+        return (self.memory[""][first] if first else b"") + b"".join(map(self.memory[" "].__getitem__, rest))
 
 
 #: Encoders of this worker by path: what a task has learned serves the next one.
