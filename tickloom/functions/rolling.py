@@ -49,6 +49,14 @@ def full(x: Column, n: int, over: Over, value: Column) -> Column:
     return F.when(F.count(x).over(over.rows(n)) == n, value)
 
 
+def safe_corr(x: Column, y: Column, over: WindowSpec | None = None) -> Column:
+    """Pearson correlation of the rows that have both; null where one does not vary."""
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    on = lambda a: a if over is None else a.over(over)
+    return div(on(F.covar_pop(x, y)), on(F.stddev_pop(x)) * on(F.stddev_pop(y)))
+
+
 def lag(x, n: int = 1, over: Over = TAPE) -> Column:
     return F.lag(col(x), n).over(over.all)
 
@@ -143,8 +151,8 @@ def vpin(buy, sell, n: int, over: Over = TAPE) -> Column:
 
 def price_volume_correlation(r, volume, n: int, over: Over = TAPE) -> Column:
     """Pearson correlation of the return column r and volume over n rows."""
-    c = F.corr(col(r), col(volume)).over(over.rows(n))
-    return full(col(volume), n, over, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)))
+    c = safe_corr(col(r), col(volume), over.rows(n))
+    return full(col(volume), n, over, F.when(c.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))))
 
 
 def variance_ratio(r1, r4, n: int, over: Over = TAPE) -> Column:
