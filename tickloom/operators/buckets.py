@@ -206,7 +206,7 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x >= 0, 0.5 * (1 + erf)).otherwise(0.5 * (1 - erf))
 
 
-def three_means(df: DataFrame, x: str, freq_ns: int = HOUR_NS, rounds: int = 10) -> DataFrame:
+def three_means(df: DataFrame, x: str, freq_ns: int = HOUR_NS, rounds: int = 5) -> DataFrame:
     """df with <x>_size (small, median or big): 3-means of x in each bucket, started at its quartiles; native, one join a round."""
     key = ["symbol", "bucket"]
     rows = with_bucket(df, freq_ns)
@@ -222,3 +222,33 @@ def broadcast_back(df: DataFrame, factors: DataFrame, freq_ns: int, columns: Ite
     """df with its bucket's factors on every row."""
     chosen = factors if columns is None else factors.select("symbol", "bucket", *columns)
     return with_bucket(df, freq_ns).join(chosen, ["symbol", "bucket"], "left").drop("bucket")
+
+
+def rolling_by_bucket(factors: DataFrame, columns: Iterable[str], n: int = 24) -> DataFrame:
+    """factors with <column>_mean: the mean of the last n buckets of the symbol."""
+    w = Window.partitionBy("symbol").orderBy("bucket").rowsBetween(-(n - 1), 0)
+    return factors.withColumns({f"{c}_mean": F.avg(c).over(w) for c in columns})
+
+
+def size_flow_factors(df: DataFrame, freq_ns: int = HOUR_NS, close: str = "close", volume: str = "volume", buy: str = "buy_volume", sell: str = "sell_volume", n: int = 24) -> DataFrame:
+    """A row for each (symbol, bucket): order imbalances of large and small rows, by 3-means of bought and of sold volume in the
+    bucket, and rolling rank-free correlations over n buckets of small and big volume, of small volume with its next bucket, and
+    of small volume with the bucket's return.  The next bucket's value is known one bucket later only (labels, not features)."""
+    key = ["symbol", "bucket"]
+    rows = three_means(df, buy, freq_ns).withColumnRenamed(f"{buy}_size", "_bs").drop("bucket")
+    rows = three_means(rows, sell, freq_ns).withColumnRenamed(f"{sell}_size", "_ss")
+    at = F.struct("ts_ns", "seq")
+    b, s, v = F.col(buy), F.col(sell), F.col(volume)
+    small = F.col("_bs") == "small"
+    out = rows.groupBy(*key).agg(
+        _sum(b, ~small).alias("_ab"), _sum(s, F.col("_ss") != "small").alias("_as"), _sum(b, small).alias("_sb"), _sum(s, F.col("_ss") == "small").alias("_sv"),
+        _sum(v, F.col("_bs") == "big").alias("_big"), _sum(v, small).alias("_small"), (F.max_by(close, at) / F.min_by(close, at) - 1).alias("_ret"),
+    )
+    w = Window.partitionBy("symbol").orderBy("bucket")
+    last = w.rowsBetween(-(n - 1), 0)
+    out = out.withColumn("_next", F.lead("_small").over(w))
+    corr = lambda x, y: F.when(F.count(F.lit(1)).over(last) == n, safe_corr(F.col(x), F.col(y), last))
+    return out.select(
+        *key, (F.try_divide(F.col("_ab") - F.col("_as"), F.col("_ab") + F.col("_as")) + F.try_divide(F.col("_sb") - F.col("_sv"), F.col("_sb") + F.col("_sv"))).alias("size_imbalance"),
+        corr("_big", "_small").alias("big_small_corr"), corr("_small", "_next").alias("small_next_corr"), corr("_next", "_ret").alias("small_return_corr"),
+    )

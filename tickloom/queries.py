@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import breaks, entropy, recursive
 from tickloom.functions import rolling as R
 from tickloom.operators import backtest, bars, buckets, labels, tape, validation
+from tickloom.plans import pipelines
 from tickloom.plans.kit import Feature, FeatureKit
 from tickloom.sources import tapes
 
@@ -455,3 +456,64 @@ def feature_plan(t):
     dev = (close - close.rolling_mean(5)) / close.rolling_mean(5)
     kit = FeatureKit([dev.named("deviation"), dev.clip(-0.1, 0.1).named("clipped")], retain=["close"], over=R.BARS)
     return FeatureKit.from_config(kit.to_config()).build(tick20(t))
+
+
+@query()
+def size_flow_factors(t):
+    b = _as_bars(tape.tick_rule(t)).withColumn("buy_volume", F.when(F.col("side") > 0, F.col("amount")).otherwise(0.0)).withColumn("sell_volume", F.col("volume") - F.col("buy_volume"))
+    return buckets.size_flow_factors(b, DAY, n=5)
+
+
+# jobs
+@query()
+def dollar_bars_by_frequency(t):
+    return pipelines.dollar_bars_by_frequency(t, (2, 5))
+
+
+@query()
+def minute_dollar_bars(t):
+    minutes = bars.time_bars(t, 60_000_000_000).where("trades > 0").withColumn("seq", F.col("ts_ns"))
+    return pipelines.minute_dollar_bars(minutes, 3, session_hour=21)
+
+
+@query()
+def feature_table(t):
+    cfg = {"momentum": {}, "volatility": {}, "trend": {}, "microstructure": {"n": 10}, "information": {"n": 20, "lags": 2}, "breaks": {"window": 24}, "time": {}}
+    keep = ("symbol", "bar_id", "rsi_14", "roc_10", "stoch_14", "ew_std_20", "parkinson_20", "percent_b_20", "atr_14", "adx_14", "ma_ratio_5_20", "amihud", "vpin", "corwin_schultz_mean", "flow_acceleration", "entropy_shannon", "ljung_box", "theil_ratio", "adf", "sadf", "ffd", "sin_day")
+    return pipelines.feature_table(tick20(t), cfg).select(*keep)
+
+
+@query()
+def bet_sizing(t):
+    known = _labels(t)
+    oof = known.select("symbol", "event_ns", (F.lit(0.5) + F.col("bin") * 0.2).alias("prob"))
+    return pipelines.bet_sizing(oof, known)
+
+
+@query()
+def primary_factory(t):
+    return pipelines.primary_factory(tick20(t), (0.1, 0.2), (3, 5), (10, 20))
+
+
+@query()
+def walk_forward_backtest(t):
+    b = tick20(t).withColumn("signal", backtest.momentum_side("close", 3, R.BARS))
+    return pipelines.walk_forward_backtest(b, "signal", 2)
+
+
+@query()
+def cost_pressure(t):
+    b = tick20(t).withColumn("signal", backtest.momentum_side("close", 3, R.BARS))
+    return pipelines.cost_pressure(backtest.rolling_backtest(b, order=("bar_id",)), backtest.cost_grid((0.0, 0.001), (0.0, 0.0005)))
+
+
+@query()
+def timing_metrics(t):
+    b = tick20(t).withColumn("event", F.col("bar_id") % 7 == 0)
+    return backtest.timing_metrics(b, "event", over=R.BARS)
+
+
+@query()
+def run_lengths(t):
+    b = tick20(t).withColumn("r", R.ret("close", over=R.BARS)).withColumn("new", R.run_id("r", R.BARS)).withColumn("run", F.sum("new").over(R.BARS.up_to))
+    return b.select("symbol", "bar_id", R.direction_run_length("r", "run", R.BARS).alias("length"))
