@@ -222,3 +222,30 @@ def test_feature_configuration_rejects_unknown_names():
         Feature.native("os.system", "close")
     with pytest.raises(ValueError):
         Feature.from_config({"kind": "import", "name": "x", "inputs": [], "params": {}})
+
+
+def test_kline_store(spark, tmp_path):
+    from tickloom.plans import pipelines
+    from tickloom.sources.tapes import month
+
+    rng = np.random.default_rng(5)
+    day = 86_400 * 10**9
+    pdf = pd.DataFrame({"symbol": "a", "ts_ns": np.sort(rng.integers(day, 5 * day, 500)), "seq": np.arange(500), "price": 10 + rng.normal(size=500), "amount": 1.0})
+    path = str(tmp_path / "k")
+    tape = spark.createDataFrame(pdf)
+    pipelines.store_klines(tape, path, 3600 * 10**9)
+    before = pipelines.read_klines(spark, path).count()
+    pipelines.store_klines(tape.where("seq < 5"), path, 3600 * 10**9)  # the months are there: nothing changes
+    assert pipelines.read_klines(spark, path).count() == before
+    one = pipelines.read_klines(spark, path, day, 2 * day)
+    assert one.agg({"ts_ns": "max"}).first()[0] > 2 * day and one.select(month()).distinct().count() == 1
+    daily = pipelines.read_klines(spark, path, day, 3 * day, day)
+    assert daily.agg({"ts_start_ns": "max"}).first()[0] <= 2 * day
+
+
+def test_bars_that_share_their_bounds(spark):
+    from tickloom.plans.pipelines import overlapping_bars
+
+    pdf = pd.DataFrame({"symbol": "a", "ts_ns": range(7), "open": range(7), "high": range(7), "low": range(7), "close": range(7), "volume": 1.0, "_close": [1, 0, 0, 1, 0, 1, 0]})
+    rows = overlapping_bars(spark.createDataFrame(pdf)).orderBy("bar_id").collect()
+    assert [(r.open, r.close, r.volume) for r in rows] == [(0, 3, 4.0), (3, 5, 3.0)]

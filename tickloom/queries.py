@@ -180,7 +180,10 @@ def footprints(t):
     return bars.footprints(bars.assign_tick_bars(tape.tick_rule(t), 20), 10.0)
 
 
-@query()
+@query(_FOOT + """, i AS (SELECT *, buy_volume + sell_volume AS v, coalesce(sell_volume > 3 * lead(buy_volume) OVER w, false) AS si, coalesce(buy_volume > 3 * lag(sell_volume) OVER w, false) AS bi FROM f WINDOW w AS (PARTITION BY symbol, bar_id ORDER BY level)),
+ s AS (SELECT *, CASE WHEN bi THEN 1 WHEN si THEN -1 ELSE 0 END AS sg FROM i), n AS (SELECT *, CASE WHEN sg = lag(sg) OVER (PARTITION BY symbol, bar_id ORDER BY level) THEN 0 ELSE 1 END AS nw FROM s), r AS (SELECT *, sum(nw) OVER (PARTITION BY symbol, bar_id ORDER BY level) AS run FROM n),
+ u AS (SELECT symbol, bar_id, run, sg, count(*) AS c FROM r WHERE sg <> 0 GROUP BY 1, 2, 3, 4), m AS (SELECT symbol, bar_id, arg_max(sg * c, c * 1000000 - run) AS imbalance_max_run FROM u GROUP BY 1, 2)
+ SELECT r.symbol, r.bar_id, count(*) FILTER (WHERE bi) AS buy_imbalances, count(*) FILTER (WHERE si) AS sell_imbalances, arg_max(level, (v, -level)) AS cot_level, round(1 - sum(v * v) / nullif(sum(v) * sum(v), 0), 6) AS vp_gini, CASE WHEN sum(v) > 0 THEN 0.0 END AS vp_skew, coalesce(any_value(m.imbalance_max_run), 0) AS imbalance_max_run FROM r LEFT JOIN m ON m.symbol = r.symbol AND m.bar_id = r.bar_id GROUP BY 1, 2""")
 def footprint_features(t):
     return bars.footprint_features(bars.footprints(bars.assign_tick_bars(tape.tick_rule(t), 20), 10.0))
 
@@ -244,6 +247,17 @@ def cross_ma(t):
     return _bar_columns(t, **R.cross_ma("close", 3, 9, R.BARS))
 
 
+@query(_bar_sql(
+    _full("r", 12, f"kurtosis_pop(r) OVER {_frame(12)}", "kurt"), _full("close", 12, f"degrees(atan(regr_slope(ln(close), bar_id) OVER {_frame(12)}))", "slope"),
+    f"round(CASE WHEN count(ar) OVER {_frame(6)} = 6 THEN sqrt(pi() / 2) * sum(ar) OVER {_frame(6)} END, 6) AS bpv", _full("close", 12, f"quantile_cont(close, 0.9) OVER {_frame(12)}", "q90"),
+    _full("close", 12, f"var_pop(r) OVER {_frame(12)}", "var12"), with_=", b2 AS (SELECT *, abs(r) * abs(lag(r) OVER (PARTITION BY symbol ORDER BY bar_id)) AS ar FROM b)",
+))
+def rolling_moments(t):
+    o = R.BARS
+    q = R.full(F.col("close"), 12, o, R.rolling_quantile("close", 12, 0.9, o))
+    return _bar_columns(t, kurt=R.rolling_kurtosis("r", 12, o), slope=R.trend_slope("close", 12, o), bpv=R.bipower_variation("r", 6, o), q90=q, var12=R.full(F.col("close"), 12, o, R.rolling_var("r", 12, 0, 1, o)))
+
+
 @query(_bar_sql("round(CASE WHEN high = low THEN NULL ELSE (high - greatest(open, close)) / (high - low) END, 6) AS wick_up", "round(CASE WHEN high = low THEN NULL ELSE (least(open, close) - low) / (high - low) END, 6) AS wick_down", "round(CASE WHEN high = low THEN NULL ELSE abs(close - open) / (high - low) END, 6) AS body_ratio", "hour(make_timestamp(ts_ns // 1000)) < 8 AS asia", "hour(make_timestamp(ts_ns // 1000)) BETWEEN 7 AND 14 AS eu", "hour(make_timestamp(ts_ns // 1000)) BETWEEN 13 AND 20 AS us", "minute(make_timestamp(ts_ns // 1000)) = 0 AS top_of_hour", "round(sin((ts_ns % 86400000000000) / 86400000000000.0 * 2 * pi()), 6) AS sin_day", "round(cos((ts_ns % 86400000000000) / 86400000000000.0 * 2 * pi()), 6) AS cos_day"))
 def candles_and_cues(t):
     cues = R.time_cues()
@@ -319,7 +333,10 @@ def _as_bars(t: DataFrame) -> DataFrame:
     return t.withColumn("close", F.col("price")).withColumn("volume", F.col("amount")).withColumn("trades", F.lit(1))
 
 
-@query()
+@query(_HOURS + """, g AS (SELECT r2.symbol, r2.bucket, 4 * pow(count(r), -0.49) * sqrt(any_value(b.iv)) AS g FROM r2 JOIN base b ON b.symbol = r2.symbol AND b.bucket = r2.bucket GROUP BY 1, 2 HAVING count(r) > 0),
+ j AS (SELECT r2.symbol, r2.bucket, coalesce(sum(CASE WHEN r > g.g THEN r * r END), 0) AS u, coalesce(sum(CASE WHEN r < -g.g THEN r * r END), 0) AS d FROM r2 LEFT JOIN g ON g.symbol = r2.symbol AND g.bucket = r2.bucket GROUP BY 1, 2),
+ k AS (SELECT b.symbol, b.bucket, greatest(up - iv / 2, 0) AS ju, greatest(dn - iv / 2, 0) AS jd, least(greatest(up - iv / 2, 0), u) AS lu, least(greatest(dn - iv / 2, 0), d) AS ld FROM base b JOIN j ON j.symbol = b.symbol AND j.bucket = b.bucket)
+ SELECT symbol, bucket, round(lu, 6) AS large_upside_jump_variation, round(ld, 6) AS large_downside_jump_variation, round(ju - lu, 6) AS small_upside_jump_variation, round(jd - ld, 6) AS small_downside_jump_variation, round((ju - lu) - (jd - ld), 6) AS small_jump_asymmetry, round(lu - ld, 6) AS large_jump_asymmetry FROM k""")
 def jump_size_factors(t):
     return buckets.volatility_factors(_as_bars(t), DAY).select("symbol", "bucket", "large_upside_jump_variation", "large_downside_jump_variation", "small_upside_jump_variation", "small_downside_jump_variation", "small_jump_asymmetry", "large_jump_asymmetry")
 
@@ -383,7 +400,10 @@ def info_weights(t):
     return labels.info_weights(_labels(t), t).select("symbol", "event_ns", "avg_uniqueness", "return_attribution")
 
 
-@query()
+@query(_CONC + """, iw AS (SELECT o.symbol, o.event_ns, avg(1.0 / c.c) AS u, abs(sum(CASE WHEN lr.ts_ns > o.event_ns THEN lr.r / c.c ELSE 0 END)) AS a FROM out o JOIN c ON c.symbol = o.symbol AND c.ts_ns BETWEEN o.event_ns AND o.t1_ns JOIN lr ON lr.symbol = c.symbol AND lr.ts_ns = c.ts_ns AND lr.seq = c.seq GROUP BY 1, 2),
+ td AS (SELECT iw.*, CAST(sign(o.ret) AS INTEGER) AS bin, CASE WHEN o.hit IS NOT NULL THEN 1.0 ELSE least(1.0, abs(o.ret) / o.target) END AS vw, greatest(1 - 0.5 / sum(u) OVER (PARTITION BY iw.symbol) * (sum(u) OVER (PARTITION BY iw.symbol) - sum(u) OVER (PARTITION BY iw.symbol ORDER BY iw.event_ns ROWS UNBOUNDED PRECEDING)), 0) AS td FROM iw JOIN out o ON o.symbol = iw.symbol AND o.event_ns = iw.event_ns),
+ ws AS (SELECT *, td * a * vw / avg(td * a * vw) OVER (PARTITION BY symbol) AS w FROM td), kc AS (SELECT symbol, count(DISTINCT bin) AS k FROM ws GROUP BY 1)
+ SELECT ws.symbol, event_ns, bin, round(td, 6) AS time_decay, round(w * sum(w) OVER (PARTITION BY ws.symbol) / (k * sum(w) OVER (PARTITION BY ws.symbol, bin)), 6) AS weight FROM ws JOIN kc ON kc.symbol = ws.symbol""")
 def sample_weights(t):
     out = labels.final_weights(labels.info_weights(_labels(t), t), 0.5)
     return out.select("symbol", "event_ns", "bin", "time_decay", "weight")
@@ -409,10 +429,13 @@ def purged_kfold(t):
     return validation.purged_kfold(rows, 5, 0.01).withColumn("split_id", F.col("split_id").cast("long"))
 
 
-@query()
+@query(_ROWS.replace("range(5)", "range(6)").replace("n // 5", "n // 6").replace("n % 5", "n % 6") + """, combos AS (SELECT i, j, row_number() OVER (ORDER BY i, j) - 1 AS split_id FROM range(6) a(i), range(6) b(j) WHERE i < j),
+ sp AS (SELECT c.split_id, f.a, f.b, min(ts_ns) AS t0, max(greatest(ts_ns, t1_ns)) AS t1, any_value(f.n) AS n FROM combos c JOIN folds f ON f.split_id IN (c.i, c.j) JOIN ids ON ids.row_id >= f.a AND ids.row_id < f.b GROUP BY 1, 2, 3),
+ seen AS (SELECT sp.split_id, row_id, bool_or(row_id >= a AND row_id < b) AS test, bool_or((ts_ns < sp.t1 AND ids.t1_ns > t0) OR (row_id >= b AND row_id < b + n // 100)) AS gone FROM sp, ids GROUP BY 1, 2)
+ SELECT split_id, row_id, CASE WHEN test THEN 'test' ELSE 'train' END AS role FROM seen WHERE test OR NOT gone""")
 def combinatorial_purged(t):
     rows = validation.with_row_id(_labels(t).select(F.col("event_ns").alias("ts_ns"), "symbol", "t1_ns"), "ts_ns", "symbol")
-    return validation.combinatorial_purged(rows, 6, 2)
+    return validation.combinatorial_purged(rows, 6, 2).withColumn("split_id", F.col("split_id").cast("long"))
 
 
 @query()
