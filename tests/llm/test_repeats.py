@@ -42,7 +42,7 @@ def test_passages_are_found_and_cut(spark):
     late = {i for i, k in planted if first[k] != i} | {i for i, k in planted if k == 0}
     assert {r.doc_id for r in got} == late
     for r in got:
-        assert text[r.doc_id][r.start : r.end] in text[r.first_doc_id] and r.n_words >= 25
+        assert text[r.doc_id][r.start : r.end] in text[r.first_doc_id] and r.n_words >= 30
     out = {r.doc_id: r for r in cut_passages(df).collect()}
     for i, t, n in rows:
         if i not in late:

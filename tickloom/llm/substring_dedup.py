@@ -6,8 +6,11 @@ digest; a chunk is repeated where a lower document id holds the same bytes.
 Runs of neighbouring repeated chunks that hold enough words are the repeated
 passages: the first document keeps its copy, the others lose theirs.
 
-One shuffle deals the chunks by digest; a sorted stream with constant state
-finds each digest's first document, so a digest with any number of copies fits.
+Chunks are pre-aggregated before the shuffle: of the documents of a batch that
+hold a digest only the lowest is dealt by it, since the others already know a
+lower one; they are dealt at random.  So a passage of a third of all documents
+does not meet in one task.  A sorted stream with constant state finds each
+digest's first document among the rest.
 """
 
 from __future__ import annotations
@@ -20,14 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.jaccard_join import BROADCAST_ROWS
-from tickloom.llm.text import signed, slices, span_hashes, words
-from tickloom.llm.workspace import Workspace
+from tickloom.llm.text import mix, signed, slices, span_hashes, words
+from tickloom.llm.workspace import Workspace, bound_batches
 
 #: Mean bytes of a chunk; longer chunks than LONGEST bytes are cut there.
 MEAN, LONGEST = 28, 1 << 16
 WINDOW = 16
 #: Words that a run of repeated chunks must hold.  Up to a chunk is lost at either end of a passage.
-MIN_WORDS = 25
+MIN_WORDS = 30
 _GEAR = np.random.default_rng(7).integers(0, 1 << 16, 256, dtype=np.uint16)
 _NO_ID = -(1 << 63)
 
@@ -60,9 +63,14 @@ def chunk_ends(offsets: np.ndarray, raw: np.ndarray) -> np.ndarray:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (digest, doc_id, place): place holds start, length in characters and words of the chunk."""
+    """(doc_id, text) to (digest, doc_id, place, first): place holds start, length in characters and words of the chunk.
+
+    first is the lowest document of the batch that holds the chunk, null on that
+    document's own rows; a row with a first has a random digest.
+    """
     for batch in batches:
         ids = batch.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
+        parts = []
         for row, offsets, raw in slices(batch.column(1)):
             if not len(raw):
                 continue
@@ -73,13 +81,26 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = words(offsets, raw)[0]
             count = np.diff(np.searchsorted(first, np.concatenate(([0], ends))))
             place = ((chars[starts] - chars[offsets[doc]]) << 32) | ((chars[ends] - chars[starts]) << 12) | np.minimum(count, 4095)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(span_hashes(raw, starts, ends))), pa.array(ids[row + doc]), pa.array(place)], names=["digest", "doc_id", "place"])
+            parts.append((span_hashes(raw, starts, ends), ids[row + doc], place))
+        if not parts:
+            continue
+        digest, doc, place = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((doc, digest))
+        digest, doc, place = digest[order], doc[order], place[order]
+        lowest = doc[np.maximum.accumulate(np.where(np.concatenate(([True], digest[1:] != digest[:-1])), np.arange(len(digest)), 0))]
+        later = doc != lowest
+        digest[later] = mix(digest[later] ^ mix(doc[later].view(np.uint64) + place[later].view(np.uint64)))
+        yield pa.RecordBatch.from_arrays([pa.array(signed(digest)), pa.array(doc), pa.array(place), pa.array(lowest, mask=~later)], names=["digest", "doc_id", "place", "first"])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (digest, doc_id): those whose digest a lower document has, with the lowest one."""
+    """Rows sorted by (digest, doc_id): those with a first, and those whose digest a lower document has, with the lowest one."""
     last = owner = None
-    for batch in batches:
+    for whole in batches:
+        known = whole.filter(whole.column(3).is_valid())
+        if known.num_rows:
+            yield pa.RecordBatch.from_arrays([known.column(1), known.column(2), known.column(3)], names=["doc_id", "place", "first"])
+        batch = whole.filter(whole.column(3).is_null())
         digest, doc = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         if not len(digest):
             continue
@@ -132,13 +153,15 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
 
     start and end are character offsets, end exclusive; n_words counts words
     that begin in the passage.  Passages are byte for byte alike; repeats within
-    one document are left alone.
+    one document are left alone.  first_doc_id is a document of a lower id with
+    the longest chunk of the passage, not always the lowest.
 
     Null or empty text: no rows.  Rows with one id, or with a null id, count as
     one document (a null id is the lowest).  Other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    chunks = rows.mapInArrow(_chunks, "digest long, doc_id long, place long")
+    chunks = rows.mapInArrow(_chunks, "digest long, doc_id long, place long, first long")
     again = chunks.repartition("digest").sortWithinPartitions("digest", "doc_id").mapInArrow(_repeated, "doc_id long, place long, first long")
     runs = again.repartition("doc_id").sortWithinPartitions("doc_id", "place").mapInArrow(_runs(min_words), "doc_id long, start long, end long, n_words long, first_doc_id long")
     known = lambda c: F.when(F.col(c) != _NO_ID, F.col(c)).alias(c)
