@@ -36,13 +36,15 @@ from tickloom.llm.text import mix, shingles, signed
 from tickloom.llm.workspace import Workspace
 
 #: Nodes of a block whose sketches, or whose sets, are compared with another block's in one task.
-SKETCH_BLOCK, BLOCK = 4096, 512
+SKETCH_BLOCK, BLOCK = 2048, 512
+#: Bytes of sets, or of sketches, in a block (a longer set makes one of its own).
+BLOCK_BYTES = 8 << 20
 #: A table of at most so many ids (16 bytes each) is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 500_000
 #: Sets that a map task remembers in order to emit copies once.
 SEEN = 1_000_000
 LEVELS = 6
-_WORDS = 16  # 64-bit words of the pruning sketch
+_WORDS = 16  # 64-bit words of the smallest pruning sketch
 
 
 class Bands:
@@ -177,16 +179,27 @@ def _members(n: int, seed: int):
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """The parity of a set's hashes over 1024 bits: its Hamming distances never exceed symmetric differences."""
-    odd = np.bincount((s & np.uint64(64 * _WORDS - 1)).astype(np.int64), minlength=64 * _WORDS) & 1
+    """The parity of a set's hashes over a power of two of bits, two to four a member: Hamming distances of sketches never
+    exceed symmetric differences.  XOR of its halves is the sketch of half as many bits."""
+    bits = 64 * _WORDS << max(0, int(len(s) - 1).bit_length() - 9)
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
+def folded(s: np.ndarray, words: int) -> np.ndarray:
+    while len(s) > words:
+        half = len(s) // 2
+        s = s[:half] ^ s[half:]
+    return s
+
+
 class _Pairs:
     """Pairs of a group that sizes and sketches allow, where they may still join two trees of its forest."""
 
-    def __init__(self, sizes: np.ndarray, sketches: np.ndarray, sides: np.ndarray, num: int, den: int) -> None:
+    def __init__(self, sizes: np.ndarray, sketches: list[np.ndarray], sides: np.ndarray, num: int, den: int) -> None:
         self.sizes, self.sketches, self.sides, self.num, self.den = sizes, sketches, sides, num, den
+        self.words = np.array([len(x) for x in sketches])
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.across = len(np.unique(sides)) > 1
         self.tree = np.arange(len(sizes))
 
@@ -197,14 +210,28 @@ class _Pairs:
             b = b[self.sides[b] != self.sides[i]]
         lo, hi = np.minimum(self.sizes[b], self.sizes[i]), np.maximum(self.sizes[b], self.sizes[i])
         b = b[self.den * lo >= self.num * hi]
-        far = np.bitwise_count(self.sketches[b] ^ self.sketches[i]).sum(axis=1, dtype=np.int64)
+        if not len(b):
+            return b
+        common, far = np.minimum(self.words[b], self.words[i]), np.zeros(len(b), np.int64)
+        for w in np.unique(common).tolist():
+            table, place = self.of(w)
+            far[common == w] = np.bitwise_count(table[place[b[common == w]]] ^ table[place[i]]).sum(axis=1, dtype=np.int64)
         return b[far * (self.den + self.num) <= (self.den - self.num) * (self.sizes[b] + self.sizes[i])]
 
+    def of(self, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sketches of so many words, of the rows whose own may meet that, and each row's place among them."""
+        if words not in self.tables:
+            rows = np.flatnonzero((self.words >= words) & (self.words <= 4 * words))
+            place = np.full(len(self.words), -1)
+            place[rows] = np.arange(len(rows))
+            self.tables[words] = np.stack([folded(self.sketches[r], words) for r in rows]), place
+        return self.tables[words]
+
     def join(self, i: int, j: int) -> None:
         self.tree[self.tree == self.tree[j]] = self.tree[i]
 
 
-def likely(sizes: np.ndarray, sketches: np.ndarray, sides: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+def likely(sizes: np.ndarray, sketches: list[np.ndarray], sides: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
     """A spanning forest of the pairs that sizes and sketches allow."""
     pairs, out = _Pairs(sizes, sketches, sides, num, den), []
     for i in range(len(sizes) - 1):
@@ -218,7 +245,7 @@ def likely(sizes: np.ndarray, sketches: np.ndarray, sides: np.ndarray, num: int,
 def linked(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
     """A spanning forest of the pairs at or over num/den."""
     sizes = np.array([len(s) for s in sets], np.int64)
-    pairs, out = _Pairs(sizes, np.stack([sketch(s) for s in sets]), sides, num, den), []
+    pairs, out = _Pairs(sizes, [sketch(s) for s in sets], sides, num, den), []
     for i in range(len(sets) - 1):
         for j in pairs.after(i).tolist():
             if pairs.tree[i] != pairs.tree[j]:
@@ -267,9 +294,11 @@ def _block_pairs(members: DataFrame, *columns: str) -> DataFrame:
     )
 
 
-def _with_blocks(label: DataFrame, size: int) -> DataFrame:
-    """(node, cls, blocks): how many blocks of about size nodes each class needs."""
-    return label.join(label.groupBy("cls").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks")), "cls")
+def _with_blocks(label: DataFrame, classes: DataFrame, size: int, bytes_each: float) -> DataFrame:
+    """(node, cls, n, sketch, rep, blocks): blocks of about size nodes, or BLOCK_BYTES of bytes_each a member of their sets, as each class needs."""
+    rows = label.join(classes.select("node", "n", "sketch", "rep"), "node")
+    need = F.greatest(F.count("*") / size, F.sum("n") * bytes_each / BLOCK_BYTES)
+    return rows.join(rows.groupBy("cls").agg(F.ceil(need).cast("int").alias("blocks")), "cls")
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -298,16 +327,16 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     keys = rows.mapInArrow(_keys(n, num, den, seed), "key long, node long")
     stars = keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars, "a long, b long")
     label = components(stars, ws, "candidates").toDF("node", "cls")
-    members = _with_blocks(label, SKETCH_BLOCK).join(classes.select("node", "n", "sketch"), "node")
+    members = _with_blocks(label, classes, SKETCH_BLOCK, 0.5)
 
     def by_sketch(sides, n, bits):
-        return likely(np.array(n, np.int64), np.frombuffer(b"".join(bits), np.uint64).reshape(-1, _WORDS), sides, num, den)
+        return likely(np.array(n, np.int64), [np.frombuffer(x, np.uint64) for x in bits], sides, num, den)
 
     def by_set(sides, sets):
         return linked([np.frombuffer(x, np.uint64) for x in sets], sides, num, den)
 
     label = components(_block_pairs(members, "n", "sketch").mapInArrow(_within(by_sketch), "a long, b long"), ws, "likely").toDF("node", "cls")
-    wanted = ws.write(_with_blocks(label, BLOCK).join(classes.select("node", "rep"), "node").select("node", "cls", "blocks", "rep"), "wanted")
+    wanted = ws.write(_with_blocks(label, classes, BLOCK, 8).select("node", "cls", "blocks", "rep"), "wanted")
     small = wanted.count() <= BROADCAST_ROWS
     found = rows.join(F.broadcast(wanted) if small else wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "cls", "blocks", "text")
     sets = found.mapInArrow(_members(n, seed), "cls long, blocks int, node long, members binary")
