@@ -156,7 +156,7 @@ def cusum_bars(t):
 
 @query(_TAPE + _SIDE + _TICK20.format(t="sided") + """, s AS (SELECT *, CASE WHEN side <> lag(side) OVER w THEN abs(price - lag(price) OVER w) END AS sp FROM barred WINDOW w AS (PARTITION BY symbol ORDER BY ts_ns, seq)),
  c AS (SELECT *, sum(side) OVER v AS ct, sum(side * amount) OVER v AS cv, sum(side * (price * amount)) OVER v AS cd FROM s WHERE bar_id IS NOT NULL WINDOW v AS (PARTITION BY symbol, bar_id ORDER BY ts_ns, seq))
- SELECT symbol, bar_id, round(sum(CASE WHEN side > 0 THEN 1.0 ELSE 0 END), 6) AS ticks_buy, round(sum(CASE WHEN side < 0 THEN 1.0 ELSE 0 END), 6) AS ticks_sell, round(sum(CASE WHEN side > 0 THEN amount ELSE 0 END), 6) AS volume_buy, round(sum(CASE WHEN side < 0 THEN amount ELSE 0 END), 6) AS volume_sell,
+ SELECT symbol, bar_id, CAST(sum(CASE WHEN side > 0 THEN 1 ELSE 0 END) AS DOUBLE) AS ticks_buy, CAST(sum(CASE WHEN side < 0 THEN 1 ELSE 0 END) AS DOUBLE) AS ticks_sell, round(sum(CASE WHEN side > 0 THEN amount ELSE 0 END), 6) AS volume_buy, round(sum(CASE WHEN side < 0 THEN amount ELSE 0 END), 6) AS volume_sell,
  round(sum(CASE WHEN side > 0 THEN price * amount ELSE 0 END), 6) AS dollars_buy, round(sum(CASE WHEN side < 0 THEN price * amount ELSE 0 END), 6) AS dollars_sell, round(coalesce(sum(CASE WHEN side <> 0 THEN sp END) / nullif(count(*) FILTER (WHERE side <> 0), 0), 0), 6) AS mean_spread, round(coalesce(max(CASE WHEN side <> 0 THEN sp END), 0), 6) AS max_spread,
  round(coalesce(min(CASE WHEN side <> 0 THEN ct END), 1e9), 6) AS cum_ticks_min, round(coalesce(max(CASE WHEN side <> 0 THEN ct END), -1e9), 6) AS cum_ticks_max, round(coalesce(min(CASE WHEN side <> 0 THEN cv END), 1e9), 6) AS cum_volume_min, round(coalesce(max(CASE WHEN side <> 0 THEN cv END), -1e9), 6) AS cum_volume_max,
  round(coalesce(min(CASE WHEN side <> 0 THEN cd END), 1e9), 6) AS cum_dollars_min, round(coalesce(max(CASE WHEN side <> 0 THEN cd END), -1e9), 6) AS cum_dollars_max FROM c GROUP BY symbol, bar_id""")
@@ -183,7 +183,7 @@ def footprints(t):
 @query(_FOOT + """, i AS (SELECT *, buy_volume + sell_volume AS v, coalesce(sell_volume > 3 * lead(buy_volume) OVER w, false) AS si, coalesce(buy_volume > 3 * lag(sell_volume) OVER w, false) AS bi FROM f WINDOW w AS (PARTITION BY symbol, bar_id ORDER BY level)),
  s AS (SELECT *, CASE WHEN bi THEN 1 WHEN si THEN -1 ELSE 0 END AS sg FROM i), n AS (SELECT *, CASE WHEN sg = lag(sg) OVER (PARTITION BY symbol, bar_id ORDER BY level) THEN 0 ELSE 1 END AS nw FROM s), r AS (SELECT *, sum(nw) OVER (PARTITION BY symbol, bar_id ORDER BY level) AS run FROM n),
  u AS (SELECT symbol, bar_id, run, sg, count(*) AS c FROM r WHERE sg <> 0 GROUP BY 1, 2, 3, 4), m AS (SELECT symbol, bar_id, arg_max(sg * c, c * 1000000 - run) AS imbalance_max_run FROM u GROUP BY 1, 2)
- SELECT r.symbol, r.bar_id, count(*) FILTER (WHERE bi) AS buy_imbalances, count(*) FILTER (WHERE si) AS sell_imbalances, arg_max(level, (v, -level)) AS cot_level, round(1 - sum(v * v) / nullif(sum(v) * sum(v), 0), 6) AS vp_gini, CASE WHEN sum(v) > 0 THEN 0.0 END AS vp_skew, coalesce(any_value(m.imbalance_max_run), 0) AS imbalance_max_run FROM r LEFT JOIN m ON m.symbol = r.symbol AND m.bar_id = r.bar_id GROUP BY 1, 2""")
+ SELECT r.symbol, r.bar_id, count(*) FILTER (WHERE bi) AS buy_imbalances, count(*) FILTER (WHERE si) AS sell_imbalances, arg_max(level, (v, -level)) AS cot_level, round(1 - sum(v * v) / nullif(sum(v) * sum(v), 0), 6) AS vp_gini, CASE WHEN sum(v) > 0 THEN CAST(0 AS DOUBLE) END AS vp_skew, coalesce(any_value(m.imbalance_max_run), 0) AS imbalance_max_run FROM r LEFT JOIN m ON m.symbol = r.symbol AND m.bar_id = r.bar_id GROUP BY 1, 2""")
 def footprint_features(t):
     return bars.footprint_features(bars.footprints(bars.assign_tick_bars(tape.tick_rule(t), 20), 10.0))
 
@@ -444,7 +444,7 @@ def psi_drift(t):
 
 
 @query(_BARS + """, b AS (SELECT *, close / lag(close) OVER w - 1 AS r, CASE WHEN bar_id % 3 = 0 THEN 1.0 WHEN bar_id % 3 = 1 THEN -0.5 END AS size FROM ohlc WINDOW w AS (PARTITION BY symbol ORDER BY bar_id)), p AS (SELECT *, coalesce(last_value(size IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar_id), 0) AS pos FROM b)
- SELECT symbol, bar_id, round(pos, 6) AS position, round(coalesce(lag(pos) OVER w, 0) * coalesce(r, 0) - 0.001 * abs(pos - coalesce(lag(pos) OVER w, 0)), 6) AS strategy_ret FROM p WINDOW w AS (PARTITION BY symbol ORDER BY bar_id)""")
+ SELECT symbol, bar_id, round(CAST(pos AS DOUBLE), 6) AS position, round(coalesce(lag(pos) OVER w, 0) * coalesce(r, 0) - 0.001 * abs(pos - coalesce(lag(pos) OVER w, 0)), 6) AS strategy_ret FROM p WINDOW w AS (PARTITION BY symbol ORDER BY bar_id)""")
 def position_backtest(t):
     b = tick20(t).withColumn("size", F.when(F.col("bar_id") % 3 == 0, 1.0).when(F.col("bar_id") % 3 == 1, -0.5))
     return backtest.position_backtest(b, "size", 0.001, over=R.BARS).select("symbol", "bar_id", "position", "strategy_ret")
