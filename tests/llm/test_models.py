@@ -68,7 +68,7 @@ def test_toxicity_on_held_out_rows(spark):
             labels.append((i, int(toxic), 1))
     df = spark.createDataFrame(rows, "doc_id long, text string, grade int")
     model = fit_labelled(df, spark.createDataFrame([*labels, (None, 1, 0), (5, None, 1)], "doc_id long, toxic int, quality int"))
-    assert len(model.thresholds) == 3 and (np.diff(model.thresholds) >= 0).all()
+    assert len(model.thresholds) >= 2 and (np.diff(model.thresholds) >= 0).all()
     odd = spark.createDataFrame([(2000, None, 0), (2001, "", 0), (None, "vile scumbag vile rottenxy", 0), (2002, "é " * 50000, 0)], df.schema)
     got = {r.doc_id: r for r in toxicity(df.union(odd), model).collect()}
     held = [(i, y) for i, _, y in rows if not i % 2]

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tickloom.llm.workspace import bound_batches
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -215,5 +216,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Null or empty html: empty text.  Null ids and urls and repeated rows are
     returned as they are; other columns are not read.  Empty table: no rows.
     """
+    bound_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col).cast("string"))
     return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -16,8 +16,9 @@ through further levels dealt by other hashes (the last one emits empty parts).
 Copies share one node (a digest of the set) and are never expanded.  Nodes with
 equal parts gather in candidate classes; within them sizes and sketches are
 compared, which leaves classes of likely links, and within those the sets.  Both
-comparisons deal a class in pairs of blocks, so no group meets in one task, and
-give a spanning forest of the links, never all pairs.
+comparisons deal a class by size bands in pairs of blocks (of one band, or of
+neighbouring ones), so no group meets in one task, and give a spanning forest of
+the links, never all pairs.
 """
 
 from __future__ import annotations
@@ -163,7 +164,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _members(n: int, seed: int):
-    """(node, cls, blocks, text) to (cls, blocks, node, set); a row whose text has another digest goes."""
+    """(node, cls, band, blocks, up, down, text) to (cls, band, blocks, up, down, node, set); a row whose text has another digest goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,7 +174,7 @@ def _members(n: int, seed: int):
                     rows.append(row)
                     sets.append(s.tobytes())
             take = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([take.column(1), take.column(2), take.column(0), pa.array(sets, pa.binary())], names=["cls", "blocks", "node", "members"])
+            yield pa.RecordBatch.from_arrays([*take.columns[1:6], take.column(0), pa.array(sets, pa.binary())], names=["cls", "band", "blocks", "up", "down", "node", "members"])
 
     return run
 
@@ -257,7 +258,7 @@ def linked(sets: list[np.ndarray], sides: np.ndarray, num: int, den: int) -> lis
 
 
 def _within(compare):
-    """Rows (cls, i, j, side, node, ...) sorted by the first three: compare() gives each block pair's forest of links."""
+    """Rows (cls, band, kind, i, j, side, node, ...) sorted by the first five: compare() gives each block pair's forest of links."""
 
     def flush(group: list[tuple]) -> pa.RecordBatch | None:
         if len(group) < 2:
@@ -274,11 +275,11 @@ def _within(compare):
         key, group = None, []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:3] != key:
+                if row[:5] != key:
                     if (out := flush(group)) is not None:
                         yield out
-                    key, group = row[:3], []
-                group.append(row[3:])
+                    key, group = row[:5], []
+                group.append(row[5:])
         if (out := flush(group)) is not None:
             yield out
 
@@ -286,19 +287,25 @@ def _within(compare):
 
 
 def _block_pairs(members: DataFrame, *columns: str) -> DataFrame:
-    """Members of classes (cls, blocks, node, ...) dealt to all pairs of their class's blocks, side by side."""
-    return (
-        members.withColumn("side", F.pmod("node", "blocks").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .select("cls", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", *columns)
-        .repartition("cls", "i", "j").sortWithinPartitions("cls", "i", "j")
-    )
-
-
-def _with_blocks(label: DataFrame, classes: DataFrame, size: int, bytes_each: float) -> DataFrame:
-    """(node, cls, n, sketch, rep, blocks): blocks of about size nodes, or BLOCK_BYTES of bytes_each a member of their sets, as each class needs."""
-    rows = label.join(classes.select("node", "n", "sketch", "rep"), "node")
+    """Members of classes dealt to all pairs of blocks of their band (kind 0), and with the next band's blocks (kind 1), side by side."""
+    own = "transform(sequence(0, blocks - 1), o -> struct(band, 0 as kind, least(_b, o) as i, greatest(_b, o) as j, _b as side))"
+    up = "transform(filter(sequence(0, up), o -> o < up), o -> struct(band, 1 as kind, _b as i, o as j, 0 as side))"
+    down = "transform(filter(sequence(0, down), o -> o < down), o -> struct(band - 1 as band, 1 as kind, o as i, _b as j, 1 as side))"
+    key = ["cls", "band", "kind", "i", "j"]
+    dealt = members.withColumn("_b", F.pmod("node", "blocks").cast("int")).withColumn("_at", F.explode(F.expr(f"concat({own}, {up}, {down})")))
+    return dealt.select("cls", "_at.*", "node", *columns).repartition(*key).sortWithinPartitions(*key)
+
+
+def _with_blocks(label: DataFrame, classes: DataFrame, size: int, bytes_each: float, num: int, den: int) -> DataFrame:
+    """(node, n, sketch, rep, cls, band, blocks, up, down): sizes that link are in one band or in neighbours; a class has in each
+    band blocks of about size nodes, or BLOCK_BYTES of bytes_each a member of their sets; up and down are those of the bands beside."""
+    band = F.floor(F.log("n") / math.log(den / num * 1.000001)).cast("int")  # a little wide, so that rounding parts no pair
+    rows = label.join(classes.select("node", "n", "sketch", "rep"), "node").withColumn("band", band)
     need = F.greatest(F.count("*") / size, F.sum("n") * bytes_each / BLOCK_BYTES)
-    return rows.join(rows.groupBy("cls").agg(F.ceil(need).cast("int").alias("blocks")), "cls")
+    counts = rows.groupBy("cls", "band").agg(F.ceil(need).cast("int").alias("blocks"))
+    beside = lambda k, name: counts.select("cls", (F.col("band") - k).alias("band"), F.col("blocks").alias(name))
+    full = counts.join(beside(1, "up"), ["cls", "band"], "left").join(beside(-1, "down"), ["cls", "band"], "left").fillna(0, ["up", "down"])
+    return rows.join(full, ["cls", "band"])
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -327,7 +334,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     keys = rows.mapInArrow(_keys(n, num, den, seed), "key long, node long")
     stars = keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars, "a long, b long")
     label = components(stars, ws, "candidates").toDF("node", "cls")
-    members = _with_blocks(label, classes, SKETCH_BLOCK, 0.5)
+    members = _with_blocks(label, classes, SKETCH_BLOCK, 0.5, num, den)
 
     def by_sketch(sides, n, bits):
         return likely(np.array(n, np.int64), [np.frombuffer(x, np.uint64) for x in bits], sides, num, den)
@@ -336,10 +343,10 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         return linked([np.frombuffer(x, np.uint64) for x in sets], sides, num, den)
 
     label = components(_block_pairs(members, "n", "sketch").mapInArrow(_within(by_sketch), "a long, b long"), ws, "likely").toDF("node", "cls")
-    wanted = ws.write(_with_blocks(label, classes, BLOCK, 8).select("node", "cls", "blocks", "rep"), "wanted")
+    wanted = ws.write(_with_blocks(label, classes, BLOCK, 8, num, den).select("node", "cls", "band", "blocks", "up", "down", "rep"), "wanted")
     small = wanted.count() <= BROADCAST_ROWS
-    found = rows.join(F.broadcast(wanted) if small else wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "cls", "blocks", "text")
-    sets = found.mapInArrow(_members(n, seed), "cls long, blocks int, node long, members binary")
+    found = rows.join(F.broadcast(wanted) if small else wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "cls", "band", "blocks", "up", "down", "text")
+    sets = found.mapInArrow(_members(n, seed), "cls long, band int, blocks int, up int, down int, node long, members binary")
     links = components(_block_pairs(sets, "members").mapInArrow(_within(by_set), "a long, b long"), ws, "links").toDF("node", "root")
 
     home = classes.select("node", "rep").join(links, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.text import buffers
+from tickloom.llm.workspace import bound_batches
 
 #: Bytes of a window, hidden units of a direction, windows scored at a time.
 WINDOW, HIDDEN, BATCH = 96, 8, 2048
@@ -167,6 +168,7 @@ def _draw(draws: int, size: int):
 
 def fit_languages(docs: DataFrame, fit_rows: int = FIT_ROWS, steps: int = STEPS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[BiGRU | None, list[str]]:
     """A network and its languages, from at most fit_rows rows of docs with a text and a language; None without any."""
+    bound_batches(docs.sparkSession)
     known = docs.select(F.col(lang_col).alias("lang"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null and text <> ''")
     labels = sorted(r[0] for r in known.select("lang").distinct().collect())  # the languages
     if not labels:
@@ -207,6 +209,7 @@ def identify(docs: DataFrame, net: BiGRU | None, labels: list[str], id_col: str
     where nothing could be learned.  Null and repeated ids: every row is
     returned.  Only id and text are read.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if net is None:
         return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))

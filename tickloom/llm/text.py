@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text hashed at a time; one longer text makes a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -49,8 +49,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, raw
 
 
+#: What a task leaves for the next one of the same operator in this Python worker; other operators give the memory back.
+KEPT: dict = {}
+
+
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, offsets from 0, bytes) of runs of rows of about limit bytes."""
+    KEPT.clear()
     offsets, raw = buffers(column)
     n, i = len(offsets) - 1, 0
     while i < n:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.tokens import encoded
+from tickloom.llm.workspace import bound_batches
 
 MAGIC = b"TKF1"
 #: Ids in a file (a longer document makes one of its own), and text bytes aimed at in a doc_id range.
@@ -123,6 +124,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = 2,
     Null or empty text: the end id alone.  Null ids come first; rows that share
     an id stand side by side.  Other columns are not read.  Empty table: no files.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     dealt = rows.repartitionByRange(1 + total // RANGE_BYTES, "doc_id").sortWithinPartitions("doc_id")

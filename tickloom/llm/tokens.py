@@ -12,11 +12,15 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
+from tickloom.llm.text import KEPT
+
 # The characters with Unicode's property White_Space.
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -26,7 +30,7 @@ _PLAIN = re.compile(f"([{_LATIN}]+)([,.]?)")
 _ODD = re.compile("[\x1c-\x1f]|[^\x00-\u012f\u0131-\u024f]")
 _SPACED = re.compile(f" [{_WHITE}]")
 #: Units in each of the two generations that a task remembers; units over LONG characters are not kept.
-MEMORY, LONG = 400_000, 64
+MEMORY, LONG = 250_000, 64
 
 
 def _byte_letters() -> dict[int, str]:
@@ -36,6 +40,13 @@ def _byte_letters() -> dict[int, str]:
     return {c: "".join(spelt[b] for b in chr(c).encode()) for c in range(256) if chr(c).isalpha()}
 
 
+def _packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class _Memory(dict):
     """Ids of units made on demand, in two generations of bounded size."""
 
@@ -72,12 +83,13 @@ class Encoder:
         self.any = _Memory(self._whole)
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _spelt(self, space: str, word: str) -> bytes:
         """A word of Latin letters through the BPE model."""
-        word = word.translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize("Ġ" + word if space else word)], "<u4").tobytes()
+        if not word.isascii():
+            word = word.translate(self.letters)
+        return _packed([t.id for t in self.model.tokenize("Ġ" + word if space else word)])
 
     def _unit(self, space: str, unit: str) -> bytes:
         """A unit without the space before it, where there is one."""
@@ -105,14 +117,11 @@ class Encoder:
         return (self.memory[""][first] if first else b"") + b"".join(map(self.memory[" "].__getitem__, rest))
 
 
-#: Encoders of this worker by path: what a task has learned serves the next one.
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[tuple[pa.RecordBatch, int, bytes]]:
     """(batch, row, ids with the end id) of every row; the text is the last column, null counts as empty."""
-    encoder, tail = _ENCODERS.setdefault(path, None) or Encoder(path), np.array([end], "<u4").tobytes()
-    _ENCODERS[path] = encoder
+    encoder, tail = KEPT.get(path) or Encoder(path), np.array([end], "<u4").tobytes()
+    KEPT.clear()
+    KEPT[path] = encoder  # what a task has learned serves the worker's next one
     for batch in batches:
         column = batch.column(batch.num_columns - 1)
         for row in range(batch.num_rows):

@@ -7,7 +7,7 @@ or absent, known by 64-bit hash.  The model keeps the features that most clearly
 mark toxic texts, so neither a long clean text nor an empty one gathers noise.
 
 The classifier is fitted on a bounded sample of labelled rows (``FIT_ROWS`` of
-toxic and as many of clean ones); every text is scored whole.
+toxic and ``CLEAN`` times as many clean ones); every text is scored whole.
 """
 
 from __future__ import annotations
@@ -20,9 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.text import _LOWER, signed, slices, span_hashes
+from tickloom.llm.workspace import bound_batches
 
-#: Labelled rows of each class to fit on, features kept, and severity from which a document is toxic.
-FIT_ROWS, FEATURES, TOXIC = 6000, 4096, 0.5
+#: Toxic labelled rows to fit on, clean ones for each of them, features kept, and severity from which a document is toxic.
+FIT_ROWS, CLEAN, FEATURES, TOXIC = 2500, 3, 4096, 0.3
 #: Distinct markers that make a toxic text of grade 2 and 3 where labels only say toxic or not.
 GRADES = (7, 13)
 #: Least log odds of a marker, and toxic texts that it must be seen in.
@@ -77,23 +78,30 @@ class Ordinal:
 
 def markers(rows: list[np.ndarray], toxic: np.ndarray, n_features: int = FEATURES) -> np.ndarray:
     """The features that surely mark toxic texts: log odds two deviations over MARGIN, seen in SEEN toxic texts."""
-    flat = np.concatenate(rows)
-    bad = np.repeat(toxic > 0, [len(r) for r in rows])
-    keys, at = np.unique(flat, return_inverse=True)
-    n1, n0 = np.bincount(at, bad, len(keys)), np.bincount(at, ~bad, len(keys))
-    m1, m0 = max((toxic > 0).sum(), 1), max((toxic <= 0).sum(), 1)
+    bad = [r for r, y in zip(rows, toxic) if y > 0]
+    m1, m0 = max(len(bad), 1), max(len(rows) - len(bad), 1)
+    keys, n1 = np.unique(np.concatenate(bad), return_counts=True) if bad else (np.zeros(0, np.uint64), np.zeros(0, int))
+    keys, n1 = keys[n1 >= SEEN], n1[n1 >= SEEN]
+    if not len(keys):
+        return keys
+    row, col = _hits([r for r, y in zip(rows, toxic) if y <= 0], keys)
+    n0 = np.bincount(col, minlength=len(keys))
     odds = np.log((n1 + 0.5) / (m1 - n1 + 0.5)) - np.log((n0 + 0.5) / (m0 - n0 + 0.5))
     least = odds - 2 * np.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))
     best = np.argsort(-least, kind="stable")[:n_features]
-    return np.sort(keys[best[(least[best] > MARGIN) & (n1[best] >= SEEN)]])
+    return np.sort(keys[best[least[best] > MARGIN]])
 
 
 def _hits(rows: list[np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, key index) of every known feature of the rows."""
-    flat = np.concatenate(rows)
-    at = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
-    keep = keys[at] == flat
-    return np.repeat(np.arange(len(rows)), [len(r) for r in rows])[keep], at[keep]
+    out_row, out_col = [], []
+    for i, r in enumerate(rows):
+        at = np.minimum(np.searchsorted(keys, r), len(keys) - 1)
+        at = at[keys[at] == r]
+        out_row.append(np.full(len(at), i))
+        out_col.append(at)
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(out_row or none), np.concatenate(out_col or none)
 
 
 def grade(rows: list[np.ndarray], toxic: np.ndarray, steps: tuple[int, ...] = GRADES) -> np.ndarray:
@@ -107,7 +115,7 @@ def grade(rows: list[np.ndarray], toxic: np.ndarray, steps: tuple[int, ...] = GR
     return out
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_features: int = FEATURES, steps: int = 400, l2: float = 1e-6) -> Ordinal:
+def fit(rows: list[np.ndarray], grades: np.ndarray, n_features: int = FEATURES, steps: int = 1500, l2: float = 1e-6) -> Ordinal:
     """The model of least penalised cumulative-link loss over rows of distinct feature hashes."""
     top = int(grades.max()) if len(grades) else 0
     keys = markers(rows, grades, n_features) if top else np.zeros(0, np.uint64)
@@ -138,14 +146,15 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Ordinal:
-    """A model from at most fit_rows labelled rows of each side (label 0, label over 0).
+    """A model from at most fit_rows rows labelled over 0 and CLEAN times as many labelled 0.
 
     Labels of more than two values are the grades; labels 0 and 1 are graded by
     grade().  Rows with a null label, id or text are not used.  Without a toxic
     row the model finds nothing toxic.
     """
+    bound_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("grade")).where("_id is not null and grade >= 0")
-    sides = [known.where(c).orderBy(F.xxhash64("_id"), "_id").limit(fit_rows) for c in ("grade > 0", "grade = 0")]  # of a stated size
+    sides = [known.where(c).orderBy(F.xxhash64("_id"), "_id").limit(n) for c, n in (("grade > 0", fit_rows), ("grade = 0", CLEAN * fit_rows))]  # of a stated size
     known = F.broadcast(sides[0].union(sides[1]))
     text = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).where("_text is not null")
     got = text.join(known, "_id").select("grade", "_text").mapInArrow(_gather, "grade int, features binary").toArrow()
@@ -171,6 +180,7 @@ def toxicity(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col:
     Null or empty text has no features and counts as clean.  Null and repeated
     ids: every row is returned.  Other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_score(sent), "doc_id long, severity double, grade int, p_toxic double").withColumn("toxic", F.col("severity") >= TOXIC)
@@ -187,5 +197,6 @@ def _keep(model, text_at: int):
 
 def drop_toxic(docs: DataFrame, model: Ordinal, text_col: str = "text") -> DataFrame:
     """docs without the toxic rows; columns and texts as they were, texts that are null or empty stay."""
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(_keep(sent, docs.columns.index(text_col)), docs.schema)

@@ -1,13 +1,13 @@
 """URL filter by the ratio of two smoothed variable-order Markov character models, in DataFrame functions only.
 
 URLs that a rule decides are the examples: one model learns the accepted, one
-the rejected.  A character's probability after its last three mixes all orders
+the rejected.  A character's probability after its last two mixes all orders
 by Witten-Bell smoothing.  A URL's score is the mean difference of the two
 log-likelihoods; the threshold lies midway between the score that a share
 ``FALSE_BLOCKS`` of the accepted examples fall under and the one that as many of
 the rejected exceed.  Counts, thresholds and scores use every row.
 
-Characters are folded to 32 symbols, so a model has at most 32**4 contexts with
+Characters are folded to 32 symbols, so a model has at most 32**3 contexts with
 their next symbol; the table of log ratios is one array of that proven size and
 each URL is scored in place, without a join or a shuffle.
 """
@@ -19,8 +19,10 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.workspace import Workspace
+
 #: Longest context, and the share of either side's examples beyond the mark that calibrates the threshold.
-ORDER, FALSE_BLOCKS = 3, 0.02
+ORDER, FALSE_BLOCKS = 2, 0.02
 #: Symbol 0 pads the start, 1-26 are letters, then digits, slash, dot, hyphen, other.
 _DIGIT, _SLASH, _DOT, _HYPHEN, _OTHER, BASE = 27, 28, 29, 30, 31, 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -58,13 +60,13 @@ def symbols(url: str) -> Column:
 
 
 def grams(symbol_array: str) -> Column:
-    """Of an array of symbols, the number in base 32 of each run of four, as array<int>."""
+    """Of an array of symbols, the number in base 32 of each run of ORDER + 1, as array<int>."""
     run = "+".join(f"s[i + {k}] * {BASE ** (ORDER - k)}" for k in range(ORDER + 1))
     return F.expr(f"transform({symbol_array}, s -> if(size(s) > {ORDER}, transform(sequence(0, size(s) - {ORDER + 1}), i -> {run}), cast(array() as array<int>)))[0]")
 
 
 def _smoothed(counts: DataFrame, n: str) -> DataFrame:
-    """(gram, p) for every gram of four symbols: the smoothed probability of its last after the others, by the counts in column n."""
+    """(gram, p) for every gram of ORDER + 1 symbols: the smoothed probability of its last after the others, by the counts in column n."""
     p = F.lit(1.0 / BASE)
     table = counts.sparkSession.range(BASE ** (ORDER + 1)).toDF("gram")
     for order in range(ORDER + 1):
@@ -90,11 +92,11 @@ def log_ratios(examples: DataFrame) -> DataFrame:
         examples.select("accepted", F.explode("grams").alias("gram")).groupBy("gram")
         .agg(F.count_if("accepted").alias("yes"), F.count_if(~F.col("accepted")).alias("no"))
     )
+    counts = Workspace(examples.sparkSession, "url-filter").write(counts, "counts")  # at most BASE ** (ORDER + 1) rows, read many times
     yes, no = (_smoothed(counts, n).withColumnRenamed("p", n) for n in ("yes", "no"))
     both = yes.join(no, "gram").withColumn("ratio", F.log("yes") - F.log("no"))
     has = counts.agg((F.coalesce(F.sum("yes"), F.lit(0)) > 0) & (F.coalesce(F.sum("no"), F.lit(0)) > 0)).scalar()
-    part = both.groupBy(F.floor(F.col("gram") / BASE**2).alias("_part")).agg(F.sort_array(F.collect_list(F.struct("gram", "ratio"))).alias("_rows"))
-    rows = part.agg(F.flatten(F.sort_array(F.collect_list(F.struct("_part", "_rows")))["_rows"]).alias("rows"))
+    rows = both.agg(F.sort_array(F.collect_list(F.struct("gram", "ratio"))).alias("rows"))  # BASE ** (ORDER + 1) rows, always
     return rows.select(F.when(has, F.col("rows.ratio")).otherwise(F.array_repeat(F.lit(0.0), BASE ** (ORDER + 1))).alias("ratios"))
 
 

@@ -24,11 +24,24 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+#: Rows and bytes of an Arrow batch between the JVM and Python, so that a batch of whole texts stays small.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch to BATCH_ROWS rows and BATCH_BYTES bytes where it is larger."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
+        spark.conf.set(size, f"{BATCH_BYTES}b")
+
+
 class Workspace:
     """Named Parquet tables of one operator run under the shared folder."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
+        bound_batches(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self.drop)
 
