@@ -140,6 +140,58 @@ def test_vectors_match_brute_force(spark, monkeypatch):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def links_and_components(v, threshold=0.95):
+    """Brute force: link counts and least linked index of each unit vector."""
+    links, label = np.zeros(len(v), int), np.arange(len(v))
+    while True:
+        new, jumped = label.copy(), label[label]
+        for at in range(0, len(v), 2000):
+            near = v[at : at + 2000] @ v.T >= threshold
+            links[at : at + 2000] = near.sum(1) - 1
+            for i, row in enumerate(near, at):
+                if links[i]:
+                    new[i] = min(jumped[i], label[row].min())
+        if (new == label).all():
+            return links, label
+        label = new
+
+
+def dense_table(n, width, noise, seed):
+    """Vectors a third of which are distinct near copies of one."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, width))
+    x[: n // 3] = x[0] + noise * rng.standard_normal((n // 3, width))
+    return x[rng.permutation(n)].astype(np.float32)
+
+
+def check_against_brute_force(spark, x, path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rows = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": rows}), path, row_group_size=4000)
+    got = near_vectors(spark.read.parquet(path)).toPandas().sort_values("vec_id")
+    v = x.astype(float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    links, label = links_and_components(v)
+    assert links.sum() > len(x) ** 2 / 40
+    assert got.n_links.sum() / links.sum() == 1.0
+    assert (got.n_links.to_numpy() == links).all() and (got.component_id.to_numpy() == label).all()
+
+
+def test_all_links_of_a_dense_group_in_many_cells(spark, monkeypatch, tmp_path):
+    import tickloom.llm.embedding_dedup as m
+
+    monkeypatch.setattr(m, "CELL", 64)
+    monkeypatch.setattr(m, "BLOCK", 48)
+    monkeypatch.setattr(m, "SLICE", 500, raising=False)
+    check_against_brute_force(spark, dense_table(4000, 64, 0.21, 5), f"{tmp_path}/v.parquet")
+
+
+def test_all_links_of_a_dense_group_in_a_large_table(spark, tmp_path):
+    check_against_brute_force(spark, dense_table(51_000, 64, 0.19, 6), f"{tmp_path}/v.parquet")
+
+
 def test_urls(spark):
     rows = [
         (1, "https://Shop.EXAMPLE.com/en/x?q=1"), (2, "http://www.example.com/en/"), (3, "http://a.net/es/p#t"), (4, "http://net/fr/"), (5, "ftp://x.com"), (6, "http://x.com/"),

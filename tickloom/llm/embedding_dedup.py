@@ -1,10 +1,12 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products within them.
 
 Equal vectors become one node with a count.  Centroids come from spherical
-k-means on a bounded sample; every node joins its ``PROBES`` nearest cells, so
-that the two ends of a link share a cell although each cell is small.  A cell
-is compared in pairs of blocks; a pair counts in its least common cell only.
-Tasks return link counts and spanning forests, never all pairs.
+k-means on a bounded sample; every node has one home cell, its nearest, and is
+a guest of each later cell that may hold a vector linked with it: two bounds
+prove that the others hold none, so no link is lost.  A cell's own nodes are
+held in blocks, which its guests stream past in slices; a pair meets once, in
+the later of its two homes.  Tasks return link counts and spanning forests,
+never all pairs.
 """
 
 from __future__ import annotations
@@ -13,14 +15,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from tickloom.llm.components import components
 from tickloom.llm.workspace import Workspace
 
-#: Vectors that k-means is fitted on; cells a vector joins; vectors aimed at in a cell; most cells; vectors of a block.
-FIT_ROWS, PROBES, CELL, MOST_CELLS, BLOCK = 20_000, 8, 2048, 4096, 2048
+#: Vectors that k-means is fitted on; vectors aimed at in a cell; most cells; vectors of a block; most nodes that may stream past a block in one task.
+FIT_ROWS, CELL, MOST_CELLS, BLOCK, SLICE = 20_000, 2048, 4096, 2048, 1 << 16
+#: Slack of the bounds, far over the rounding of a dot product.
+_EPS = 1e-6
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray:
@@ -46,84 +51,150 @@ def _unit(column: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _assign(centroids):
-    """(node, mult, dim, vector) to (dim, cell, node, mult, cells, vector), a row for each cell that the node joins."""
+def _runs(*columns: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Start and end of each run of rows with equal values."""
+    new = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    ends = [*np.flatnonzero(new).tolist(), len(new)]
+    yield from zip([0, *ends[:-1]], ends)
+
+
+def _homes(centroids):
+    """(dim, node, mult, vector) to (dim, home, node, mult, angle, vector): the nearest cell and the angle to its centroid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_dim = centroids.value
-        for whole in batches:
-            dims = whole.column(2).to_numpy()
-            for dim in np.unique(dims):
-                rows = np.flatnonzero(dims == dim)
-                for at in range(0, len(rows), 2048):
-                    batch = whole.take(pa.array(rows[at : at + 2048]))
-                    c = by_dim.get(int(dim))
-                    if c is None or len(c) <= PROBES:
-                        cells = np.zeros((batch.num_rows, 1), np.int32)
-                    else:
-                        cells = np.sort(np.argpartition(-(_unit(batch.column(3)) @ c.T), PROBES - 1, axis=1)[:, :PROBES], axis=1).astype(np.int32)
-                    p = cells.shape[1]
-                    each = pa.array(np.repeat(np.arange(batch.num_rows), p))
-                    lists = pa.ListArray.from_arrays(np.arange(0, cells.size + 1, p, dtype=np.int32), pa.array(cells.ravel()))
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(2).take(each), pa.array(cells.ravel()), batch.column(0).take(each), batch.column(1).take(each), lists.take(each), batch.column(3).take(each)],
-                        names=["dim", "cell", "node", "mult", "cells", "vector"],
-                    )
+        for batch in batches:
+            dims = batch.column(0).to_numpy()
+            home, angle = np.zeros(len(dims), np.int32), np.zeros(len(dims))
+            for at, end in _runs(dims):
+                c = centroids.value.get(int(dims[at]))
+                if c is not None:
+                    dot = _unit(batch.column(3).slice(at, end - at)) @ c.T
+                    home[at:end] = dot.argmax(1)
+                    angle[at:end] = np.arccos(np.clip(dot.max(1), -1, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(home), batch.column(1), batch.column(2), pa.array(angle), batch.column(3)], names=["dim", "home", "node", "mult", "angle", "vector"])
 
     return run
 
 
-def _compare(threshold: float):
-    """Rows (dim, cell, i, j, side, node, mult, cells, vector) sorted by the first four: (a, b) forest edges, (a, null, n) link counts."""
-
-    def block(x, y, cx, cy, cell):
-        """Index pairs over the threshold whose least common cell this is."""
-        for at in range(0, len(x), 256):
-            a, b = np.nonzero(x[at : at + 256] @ y.T >= threshold)
-            for k in range(0, len(a), 1 << 18):
-                p, q = a[k : k + (1 << 18)] + at, b[k : k + (1 << 18)]
-                before = np.zeros(len(p), bool)
-                for i in range(cx.shape[1]):
-                    own = cx[p, i]
-                    before |= (own < cell) & (cy[q] == own[:, None]).any(1)
-                yield p[~before], q[~before]
-
-    def flush(key, group) -> pa.RecordBatch | None:
-        side, node, mult, cells, vector = zip(*group)
-        side, node, mult = np.array(side), np.array(node, np.int64), np.array(mult, np.int64)
-        x, cells = _unit(pa.array(vector, pa.list_(pa.float64()))), np.array(cells)
-        links, tree, edges = np.zeros(len(node), np.int64), np.arange(len(node)), []
-        left, right = (np.flatnonzero(side == k) for k in (key[2], key[3]))
-        for p, q in block(x[left], x[right], cells[left], cells[right], key[1]):
-            p, q = left[p], right[q]
-            if key[2] == key[3]:
-                p, q = p[p < q], q[p < q]
-            np.add.at(links, p, mult[q])
-            np.add.at(links, q, mult[p])
-            while len(p):
-                open_ = tree[p] != tree[q]
-                p, q = p[open_], q[open_]
-                if len(p):
-                    edges.append((node[p[0]], node[q[0]]))
-                    tree[tree == tree[q[0]]] = tree[p[0]]
-        some = np.flatnonzero(links)
-        if not len(some):
+def _visits(cells, threshold: float):
+    """(dim, home, node, mult, vector) to (dim, cell, guest, node, mult, vector): each node at home and as guest of later cells.
+
+    A vector linked with x lies within the threshold's angle of it.  So a cell
+    has none if x is farther from the centroid than the cell's radius and that
+    angle, or farther than that angle beyond the plane midway to its own centroid.
+    """
+    reach = float(np.arccos(np.clip(threshold, -1, 1)))
+    across = np.sin(reach) if reach < np.pi / 2 else 2.0  # 2: the plane excludes nothing
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, home = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            row, cell = [np.arange(len(dims))], [home]
+            for at, end in _runs(dims):
+                if int(dims[at]) not in cells.value:
+                    continue
+                c, radius = cells.value[int(dims[at])]
+                dot, own = _unit(batch.column(4).slice(at, end - at)) @ c.T, home[at:end]
+                apart = np.sqrt(np.maximum(2 - 2 * c @ c.T, 0))
+                may = np.arccos(np.clip(dot, -1, 1)) <= radius + reach + _EPS
+                may &= dot[np.arange(len(own)), own][:, None] - dot <= across * apart[own] + _EPS
+                may &= np.arange(len(c)) > own[:, None]
+                i, k = np.nonzero(may)
+                row.append(i + at)
+                cell.append(k.astype(np.int32))
+            guest = np.arange(sum(map(len, row))) >= len(dims)
+            row, cell = np.concatenate(row), np.concatenate(cell)
+            for k in range(0, len(row), 4096):
+                each = pa.array(row[k : k + 4096])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(each), pa.array(cell[k : k + 4096]), pa.array(guest[k : k + 4096]), *(batch.column(i).take(each) for i in (2, 3, 4))],
+                    names=["dim", "cell", "guest", "node", "mult", "vector"],
+                )
+
+    return run
+
+
+class _Block:
+    """The held nodes of a block, their link counts and their forest."""
+
+    def __init__(self, alone: bool, threshold: float) -> None:
+        self.alone, self.threshold, self.parts, self.x = alone, threshold, [], None
+
+    def hold(self, *part: np.ndarray) -> None:
+        self.parts.append(part)
+
+    def _close(self) -> None:
+        """All held nodes are here; links among them count in one slice."""
+        self.node, self.mult, self.x = (np.concatenate(c) for c in zip(*self.parts))
+        self.links, self.tree = np.zeros(len(self.node), np.int64), np.arange(len(self.node))
+        for at in range(0, len(self.node) if self.alone else 0, 512):
+            p, q = np.nonzero(self.x @ self.x[at : at + 512].T >= self.threshold)
+            q += at
+            p, q = p[p < q], q[p < q]
+            np.add.at(self.links, p, self.mult[q])
+            np.add.at(self.links, q, self.mult[p])
+            self._unite(p, self.tree[q])
+
+    def _unite(self, p: np.ndarray, root: np.ndarray) -> None:
+        """Joins the trees of the nodes p with the given roots, pair by pair."""
+        while len(p):
+            a, b = self.tree[p], self.tree[root]
+            open_ = a != b
+            p, root, a, b = p[open_], root[open_], a[open_], b[open_]
+            up = np.arange(len(self.tree))
+            np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+            while (up != up[up]).any():
+                up = up[up]
+            self.tree = up[self.tree]
+
+    def guests(self, node: np.ndarray, mult: np.ndarray, x: np.ndarray) -> pa.RecordBatch | None:
+        if self.x is None:
+            self._close()
+        p, q = np.nonzero(self.x @ x.T >= self.threshold)
+        if not len(p):
             return None
-        a = [*(e[0] for e in edges), *node[some].tolist()]
-        b = [*(int(e[1]) for e in edges), *[None] * len(some)]
-        n = [*[0] * len(edges), *links[some].tolist()]
-        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (a, b, n)], names=["a", "b", "n"])
+        links = np.bincount(q, self.mult[p], len(node)).astype(np.int64)
+        self.links += np.bincount(p, mult[q], len(self.node)).astype(np.int64)
+        first = np.full(len(node), len(self.node))
+        np.minimum.at(first, q, p)
+        self._unite(p, first[q])
+        some = np.flatnonzero(links)
+        return _found(node[some], self.node[first[some]], node[some], links[some])
+
+    def end(self) -> pa.RecordBatch | None:
+        if self.x is None:
+            self._close()
+        some, low = np.flatnonzero(self.links), np.flatnonzero(self.tree != np.arange(len(self.tree)))
+        return _found(self.node[low], self.node[self.tree[low]], self.node[some], self.links[some]) if len(some) else None
+
+
+def _found(a: np.ndarray, b: np.ndarray, node: np.ndarray, links: np.ndarray) -> pa.RecordBatch:
+    """Rows (a, b, 0) of forest edges and (node, null, links) of counts."""
+    none = np.arange(len(a) + len(node)) >= len(a)
+    rows = [np.concatenate(c) for c in ((a, node), (b, node), (np.zeros_like(a), links))]
+    return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1], mask=none), pa.array(rows[2])], names=["a", "b", "n"])
+
+
+def _compare(threshold: float):
+    """Rows (dim, cell, part, slice, guest, node, mult, vector) sorted by the first five: (a, b) forest edges, (a, null, n) link counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group = None, []
+        key = block = None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:4] != key:
-                    if group and (out := flush(key, group)) is not None:
+            *keys, guest, node, mult = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+            for at, end in _runs(*keys, guest):
+                if key != (new := tuple(int(k[at]) for k in keys)):
+                    if block and (out := block.end()) is not None:
                         yield out
-                    key, group = row[:4], []
-                group.append(row[4:])
-        if group and (out := flush(key, group)) is not None:
+                    key, block = new, _Block(new[3] == 0, threshold)
+                rows = node[at:end], mult[at:end], _unit(batch.column(7).slice(at, end - at))
+                if not guest[at]:
+                    block.hold(*rows)
+                elif block.parts and (out := block.guests(*rows)) is not None:  # a part may have no node
+                    yield out
+        if block and (out := block.end()) is not None:
             yield out
 
     return run
@@ -143,26 +214,37 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     """
     spark = vectors.sparkSession
     ws = Workspace(spark, "embedding")
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    usable = F.expr("size(vector) > 0 and not exists(vector, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(vector, x -> x <> 0)")
-    rows = rows.withColumn("vector", F.when(F.coalesce(usable, F.lit(False)), F.expr("transform(vector, x -> x + 0D)")))
+    kind = "array<float>" if vectors.schema[vector_col].dataType == ArrayType(FloatType(), True) else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("vector"))
+    usable = F.expr("size(vector) > 0 and not exists(vector, x -> x is null or isnan(x) or abs(double(x)) = double('infinity')) and exists(vector, x -> x <> 0)")
+    rows = rows.withColumn("vector", F.when(F.coalesce(usable, F.lit(False)), F.expr("transform(vector, x -> x + cast(0 as float))")))
     nodes = rows.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"))
     nodes = ws.write(nodes.select(F.monotonically_increasing_id().alias("node"), "rep", "mult", F.size("vector").alias("dim"), "vector"), "nodes")
     sizes = nodes.groupBy("dim").count().orderBy(F.desc("count")).limit(8).collect()  # centroids for the commonest lengths
     centroids = {}
     for r in sizes:
-        k = min(MOST_CELLS, r["count"] * PROBES // CELL)
-        if k > PROBES:
+        k = min(MOST_CELLS, r["count"] // CELL)
+        if k > 1:
             sample = nodes.where(F.col("dim") == r.dim).orderBy(F.xxhash64("node"), "node").limit(FIT_ROWS).select("vector").toArrow()  # of a stated size
             centroids[r.dim] = kmeans(_unit(sample["vector"].combine_chunks()), min(k, len(sample)))
-    sent = spark.sparkContext.broadcast(centroids)
-    cells = ws.write(nodes.select("node", "mult", "dim", "vector").mapInArrow(_assign(sent), "dim int, cell int, node long, mult long, cells array<int>, vector array<double>"), "cells")
-    many = cells.groupBy("dim", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    homes = nodes.select("dim", "node", "mult", "vector").mapInArrow(_homes(spark.sparkContext.broadcast(centroids)), f"dim int, home int, node long, mult long, angle double, vector {kind}")
+    homes = ws.write(homes, "cells")
+    many = homes.groupBy("dim", F.col("home").alias("cell")).agg(F.count("*").alias("own"), F.max("angle").alias("radius"))
+    many = ws.write(many.withColumn("before", F.sum("own").over(Window.partitionBy("dim").orderBy("cell"))), "many")  # a row a cell
+    radius = {dim: np.full(len(c), -4.0) for dim, c in centroids.items()}  # a cell of no node has no guest
+    for r in many.where(F.col("dim").isin(*centroids)).collect() if centroids else ():
+        radius[r.dim][r.cell] = r.radius
+    cells = spark.sparkContext.broadcast({dim: (c, radius[dim]) for dim, c in centroids.items()})
+    many = many.select("dim", "cell", F.ceil(F.col("own") / BLOCK).cast("int").alias("parts"), F.ceil(F.col("before") / SLICE).cast("int").alias("slices"))
+    visits = homes.select("dim", "home", "node", "mult", "vector").mapInArrow(_visits(cells, threshold), f"dim int, cell int, guest boolean, node long, mult long, vector {kind}")
+    past = "transform(sequence(0, {} - 1), i -> struct(i as part, slice, true as guest))"
+    held = f"concat(transform(sequence(0, slices - 1), s -> struct(part, s as slice, false as guest)), if(part > 0, {past.format('part')}, array()))"
     dealt = (
-        cells.join(F.broadcast(many) if many.count() <= 100_000 else many, ["dim", "cell"])
-        .withColumn("side", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .select("dim", "cell", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "mult", "cells", "vector")
-        .repartition("dim", "cell", "i", "j").sortWithinPartitions("dim", "cell", "i", "j")
+        visits.join(F.broadcast(many) if many.count() <= 100_000 else many, ["dim", "cell"])
+        .withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("slice", F.pmod(F.xxhash64("node", F.lit(1)), "slices").cast("int"))
+        .withColumn("to", F.explode(F.expr(f"if(guest, {past.format('parts')}, {held})")))
+        .select("dim", "cell", "to.part", "to.slice", "to.guest", "node", "mult", "vector")
+        .repartition("dim", "cell", "part", "slice").sortWithinPartitions("dim", "cell", "part", "slice", "guest")
     )
     found = ws.write(dealt.mapInArrow(_compare(threshold), "a long, b long, n long"), "found")
     ws.drop("cells")
