@@ -63,3 +63,20 @@ def test_scores_and_threshold(spark):
     for r in got:
         if r.rule is None:
             assert r.verdict == ("block" if scores[r.page_id] < middle else "allow")
+
+
+def test_real_characters_and_long_contexts_decide(spark):
+    pairs = [("2", "7"), ("?id=", "&id="), ("жук", "мяу"), ("abcd/x", "bbcd/y")]
+    for good, bad in pairs:
+        rows = [(i, f"http://a{'bcd'[i % 3]}.com/{good}") for i in range(30)] + [(100 + i, f"http://a{'bcd'[i % 3]}.net/es/{bad}") for i in range(30)]
+        rows += [(200, f"http://ab.org/{good}"), (201, f"http://ab.org/{bad}"), (202, f"http://ab.org/{bad}"), (203, None)]
+        got = {r.page_id: r for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string"), URL_RULES, folded=False).collect()}
+        assert len(got) == len(rows) and got[203].score is None
+        assert got[200].score > got[201].score == got[202].score, (good, bad)
+
+
+def test_contexts_of_five_characters_count(spark):
+    rows = [(i, f"http://a.com/{w}") for i, w in enumerate(["kxyzt", "lxyzu"] * 20)] + [(100 + i, f"http://a.net/es/{w}") for i, w in enumerate(["kxyzu", "lxyzt"] * 20)]
+    rows += [(200, "http://a.org/kxyzt"), (201, "http://a.org/kxyzu")]
+    got = {r.page_id: r.score for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string"), URL_RULES).collect()}
+    assert got[200] > got[201] + 0.05

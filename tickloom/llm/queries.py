@@ -79,7 +79,7 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+    return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES, folded=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

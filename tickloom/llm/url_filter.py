@@ -1,30 +1,28 @@
 """URL filter by the ratio of two smoothed variable-order Markov character models, in DataFrame functions only.
 
 URLs that a rule decides are the examples: one model learns the accepted, one
-the rejected.  A character's probability after its last two mixes all orders
-by Witten-Bell smoothing.  A URL's score is the mean difference of the two
-log-likelihoods; the threshold lies midway between the score that a share
+the rejected.  A character's probability after its last ``ORDER`` mixes all
+orders by Witten-Bell smoothing.  A URL's score is the mean difference of the
+two log-likelihoods; the threshold lies midway between the score that a share
 ``FALSE_BLOCKS`` of the accepted examples fall under and the one that as many of
 the rejected exceed.  Counts, thresholds and scores use every row.
 
-Characters are folded to 32 symbols, so a model has at most 32**3 contexts with
-their next symbol; the table of log ratios is one array of that proven size and
-each URL is scored in place, without a join or a shuffle.
+Grams are counted into a table that grows with the input.  Equal URLs are
+counted and scored once; a URL's grams meet the table of log ratios in a join.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.jaccard_join import BROADCAST_ROWS
 from tickloom.llm.workspace import Workspace
 
 #: Longest context, and the share of either side's examples beyond the mark that calibrates the threshold.
-ORDER, FALSE_BLOCKS = 2, 0.02
-#: Symbol 0 pads the start, 1-26 are letters, then digits, slash, dot, hyphen, other.
-_DIGIT, _SLASH, _DOT, _HYPHEN, _OTHER, BASE = 27, 28, 29, 30, 31, 32
+ORDER, FALSE_BLOCKS = 5, 0.02
+#: Symbols of the folded alphabet: pad, letters, digit, slash, dot, hyphen, other.
+FOLDED = 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 Rule = tuple[str, str, str]  # verdict (allow or block), host, path
@@ -49,98 +47,76 @@ def fitting_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return F.array_max(F.array(*found)) if found else F.lit(None).cast("struct<size:int,rule:string,verdict:string>")
 
 
-def symbols(url: str) -> Column:
-    """ORDER pads and the symbol of every character of a column, as array<int>."""
-    low = f"translate({url}, '{_UPPER}', '{_LOWER}')"
-    code = (
-        f"case when c >= 97 and c <= 122 then c - 96 when c >= 48 and c <= 57 then {_DIGIT} when c = 47 then {_SLASH} "
-        f"when c = 46 then {_DOT} when c = 45 then {_HYPHEN} else {_OTHER} end"
-    )
-    return F.expr(f"concat(array_repeat(0, {ORDER}), transform(filter(split({low}, ''), x -> x <> ''), x -> transform(array(ascii(x)), c -> {code})[0]))")
+def grams(url: Column, host: Column, folded: bool) -> Column:
+    """The run of ORDER + 1 characters that ends at each character, the start padded by NUL, as array<string>.
 
+    The characters are the url's own, A-Z lower-cased up to the end of its host;
+    folded: all A-Z lower-cased, digits made 0, all but letters, digits, slash, dot and hyphen made one.
+    """
+    if folded:
+        text = F.regexp_replace(F.translate(url, _UPPER + "123456789", _LOWER + "0" * 9), r"(?s)[^a-z0/.\-]", "?")
+    else:
+        end = F.when(F.instr(url, "://") > 0, F.instr(url, "://") + 2 + F.length(host)).otherwise(0)
+        text = F.concat(F.translate(F.substring(url, F.lit(1), end), _UPPER, _LOWER), F.substring(url, end + 1, F.length(url)))
+    padded = F.concat(F.array_repeat(F.lit("\0"), ORDER), F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)))
+    return F.transform(F.array(padded), lambda s: F.transform(F.sequence(F.lit(1), F.size(s) - ORDER), lambda i: F.array_join(F.slice(s, i, ORDER + 1), "")))[0]
 
-def grams(symbol_array: str) -> Column:
-    """Of an array of symbols, the number in base 32 of each run of ORDER + 1, as array<int>."""
-    run = "+".join(f"s[i + {k}] * {BASE ** (ORDER - k)}" for k in range(ORDER + 1))
-    return F.expr(f"transform({symbol_array}, s -> if(size(s) > {ORDER}, transform(sequence(0, size(s) - {ORDER + 1}), i -> {run}), cast(array() as array<int>)))[0]")
 
+def log_ratios(counts: DataFrame, symbols: int) -> DataFrame:
+    """Of (gram, yes, no), how often accepted and rejected examples hold it: (gram, ratio), log p(accepted) - log p(rejected).
 
-def _smoothed(counts: DataFrame, n: str) -> DataFrame:
-    """(gram, p) for every gram of ORDER + 1 symbols: the smoothed probability of its last after the others, by the counts in column n."""
-    p = F.lit(1.0 / BASE)
-    table = counts.sparkSession.range(BASE ** (ORDER + 1)).toDF("gram")
-    for order in range(ORDER + 1):
-        wide, narrow = BASE ** (order + 1), BASE**order
-        seen = counts.groupBy((F.col("gram") % wide).alias("_g")).agg(F.sum(n).alias("_n")).where("_n > 0")
-        context = seen.groupBy(F.floor(F.col("_g") / BASE).alias("_c")).agg(F.sum("_n").alias("_all"), F.count("*").alias("_kinds"))
-        seen, context = (x.toDF(*(f"{c}{order}" for c in x.columns)) for x in (seen, context))
-        table = table.join(F.broadcast(seen), F.col("gram") % wide == F.col(f"_g{order}"), "left")
-        table = table.join(F.broadcast(context), F.floor(F.col("gram") / BASE) % narrow == F.col(f"_c{order}"), "left")
-        own = F.coalesce(F.col(f"_n{order}"), F.lit(0))
-        p = F.when(F.col(f"_all{order}").isNull(), p).otherwise((own + F.col(f"_kinds{order}") * p) / (F.col(f"_all{order}") + F.col(f"_kinds{order}")))
-        table = table.select("gram", p.alias("p"))
-        p = F.col("p")
-    return table
-
-
-def log_ratios(examples: DataFrame) -> DataFrame:
-    """Of examples (accepted boolean, grams array<int>), one row: the array of log p(accepted) - log p(rejected) by gram.
-
-    Without accepted or without rejected examples all ratios are 0.
+    symbols is the size of the alphabet.  Without accepted or without rejected
+    examples all ratios are 0.
     """
-    counts = (
-        examples.select("accepted", F.explode("grams").alias("gram")).groupBy("gram")
-        .agg(F.count_if("accepted").alias("yes"), F.count_if(~F.col("accepted")).alias("no"))
-    )
-    counts = Workspace(examples.sparkSession, "url-filter").write(counts, "counts")  # at most BASE ** (ORDER + 1) rows, read many times
-    yes, no = (_smoothed(counts, n).withColumnRenamed("p", n) for n in ("yes", "no"))
-    both = yes.join(no, "gram").withColumn("ratio", F.log("yes") - F.log("no"))
-    has = counts.agg((F.coalesce(F.sum("yes"), F.lit(0)) > 0) & (F.coalesce(F.sum("no"), F.lit(0)) > 0)).scalar()
-    rows = both.agg(F.sort_array(F.collect_list(F.struct("gram", "ratio"))).alias("rows"))  # BASE ** (ORDER + 1) rows, always
-    return rows.select(F.when(has, F.col("rows.ratio")).otherwise(F.array_repeat(F.lit(0.0), BASE ** (ORDER + 1))).alias("ratios"))
-
-
-def _constant(one: DataFrame, kind: str) -> str:
-    """The name of a session variable that holds the value of a one-row, one-column DataFrame.
-
-    Unlike a subquery, a variable may stand inside a higher-order function.
-    """
-    name = f"url_model_{uuid.uuid4().hex}"
-    one.createOrReplaceTempView(name)
-    one.sparkSession.sql(f"declare or replace variable {name} {kind}")
-    one.sparkSession.sql(f"set var {name} = (select * from {name})")
-    one.sparkSession.catalog.dropTempView(name)
-    return name
-
-
-def judge_urls(pages: DataFrame, rules: list[Rule], false_blocks: float = FALSE_BLOCKS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    table = None
+    for order in range(ORDER + 1):
+        seen = counts.groupBy(F.substring("gram", ORDER + 1 - order, order + 1).alias("gram")).agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+        seen = seen.withColumn("context", F.substring("gram", 1, order)).withColumn("lower", F.substring("gram", 2, order))
+        sums = [f(c).alias(f"{c}_{n}") for c in ("yes", "no") for n, f in (("all", F.sum), ("kinds", lambda c: F.count_if(F.col(c) > 0)))]
+        seen = seen.join(seen.groupBy("context").agg(*sums), "context")
+        if table is None:
+            seen = seen.withColumn("p_yes", F.lit(1.0 / symbols)).withColumn("p_no", F.lit(1.0 / symbols))
+        else:
+            seen = seen.join(table.withColumnRenamed("gram", "lower"), "lower")
+        mixed = lambda c: F.when(F.col(f"{c}_all") > 0, (F.col(c) + F.col(f"{c}_kinds") * F.col(f"p_{c}")) / (F.col(f"{c}_all") + F.col(f"{c}_kinds"))).otherwise(F.col(f"p_{c}")).alias(f"p_{c}")
+        table = seen.select("gram", mixed("yes"), mixed("no"))
+    both = counts.agg((F.coalesce(F.sum("yes"), F.lit(0)) > 0) & (F.coalesce(F.sum("no"), F.lit(0)) > 0)).scalar()
+    return table.select("gram", F.when(both, F.log("p_yes") - F.log("p_no")).otherwise(0.0).alias("ratio"))
+
+
+def judge_urls(pages: DataFrame, rules: list[Rule], false_blocks: float = FALSE_BLOCKS, id_col: str = "page_id", url_col: str = "url", folded: bool = True) -> DataFrame:
     """(page_id, host, path, rule, verdict, score), one row per row of pages.
 
     The longest fitting rule gives the verdict; elsewhere a score under the
     threshold blocks.  score is null for a null or empty url, which is allowed.
     Null ids and repeated rows are judged alike; other columns are not read.
     Without examples of both verdicts all scores are 0 and nothing is blocked
-    but by rule.  Empty table: no rows.
+    but by rule.  Empty table: no rows.  The models read the urls' own
+    characters, or folded ones (see grams).
     """
+    ws = Workspace(pages.sparkSession, "url-filter")
     host, path = split_url(F.col("url"))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")).withColumn("host", host).withColumn("path", path)
-    rows = rows.withColumn("fits", fitting_rule(F.col("host"), F.col("path"), rules))
-    rows = rows.withColumn("symbols", F.array(symbols("url"))).withColumn("grams", grams("symbols"))
-    examples = rows.where("fits is not null and url is not null").select((F.col("fits.verdict") == "allow").alias("accepted"), "grams")
-    model = _constant(log_ratios(examples), "array<double>")
-    mean = F.expr(f"if(size(grams) > 0, aggregate(grams, 0D, (t, x) -> t + {model}[x]) / size(grams), null)")
-    scored = rows.withColumn("score", mean)
-    marks = examples.select("accepted", mean.alias("score")).groupBy().agg(
+    rows = rows.withColumn("fits", fitting_rule(F.col("host"), F.col("path"), rules)).withColumn("accepted", F.col("fits.verdict") == "allow")
+    urls = rows.where("url <> ''").groupBy("url", "host", "accepted").agg(F.count("*").alias("n"))
+    urls = ws.write(urls.withColumn("u", F.monotonically_increasing_id()), "urls")
+    each = urls.select("u", "n", "accepted", F.explode(grams(F.col("url"), F.col("host"), folded)).alias("gram"))
+    counts = each.groupBy("gram").agg(*(F.coalesce(F.sum(F.when(w, F.col("n"))), F.lit(0)).alias(c) for c, w in (("yes", F.col("accepted")), ("no", ~F.col("accepted")))))
+    counts = ws.write(counts, "counts")
+    symbols = FOLDED if folded else 1 + counts.select(F.substring("gram", ORDER + 1, 1)).distinct().count()  # the pad is one
+    ratios = ws.write(log_ratios(counts, symbols), "ratios")
+    small = ratios.count() <= BROADCAST_ROWS
+    scores = each.select("u", "gram").join(F.broadcast(ratios) if small else ratios, "gram").groupBy("u").agg(F.avg("ratio").alias("score"))
+    scored = ws.write(rows.join(urls.join(scores, "u").select("url", "score"), "url", "left"), "scored")
+    marks = scored.groupBy().agg(
         F.expr(f"percentile_approx(score, {false_blocks}, 10000) filter (where accepted)").alias("low"),
         F.expr(f"percentile_approx(score, {1 - false_blocks}, 10000) filter (where not accepted)").alias("high"),
     )
     threshold = marks.select((F.col("low") + F.col("high")) / 2).scalar()
     by_model = F.when(F.col("score") < threshold, "block").otherwise("allow")
-    out = scored.select("page_id", "host", "path", F.col("fits.rule").alias("rule"), F.coalesce(F.col("fits.verdict"), by_model).alias("verdict"), "score")
-    pages.sparkSession.sql(f"drop temporary variable {model}")  # the plan holds its value
-    return out
+    return scored.select("page_id", "host", "path", F.col("fits.rule").alias("rule"), F.coalesce(F.col("fits.verdict"), by_model).alias("verdict"), "score")
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", folded: bool = False) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) of the allowed rows."""
-    return judge_urls(pages, rules, id_col=id_col, url_col=url_col).where("verdict = 'allow'")
+    return judge_urls(pages, rules, id_col=id_col, url_col=url_col, folded=folded).where("verdict = 'allow'")
