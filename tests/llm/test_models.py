@@ -140,6 +140,18 @@ def test_vectors_match_brute_force(spark, monkeypatch):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def test_names_of_page_wrappers_do_not_empty_the_article():
+    para = "This is a long enough paragraph of an article which has many words and not a single link in it at all"
+    for attrs in ("class='layout has-sidebar'", "class='post comments-open'", "class='with-related'", "class='no-menu'", "id='search-results-page'", "class='related wide'", "id=comment-view"):
+        assert main_text(f"<body><div {attrs}><p>{para}<p>{para}</div>") == f"{para}\n{para}", attrs
+    for inner in ("article", "main", "h1"):
+        page = f"<body><div class='sidebar left'><p>{para}<{inner}>The title</{inner}><p>{para}<div class=ad>{para}</div></div><p>Outer {para}"
+        assert main_text(page) == f"{para}\nThe title\n{para}\nOuter {para}", inner
+    kept = f"<article><h1>The title</h1><p>{para}</article>"
+    for tail in (f"<div id=comments><article class=comment>{para}</article></div>", f"<div class=related><article>{para}</article></div>", f"<div class=newsletter>{para}</div>"):
+        assert main_text(f"<body>{kept}{tail}") == f"The title\n{para}", tail
+
+
 def links_and_components(v, threshold=0.95):
     """Brute force: link counts and least linked index of each unit vector."""
     links, label = np.zeros(len(v), int), np.arange(len(v))

@@ -5,6 +5,11 @@ count and link density, those of the blocks before and after it, and whether it
 stands in the article or in a part of the page that is no article (menu,
 footer, advert, ...).  A CART tree trained on the small labelled table below
 tells text from the rest.
+
+A word of a class, id or role marks a part less surely than an element's name:
+it marks no wrapper of the page's article, main or h1, none in a compound that
+tells a state (``has-sidebar``, ``comments-open``), and where no block of a page
+passes, the tree judges the blocks so marked without the mark.
 """
 
 from __future__ import annotations
@@ -36,6 +41,10 @@ _MAIN = set("article main".split())
 # Words in class, id or role that mark parts of a page.
 _BAD = set("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer discussion disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice outbrain pager pagination popup promo promoted promotion related reply replies respond share sharing sidebar skip social sponsor sponsored subscribe subscription taboola toolbar topbar warning widget alert complementary contentinfo search".split())
 _GOOD = set("article entry post story content main body".split())
+# Words that open or close a class, id or role which tells of the page or of a state, not of a part.
+_STATE, _STATES = set("has with without no not is page".split()), set("open opened closed enabled disabled on off page layout".split())
+# Words in class, id or role of a site's header, whose h1 is not the article's.
+_SITE = set("masthead banner header topbar toolbar navbar".split())
 
 #: Small labelled table: words, link density, words and link density of the block before, of the block after,
 #: in a non-article part (0/1), in the article (0/1), text (1) or not (0).
@@ -100,31 +109,49 @@ def is_text(x: tuple) -> bool:
     return bool(node)
 
 
-def _marks(name: str, attrs: str, in_main: bool) -> tuple[bool, bool]:
-    """Whether an element is a non-article part, and whether it is the article."""
-    bad, good = name in _BOILER or (name == "header" and not in_main), name in _MAIN
+def _named(value: str) -> set[str]:
+    """The words of a class, id or role, without those of compounds that tell a state."""
+    found: set[str] = set()
+    for name in value.split():
+        parts = _PART.findall(name)
+        if len(parts) > 1 and (parts[0] in _STATE or parts[-1] in _STATES):
+            parts = [x for x in parts if x not in _BAD and x != "header"]
+        found.update(parts)
+    return found
+
+
+def _marks(name: str, attrs: str, in_main: bool) -> tuple[bool, frozenset[str], bool]:
+    """Whether an element is a non-article part, the words that say so of it, and whether it is the article."""
+    bad, words, good = name in _BOILER or (name == "header" and not in_main), frozenset(), name in _MAIN
     if "=" in attrs or "hidden" in attrs:
         for key, value in _ATTR.findall(attrs):
             key, value = key.lower(), value.strip("\"'").lower()
             if key in ("class", "id", "role"):
-                parts = set(_PART.findall(value))
+                parts = _named(value)
                 named = parts & _GOOD
                 if parts & _BAD or ("header" in parts and not named):
-                    bad = True
+                    words |= parts & (_BAD | {"header"})
                 elif named & {"article", "entry", "post", "story", "main"}:
                     good = True
             elif key == "style":
                 bad |= "display:none" in value.replace(" ", "") or "visibility:hidden" in value.replace(" ", "")
             elif key in ("hidden", "aria-modal") or value == "true":
                 bad = True
-    return (False, False) if name in ("html", "body") else (bad, good)
+    return (False, frozenset(), False) if name in ("html", "body") else (bad, words, good)
 
 
-def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
-    """(text, words, link density, in a non-article part, in the article) of each text block in page order."""
-    out: list[tuple[str, int, float, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []
+def blocks(page: str) -> list[tuple[str, int, float, int, bool]]:
+    """(text, words, link density, non-article part, in the article) of each text block in page order.
+
+    A non-article part is 2 where an element's name or hiding says so, 1 where only words do, else 0.
+    """
+    out: list[tuple[str, int, float, int, bool]] = []
+    stack: list[tuple[str, bool, int, bool]] = []
     bad = good = links = 0
+    # elements that words mark: the one around it, its words, whether it holds the article; 0 is none
+    worded: list[tuple[int, frozenset[str]]] = [(0, frozenset())]
+    wraps, inner = [True], 0
+    seen: set[str] = set()
     held: list[tuple[str, bool]] = []
     at, head = 0, False
 
@@ -138,12 +165,13 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
             if whole:
                 n = len(whole.split(" "))
                 linked = len(html.unescape(" ".join(t for t, link in held if link)).split())
-                out.append((whole, n, min(1.0, linked / n), bad > 0, good > 0))
+                out.append((whole, n, min(1.0, linked / n), 2 if bad else -inner, good > 0))
             held.clear()
 
     def pop() -> None:
-        nonlocal bad, good, links
-        name, was_bad, was_good = stack.pop()
+        nonlocal bad, good, links, inner
+        name, was_bad, mark, was_good = stack.pop()
+        inner = worded[mark][0] if mark else inner
         bad, good, links = bad - was_bad, good - was_good, links - (name == "a")
 
     for m in _TOKEN.finditer(page):
@@ -184,23 +212,41 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
             text(" ")
         if name in _VOID or attrs.endswith("/"):
             continue
-        is_bad, is_good = _marks(name, attrs, good > 0)
-        stack.append((name, is_bad, is_good))
+        is_bad, words, is_good = _marks(name, attrs, good > 0)
+        if (name in _MAIN or name == "h1") and name not in seen and not (bad or is_bad or words):
+            seen.add(name)
+            at_mark = inner
+            while at_mark:
+                wraps[at_mark] |= name != "h1" or not worded[at_mark][1] & _SITE
+                at_mark = worded[at_mark][0]
+        mark = 0
+        if words:
+            mark = len(worded)
+            worded.append((inner, words))
+            wraps.append(False)
+            inner = mark
+        stack.append((name, is_bad, mark, is_good))
         bad, good, links = bad + is_bad, good + is_good, links + (name == "a")
     text(page[at:])
     flush()
-    return out
+    marked = [0]
+    for (around, _), wrap in zip(worded[1:], wraps[1:]):
+        marked.append(marked[around] if wrap else 1)
+    return [(t, n, density, part if part > 0 else marked[-part], main) for t, n, density, part, main in out]
 
 
 def main_text(page: str | None) -> str:
     """The page's text blocks, joined by a newline; empty where there are none."""
     found = blocks(page or "")
-    out = []
-    for i, (text, n, density, bad, good) in enumerate(found):
-        before = found[i - 1][1:3] if i else (0, 0.0)
-        after = found[i + 1][1:3] if i + 1 < len(found) else (0, 0.0)
-        if is_text((n, density, *before, *after, bad, good)):
-            out.append(text)
+    for sure in (1, 2):  # words count, or they do not
+        out = []
+        for i, (text, n, density, part, good) in enumerate(found):
+            before = found[i - 1][1:3] if i else (0, 0.0)
+            after = found[i + 1][1:3] if i + 1 < len(found) else (0, 0.0)
+            if is_text((n, density, *before, *after, part >= sure, good)):
+                out.append(text)
+        if out:
+            break
     return "\n".join(out)
 
 
