@@ -85,3 +85,20 @@ def test_items_are_found_inside_documents(spark):
     kept = drop_contaminated(df, it)
     assert kept.columns == df.columns and {str(r.doc_id) for r in kept.collect()} == {str(d[0]) for d in docs} - {d for d, _ in want}
     assert drop_contaminated(df, it.limit(0)).count() == len(docs)
+
+
+def test_rows_are_decided_by_row_where_ids_are_null_or_shared(spark):
+    from tickloom.llm.jaccard_join import drop_copies
+
+    rnd = random.Random(9)
+    clean, shared, item = [prose(rnd, 120) for _ in range(4)], prose(rnd, 80), prose(rnd, 20)
+    mine = [f"{prose(rnd, 60)} {shared}" for _ in range(2)]
+    df = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    texts = lambda out: sorted(r.text for r in out.collect())
+    for i, j in ((None, None), (7, 7)):
+        cut = texts(cut_passages(df([(i, clean[0]), (j, clean[1]), (i, mine[0]), (j, mine[1])])))
+        assert {clean[0], clean[1]} < set(cut) and sum(t in cut for t in mine) == 1 and len(cut) == 4
+        leak = f"{clean[0]} {item}"
+        assert texts(drop_contaminated(df([(i, leak), (j, clean[1]), (i, clean[2])]), spark.createDataFrame([(1, item)], "item_id long, text string"))) == sorted(clean[1:3])
+        assert texts(drop_copies(df([(i, clean[0]), (j, clean[0]), (i, clean[1]), (j, clean[2])]))) == sorted(clean[:3])
+    assert texts(drop_copies(df([(1, clean[0]), (7, clean[0]), (7, clean[1])]))) == sorted(clean[:2])

@@ -113,8 +113,9 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, num: int = 80
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that contain an item; columns and texts as they were."""
-    gone = contained_items(docs, items, n, num, den, id_col, text_col).select(F.col("doc_id").alias("_gone")).distinct()
-    gone = Workspace(docs.sparkSession, "decontaminate").write(gone, "gone")
+    """docs without the rows that contain an item, whatever their ids; columns and texts as they were."""
+    ws = Workspace(docs.sparkSession, "decontaminate")
+    rows = ws.keyed(docs, id_col)
+    gone = ws.write(contained_items(rows, items, n, num, den, "_row", text_col).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     small = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if small else gone, docs[id_col].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    return rows.join(F.broadcast(gone) if small else gone, F.col("_row") == F.col("_gone"), "left_anti").select(*docs.columns)

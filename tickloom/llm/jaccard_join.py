@@ -359,8 +359,12 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
 
 
 def drop_copies(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that are not the least of their class; columns and texts as they were."""
-    classes = jaccard_classes(docs, n, num, den, id_col, text_col)
+    """docs without the rows that are not the least of their class; columns and texts as they were.
+
+    Of a class the row of the least id stays, a null id being the greatest.
+    """
+    rows = Workspace(docs.sparkSession, "copies").keyed(docs, id_col)
+    classes = jaccard_classes(rows, n, num, den, "_row", text_col)
     gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     small = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if small else gone, docs[id_col] == F.col("_gone"), "left_anti")
+    return rows.join(F.broadcast(gone) if small else gone, F.col("_row") == F.col("_gone"), "left_anti").select(*docs.columns)

@@ -173,13 +173,15 @@ def cut_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc
 
     Columns are those of docs; n_chars, where there is one, is counted anew in
     the cut documents.  Documents without repeats, empty ones too, stay as they are.
+    Each row is a document of its own, whatever its id; a null id is the lowest.
     """
     ws = Workspace(docs.sparkSession, "substring")
-    spans = repeated_passages(docs, min_words, id_col, text_col)
+    rows = ws.keyed(docs, id_col, nulls_first=True)
+    spans = repeated_passages(rows, min_words, "_row", text_col)
     spans = spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_cut")).toDF("_id", "_cut")
     spans = ws.write(spans, "spans")
     small = spans.count() <= BROADCAST_ROWS
-    both = docs.join(F.broadcast(spans) if small else spans, docs[id_col].cast("long").eqNullSafe(F.col("_id")), "left")
+    both = rows.join(F.broadcast(spans) if small else spans, F.col("_row") == F.col("_id"), "left")
     text = f"`{text_col}`"
     kept = F.expr(
         f"array_join(transform(sequence(0, size(_cut)), i -> substring({text}, if(i = 0, 0, element_at(_cut, i).end) + 1, "

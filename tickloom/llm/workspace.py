@@ -11,6 +11,7 @@ import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,6 +58,15 @@ class Workspace:
             reader = reader.schema(schema)
         return reader.parquet(f"{self.root}/{name}")
 
+    def keyed(self, docs: DataFrame, id_col: str, nulls_first: bool = False, few: int = 500_000) -> DataFrame:
+        """docs, written once, with a long key _row: one for each row, null ids and shared ids too, in the order of the ids."""
+        rows = self.write(docs.withColumn("_uid", F.monotonically_increasing_id()), "keyed")
+        by = F.col(id_col).asc_nulls_first() if nulls_first else F.col(id_col).asc_nulls_last()
+        keys = self.write(rows.select("_uid", id_col).orderBy(by, "_uid").select("_uid", F.monotonically_increasing_id().alias("_row")), "keys")
+        if keys.count() <= few:
+            return rows.join(F.broadcast(keys), "_uid").drop("_uid")
+        return self.write(rows.join(keys, "_uid").drop("_uid"), "keyed-rows")
+
     def drop(self, *names: str) -> None:
         """Deletes the named tables, or with no name the whole workspace."""
         try:
