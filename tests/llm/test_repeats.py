@@ -18,7 +18,10 @@ def test_chunks_resist_shifts_and_cover_the_text():
     cut = lambda b: chunk_ends(np.array([0, len(b)]), np.frombuffer(b, np.uint8))
     a, b = cut(t), cut(b"inserted words at the start " + t)
     assert a[-1] == len(t) and len(set(a + 28) - set(b)) <= 3
-    assert 15 < np.diff(a).mean() < 45
+    assert 10 < np.diff(a).mean() < 30
+    again = ("the same few words, " * 100).encode()
+    shifted = b"unlike text before it " + again
+    assert len(set(cut(again) + 22) & set(cut(shifted))) > 60  # text that repeats a phrase is cut in every round
 
 
 def test_passages_are_found_and_cut(spark):
@@ -52,6 +55,50 @@ def test_passages_are_found_and_cut(spark):
     assert repeated_passages(df.limit(0)).count() == 0
 
 
+def test_runs_are_those_of_a_plain_restatement(spark):
+    """Chunks as strings, owners by a dictionary of whole chunks: the same documents, spans and words."""
+    rnd = random.Random(5)
+    shared = [prose(rnd, rnd.choice([20, 45, 80, 200])) for _ in range(12)]
+    texts = {}
+    for i in range(90):
+        parts = [prose(rnd, rnd.randint(0, 60)) for _ in range(3)]
+        texts[i] = " ".join([parts[0], rnd.choice(shared), parts[1], rnd.choice(shared), parts[2]]) if i % 3 else " ".join(parts)
+    texts[90] = "a " * 40000
+    texts[91] = "x " + texts[90]
+    texts[92] = "one phrase said again and again. " * 60
+    texts[93] = "Before it: " + texts[92]
+    first, chunks = {}, {}
+    for d, t in texts.items():
+        raw = t.encode()
+        ends = chunk_ends(np.array([0, len(raw)]), np.frombuffer(raw, np.uint8)).tolist()
+        at = 0
+        chunks[d] = []
+        for e in ends:
+            first.setdefault(raw[at:e], d)
+            chunks[d].append((at, e, raw[at:e]))
+            at = e
+    want = set()
+    for d, t in texts.items():
+        raw, begin = t.encode(), None
+        char = lambda k, raw=raw: len(raw[:k].decode())
+        for at, e, c in [*chunks[d], (len(raw), len(raw), None)]:
+            again = c is not None and first[c] != d
+            if again and begin is None:
+                begin = at
+            if not again and begin is not None:
+                heads = sum(1 for k in range(begin, at) if raw[k : k + 1].strip() and (k == 0 or not raw[k - 1 : k].strip()))
+                if heads >= 30:
+                    want.add((d, char(begin), char(at), heads))
+                begin = None
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(5)
+    got = {(r.doc_id, r.start, r.end, r.n_words) for r in repeated_passages(df).collect()}
+    for d, a, b, n in got:  # inside a plain run, less short chunks that another document has by accident
+        assert any(d == e and p <= a and b <= q and k - 12 <= n <= k for e, p, q, k in want)
+    for e, p, q, k in want:
+        assert k < 42 or any(d == e and p <= a and b <= q for d, a, b, _ in got)
+    assert any(d == 93 for d, *_ in got) and max(n for *_, n in got) == 16384  # one whole chunk of the longest kind
+
+
 def test_items_are_found_inside_documents(spark):
     rnd = random.Random(2)
     items = [(k, prose(rnd, rnd.choice([3, 5, 7, 20, 60]))) for k in range(40)] + [(90, None), (91, "")]

@@ -1,7 +1,8 @@
 """Substring deduplication by content-defined chunking with a gear rolling hash.
 
-A chunk ends where a gear hash of the last 16 bytes falls under a threshold, so
-an insertion moves the cuts around it and no others.  Chunks are compared by
+A chunk ends where a gear hash of the last 16 bytes falls under a threshold, or
+is the least of the hashes around it (which cuts text that repeats a phrase too),
+so an insertion moves the cuts around it and no others.  Chunks are compared by
 digest; a chunk is repeated where a lower document id holds the same bytes.
 Runs of neighbouring repeated chunks that hold enough words are the repeated
 passages: the first document keeps its copy, the others lose theirs.
@@ -26,15 +27,35 @@ from tickloom.llm.jaccard_join import BROADCAST_ROWS
 from tickloom.llm.text import mix, signed, slices, span_hashes, words
 from tickloom.llm.workspace import Workspace, bound_batches
 
-#: Mean bytes of a chunk; longer chunks than LONGEST bytes are cut there.
-MEAN, LONGEST = 28, 1 << 16
-WINDOW = 16
+#: Bytes for each cut by the threshold; longer chunks than LONGEST bytes are cut there.
+MEAN, LONGEST = 18, 1 << 15
+#: Bytes that the hash reads, and bytes before and after within which the least hash makes a cut.
+WINDOW, AROUND = 16, 64
 #: Words that a run of repeated chunks must hold.  Up to a chunk is lost at either end of a passage.
 MIN_WORDS = 30
+#: Words from which a repeated chunk surely belongs to its run, and shorter ones held at an end of a run.
+SURE, HELD = 4, 1000
+#: Bits of the length in characters and of the number of words of a chunk in its place.
+_SIZE, _WORDS = 16, 15
 _GEAR = np.random.default_rng(7).integers(0, 1 << 16, 256, dtype=np.uint16)
 _NO_ID = -(1 << 63)
 
 
+def _least_around(h: np.ndarray) -> np.ndarray:
+    """Where a hash is the least of the AROUND - 1 on either side, and less than each of the 8 before it.
+
+    Such places lie under the threshold anyway but in text that repeats few hashes.
+    """
+    low, span, least = h, 1, np.zeros(len(h), bool)
+    while span < AROUND and span < len(h):  # low[i] is the least of the last span hashes
+        low = np.concatenate((low[:span], np.minimum(low[span:], low[:-span])))
+        span *= 2
+        if span == 8:
+            least[8:] = h[8:] < low[7:-1]
+    ahead = np.concatenate((low[span - 1 :], np.full(min(span - 1, len(h)), h.min() if len(h) else 0, h.dtype)))
+    return least & (h == low) & (h == ahead)
+
+
 def chunk_ends(offsets: np.ndarray, raw: np.ndarray) -> np.ndarray:
     """Ends of all chunks of the texts, each text's end included; no cut falls inside a character."""
     n = len(raw)
@@ -42,7 +63,7 @@ def chunk_ends(offsets: np.ndarray, raw: np.ndarray) -> np.ndarray:
     for k in (1, 2, 4, 8):  # sums over 2, 4, 8, 16 bytes
         shifted = h.copy()
         h[k:] += shifted[:-k] << np.uint16(k)
-    cut = h < np.uint16((1 << 16) // MEAN)
+    cut = (h < np.uint16((1 << 16) // MEAN)) | _least_around(h)
     cut[:-1] &= (raw[1:] & 0xC0) != 0x80
     for k in range(WINDOW - 1):  # the hash still reaches into the text before
         at = offsets[:-1] + k
@@ -80,7 +101,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chars = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
             first = words(offsets, raw)[0]
             count = np.diff(np.searchsorted(first, np.concatenate(([0], ends))))
-            place = ((chars[starts] - chars[offsets[doc]]) << 32) | ((chars[ends] - chars[starts]) << 12) | np.minimum(count, 4095)
+            place = ((chars[starts] - chars[offsets[doc]]) << (_SIZE + _WORDS)) | ((chars[ends] - chars[starts]) << _WORDS) | count
             parts.append((span_hashes(raw, starts, ends), ids[row + doc], place))
         if not parts:
             continue
@@ -113,31 +134,65 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(doc[pick]), batch.column(2).take(pa.array(pick)), pa.array(first[pick])], names=["doc_id", "place", "first"])
 
 
+class _Run:
+    """A run of adjoining repeated chunks of one document.
+
+    Its owner is that of its longest chunk.  A chunk of under SURE words may be elsewhere by accident: such chunks at either
+    end of the run are left out as far as their owner is another.
+    """
+
+    def __init__(self, doc: int, start: int) -> None:
+        self.doc, self.start, self.end, self.longest, self.owner = doc, start, start, -1, doc
+        self.core: int | None = None  # where the first sure chunk starts
+        self.words, self.lead, self.trail = 0, [], []  # words up to the last sure chunk, (start, words, owner) of the chunks before and after
+
+    def add(self, size: int, count: int, owner: int) -> None:
+        if size > self.longest:
+            self.longest, self.owner = size, owner
+        if count >= SURE or len(self.trail) == HELD or len(self.lead) == HELD:
+            if self.core is None:
+                self.core = self.end
+            self.words += sum(w for _, w, _ in self.trail) + count
+            self.trail.clear()
+        else:
+            (self.lead if self.core is None else self.trail).append((self.end, count, owner))
+        self.end += size
+
+    def passage(self) -> tuple[int, int, int, int, int]:
+        lead, trail = self.lead, self.trail
+        if self.core is None:  # no sure chunk
+            return self.doc, self.start, self.end, sum(w for _, w, _ in lead), self.owner
+        i, j = 0, len(trail)
+        while i < len(lead) and lead[i][2] != self.owner:
+            i += 1
+        while j and trail[j - 1][2] != self.owner:
+            j -= 1
+        words = self.words + sum(w for _, w, _ in (*lead[i:], *trail[:j]))
+        return self.doc, lead[i][0] if i < len(lead) else self.core, trail[j][0] if j < len(trail) else self.end, words, self.owner
+
+
 def _runs(min_words: int):
     """Rows sorted by (doc_id, place): runs of adjoining chunks with min_words or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: list | None = None  # [doc, start, end, words, owner, length of the owner's chunk]
+        state: _Run | None = None
         out: list[tuple[int, int, int, int, int]] = []
 
         def close() -> None:
-            if state and state[3] >= min_words:
-                out.append(tuple(state[:5]))
+            if state and (found := state.passage())[3] >= min_words:
+                out.append(found)
 
         def table() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["doc_id", "start", "end", "n_words", "first_doc_id"])
 
         for batch in batches:
             for doc, place, owner in zip(*(c.to_pylist() for c in batch.columns)):
-                start, size, count = place >> 32, (place >> 12) & 0xFFFFF, place & 0xFFF
-                if state and state[0] == doc and state[2] == start:
-                    state[2] += size
-                    state[3] += count
-                    if size > state[5]:
-                        state[4:] = owner, size
-                elif not (state and state[0] == doc and start < state[2]):  # a repeated row adds nothing
+                start, size, count = place >> (_SIZE + _WORDS), (place >> _WORDS) & ((1 << _SIZE) - 1), place & ((1 << _WORDS) - 1)
+                if state is None or state.doc != doc or start > state.end:
                     close()
-                    state = [doc, start, start + size, count, owner, size]
+                    state = _Run(doc, start)
+                if start == state.end:  # a repeated row starts before it and adds nothing
+                    state.add(size, count, owner)
             if out:
                 yield table()
                 out.clear()
@@ -152,9 +207,10 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     """(doc_id, start, end, n_words, first_doc_id): the passages that a document of a lower id also has.
 
     start and end are character offsets, end exclusive; n_words counts words
-    that begin in the passage.  Passages are byte for byte alike; repeats within
-    one document are left alone.  first_doc_id is a document of a lower id with
-    the longest chunk of the passage, not always the lowest.
+    that begin in the passage.  Its chunks are repeated by 64-bit digest; repeats
+    within one document are left alone.  first_doc_id is a document of a lower id
+    with the longest chunk of the passage, not always the lowest one: which, may
+    depend on how the documents are dealt to batches.
 
     Null or empty text: no rows.  Rows with one id, or with a null id, count as
     one document (a null id is the lowest).  Other columns are not read.
