@@ -36,6 +36,10 @@ _PART = re.compile(r"[a-z]+")
 _BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = set("script style textarea title noscript template iframe noembed noframes xmp svg math object canvas audio video".split())
+#: Elements whose text runs to the end of the page where they are not closed; others of _RAW that are not closed are passed over.
+_TO_END = set("script style textarea title xmp".split())
+# Start tags that end an svg or math element which is not closed before them.
+_BREAKS = "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var"
 _BOILER = set("nav aside footer form button select dialog menu fieldset".split())
 _MAIN = set("article main".split())
 # Words in class, id or role that mark parts of a page.
@@ -140,6 +144,35 @@ def _marks(name: str, attrs: str, in_main: bool) -> tuple[bool, frozenset[str],
     return (False, frozenset(), False) if name in ("html", "body") else (bad, words, good)
 
 
+_BREAK = re.compile(rf"<(?:{'|'.join(_BREAKS.split())})(?=[\s/>])|</(?:p|br)(?=[\s/>])", re.I)
+_FOREIGN = re.compile(r"<foreignobject(?=[\s/>])", re.I)
+_CLOSE = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in _RAW}
+
+
+class _Next:
+    """The next place of a pattern in a page from rising positions on: no stretch is searched twice."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.found = page, {}
+
+    def __call__(self, pattern: re.Pattern, at: int) -> re.Match | None:
+        found = self.found.get(pattern, self)
+        if found is self or (found and found.start() < at):
+            found = self.found[pattern] = pattern.search(self.page, at)
+        return found
+
+
+def _after_raw(following: _Next, name: str, at: int) -> int:
+    """Where the text goes on after an element of _RAW whose start tag ends at at."""
+    close = following(_CLOSE[name], at)
+    if name in ("svg", "math"):
+        end = close.start() if close else len(following.page)
+        out, foreign = following(_BREAK, at), following(_FOREIGN, at)
+        if out and out.start() < end and not (foreign and foreign.start() < end):
+            return out.start()
+    return close.end() if close else len(following.page) if name in _TO_END else at
+
+
 def blocks(page: str) -> list[tuple[str, int, float, int, bool]]:
     """(text, words, link density, non-article part, in the article) of each text block in page order.
 
@@ -153,7 +186,8 @@ def blocks(page: str) -> list[tuple[str, int, float, int, bool]]:
     wraps, inner = [True], 0
     seen: set[str] = set()
     held: list[tuple[str, bool]] = []
-    at, head = 0, False
+    at, head, following = 0, False, _Next(page)
+    opened: dict[str, int] = {}  # how many elements of a name are on the stack
 
     def text(raw: str) -> None:
         if raw and not head:
@@ -171,12 +205,11 @@ def blocks(page: str) -> list[tuple[str, int, float, int, bool]]:
     def pop() -> None:
         nonlocal bad, good, links, inner
         name, was_bad, mark, was_good = stack.pop()
+        opened[name] -= 1
         inner = worded[mark][0] if mark else inner
         bad, good, links = bad - was_bad, good - was_good, links - (name == "a")
 
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
-            continue
+    while m := _TOKEN.search(page, at):
         text(page[at : m.start()])
         at = m.end()
         name = m["name"] or m["name2"]
@@ -188,7 +221,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int, bool]]:
                 head = False
             if name in _BLOCK:
                 flush()
-            if any(s[0] == name for s in reversed(stack)):
+            if opened.get(name):
                 while stack[-1][0] != name:
                     pop()
                 pop()
@@ -197,8 +230,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int, bool]]:
             continue
         attrs = m["attrs"] or m["attrs2"] or ""
         if name in _RAW and not attrs.endswith("/"):
-            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
+            at = _after_raw(following, name, at)
             continue
         if name == "head":
             head = True
@@ -226,6 +258,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int, bool]]:
             wraps.append(False)
             inner = mark
         stack.append((name, is_bad, mark, is_good))
+        opened[name] = opened.get(name, 0) + 1
         bad, good, links = bad + is_bad, good + is_good, links + (name == "a")
     text(page[at:])
     flush()
