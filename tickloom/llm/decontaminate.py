@@ -35,11 +35,19 @@ class ItemIndex:
         self.n, self.num, self.den = n, num, den
         self.ids: list[int] = []
         self.sets: list[np.ndarray] = []
-        enough = [t is not None and len([w for w in t.translate(_SPACES).split(" ") if w]) >= n for t in texts]
+        lengths = [len([w for w in (t or "").translate(_SPACES).split(" ") if w]) for t in texts]
         for row, h in shingles(pa.array(texts, pa.large_string()), n):
-            if enough[row]:
+            if lengths[row] >= n:
                 self.ids.append(ids[row])
                 self.sets.append(np.unique(h))
+        # items of fewer words: by their number, the sorted hashes of whole items and their ids
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for q in sorted({k for k in lengths if 0 < k < n}):
+            rows = [i for i, k in enumerate(lengths) if k == q]
+            whole = np.array([h[0] for _, h in shingles(pa.array([texts[i] for i in rows], pa.large_string()), q)], np.uint64)
+            order = np.argsort(whole, kind="stable")
+            self.short[q] = whole[order], np.array(rows)[order]
+        self.all_ids = ids
         keys, owners = [], []
         for k, s in enumerate(self.sets):
             part = 1 << int(len(s)).bit_length()  # sizes under this bound share a partition
@@ -72,6 +80,12 @@ class ItemIndex:
         return out
 
 
+    def search_short(self, q: int, h: np.ndarray) -> list[tuple[int, int, int]]:
+        """The same of the items of q words, fewer than n, from a document's runs of q words."""
+        keys, rows = self.short[q]
+        return [(self.all_ids[i], 1, 1) for i in rows[np.isin(keys, h)].tolist()]
+
+
 _SPACES = dict.fromkeys(range(9, 14), " ")
 
 
@@ -80,6 +94,8 @@ def _search(index):
         items = index.value
         for batch in batches:
             out = [(row, *x) for row, h in shingles(batch.column(1), items.n) for x in items.search(h)]
+            for q in items.short:
+                out += [(row, *x) for row, h in shingles(batch.column(1), q) for x in items.search_short(q, h)]
             if out:
                 rows, ids, sizes, both = zip(*out)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *(pa.array(x, pa.int64()) for x in (ids, sizes, both))], names=["doc_id", "item_id", "item_shingles", "shared"])
@@ -90,8 +106,8 @@ def _search(index):
 def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, item_shingles, shared, containment) of each item with num/den of its n-word shingles in a document.
 
-    Items of fewer than n words, or null, name no passage and are never found;
-    documents without words hold none.  A null id is returned as it is; repeated
+    An item of fewer than n words is one shingle, its whole word sequence.  Items
+    without words, or null, are never found; documents without words hold none.  A null id is returned as it is; repeated
     rows of either table give repeated rows.  Empty tables: no rows.
     """
     bound_batches(docs.sparkSession)

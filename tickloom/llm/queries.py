@@ -110,7 +110,8 @@ ORACLE_SQL: dict[str, str] = {
  ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS sh FROM d WHERE len(w) >= 5),
  si AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS sh FROM i WHERE len(w) >= 5),
  n AS (SELECT item_id, count(*) AS n FROM si GROUP BY 1), p AS (SELECT doc_id, item_id, count(*) AS c FROM ds JOIN si USING (sh) GROUP BY 1, 2)
- SELECT doc_id, item_id, n AS item_shingles, c AS shared, c / n AS containment FROM p JOIN n USING (item_id) WHERE 100 * c >= 80 * n""",
+ SELECT doc_id, item_id, n AS item_shingles, c AS shared, c / n AS containment FROM p JOIN n USING (item_id) WHERE 100 * c >= 80 * n UNION ALL
+ SELECT doc_id, item_id, 1, 1, 1.0 FROM d, i WHERE len(i.w) BETWEEN 1 AND 4 AND contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(i.w, ' ') || ' ')""",
     "op9_embedding_dedup": """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
  l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
  r AS (SELECT vec_id, vec_id AS reach FROM v UNION SELECT r.vec_id, l.y FROM r JOIN l ON r.reach = l.x),
