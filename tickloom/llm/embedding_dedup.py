@@ -11,6 +11,7 @@ never all pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,8 @@ from pyspark.sql.types import ArrayType, FloatType
 from tickloom.llm.components import components
 from tickloom.llm.workspace import Workspace
 
-#: Vectors that k-means is fitted on; vectors aimed at in a cell; most cells; vectors of a block; most nodes that may stream past a block in one task.
-FIT_ROWS, CELL, MOST_CELLS, BLOCK, SLICE = 20_000, 2048, 4096, 2048, 1 << 16
+#: Vectors that k-means is fitted on, or FIT_EACH for each cell where that is more; vectors aimed at in a cell; vectors of a block; most nodes that may stream past a block in one task.
+FIT_ROWS, FIT_EACH, CELL, BLOCK, SLICE = 20_000, 4, 2048, 2048, 1 << 16
 #: Slack of the bounds, far over the rounding of a dot product.
 _EPS = 1e-6
 
@@ -44,6 +45,11 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray
     return c
 
 
+def cells_of(n: int) -> int:
+    """Cells for n vectors of one length: of CELL each, but no more than four times the root of n, at least two."""
+    return max(2, min(n // CELL, 4 * math.isqrt(n)))
+
+
 def _unit(column: pa.Array) -> np.ndarray:
     """The list column's vectors, all of one length, scaled to unit length in double precision."""
     x = np.array(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
@@ -220,13 +226,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     rows = rows.withColumn("vector", F.when(F.coalesce(usable, F.lit(False)), F.expr("transform(vector, x -> x + cast(0 as float))")))
     nodes = rows.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"))
     nodes = ws.write(nodes.select(F.monotonically_increasing_id().alias("node"), "rep", "mult", F.size("vector").alias("dim"), "vector"), "nodes")
-    sizes = nodes.groupBy("dim").count().orderBy(F.desc("count")).limit(8).collect()  # centroids for the commonest lengths
     centroids = {}
-    for r in sizes:
-        k = min(MOST_CELLS, r["count"] // CELL)
-        if k > 1:
-            sample = nodes.where(F.col("dim") == r.dim).orderBy(F.xxhash64("node"), "node").limit(FIT_ROWS).select("vector").toArrow()  # of a stated size
-            centroids[r.dim] = kmeans(_unit(sample["vector"].combine_chunks()), min(k, len(sample)))
+    for r in nodes.groupBy("dim").count().where("count > 1").orderBy("dim").collect():  # a row a length of vectors
+        k = cells_of(r["count"])
+        sample = nodes.where(F.col("dim") == r.dim).orderBy(F.xxhash64("vector"), "vector").limit(max(FIT_ROWS, FIT_EACH * k)).select("vector").toArrow()  # of a stated size
+        centroids[r.dim] = kmeans(_unit(sample["vector"].combine_chunks()), min(k, len(sample)))
     homes = nodes.select("dim", "node", "mult", "vector").mapInArrow(_homes(spark.sparkContext.broadcast(centroids)), f"dim int, home int, node long, mult long, angle double, vector {kind}")
     homes = ws.write(homes, "cells")
     many = homes.groupBy("dim", F.col("home").alias("cell")).agg(F.count("*").alias("own"), F.max("angle").alias("radius"))
@@ -253,7 +257,6 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     home = nodes.join(counts, "node", "left").join(roots, "node", "left").select("vector", "rep", F.coalesce("links", F.lit(0)).alias("links"), "mult", F.coalesce("root", "node").alias("root"))
     least = home.groupBy("root").agg(F.min("rep").alias("least"))
     home = home.join(least, "root").select("vector", (F.col("links") + F.col("mult") - 1).alias("links"), "least")
-    out = rows.join(home, "vector", "left")
-    own = F.col("vector").isNull()
-    out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.when(own, F.col("vec_id")).otherwise(F.col("least")).alias("component_id"))
+    out = rows.where("vector is not null").join(home, "vector").select("vec_id", F.col("links").cast("long").alias("n_links"), F.col("least").alias("component_id"))
+    out = out.union(rows.where("vector is null").select("vec_id", F.lit(0).cast("long"), "vec_id"))
     return ws.write(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))), "out")
