@@ -226,7 +226,7 @@ def cross_ma(x, fast: int, slow: int, over: Over = TAPE) -> dict[str, Column]:
 
 
 def amihud(r, dollars, n: int, over: Over = TAPE) -> Column:
-    return F.avg(F.when(col(dollars) > 0, F.abs(col(r)) / col(dollars))).over(over.rows(n))
+    return F.avg(F.when(col(dollars) > 0, div(F.abs(col(r)), col(dollars)))).over(over.rows(n))
 
 
 def roll_spread(x, n: int, over: Over = TAPE) -> Column:
@@ -244,8 +244,8 @@ def corwin_schultz(h, low, over: Over = TAPE) -> Column:
     """High-low spread of two bars; null where it is not positive."""
     h, low = col(h), col(low)
     sq = lambda x: x * x
-    beta = sq(F.ln(h / low)) + sq(F.ln(lag(h, 1, over) / lag(low, 1, over)))
-    gamma = sq(F.ln(F.greatest(h, lag(h, 1, over)) / F.least(low, lag(low, 1, over))))
+    beta = sq(F.ln(div(h, low))) + sq(F.ln(div(lag(h, 1, over), lag(low, 1, over))))
+    gamma = sq(F.ln(div(F.greatest(h, lag(h, 1, over)), F.least(low, lag(low, 1, over)))))
     k = 1 / (3 - 2 * math.sqrt(2))
     alpha = (math.sqrt(2) - 1) * k * F.sqrt(beta) - F.sqrt(gamma * k)
     spread = 2 * (F.exp(alpha) - 1) / (1 + F.exp(alpha))
@@ -254,13 +254,13 @@ def corwin_schultz(h, low, over: Over = TAPE) -> Column:
 
 def parkinson(h, low, n: int, over: Over = TAPE) -> Column:
     ok = (col(h) >= col(low)) & (col(low) > 0)
-    x = F.when(ok, F.pow(F.ln(col(h) / col(low)), 2))
+    x = F.when(ok, F.pow(F.ln(div(col(h), col(low))), 2))
     seen = F.count(F.lit(1)).over(over.rows(n)) == n
     return F.when(seen, F.sqrt(F.avg(x).over(over.rows(n)) / (4 * math.log(2))))
 
 
 def parkinson_range(h, low) -> Column:
-    return F.pow(F.ln(col(h) / col(low)), 2) / (4 * math.log(2))
+    return F.pow(F.ln(div(col(h), col(low))), 2) / (4 * math.log(2))
 
 
 def abelson_spread(close, volume, n: int, over: Over = TAPE) -> Column:

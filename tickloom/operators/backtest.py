@@ -126,7 +126,7 @@ def label_statistics(labels: DataFrame, by: Sequence[str] = ("symbol",)) -> Data
 
 def pnl_after(price: str, side: str, horizon: int, over: Over = TAPE) -> Column:
     """side times the return over horizon rows; null where the rows end first."""
-    return F.col(side) * (F.lead(price, horizon).over(over.all) / F.col(price) - 1)
+    return F.col(side) * (F.try_divide(F.lead(price, horizon).over(over.all), F.col(price)) - 1)
 
 
 def quantile_statistics(df: DataFrame, score: str, pnl: str, q: int = 5) -> DataFrame:
@@ -216,7 +216,7 @@ def bar_quality(bars: DataFrame, close: str = "close", lags: int = 10, over: Ove
     mean = r.groupBy("symbol").agg(F.avg("_r").alias("_m"))
     c = r.join(F.broadcast(mean), "symbol")
     d = F.col("_r") - F.col("_m")
-    rho = [F.sum(d * (F.col(f"_r{k}") - F.col("_m"))) / F.sum(d * d) for k in range(1, lags + 1)]
+    rho = [F.try_divide(F.sum(d * (F.col(f"_r{k}") - F.col("_m"))), F.sum(d * d)) for k in range(1, lags + 1)]
     n = F.count("_r")
     q = n * (n + 2) * sum((x * x / (n - k) for k, x in enumerate(rho[1:], 2)), rho[0] * rho[0] / (n - 1))
     out = c.groupBy("symbol").agg(n.alias("bars"), rho[0].alias("ac1"), q.alias("ljung_box"), F.skewness("_r").alias("skew"), F.kurtosis("_r").alias("kurt"))
@@ -239,7 +239,7 @@ def cost_grid(commissions: Sequence[float], slippages: Sequence[float]) -> list[
 def timing_metrics(bars: DataFrame, event: str, horizons: Sequence[int] = (5, 10, 20), overlap: int = 20, price: str = "close", seed: int = 7, over: Over = TAPE) -> DataFrame:
     """Per symbol: event density, mean gap, share of events within overlap rows of the one before, and the mean forward return over that of a seeded random sample of as many rows."""
     n = F.row_number().over(over.all)
-    rows = bars.withColumn("_n", n).withColumns({f"_f{h}": F.lead(price, h).over(over.all) / F.col(price) - 1 for h in horizons})
+    rows = bars.withColumn("_n", n).withColumns({f"_f{h}": F.try_divide(F.lead(price, h).over(over.all), F.col(price)) - 1 for h in horizons})
     share = rows.groupBy("symbol").agg(F.avg(F.col(event).cast("double")).alias("density"))
     w = Window.partitionBy("symbol").orderBy("_n")
     hits = rows.where(F.col(event)).withColumn("_gap", F.col("_n") - F.lag("_n").over(w))

@@ -29,7 +29,7 @@ def _prepared(df: DataFrame, freq_ns: int, close: str, amount: str, volume: str)
     """df with bucket and the columns the factors read: r (log return in the bucket), its neighbours, minute, 5-minute slot."""
     w = Window.partitionBy("symbol", "bucket").orderBy("ts_ns", "seq")
     out = with_bucket(df, freq_ns).withColumn("_c", F.col(close)).withColumn("_a", F.col(amount)).withColumn("_v", F.col(volume))
-    out = out.withColumn("_r", F.ln(F.col("_c") / F.lag("_c").over(w))).withColumn("_s", F.col("_c") / F.lag("_c").over(w) - 1)
+    out = out.withColumn("_r", F.ln(F.try_divide("_c", F.lag("_c").over(w)))).withColumn("_s", F.try_divide("_c", F.lag("_c").over(w)) - 1)
     out = out.withColumn("_r1", F.lag("_r").over(w)).withColumn("_r2", F.lag("_r", 2).over(w)).withColumn("_a1", F.lag("_a").over(w))
     return out.withColumn("_minute", F.pmod(F.floor(F.col("ts_ns") / 60_000_000_000), F.lit(60)))
 
@@ -89,9 +89,9 @@ def return_vol_factors(df: DataFrame, freq_ns: int = DAY_NS, o: str = "open", h:
     n = 4 * F.count(F.lit(1)).over(five)
     mean = F.sum(sum(prices[1:], prices[0])).over(five) / n
     square = F.sum(sum((p * p for p in prices[1:]), prices[0] * prices[0])).over(five)
-    var = (square - n * mean * mean) / (n - 1)
-    rows = rows.withColumn("_v", F.greatest(var, F.lit(0.0)) / (mean * mean)).withColumn("_full", F.count(F.lit(1)).over(five) == 5)
-    rows = rows.withColumn("_x", F.try_divide(F.col(c) / F.lag(c).over(w) - 1, F.col("_v"))).withColumn("_amp", F.col(h) / F.col(low) - 1).withColumn("_c", F.col(c))
+    var = F.try_divide(square - n * mean * mean, n - 1)
+    rows = rows.withColumn("_v", F.try_divide(F.greatest(var, F.lit(0.0)), mean * mean)).withColumn("_full", F.count(F.lit(1)).over(five) == 5)
+    rows = rows.withColumn("_x", F.try_divide(F.try_divide(F.col(c), F.lag(c).over(w)) - 1, F.col("_v"))).withColumn("_amp", F.try_divide(F.col(h), F.col(low)) - 1).withColumn("_c", F.col(c))
     marks = rows.groupBy("symbol", "bucket").agg((F.avg(F.when(F.col("_full"), F.col("_v"))) + F.stddev_samp(F.when(F.col("_full"), F.col("_v")))).alias("_high"), F.percentile("_c", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
     both = rows.join(marks, ["symbol", "bucket"])
     calm = F.col("_full") & (F.col("_v") >= F.col("_high"))
@@ -119,7 +119,7 @@ def volume_factors(df: DataFrame, freq_ns: int = HOUR_NS, close: str = "close",
     marks = rows.groupBy(*key).agg(F.min("_a").alias("_lo"), F.max("_a").alias("_hi"), F.avg("_a").alias("_mean"), F.stddev_pop("_a").alias("_sd"), F.sum("_a").alias("_all"), F.avg(F.abs("_r")).alias("_mr"), F.stddev_samp("_r").alias("_sr"))
     rows = rows.join(marks, key)
     a, total, minute = F.col("_a"), F.sum("_a"), F.col("_minute")
-    share = a / F.col("_all")
+    share = F.try_divide(a, F.col("_all"))
     calm = F.abs("_r") < F.col("_sr")
     base = rows.groupBy(*key).agg(
         F.avg(F.when(a > F.col("_mean") + F.col("_sd"), 1.0).otherwise(0.0)).alias("vol_peak"),
@@ -133,7 +133,7 @@ def volume_factors(df: DataFrame, freq_ns: int = HOUR_NS, close: str = "close",
     )
     bin_of = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((a - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))).otherwise(0)
     entropy = rows.withColumn("_b", bin_of).groupBy(*key, "_b").agg(F.count("*").alias("_k")).withColumn("_p", F.col("_k") / F.sum("_k").over(Window.partitionBy(*key))).groupBy(*key).agg((-F.sum(F.col("_p") * F.ln("_p"))).alias("vol_entropy"))
-    slots = rows.groupBy(*key, F.floor(minute / 5).alias("_slot"), F.floor(F.col("ts_ns") / HOUR_NS).alias("_h")).agg((F.sum("_a") / F.first("_all")).alias("_share")).groupBy(*key).agg(sample_skew("_share").alias("vol_skew"), sample_kurtosis("_share").alias("vol_kurt"), F.stddev_samp("_share").alias("vol_vol_std"))
+    slots = rows.groupBy(*key, F.floor(minute / 5).alias("_slot"), F.floor(F.col("ts_ns") / HOUR_NS).alias("_h")).agg(F.try_divide(F.sum("_a"), F.first("_all")).alias("_share")).groupBy(*key).agg(sample_skew("_share").alias("vol_skew"), sample_kurtosis("_share").alias("vol_kurt"), F.stddev_samp("_share").alias("vol_vol_std"))
     # ambiguity: rows whose deviation of deviations of returns is over its mean
     w = Window.partitionBy(*key).orderBy("ts_ns", "seq").rowsBetween(-4, 0)
     fog = rows.withColumn("_sd5", F.when(F.count("_r").over(w) == 5, F.stddev_samp("_r").over(w))).withColumn("_fog", F.when(F.count("_sd5").over(w) == 5, F.stddev_samp("_sd5").over(w)))
@@ -172,7 +172,7 @@ def money_flow_factors(df: DataFrame, freq_ns: int = HOUR_NS, close: str = "clos
     key = ["symbol", "bucket"]
     w = Window.partitionBy(*key).orderBy("ts_ns", "seq")
     rows = with_bucket(df, freq_ns).select(*key, "ts_ns", "seq", F.col(close).alias("_c"), F.col(volume).alias("_v"), F.col(buy).alias("_b"), F.col(sell).alias("_s"))
-    rows = rows.withColumn("_ret", F.col("_c") / F.lag("_c").over(w) - 1).withColumn("_dc", F.col("_c") - F.lag("_c").over(w)).withColumn("_n", F.col("_b") - F.col("_s"))
+    rows = rows.withColumn("_ret", F.try_divide("_c", F.lag("_c").over(w)) - 1).withColumn("_dc", F.col("_c") - F.lag("_c").over(w)).withColumn("_n", F.col("_b") - F.col("_s"))
     q = lambda x: F.percentile(x, F.array(F.lit(0.7), F.lit(0.9)))
     marks = rows.groupBy(*key).agg(
         (F.avg("_b") + F.stddev_samp("_b")).alias("_bh"), (F.avg("_v") + F.stddev_samp("_v")).alias("_vh"), F.avg("_b").alias("_bm"), F.stddev_samp("_ret").alias("_sr"), F.stddev_samp("_c").alias("_sc"), q("_b").alias("_qb"), q("_s").alias("_qs")
@@ -242,7 +242,7 @@ def size_flow_factors(df: DataFrame, freq_ns: int = HOUR_NS, close: str = "close
     small = F.col("_bs") == "small"
     out = rows.groupBy(*key).agg(
         _sum(b, ~small).alias("_ab"), _sum(s, F.col("_ss") != "small").alias("_as"), _sum(b, small).alias("_sb"), _sum(s, F.col("_ss") == "small").alias("_sv"),
-        _sum(v, F.col("_bs") == "big").alias("_big"), _sum(v, small).alias("_small"), (F.max_by(close, at) / F.min_by(close, at) - 1).alias("_ret"),
+        _sum(v, F.col("_bs") == "big").alias("_big"), _sum(v, small).alias("_small"), (F.try_divide(F.max_by(close, at), F.min_by(close, at)) - 1).alias("_ret"),
     )
     w = Window.partitionBy("symbol").orderBy("bucket")
     last = w.rowsBetween(-(n - 1), 0)

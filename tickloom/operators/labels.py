@@ -78,7 +78,7 @@ def triple_barrier(events: DataFrame, prices: DataFrame, vertical_ns: int, profi
     key = ["symbol", "event_ns", "target", "side"]
     at = F.struct("_t", "_q")
     entry = path.groupBy(*key).agg(F.min(at).alias("_e"), F.min_by("_p", at).alias("_p0"))
-    r = F.ln(F.col("_p") / F.col("_p0")) * F.col("side")
+    r = F.ln(F.try_divide("_p", "_p0")) * F.col("side")
     steps = path.join(entry, key).withColumn("_r", r).where((F.struct("_t", "_q") > F.col("_e")))
     hit = F.lit(False)
     if profit is not None:
@@ -95,7 +95,7 @@ def triple_barrier(events: DataFrame, prices: DataFrame, vertical_ns: int, profi
     return out.select(
         *key, F.coalesce(F.col("_hit")["_t"], F.col("_end")["_t"]).alias("t1_ns"), ret_.alias("ret"),
         F.when(touched & (ret_ > 0), "upper").when(touched, "lower").otherwise("vertical").alias("touch"), label.alias("bin"),
-        F.when(touched, 1.0).otherwise(F.least(F.lit(1.0), F.abs(ret_) / F.col("target"))).alias("vertical_weight"),
+        F.when(touched, 1.0).otherwise(F.least(F.lit(1.0), F.try_divide(F.abs(ret_), F.col("target")))).alias("vertical_weight"),
     )
 
 
@@ -206,7 +206,7 @@ def bag_uniqueness(starts: np.ndarray, ends: np.ndarray, bag: np.ndarray) -> flo
 def signal_size(prob: Column, side: Column | float = 1.0) -> Column:
     """Bet size side * (2 Phi(z) - 1) of a probability."""
     p = F.least(F.greatest(prob, F.lit(1e-5)), F.lit(1 - 1e-5))
-    return (F.lit(side) if isinstance(side, (int, float)) else side) * (2 * normal_cdf((p - 0.5) / F.sqrt(p * (1 - p))) - 1)
+    return (F.lit(side) if isinstance(side, (int, float)) else side) * (2 * normal_cdf(F.try_divide(p - 0.5, F.sqrt(p * (1 - p)))) - 1)
 
 
 def discretize_size(size: Column, step: float) -> Column:

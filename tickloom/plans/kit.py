@@ -71,7 +71,8 @@ class Feature:
     def kernel(function: str, x: str | Feature, name: str | None = None, **params: Any) -> Feature:
         if function not in KERNELS:
             raise ValueError(f"no kernel {function}")
-        return Feature("kernel", name or f"{_named(x)}_{function}", [x], function=function, args=params)
+        shown = "_".join(map(str, params.values()))
+        return Feature("kernel", name or f"{_named(x)}_{function}{shown}", [x], function=function, args=params)
 
     @staticmethod
     def external(function: str, *inputs: str | Feature, name: str) -> Feature:
@@ -206,14 +207,17 @@ class FeatureKit:
         self.features, self.retain, self.over = list(features), list(retain), over
 
     def topological_order(self) -> list[Feature]:
-        """All nodes, each after its parents, one for each name."""
+        """All nodes, each after its parents, one for each name; two different nodes of one name are an error."""
         found: dict[str, Feature] = {}
 
         def visit(f: Feature) -> None:
-            if f.name not in found:
+            known = found.get(f.name)
+            if known is None:
                 for p in f.parents:
                     visit(p)
                 found[f.name] = f
+            elif known is not f and known.to_config() != f.to_config():
+                raise ValueError(f"two different features are named {f.name}")
 
         for f in self.features:
             visit(f)
@@ -230,10 +234,10 @@ class FeatureKit:
             native = {f.name: f.expression(self.over) for f in here if f.kind != "kernel"}
             if native:
                 df = df.withColumns(native)
-            for f in here:
+            for k, f in enumerate(here):
                 if f.kind == "kernel":
                     source = f.inputs[0]
-                    plain = f"_in_{abs(hash(f.name)) % 10**8}"
+                    plain = f"_in_{level}_{k}"
                     df = df.withColumn(plain, _quoted(_named(source)))
                     df = KERNELS[f.params["function"]](df, plain, **f.params["args"], name=plain + "_out", order=self.over.order)
                     df = df.withColumnRenamed(plain + "_out", f.name).drop(plain)

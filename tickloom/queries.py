@@ -362,15 +362,18 @@ def money_flow_factors(t):
 _LOGS = _TAPE + ", n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_ns, seq) AS rn, ln(price) - ln(lag(price) OVER (PARTITION BY symbol ORDER BY ts_ns, seq)) AS x FROM tape)"
 
 
-@query(_LOGS + """, f AS (SELECT symbol, rn, 0.0::DOUBLE AS up, 0.0::DOUBLE AS dn, 0.0::DOUBLE AS s_up, 0.0::DOUBLE AS s_down, 0 AS event FROM n WHERE rn = 1 UNION ALL
- SELECT n.symbol, n.rn, CASE WHEN NOT least(0, f.dn + n.x) < -3 AND greatest(0, f.up + n.x) > 3 THEN 0 ELSE greatest(0, f.up + n.x) END, CASE WHEN least(0, f.dn + n.x) < -3 THEN 0 ELSE least(0, f.dn + n.x) END, greatest(0, f.up + n.x), least(0, f.dn + n.x), CASE WHEN least(0, f.dn + n.x) < -3 THEN -1 WHEN greatest(0, f.up + n.x) > 3 THEN 1 ELSE 0 END FROM f JOIN n ON n.symbol = f.symbol AND n.rn = f.rn + 1)
+_CUSUM = _LOGS + """, f AS (SELECT symbol, rn, 0.0::DOUBLE AS up, 0.0::DOUBLE AS dn, 0.0::DOUBLE AS s_up, 0.0::DOUBLE AS s_down, 0 AS event FROM n WHERE rn = 1 UNION ALL
+ SELECT n.symbol, n.rn, CASE WHEN NOT least(0, f.dn + n.x) < -3 AND greatest(0, f.up + n.x) > 3 THEN 0 ELSE greatest(0, f.up + n.x) END, CASE WHEN least(0, f.dn + n.x) < -3 THEN 0 ELSE least(0, f.dn + n.x) END, greatest(0, f.up + n.x), least(0, f.dn + n.x), CASE WHEN least(0, f.dn + n.x) < -3 THEN -1 WHEN greatest(0, f.up + n.x) > 3 THEN 1 ELSE 0 END FROM f JOIN n ON n.symbol = f.symbol AND n.rn = f.rn + 1)"""
+
+
+@query(_CUSUM + """
  SELECT n.symbol, n.seq, round(f.s_up, 6) AS s_up, round(f.s_down, 6) AS s_down, f.event FROM f JOIN n ON n.symbol = f.symbol AND n.rn = f.rn""")
 def cusum_events(t):
     rows = t.withColumn("x", F.log("price") - F.log(F.lag("price").over(R.TAPE.all)))
     return labels.cusum_events(rows, "x", 3.0).select("symbol", "seq", "s_up", "s_down", "event")
 
 
-_EV = _TAPE + ", ev0 AS (SELECT symbol, ts_ns AS event_ns, 0.5 AS target, 1 AS side FROM tape WHERE seq % 10 = 0), ev AS (SELECT e.* FROM ev0 e JOIN (SELECT symbol, max(ts_ns) AS m FROM tape GROUP BY symbol) l ON e.symbol = l.symbol WHERE event_ns + 86400000000000 <= m)"
+_EV = _CUSUM + ", ev0 AS (SELECT n.symbol, n.ts_ns AS event_ns, 0.5 AS target, 1 AS side FROM f JOIN n ON n.symbol = f.symbol AND n.rn = f.rn WHERE f.event <> 0), ev AS (SELECT e.* FROM ev0 e JOIN (SELECT symbol, max(ts_ns) AS m FROM tape GROUP BY symbol) l ON e.symbol = l.symbol WHERE event_ns + 86400000000000 <= m)"
 _TBM = _EV + """, path AS (SELECT e.*, t.ts_ns AS t, t.seq AS q, t.price AS p, row_number() OVER (PARTITION BY e.symbol, e.event_ns ORDER BY t.ts_ns, t.seq) AS k FROM ev e JOIN tape t ON t.symbol = e.symbol AND t.ts_ns BETWEEN e.event_ns AND e.event_ns + 86400000000000),
  st AS (SELECT a.*, ln(a.p / b.p) AS r FROM path a JOIN path b ON a.symbol = b.symbol AND a.event_ns = b.event_ns AND b.k = 1 WHERE a.k > 1),
  lab AS (SELECT symbol, event_ns, target, side, min(CASE WHEN abs(r) >= target THEN k END) AS hit, max(k) AS last FROM st GROUP BY 1, 2, 3, 4),
@@ -378,7 +381,8 @@ _TBM = _EV + """, path AS (SELECT e.*, t.ts_ns AS t, t.seq AS q, t.price AS p, r
 
 
 def _labels(t: DataFrame) -> DataFrame:
-    ev = t.where("seq % 10 = 0").select("symbol", "ts_ns", F.lit(0.5).alias("target"), F.lit(1).alias("side"))
+    """Labels of the events of the CUSUM filter over all trades."""
+    ev = cusum_events(t).where("event <> 0").join(t, ["symbol", "seq"]).select("symbol", "ts_ns", F.lit(0.5).alias("target"), F.lit(1).alias("side"))
     return labels.triple_barrier(labels.label_events(ev, t, 0.0, DAY), t, DAY)
 
 

@@ -65,7 +65,7 @@ def lineitem_tape(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_returnflag").alias("symbol"),
         (F.unix_micros(F.col("l_shipdate").cast("timestamp")) * 1000).alias("ts_ns"),
         F.row_number().over(total).cast("long").alias("seq"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+        F.try_divide("l_extendedprice", "l_quantity").alias("price"),
         F.col("l_quantity").alias("amount"),
     )
 
