@@ -269,7 +269,29 @@ def time_window_return(t):
     return _bar_columns(t, ret_2d=R.ret_over_time("close", 2 * DAY, over=R.BARS))
 
 
-@query()
+def _corr(k: int) -> str:
+    """Autocorrelation at lag k over 12 bars, as serial_correlation does it."""
+    inner, mean, ss = _frame(12 - k), "mr", "ss"
+    top = f"sum(r * r{k}) OVER {inner} - {mean} * (sum(r) OVER {inner} + sum(r{k}) OVER {inner}) + {12 - k} * {mean} * {mean}"
+    return f"CASE WHEN nr = 12 THEN CASE WHEN {ss} / 12 < 1e-12 THEN 0.0 ELSE ({top}) / nullif({ss}, 0) END END"
+
+
+_SPREADS = f""", b1 AS (SELECT *, close - lag(close) OVER w AS d, lag(high) OVER w AS lh, lag(low) OVER w AS ll, lag(r) OVER w AS r1, lag(r, 2) OVER w AS r2, lag(r, 3) OVER w AS r3, row_number() OVER w AS k, ts_ns // 86400000000000 AS day, CASE WHEN high - low <= 1e-10 THEN 0.0 ELSE ((close - low) - (high - close)) / (high - low) END AS clv FROM b WINDOW w AS (PARTITION BY symbol ORDER BY bar_id)),
+ b3 AS (SELECT *, lag(d) OVER w AS d1, CASE WHEN count(d) OVER {_frame(12)} = 12 THEN avg(d) OVER {_frame(12)} END AS md, count(r) OVER {_frame(12)} AS nr, avg(r) OVER {_frame(12)} AS mr, sum(r * r) OVER {_frame(12)} - 12 * pow(avg(r) OVER {_frame(12)}, 2) AS ss, row_number() OVER (PARTITION BY symbol, day ORDER BY bar_id) AS kd, lag(day) OVER w AS day1,
+  pow(ln(high / low), 2) + pow(ln(lh / ll), 2) AS beta, pow(ln(greatest(high, lh) / least(low, ll)), 2) AS gamma_, volume * (1 + clv) / 2 AS vb, volume * (1 - clv) / 2 AS vs FROM b1 WINDOW w AS (PARTITION BY symbol ORDER BY bar_id)),
+ b4 AS (SELECT *, (sum(d * d1) OVER {_frame(11)} - md * (sum(d) OVER {_frame(11)} + sum(d1) OVER {_frame(11)}) + 11 * md * md) / 11 AS cov, exp((sqrt(2) - 1) / (3 - 2 * sqrt(2)) * sqrt(beta) - sqrt(gamma_ / (3 - 2 * sqrt(2)))) AS ea, {_corr(1)} AS s1, {_corr(2)} AS s2, {_corr(3)} AS s3,
+  min(CASE WHEN kd <= 4 THEN low END) OVER wd AS lo, max(CASE WHEN kd <= 4 THEN high END) OVER wd AS hi, CASE WHEN count(volume) OVER {_frame(12)} = 12 THEN avg(volume) OVER {_frame(12)} END AS mv,
+  {", ".join(f"CASE WHEN count(v{x}) OVER {_frame(8)} = 8 THEN CASE WHEN sum(v{x}) OVER {_frame(8)} > 1e-10 THEN sum(CASE WHEN v{x} > 1e-10 THEN v{x} * ln(CASE WHEN v{x} > 1e-10 THEN v{x} END) ELSE 0 END) OVER {_frame(8)} / sum(v{x}) OVER {_frame(8)} - ln(sum(v{x}) OVER {_frame(8)}) + ln(8) ELSE 0.0 END END AS t{x}" for x in "bs")}
+  FROM b3 WINDOW wd AS (PARTITION BY symbol, day ORDER BY bar_id ROWS UNBOUNDED PRECEDING)),
+ b2 AS (SELECT *, abs(r) * abs(r1) AS ar, CASE WHEN cov < 0 THEN 2 * sqrt(-cov) / nullif(close, 0) END AS roll_, 2 * (ea - 1) / (1 + ea) AS spread FROM b4)"""
+
+
+@query(_bar_sql(
+    "round(roll_, 6) AS roll", "round(CASE WHEN lh IS NOT NULL AND spread > 0 THEN spread END, 6) AS cs", "round(roll_ * sqrt(mv / nullif(volume, 0)), 6) AS abelson", "round(s2, 6) AS sc2", "round(12 * 14 * (s1 * s1 / 11 + s2 * s2 / 10 + s3 * s3 / 9), 6) AS ljung",
+    _full("close", 12, f"degrees(atan(regr_slope(ln(close), bar_id) OVER {_frame(12)}))", "slope"), _full("r", 12, f"kurtosis_pop(r) OVER {_frame(12)}", "kurt"), f"round(CASE WHEN count(ar) OVER {_frame(6)} = 6 THEN sqrt(pi() / 2) * sum(ar) OVER {_frame(6)} END, 6) AS bpv",
+    "round(CASE WHEN day <> day1 THEN r END, 6) AS gap", "CASE WHEN kd > 4 THEN close > hi OR close < lo ELSE false END AS orb", "round(tb, 6) AS theil_buy", "round(ts, 6) AS theil_sell", "round(CASE WHEN tb + ts > 1e-10 THEN tb / (tb + ts) WHEN tb + ts IS NOT NULL THEN 0.5 END, 6) AS theil_ratio", "round(tb - ts, 6) AS theil_diff",
+    with_=_SPREADS,
+))
 def rolling_spreads(t):
     o = R.BARS
     return _bar_columns(
@@ -291,6 +313,23 @@ def _kernels(t: DataFrame) -> DataFrame:
     return recursive.supertrend(b, order=o).select("symbol", "bar_id", "rsi", "ewms", "ewmst", "atr", "adx", "line", "direction")
 
 
+def _wilder_sql(x: str, state: str, count: str) -> str:
+    return f"CASE WHEN {count} < 8 THEN {state} + {x} WHEN {count} = 8 THEN ({state} + {x}) / 8 ELSE {state} * 7 / 8 + {x} / 8 END"
+
+
+ORACLE_SQL["recursive_indicators"] = _BARS + f""", m AS (SELECT *, bar_id - min(bar_id) OVER (PARTITION BY symbol) AS i, close / lag(close) OVER w - 1 AS r, close - lag(close) OVER w AS dc, high - lag(high) OVER w AS up, lag(low) OVER w - low AS dn, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr, exp(-(ts_ns - lag(ts_ns) OVER w) / 1e9 / 86400) AS keep FROM ohlc WINDOW w AS (PARTITION BY symbol ORDER BY bar_id)),
+ e AS (SELECT symbol, i, 0.0::DOUBLE AS u, 0.0::DOUBLE AS d, tr AS a, 0.0::DOUBLE AS t, 0.0::DOUBLE AS p, 0.0::DOUBLE AS q, 0.0::DOUBLE AS w, 0.0::DOUBLE AS w2, 0.0::DOUBLE AS x, 0.0::DOUBLE AS xx, 0.0::DOUBLE AS tw, 0.0::DOUBLE AS tw2, 0.0::DOUBLE AS tx, 0.0::DOUBLE AS txx FROM m WHERE i = 0 UNION ALL
+ SELECT m.symbol, m.i, {_wilder_sql("greatest(dc, 0)", "u", "m.i")}, {_wilder_sql("greatest(-dc, 0)", "d", "m.i")}, {_wilder_sql("tr", "a", "(m.i + 1)")}, {_wilder_sql("tr", "t", "m.i")},
+  {_wilder_sql("(CASE WHEN up > dn AND up > 0 THEN up ELSE 0 END)", "p", "m.i")}, {_wilder_sql("(CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0 END)", "q", "m.i")},
+  w * 9 / 11 + 1, w2 * 81 / 121 + 1, x * 9 / 11 + r, xx * 9 / 11 + r * r, tw * keep + 1, tw2 * keep * keep + 1, tx * keep + r, txx * keep + r * r FROM e JOIN m ON m.symbol = e.symbol AND m.i = e.i + 1),
+ g AS (SELECT m.symbol, m.bar_id, m.i, m.close, m.r, e.* EXCLUDE (symbol, i), CASE WHEN m.i >= 8 THEN CASE WHEN p + q <> 0 THEN 100 * abs(p - q) / (p + q) ELSE 0 END END AS dx FROM m JOIN e ON e.symbol = m.symbol AND e.i = m.i),
+ h AS (SELECT symbol, i, 0.0::DOUBLE AS x, 0 AS dir, 0.0::DOUBLE AS upper, 0.0::DOUBLE AS lower FROM g WHERE i = 6 UNION ALL
+ SELECT g.symbol, g.i, CASE WHEN g.i < 8 THEN 0.0 ELSE {_wilder_sql("g.dx", "h.x", "(g.i - 7)")} END,
+  CASE WHEN dir = 0 THEN 1 WHEN dir > 0 AND close < lower THEN -1 WHEN dir < 0 AND close > upper THEN 1 ELSE dir END,
+  CASE WHEN dir < 0 AND close <= upper THEN least(close + 3 * a, upper) ELSE close + 3 * a END, CASE WHEN dir > 0 AND close >= lower THEN greatest(close - 3 * a, lower) ELSE close - 3 * a END FROM h JOIN g ON g.symbol = h.symbol AND g.i = h.i + 1)
+ SELECT g.symbol, g.bar_id, round(CASE WHEN g.i >= 8 AND d > 0 THEN 100 - 100 / (1 + u / d) END, 6) AS rsi, round(CASE WHEN g.i > 0 AND w * w - w2 > 1e-12 * w * w THEN sqrt(greatest(g.xx / w - pow(g.x / w, 2), 0) * w * w / (w * w - w2)) END, 6) AS ewms,
+  round(CASE WHEN g.i > 0 AND 1 - tw2 / (tw * tw) > 1e-12 THEN greatest(sqrt(greatest(txx / tw - pow(tx / tw, 2), 0) / (1 - tw2 / (tw * tw))), 1e-12) END, 6) AS ewmst, round(CASE WHEN g.i >= 7 THEN a END, 6) AS atr, round(CASE WHEN g.i >= 15 THEN h.x END, 6) AS adx,
+  round(CASE WHEN g.i >= 7 THEN CASE WHEN dir > 0 THEN lower ELSE upper END END, 6) AS line, CASE WHEN g.i >= 7 THEN dir END AS direction FROM g LEFT JOIN h ON h.symbol = g.symbol AND h.i = g.i"""
 QUERIES["recursive_indicators"] = lambda spark, sf_dir: rounded(_kernels(tapes.events_tape(spark, sf_dir)))
 
 
@@ -341,18 +380,66 @@ def jump_size_factors(t):
     return buckets.volatility_factors(_as_bars(t), DAY).select("symbol", "bucket", "large_upside_jump_variation", "large_downside_jump_variation", "small_upside_jump_variation", "small_downside_jump_variation", "small_jump_asymmetry", "large_jump_asymmetry")
 
 
-@query()
+_W = "(PARTITION BY symbol, bucket ORDER BY ts_ns, seq)"
+_W5 = "(PARTITION BY symbol, bucket ORDER BY ts_ns, seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
+_B = "b.symbol = {0}.symbol AND b.bucket = {0}.bucket"
+
+
+def _part(x: str, where: str) -> str:
+    return f"coalesce(sum(CASE WHEN {where} THEN {x} END), 0)"
+
+
+@query(_TAPE + f""", v0 AS (SELECT symbol, ts_ns // 86400000000000 AS bucket, ts_ns, seq, price AS c, amount AS a, amount AS v, (ts_ns // 60000000000) % 60 AS mi FROM tape),
+ v1 AS (SELECT *, ln(c / lag(c) OVER {_W}) AS r, lag(a) OVER {_W} AS a1 FROM v0),
+ mk AS (SELECT symbol, bucket, min(a) AS lo, max(a) AS hi, avg(a) AS me, stddev_pop(a) AS sd, sum(a) AS al, stddev_samp(r) AS sr FROM v1 GROUP BY 1, 2),
+ v2 AS (SELECT v1.*, lo, hi, me, sd, al, sr, abs(r) < sr AS calm, CASE WHEN count(r) OVER (PARTITION BY v1.symbol, v1.bucket ORDER BY ts_ns, seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) = 5 THEN stddev_samp(r) OVER (PARTITION BY v1.symbol, v1.bucket ORDER BY ts_ns, seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) END AS sd5 FROM v1 JOIN mk ON mk.symbol = v1.symbol AND mk.bucket = v1.bucket),
+ b AS (SELECT symbol, bucket, avg(CASE WHEN a > me + sd THEN 1.0 ELSE 0.0 END) AS vol_peak, stddev_samp(abs(a - a1)) / nullif(avg(a), 0) AS vol_diff_std, var_samp(v) AS vol_vol_var, stddev_samp(a / nullif(al, 0)) AS tvd, {_part("v", "mi >= 55")} / nullif(sum(v), 0) AS tail_vol_ratio, {_part("a", "mi >= 55")} / nullif(sum(a), 0) AS tail_vol_ratio_v,
+  {_part("a", "mi < 5")} / nullif({_part("a", "mi >= 55")}, 0) AS vol_ratio, {_part("a", "mi < 5 OR mi >= 55")} / nullif(sum(a), 0) AS vol_share, {_part("a", "calm")} / nullif(sum(a), 0) AS vol_unan_trade, ({_part("a", "NOT calm AND r > 0")} + {_part("a", "NOT calm AND r < 0")}) / nullif({_part("a", "NOT calm AND r > 0")} - {_part("a", "NOT calm AND r < 0")}, 0) AS vol_unan_buy, arg_max(c, (ts_ns, seq)) AS last_c FROM v2 GROUP BY 1, 2),
+ en AS (SELECT symbol, bucket, -sum(p * ln(p)) AS vol_entropy FROM (SELECT symbol, bucket, k / sum(k) OVER (PARTITION BY symbol, bucket) AS p FROM (SELECT symbol, bucket, CASE WHEN hi > lo THEN least(floor((a - lo) / (hi - lo) * 5), 4) ELSE 0 END AS bin, count(*) AS k FROM v2 GROUP BY 1, 2, 3)) GROUP BY 1, 2),
+ sl AS (SELECT symbol, bucket, skewness(x) AS vol_skew, kurtosis(x) AS vol_kurt, stddev_samp(x) AS vol_vol_std FROM (SELECT symbol, bucket, sum(a) / any_value(al) AS x FROM v2 GROUP BY symbol, bucket, mi // 5, ts_ns // 3600000000000) GROUP BY 1, 2),
+ f1 AS (SELECT *, CASE WHEN count(sd5) OVER {_W5} = 5 THEN stddev_samp(sd5) OVER {_W5} END AS fog FROM v2),
+ f2 AS (SELECT *, fog > avg(fog) OVER (PARTITION BY symbol, bucket) AS misty FROM f1),
+ fg AS (SELECT symbol, bucket, avg(CASE WHEN misty THEN v END) / nullif(avg(v), 0) AS vol_ambiguity_vol, avg(CASE WHEN misty THEN a END) / nullif(avg(a), 0) AS vol_ambiguity_count FROM f2 GROUP BY 1, 2),
+ p0 AS (SELECT symbol, bucket, c, sum(a) AS pa FROM v0 GROUP BY 1, 2, 3),
+ p1 AS (SELECT *, row_number() OVER (PARTITION BY symbol, bucket ORDER BY c) AS i FROM p0),
+ md AS (SELECT symbol, bucket, arg_max(i, (pa, -i)) AS m, sum(pa) AS t, min(c) AS minc, max(c) AS maxc FROM p1 GROUP BY 1, 2),
+ p2 AS (SELECT p1.*, m, t, minc, maxc, abs(i - m) AS far FROM p1 JOIN md ON md.symbol = p1.symbol AND md.bucket = p1.bucket),
+ p3 AS (SELECT *, sum(pa) OVER (PARTITION BY symbol, bucket ORDER BY far RANGE UNBOUNDED PRECEDING) - sum(pa) OVER (PARTITION BY symbol, bucket, far) AS within, sum(CASE WHEN i >= m THEN pa ELSE 0 END) OVER (PARTITION BY symbol, bucket ORDER BY i ROWS UNBOUNDED PRECEDING) - pa AS above FROM p2),
+ sh AS (SELECT symbol, bucket, any_value(maxc) AS maxc, any_value(minc) AS minc, min(CASE WHEN within < t / 2 THEN c END) AS plow, max(CASE WHEN i >= m AND above < t / 2 THEN c END) AS bhigh FROM p3 GROUP BY 1, 2),
+ aq AS (SELECT symbol, bucket, (quantile_cont(v, 0.1) - min(v)) / nullif(max(v) - min(v), 0) AS amt_quantile FROM (SELECT *, row_number() OVER (PARTITION BY symbol, bucket ORDER BY v DESC) AS k FROM v0) WHERE k > 2 GROUP BY 1, 2),
+ rk AS (SELECT symbol, bucket, rank() OVER (PARTITION BY symbol, bucket ORDER BY v / a) + (count(*) OVER (PARTITION BY symbol, bucket, v / a) - 1) / 2 AS x, rank() OVER (PARTITION BY symbol, bucket ORDER BY v) + (count(*) OVER (PARTITION BY symbol, bucket, v) - 1) / 2 AS y FROM v0),
+ sp AS (SELECT symbol, bucket, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) AS trading_intensity FROM rk GROUP BY 1, 2)
+ SELECT b.symbol, b.bucket, round(vol_peak, 6) AS vol_peak, round(vol_diff_std, 6) AS vol_diff_std, round(vol_vol_var, 6) AS vol_vol_var, round(tvd, 6) AS tvd, round(tail_vol_ratio, 6) AS tail_vol_ratio, round(tail_vol_ratio_v, 6) AS tail_vol_ratio_v, round(vol_ratio, 6) AS vol_ratio, round(vol_share, 6) AS vol_share, round(vol_unan_trade, 6) AS vol_unan_trade, round(vol_unan_buy, 6) AS vol_unan_buy, round(vol_entropy, 6) AS vol_entropy, round(vol_skew, 6) AS vol_skew, round(vol_kurt, 6) AS vol_kurt, round(vol_vol_std, 6) AS vol_vol_std,
+  round(vol_ambiguity_vol, 6) AS vol_ambiguity_vol, round(vol_ambiguity_count, 6) AS vol_ambiguity_count, round(vol_ambiguity_vol - vol_ambiguity_count, 6) AS vol_ambiguity, round((maxc - plow) / nullif(plow, 0), 6) AS vol_p_shape, round((bhigh - minc) / nullif(minc, 0), 6) AS vol_b_shape, round(amt_quantile, 6) AS amt_quantile, round(trading_intensity, 6) AS trading_intensity, round((last_c - plow) / nullif(plow, 0), 6) AS vol_p_shape_diff
+  FROM b LEFT JOIN en ON {_B.format("en")} LEFT JOIN sl ON {_B.format("sl")} LEFT JOIN fg ON {_B.format("fg")} LEFT JOIN sh ON {_B.format("sh")} LEFT JOIN aq ON {_B.format("aq")} LEFT JOIN sp ON {_B.format("sp")}""")
 def volume_factors(t):
     return buckets.volume_factors(_as_bars(t), DAY)
 
 
-@query()
+@query(_TAPE + f""", v0 AS (SELECT symbol, ts_ns // 86400000000000 AS bucket, ts_ns, seq, price AS o, price * 1.01 AS h, price * 0.99 AS l, price AS c FROM tape),
+ v1 AS (SELECT *, 4 * count(*) OVER {_W5} AS n, sum(o + h + l + c) OVER {_W5} AS s1, sum(o * o + h * h + l * l + c * c) OVER {_W5} AS s2, c / nullif(lag(c) OVER {_W}, 0) - 1 AS ret, h / nullif(l, 0) - 1 AS amp FROM v0),
+ v2 AS (SELECT *, n = 20 AS whole, greatest((s2 - s1 * s1 / n) / (n - 1), 0) / nullif(s1 / n * s1 / n, 0) AS v FROM v1),
+ mk AS (SELECT symbol, bucket, avg(CASE WHEN whole THEN v END) + stddev_samp(CASE WHEN whole THEN v END) AS high, quantile_cont(c, 0.25) AS q1, quantile_cont(c, 0.75) AS q3 FROM v2 GROUP BY 1, 2),
+ v3 AS (SELECT v2.*, q1, q3, ret / nullif(v, 0) AS x, whole AND v >= high AS calm FROM v2 JOIN mk ON mk.symbol = v2.symbol AND mk.bucket = v2.bucket)
+ SELECT symbol, bucket, round(covar_samp(x, v), 6) AS intraday_return_vol_ratio, round(covar_samp(CASE WHEN calm THEN x END, CASE WHEN calm THEN v END), 6) AS high_vol_return_vol_ratio, round(avg(CASE WHEN c >= q3 THEN amp END) - avg(CASE WHEN c <= q1 THEN amp END), 6) AS dream_amplitude FROM v3 GROUP BY 1, 2""")
 def return_vol_factors(t):
     b = _as_bars(t).withColumn("open", F.col("price")).withColumn("high", F.col("price") * 1.01).withColumn("low", F.col("price") * 0.99)
     return buckets.return_vol_factors(b, DAY)
 
 
-@query()
+def _ratio(x: str) -> str:
+    return f"avg({x}) / nullif(stddev_samp({x}), 0)"
+
+
+@query(_TAPE + _SIDE + f""", v0 AS (SELECT symbol, ts_ns // 86400000000000 AS bucket, ts_ns, seq, price AS c, amount AS v, CASE WHEN side > 0 THEN amount ELSE 0.0 END AS b, amount - CASE WHEN side > 0 THEN amount ELSE 0.0 END AS s FROM sided),
+ v1 AS (SELECT *, b - s AS n, c / nullif(lag(c) OVER {_W}, 0) - 1 AS ret, c - lag(c) OVER {_W} AS dc FROM v0),
+ mk AS (SELECT symbol, bucket, avg(b) + stddev_samp(b) AS bh, avg(v) + stddev_samp(v) AS vh, avg(b) AS bm, stddev_samp(ret) AS sr, stddev_samp(c) AS sc, quantile_cont(b, 0.7) AS b7, quantile_cont(b, 0.9) AS b9, quantile_cont(s, 0.7) AS s7, quantile_cont(s, 0.9) AS s9 FROM v1 GROUP BY 1, 2),
+ v2 AS (SELECT v1.*, mk.* EXCLUDE (symbol, bucket), 1 / (1 + 0.3275911 * abs(1.96 * ret / 0.1) / sqrt(2)) AS tt, exp(-pow(1.96 * ret / 0.1, 2) / 2) AS ex FROM v1 JOIN mk ON mk.symbol = v1.symbol AND mk.bucket = v1.bucket),
+ v3 AS (SELECT *, 1 - tt * (0.254829592 + tt * (-0.284496736 + tt * (1.421413741 + tt * (-1.453152027 + tt * 1.061405429)))) * ex AS erf FROM v2),
+ t AS (SELECT symbol, bucket, {_part("b", "b >= b7 AND b < b9")} AS mb, {_part("s", "s >= s7 AND s < s9")} AS ms, {_part("b", "b >= b9")} AS tb, {_part("s", "s >= s9")} AS ts, {_part("b", "b > bh")} / nullif({_part("v", "b > bh")}, 0) AS buy_share_big_buys, sum(b) * sum(b) / nullif(sum(v) * sum(v), 0) AS buy_share_squared, {_ratio("CASE WHEN v > vh THEN n END")} AS net_ratio_big_volume,
+  {_part("n", "v > vh")} / nullif({_part("v", "v > vh")}, 0) AS net_share_big_volume, sum(b) / nullif(sum(v), 0) AS buy_share, {_ratio("CASE WHEN b > bh THEN b END")} AS buy_ratio_big_buys, {_ratio("v")} AS volume_ratio, sum(n) / nullif(sum(v), 0) AS net_share, {_ratio("b")} AS buy_ratio, {_ratio("n")} AS net_ratio, sum(v * (0.5 + atan(ret / nullif(sr, 0)) / pi())) / nullif(sum(v), 0) AS flow_t_return,
+  sum(v * CASE WHEN ret >= 0 THEN 0.5 * (1 + erf) ELSE 0.5 * (1 - erf) END) / nullif(sum(v), 0) AS flow_normal_return, sum(v * (0.5 + atan(dc / nullif(sc, 0)) / pi())) / nullif(sum(v), 0) AS flow_t_change, sum(v * (ret - 0.1) / 0.2) / nullif(sum(v), 0) AS flow_uniform_return, {_part("b", "b < bm")} / nullif({_part("v", "b < bm")}, 0) AS buy_share_small_buys FROM v3 GROUP BY 1, 2)
+ SELECT symbol, bucket, round(mb / nullif(mb + ms, 0), 6) AS middle_buys, round(tb / nullif(tb + ts, 0), 6) AS top_buys, {", ".join(f"round({c}, 6) AS {c}" for c in ("buy_share_big_buys", "buy_share_squared", "net_ratio_big_volume", "net_share_big_volume", "buy_share", "buy_ratio_big_buys", "volume_ratio", "net_share", "buy_ratio", "net_ratio", "flow_t_return", "flow_normal_return", "flow_t_change", "flow_uniform_return", "buy_share_small_buys"))} FROM t""")
 def money_flow_factors(t):
     b = _as_bars(tape.tick_rule(t)).withColumn("buy_volume", F.when(F.col("side") > 0, F.col("amount")).otherwise(0.0)).withColumn("sell_volume", F.col("volume") - F.col("buy_volume"))
     return buckets.money_flow_factors(b, DAY)
@@ -534,13 +621,22 @@ def cost_pressure(t):
     return pipelines.cost_pressure(backtest.rolling_backtest(b, order=("bar_id",)), backtest.cost_grid((0.0, 0.001), (0.0, 0.0005)))
 
 
+@query(_BARS + ", e AS (SELECT symbol, bar_id, close AS f, close AS s, 1.0::DOUBLE AS fw, 1.0::DOUBLE AS sw FROM ohlc WHERE bar_id = 0 UNION ALL SELECT o.symbol, o.bar_id, e.f * (4.0 / 6) + o.close, e.s * (19.0 / 21) + o.close, e.fw * (4.0 / 6) + 1, e.sw * (19.0 / 21) + 1 FROM e JOIN ohlc o ON o.symbol = e.symbol AND o.bar_id = e.bar_id + 1) SELECT symbol, bar_id, round(f / fw, 6) AS fast, round(s / sw, 6) AS slow, round(f / fw - s / sw, 6) AS macd FROM e")
+def feature_ema(t):
+    """Two kernels of one function and other parameters in one plan."""
+    close = Feature.column("close")
+    fast, slow = close.ema(5), close.ema(20)
+    kit = FeatureKit([fast.named("fast"), slow.named("slow"), (fast - slow).named("macd")], over=R.BARS)
+    return FeatureKit.from_config(kit.to_config()).build(tick20(t))
+
+
 @query()
 def timing_metrics(t):
     b = tick20(t).withColumn("event", F.col("bar_id") % 7 == 0)
     return backtest.timing_metrics(b, "event", over=R.BARS)
 
 
-@query()
+@query(_bar_sql("CAST(row_number() OVER (PARTITION BY symbol, run ORDER BY bar_id) AS INTEGER) AS length", with_=", b1 AS (SELECT *, CASE WHEN sign(r) = sign(lag(r) OVER (PARTITION BY symbol ORDER BY bar_id)) THEN 0 ELSE 1 END AS fresh FROM b), b2 AS (SELECT *, sum(fresh) OVER (PARTITION BY symbol ORDER BY bar_id) AS run FROM b1)"))
 def run_lengths(t):
     b = tick20(t).withColumn("r", R.ret("close", over=R.BARS)).withColumn("new", R.run_id("r", R.BARS)).withColumn("run", F.sum("new").over(R.BARS.up_to))
     return b.select("symbol", "bar_id", R.direction_run_length("r", "run", R.BARS).alias("length"))
