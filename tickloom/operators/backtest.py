@@ -67,7 +67,8 @@ def rolling_backtest(bars: DataFrame, signal: str = "signal", commission: float
 
         def leave(i, price, reason):
             gross = s["side"] * (price / s["price"] - 1)
-            trades[i] = [(s["t"], int(c["ts_ns"][i]), s["side"], s["price"], price, gross - 2 * (commission + slippage), s["held"], reason)]
+            one = (s["t"], int(c["ts_ns"][i]), s["side"], s["price"], price, gross - 2 * (commission + slippage), s["held"], reason)
+            trades[i] = [*(trades[i] or []), one]  # a reversal and the end may fall on one row
             s.update(side=0, rest=cooldown)
 
         for i, (g, o, x, end) in enumerate(zip(c[signal].tolist(), c["open"].tolist(), c["close"].tolist(), c["_last"].tolist())):

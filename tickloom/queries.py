@@ -144,12 +144,22 @@ def dollar_bars(t):
     return bars.ohlcv(bars.assign_dollar_bars(t, 50_000))
 
 
-@query()
+_DAILY = """, dd AS (SELECT symbol, ts_ns // 86400000000000 AS day, sum(price * amount) AS dollars, row_number() OVER (PARTITION BY symbol ORDER BY ts_ns // 86400000000000) AS k FROM tape GROUP BY symbol, ts_ns // 86400000000000),
+ de AS (SELECT symbol, k, dollars AS top, 1.0::DOUBLE AS weight FROM dd WHERE k = 1 UNION ALL SELECT dd.symbol, dd.k, de.top * (19.0 / 21) + dd.dollars, de.weight * (19.0 / 21) + 1 FROM de JOIN dd ON dd.symbol = de.symbol AND dd.k = de.k + 1),
+ tape2 AS (SELECT t.*, de.top / de.weight / 5 AS lim FROM tape t JOIN dd ON dd.symbol = t.symbol AND dd.day = t.ts_ns // 86400000000000 JOIN de ON de.symbol = dd.symbol AND de.k = dd.k)"""
+
+
+@query(_TAPE + _DAILY + _FOLD.format(v="n.price * n.amount", k="n.lim", rest="f.total + n.price * n.amount - n.lim").replace("FROM tape)", "FROM tape2)") + _OHLC + _OHLC_OUT)
 def dynamic_dollar_bars(t):
     return bars.ohlcv(bars.assign_dynamic_dollar_bars(t, bars.daily_thresholds(t, 5)))
 
 
-@query()
+_CUSUM_FOLD = """, numbered AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_ns, seq) AS rn, ln(price) - ln(lag(price) OVER (PARTITION BY symbol ORDER BY ts_ns, seq)) AS r FROM tape),
+ f AS (SELECT symbol, rn, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down, 0 AS closes FROM numbered WHERE rn = 1 UNION ALL
+ SELECT n.symbol, n.rn, CASE WHEN greatest(0, f.up + n.r) >= 1 THEN 0 ELSE greatest(0, f.up + n.r) END, CASE WHEN greatest(0, f.up + n.r) < 1 AND least(0, f.down + n.r) <= -1 THEN 0 ELSE least(0, f.down + n.r) END, CASE WHEN greatest(0, f.up + n.r) >= 1 OR least(0, f.down + n.r) <= -1 THEN 1 ELSE 0 END FROM f JOIN numbered n ON n.symbol = f.symbol AND n.rn = f.rn + 1),""" + _FOLD.split("f.rn + 1),", 1)[1]
+
+
+@query(_TAPE + _CUSUM_FOLD + _OHLC + _OHLC_OUT)
 def cusum_bars(t):
     return bars.ohlcv(bars.assign_cusum_bars(t.withColumn("sigma", F.lit(0.5)), "sigma"))
 
@@ -310,7 +320,7 @@ def _kernels(t: DataFrame) -> DataFrame:
     o, b = ("bar_id",), tick20(t).withColumn("r", R.ret("close", over=R.BARS))
     b = recursive.ew_std(recursive.rsi(b, n=8, order=o), "r", 10, order=o)
     b = recursive.ew_std_over_time(recursive.adx(recursive.atr(b, 8, order=o), 8, order=o), "r", 86400.0, order=o)
-    return recursive.supertrend(b, order=o).select("symbol", "bar_id", "rsi", "ewms", "ewmst", "atr", "adx", "line", "direction")
+    return recursive.supertrend(b, order=o).select("symbol", "bar_id", "rsi", "ewms", "ewmst", F.try_divide("atr", "close").alias("atr_share"), "adx", F.try_divide("line", "close").alias("line_share"), "direction")
 
 
 def _wilder_sql(x: str, state: str, count: str) -> str:
@@ -328,8 +338,8 @@ ORACLE_SQL["recursive_indicators"] = _BARS + f""", m AS (SELECT *, bar_id - min(
   CASE WHEN dir = 0 THEN 1 WHEN dir > 0 AND close < lower THEN -1 WHEN dir < 0 AND close > upper THEN 1 ELSE dir END,
   CASE WHEN dir < 0 AND close <= upper THEN least(close + 3 * a, upper) ELSE close + 3 * a END, CASE WHEN dir > 0 AND close >= lower THEN greatest(close - 3 * a, lower) ELSE close - 3 * a END FROM h JOIN g ON g.symbol = h.symbol AND g.i = h.i + 1)
  SELECT g.symbol, g.bar_id, round(CASE WHEN g.i >= 8 AND d > 0 THEN 100 - 100 / (1 + u / d) END, 6) AS rsi, round(CASE WHEN g.i > 0 AND w * w - w2 > 1e-12 * w * w THEN sqrt(greatest(g.xx / w - pow(g.x / w, 2), 0) * w * w / (w * w - w2)) END, 6) AS ewms,
-  round(CASE WHEN g.i > 0 AND 1 - tw2 / (tw * tw) > 1e-12 THEN greatest(sqrt(greatest(txx / tw - pow(tx / tw, 2), 0) / (1 - tw2 / (tw * tw))), 1e-12) END, 6) AS ewmst, round(CASE WHEN g.i >= 7 THEN a END, 6) AS atr, round(CASE WHEN g.i >= 15 THEN h.x END, 6) AS adx,
-  round(CASE WHEN g.i >= 7 THEN CASE WHEN dir > 0 THEN lower ELSE upper END END, 6) AS line, CASE WHEN g.i >= 7 THEN dir END AS direction FROM g LEFT JOIN h ON h.symbol = g.symbol AND h.i = g.i"""
+  round(CASE WHEN g.i > 0 AND 1 - tw2 / (tw * tw) > 1e-12 THEN greatest(sqrt(greatest(txx / tw - pow(tx / tw, 2), 0) / (1 - tw2 / (tw * tw))), 1e-12) END, 6) AS ewmst, round(CASE WHEN g.i >= 7 THEN a / close END, 6) AS atr_share, round(CASE WHEN g.i >= 15 THEN h.x END, 6) AS adx,
+  round(CASE WHEN g.i >= 7 THEN CASE WHEN dir > 0 THEN lower ELSE upper END / close END, 6) AS line_share, CASE WHEN g.i >= 7 THEN dir END AS direction FROM g LEFT JOIN h ON h.symbol = g.symbol AND h.i = g.i"""
 QUERIES["recursive_indicators"] = lambda spark, sf_dir: rounded(_kernels(tapes.events_tape(spark, sf_dir)))
 
 
@@ -529,7 +539,14 @@ def combinatorial_purged(t):
     return validation.combinatorial_purged(rows, 6, 2).withColumn("split_id", F.col("split_id").cast("long"))
 
 
-@query()
+@query(_TAPE + """, v AS (SELECT 'price' AS feature, seq % 2 = 0 AS tr, price AS v FROM tape UNION ALL SELECT 'amount', seq % 2 = 0, amount FROM tape),
+ ed AS (SELECT DISTINCT feature, unnest(quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS e FROM v WHERE tr GROUP BY feature),
+ bins AS (SELECT feature, row_number() OVER (PARTITION BY feature ORDER BY e) AS bin FROM ed UNION ALL SELECT DISTINCT feature, 0 FROM ed),
+ vb AS (SELECT v.feature, tr, (SELECT count(*) FROM ed WHERE ed.feature = v.feature AND v.v > ed.e) AS bin FROM v),
+ n AS (SELECT feature, count(*) FILTER (WHERE tr) AS a, count(*) FILTER (WHERE NOT tr) AS b FROM v GROUP BY 1),
+ c AS (SELECT bins.feature, bins.bin, greatest(count(vb.bin) FILTER (WHERE tr) / any_value(n.a), 0.01) AS a, greatest(count(vb.bin) FILTER (WHERE NOT tr) / any_value(n.b), 0.01) AS b FROM bins JOIN n ON n.feature = bins.feature LEFT JOIN vb ON vb.feature = bins.feature AND vb.bin = bins.bin GROUP BY 1, 2),
+ d AS (SELECT feature, a / sum(a) OVER (PARTITION BY feature) AS a, b / sum(b) OVER (PARTITION BY feature) AS b FROM c), p AS (SELECT feature, sum((b - a) * ln(b / a)) AS psi FROM d GROUP BY 1)
+ SELECT feature, round(psi, 6) AS psi, 0.0::DOUBLE AS train_missing, 0.0::DOUBLE AS test_missing, CASE WHEN psi >= 0.25 THEN 'critical' WHEN psi >= 0.1 THEN 'warning' ELSE 'stable' END AS status FROM p""")
 def psi_drift(t):
     return validation.psi(t.where("seq % 2 = 0"), t.where("seq % 2 = 1"), ["price", "amount"])
 
@@ -541,13 +558,36 @@ def position_backtest(t):
     return backtest.position_backtest(b, "size", 0.001, over=R.BARS).select("symbol", "bar_id", "position", "strategy_ret")
 
 
-@query()
+_MOMENTUM = "CAST(sign(close / lag(close, 3) OVER w - 1) AS INTEGER)"
+_AVERAGE = f"CASE WHEN count(close) OVER {_frame(5)} = 5 THEN CASE WHEN close - avg(close) OVER {_frame(5)} >= 0 THEN 1 ELSE -1 END END"
+
+
+def _trades_sql(signal: str, hold: int, commission: float) -> str:
+    """The trades of one position a symbol: a signal fills at the next open, an opposite one reverses after hold bars."""
+    enter, leave = "(s.nxt <> 0 AND (s.side = 0 OR s.nxt = -s.side))", "(s.side <> 0 AND s.nxt = -s.side)"
+    side, held = f"CASE WHEN {enter} THEN s.nxt ELSE s.side END", f"CASE WHEN {enter} THEN 0 WHEN s.side <> 0 THEN s.held + 1 ELSE s.held END"
+    return _BARS + f""", sg AS (SELECT symbol, bar_id AS i, ts_ns, open, close, coalesce({signal}, 0) AS g, lead(bar_id) OVER w IS NULL AS final FROM ohlc WINDOW w AS (PARTITION BY symbol ORDER BY bar_id)),
+ st AS (SELECT symbol, i, 0 AS side, 0.0::DOUBLE AS price, 0::BIGINT AS t, 0 AS held, g AS nxt, false AS out, 0::BIGINT AS out_t, 0 AS out_side, 0.0::DOUBLE AS out_price, 0 AS out_held FROM sg WHERE i = 0 UNION ALL
+ SELECT sg.symbol, sg.i, {side}, CASE WHEN {enter} THEN open ELSE s.price END, CASE WHEN {enter} THEN ts_ns ELSE s.t END, {held},
+  CASE WHEN g <> 0 AND g <> {side} AND (({side}) = 0 OR ({held}) >= {hold}) THEN g ELSE 0 END, {leave}, s.t, s.side, s.price, s.held + 1 FROM st s JOIN sg ON sg.symbol = s.symbol AND sg.i = s.i + 1),
+ tr AS (SELECT st.symbol, out_t AS entry_ns, ts_ns AS exit_ns, out_side AS side, out_price AS entry_price, open AS exit_price, out_side * (open / out_price - 1) - {2 * commission} AS ret, out_held AS bars_held, 'reverse' AS reason FROM st JOIN sg ON sg.symbol = st.symbol AND sg.i = st.i WHERE out
+ UNION ALL SELECT st.symbol, t, ts_ns, side, price, close, side * (close / price - 1) - {2 * commission}, held, 'end_of_data' FROM st JOIN sg ON sg.symbol = st.symbol AND sg.i = st.i WHERE final AND side <> 0)"""
+
+
+def _statistics_sql(by: str, source: str) -> str:
+    w = f"(PARTITION BY {by} ORDER BY exit_ns, entry_ns ROWS UNBOUNDED PRECEDING)"
+    return f""", cu AS (SELECT *, sum(ret) OVER {w} AS total FROM {source}), dr AS (SELECT *, greatest(0, max(total) OVER {w}) - total AS dd FROM cu)
+ SELECT {by}, count(*) AS trades, round(avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate, round(sum(ret), 6) AS total_ret, round(avg(ret), 6) AS mean_ret, round(sum(greatest(ret, 0)) / nullif(-sum(least(ret, 0)), 0), 6) AS profit_factor, round(avg(CASE WHEN ret > 0 THEN ret END) / nullif(-avg(CASE WHEN ret <= 0 THEN ret END), 0), 6) AS payoff,
+  round(avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252), 6) AS sharpe, round(max(dd), 6) AS max_drawdown FROM dr GROUP BY {by}"""
+
+
+@query(_trades_sql(_MOMENTUM, 2, 0.0005) + " SELECT symbol, entry_ns, exit_ns, side, round(entry_price, 6) AS entry_price, round(exit_price, 6) AS exit_price, round(ret, 6) AS ret, bars_held, reason FROM tr")
 def rolling_backtest(t):
     b = tick20(t).withColumn("signal", backtest.momentum_side("close", 3, R.BARS))
     return backtest.rolling_backtest(b, min_hold=2, commission=0.0005, order=("bar_id",))
 
 
-@query()
+@query(_trades_sql(_AVERAGE, 0, 0.0) + _statistics_sql("symbol", "tr"))
 def backtest_statistics(t):
     b = tick20(t).withColumn("signal", backtest.ma_side("close", 5, R.BARS))
     return backtest.trade_statistics(backtest.rolling_backtest(b, order=("bar_id",)))
@@ -559,7 +599,14 @@ def sharpe_statistics(t):
     return validation.sharpe_statistics(b, ["symbol"])
 
 
-@query()
+_LAGS = range(1, 11)
+
+
+@query(_BARS + f""", r0 AS (SELECT symbol, ts_ns, bar_id, ln(close / lag(close) OVER w) AS r FROM ohlc WINDOW w AS (PARTITION BY symbol ORDER BY bar_id)),
+ r1 AS (SELECT *, {", ".join(f"lag(r, {k}) OVER w AS r{k}" for k in _LAGS)} FROM r0 WINDOW w AS (PARTITION BY symbol ORDER BY bar_id)), me AS (SELECT symbol, avg(r) AS m FROM r0 GROUP BY 1),
+ q AS (SELECT r1.symbol, count(*) AS n, avg(pow(r - m, 2)) AS m2, avg(pow(r - m, 3)) AS m3, avg(pow(r - m, 4)) AS m4, {", ".join(f"sum((r - m) * (r{k} - m)) / nullif(sum((r - m) * (r - m)), 0) AS p{k}" for k in _LAGS)} FROM r1 JOIN me ON me.symbol = r1.symbol WHERE r IS NOT NULL GROUP BY 1),
+ mo AS (SELECT symbol, var_samp(v) / nullif(avg(v), 0) AS vov FROM (SELECT symbol, var_samp(r) AS v FROM r0 WHERE r IS NOT NULL GROUP BY symbol, date_trunc('month', make_timestamp(ts_ns // 1000))) GROUP BY 1)
+ SELECT q.symbol, n AS bars, round(p1, 6) AS ac1, round(n * (n + 2) * ({" + ".join(f"p{k} * p{k} / (n - {k})" for k in _LAGS)}), 6) AS ljung_box, round(m3 / pow(m2, 1.5), 6) AS skew, round(m4 / (m2 * m2) - 3, 6) AS kurt, round(vov, 6) AS vov_ratio, round(n / 6 * (pow(m3 / pow(m2, 1.5), 2) + pow(m4 / (m2 * m2) - 3, 2) / 4), 6) AS jarque_bera FROM q LEFT JOIN mo ON mo.symbol = q.symbol""")
 def bar_quality(t):
     return backtest.bar_quality(tick20(t))
 
@@ -615,7 +662,7 @@ def walk_forward_backtest(t):
     return pipelines.walk_forward_backtest(b, "signal", 2)
 
 
-@query()
+@query(_trades_sql(_MOMENTUM, 0, 0.0) + ", wide AS (SELECT tr.* EXCLUDE (ret), c.commission, s.slippage, ret - 2 * (c.commission + s.slippage) AS ret FROM tr, (VALUES (0.0::DOUBLE), (0.001::DOUBLE)) c(commission), (VALUES (0.0::DOUBLE), (0.0005::DOUBLE)) s(slippage))" + _statistics_sql("symbol, commission, slippage", "wide"))
 def cost_pressure(t):
     b = tick20(t).withColumn("signal", backtest.momentum_side("close", 3, R.BARS))
     return pipelines.cost_pressure(backtest.rolling_backtest(b, order=("bar_id",)), backtest.cost_grid((0.0, 0.001), (0.0, 0.0005)))
