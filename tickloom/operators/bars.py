@@ -112,8 +112,8 @@ def assign_dynamic_dollar_bars(tape: DataFrame, thresholds: DataFrame, day: Colu
     """Dollar bars whose limit is that of the trade's day; days without one take the last before, then the first after."""
     day = F.to_date(F.timestamp_micros(F.floor(F.col("ts_ns") / 1000))) if day is None else day
     joined = tape.withColumn("_day", day).join(thresholds.withColumnRenamed("day", "_day"), ["symbol", "_day"], "left")
-    back = _by_time().rowsBetween(0, Window.unboundedFollowing)
-    joined = joined.withColumn("limit", F.coalesce(F.last("limit", ignorenulls=True).over(_up_to()), F.first("limit", ignorenulls=True).over(back)))
+    back = Window.partitionBy("symbol").orderBy(F.desc("ts_ns"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
+    joined = joined.withColumn("limit", F.coalesce(F.last("limit", ignorenulls=True).over(_up_to()), F.last("limit", ignorenulls=True).over(back)))
     step, start = _threshold(True, lambda x: x["price"] * x["amount"] * multiplier, lambda x: x["limit"])
     return _close_fold(joined, step, start, ["price", "amount", "limit"]).drop("_day", "limit")
 

@@ -136,8 +136,8 @@ def _asof(left: DataFrame, right: DataFrame, at: str, value: str, forward: bool)
     names = left.columns
     a = left.select("symbol", F.col(at).alias("_t"), F.lit(0 if forward else 1).alias("_o"), F.struct(*names).alias("_row"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
     b = right.select("symbol", F.col("ts_ns").alias("_t"), F.lit(1 if forward else 0).alias("_o"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), F.col(value).alias("_v"))
-    w = Window.partitionBy("symbol").orderBy("_t", "_o")
-    pick = F.first("_v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)) if forward else F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    order = [F.desc("_t"), F.desc("_o")] if forward else ["_t", "_o"]  # a growing frame either way: a shrinking one costs its square
+    pick = F.last("_v", ignorenulls=True).over(Window.partitionBy("symbol").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return a.unionByName(b).withColumn(value, pick).where("_row is not null").select("_row.*", value)
 
 
