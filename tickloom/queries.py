@@ -5,6 +5,7 @@ Doubles are rounded on both sides, as sums depend on their order.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -687,3 +688,8 @@ def timing_metrics(t):
 def run_lengths(t):
     b = tick20(t).withColumn("r", R.ret("close", over=R.BARS)).withColumn("new", R.run_id("r", R.BARS)).withColumn("run", F.sum("new").over(R.BARS.up_to))
     return b.select("symbol", "bar_id", R.direction_run_length("r", "run", R.BARS).alias("length"))
+
+
+# A negative number that rounds to zero is -0.0 in DuckDB and 0.0 in Spark; adding zero makes it 0.0.
+for _name in ("rolling_spreads", "recursive_indicators", "volume_factors", "return_vol_factors", "money_flow_factors", "feature_ema", "psi_drift", "rolling_backtest", "backtest_statistics", "cost_pressure", "bar_quality"):
+    ORACLE_SQL[_name] = re.sub(r", 6\) AS (\w+)", r", 6) + 0.0::DOUBLE AS \1", ORACLE_SQL[_name])
