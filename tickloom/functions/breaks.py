@@ -54,8 +54,11 @@ def frac_diff_rolling(df: DataFrame, x: str, d: float, window: int, name: str =
 
 def expanding(x: np.ndarray, d: float, min_window: int = 10) -> np.ndarray:
     """Fractional difference over all rows so far; NaN before min_window."""
-    w = ffd_weights(d, 0.0, len(x))
-    out = np.convolve(x, w)[: len(x)] if len(x) else x.copy()
+    bad = np.flatnonzero(np.isnan(x))
+    out, n = np.full(len(x), np.nan), int(bad[0]) if len(bad) else len(x)  # a gap leaves nothing known after it
+    if n:
+        w, size = ffd_weights(d, 0.0, n), 1 << (2 * n - 1).bit_length()
+        out[:n] = np.fft.irfft(np.fft.rfft(x[:n], size) * np.fft.rfft(w, size), size)[:n]
     out[: min(min_window - 1, len(out))] = np.nan
     return out
 
@@ -70,6 +73,11 @@ def frac_diff_expanding(df: DataFrame, x: str, d: float, min_window: int = 10, n
     return fold(df, lambda: {"x": np.zeros(0)}, step, [x], f"{name} double", order=order)
 
 
+def frac_diff_both(df: DataFrame, x: str, d: float, window: int, order=ORDER) -> DataFrame:
+    """df with fracdiff_fixed (weights of the last window rows) and fracdiff_expanding (of all rows so far), to set one against the other."""
+    return frac_diff_expanding(frac_diff_rolling(df, x, d, window, "fracdiff_fixed", order), x, d, window, "fracdiff_expanding", order)
+
+
 def schwert_lag(n: int) -> int:
     return int(12 * (n / 100) ** 0.25) if n >= 10 else 1
 

@@ -103,6 +103,67 @@ def rolling_backtest(bars: DataFrame, signal: str = "signal", commission: float
 _TRADE = ("entry_ns", "exit_ns", "side", "entry_price", "exit_price", "ret", "bars_held", "reason")
 
 
+def touch_backtest(
+    bars: DataFrame, side: str = "side", touch: str = "touch", meta: str | None = None, reverse_meta: bool = False, multiplier: str | None = None, side_mode: str = "both",
+    min_hold: int = 0, cooldown: int = 0, prob: str | None = None, entry_threshold: float = 0.5, reverse_delta: float = 0.0, order=ORDER,
+) -> DataFrame:
+    """Trades (symbol, entry_ns, exit_ns, side, entry_price, exit_price, pnl, ret, reason, multiplier) of labelled signals, one position a symbol.
+
+    A row with a side that is not null or 0 is a signal; touch is the row (from 0, in the symbol's order) where its
+    label ends, of no effect where there is no such row.  Signals whose meta is not 1 are left out, or with
+    reverse_meta those whose meta is 0 take the other side.  A signal fills at the next row's open (close where there
+    is none).  At each signal a position whose touch lies before it has left at the touch row's close ("touch");
+    cooldown rows pass before an entry; an opposite signal reverses ("reverse") after min_hold rows, and with
+    reverse_delta only where prob is known and at least entry_threshold + reverse_delta.  The last position leaves at
+    its touch, or at the last close ("final").  pnl is signed; ret is the log of exit over entry whatever the side;
+    both are times the multiplier at entry (null: 1).  Only signals enter the fold, which keeps nothing but the position.
+    """
+    of = {"both": F.lit(True), "long": F.col("_side") == 1, "short": F.col("_side") == -1}[side_mode]
+    w = Window.partitionBy("symbol").orderBy(*order)
+    fill = "open" if "open" in bars.columns else "close"
+    given = F.col(side).cast("int")
+    if meta and reverse_meta:
+        given = F.when(F.col(meta).cast("int") == 0, -given).otherwise(given)
+    at = bars.select(
+        "symbol", *order, (F.row_number().over(w) - 1).cast("double").alias("_n"), F.col("ts_ns").alias("_t"), F.col("close").cast("double").alias("_c"), given.alias("_side"), F.col(touch).cast("double").alias("_touch"),
+        F.lead("ts_ns").over(w).alias("_ft"), F.lead(fill).over(w).cast("double").alias("_fp"), F.coalesce(F.col(multiplier).cast("double") if multiplier else F.lit(None), F.lit(1.0)).alias("_m"),
+        (F.col(prob).cast("double") if prob else F.lit(None).cast("double")).alias("_prob"), (F.col(meta).cast("int") == 1 if meta and not reverse_meta else F.lit(True)).alias("_keep"),
+    )
+    ends = at.select("symbol", F.col("_n").alias("_touch"), F.col("_c").alias("_tc"), F.col("_t").alias("_tt"))
+    last = at.groupBy("symbol").agg(F.max_by("_c", "_n").alias("_lc"), F.max_by("_t", "_n").alias("_lt"))
+    signals = at.where((F.col("_side") != 0) & of & F.col("_keep") & F.col("_ft").isNotNull()).join(ends, ["symbol", "_touch"], "left").join(last, "symbol")
+    signals = signals.withColumn("_touch", F.when(F.col("_tt").isNotNull(), F.col("_touch"))).fillna({"_tt": 0}).withColumn("_end", F.lead("_n").over(w).isNull())
+    inputs = ["_n", "_side", "_touch", "_tc", "_tt", "_ft", "_fp", "_m", "_prob", "_lc", "_lt", "_end"]
+
+    def step(s, c):
+        found: list[list | None] = []
+        for n, g, to, tc, tt, ft, fp, m, p, lc, lt, end in zip(*[c[k].tolist() for k in inputs]):
+            here: list[dict] = []
+
+            def leave(t, price, reason, row):
+                ratio = price / s["price"] if s["price"] else float("nan")
+                here.append({"entry_ns": s["t"], "exit_ns": t, "side": s["side"], "entry_price": s["price"], "exit_price": price, "pnl": (price - s["price"]) * s["side"] * s["m"], "ret": math.log(ratio) * s["m"] if ratio > 0 else None, "reason": reason, "multiplier": s["m"]})
+                s.update(side=0, left=row)
+
+            if s["side"] and s["touch"] < n:  # false where the touch is NaN
+                leave(s["tt"], s["tc"], "touch", s["touch"])
+            go = not s["side"] and (s["left"] is None or cooldown <= 0 or n + 1 - s["left"] > cooldown)
+            if s["side"] and s["side"] != g and n + 1 - s["at"] >= min_hold and (reverse_delta <= 0 or p >= entry_threshold + reverse_delta):
+                leave(ft, fp, "reverse", n + 1)
+                go = True
+            if go:
+                s.update(side=g, at=n + 1, t=ft, price=fp, m=m, touch=to, tc=tc, tt=tt)
+            if end and s["side"]:
+                leave(*((s["tt"], s["tc"]) if s["touch"] > s["at"] else (lt, lc)), "final", n)
+            found.append(here or None)
+        return {"_trades": found}
+
+    start = lambda: {"side": 0, "left": None, "touch": float("nan")}
+    kinds = "_trades array<struct<entry_ns:long,exit_ns:long,side:int,entry_price:double,exit_price:double,pnl:double,ret:double,reason:string,multiplier:double>>"
+    out = fold(signals, start, step, inputs, kinds, order=order)
+    return out.where("_trades is not null").select("symbol", F.explode("_trades").alias("_x")).select("symbol", "_x.*")
+
+
 def trade_statistics(trades: DataFrame, by: Sequence[str] = ("symbol",), per_year: float = 252.0) -> DataFrame:
     """Per group: trades, win rate, total, mean, profit factor, payoff ratio, Sharpe ratio and greatest drawdown of the summed returns."""
     w = Window.partitionBy(*by).orderBy("exit_ns", "entry_ns").rowsBetween(Window.unboundedPreceding, 0)
@@ -227,7 +288,7 @@ def bar_quality(bars: DataFrame, close: str = "close", lags: int = 10, over: Ove
 
 
 def event_uniqueness(events: DataFrame, bars: int) -> DataFrame:
-    """Per symbol, the mean uniqueness of events (symbol, rn) that each last bars rows: closed form over neighbouring events."""
+    """Per symbol, the mean uniqueness of events (symbol, rn) that each last bars rows; an event is spread over its bars + 1 rows."""
     spans = events.select("symbol", F.explode(F.sequence(F.col("rn"), F.col("rn") + bars)).alias("at"), "rn")
     open_ = spans.withColumn("_c", F.count("*").over(Window.partitionBy("symbol", "at")))
     return open_.groupBy("symbol", "rn").agg(F.avg(1 / F.col("_c")).alias("_u")).groupBy("symbol").agg(F.avg("_u").alias("uniqueness"))

@@ -258,11 +258,12 @@ def explode_footprints(arrays: DataFrame, tick: float) -> DataFrame:
     return out.withColumn("price", F.col("level") * tick).orderBy("symbol", "bar_id", F.desc("price"))
 
 
-def volume_profile(levels: DataFrame, bars: DataFrame, window_ns: int, tick: float, share: float = 0.6834) -> DataFrame:
+def volume_profile(levels: DataFrame, bars: DataFrame, window_ns: int, tick: float, share: float = 0.6834, bins: int | None = None) -> DataFrame:
     """(symbol, bar_id, poc, hva, lva, pct_above_poc) of the levels of each bar and the bars up to window_ns before it.
 
     Bars are joined to their window by time buckets of window_ns, so a bar meets two buckets, not all bars.
     The value area grows from the level of most volume by the two levels on the side that has more, both sides at a tie.
+    With bins, the levels are first put together in about so many of one width.
     """
     times = bars.select("symbol", "bar_id", "ts_ns")
     left = times.withColumn("_k", F.explode(F.array(F.floor(F.col("ts_ns") / window_ns), F.floor(F.col("ts_ns") / window_ns) - 1)))
@@ -276,17 +277,60 @@ def volume_profile(levels: DataFrame, bars: DataFrame, window_ns: int, tick: flo
         import pandas as pd
 
         for f in frames:
-            rows = [profile_area(np.array([x["level"] for x in p]), np.array([x["_v"] for x in p]), share) for p in f["_p"]]
+            rows = [profile_area(np.array([x["level"] for x in p]), np.array([x["_v"] for x in p]), share, bins) for p in f["_p"]]
             poc, hva, lva, above = zip(*rows) if rows else ((), (), (), ())
             yield pd.DataFrame({"symbol": f["symbol"], "bar_id": f["bar_id"], "poc": [x * tick for x in poc], "hva": [x * tick for x in hva], "lva": [x * tick for x in lva], "pct_above_poc": above})
 
     return full.select("symbol", "bar_id", "_p").mapInPandas(profiles, "symbol string, bar_id long, poc double, hva double, lva double, pct_above_poc double")
 
 
-def profile_area(level: np.ndarray, volume: np.ndarray, share: float = 0.6834) -> tuple[float, float, float, float]:
+def volume_profile_between(levels: DataFrame, bars: DataFrame, start_ns: int, end_ns: int, window_ns: int, tick: float, share: float = 0.6834, bins: int | None = None) -> DataFrame:
+    """volume_profile of the bars from start_ns to end_ns; the window before start_ns is read too, so the first bars have theirs whole where the bars reach back so far."""
+    near = bars.where(F.col("ts_ns").between(start_ns - window_ns, end_ns))
+    inside = near.where(F.col("ts_ns") >= start_ns).select("symbol", "bar_id")
+    return volume_profile(levels, near, window_ns, tick, share, bins).join(inside, ["symbol", "bar_id"], "left_semi")
+
+
+def developing_profile(levels: DataFrame, bars: DataFrame, tick: float, start_ns: int | None = None, end_ns: int | None = None, share: float = 0.6834, bins: int | None = None) -> DataFrame:
+    """(symbol, bar_id, ts_ns, poc, hva, lva, pct_above_poc) after each bar from start_ns to end_ns of all volume since start_ns.
+
+    A fold: the state is one sum for each level between a symbol's lowest and highest so far.  A bar before
+    which nothing was bought or sold has nulls.
+    """
+    at = F.col("ts_ns")
+    inside = (F.lit(True) if start_ns is None else at >= start_ns) & (F.lit(True) if end_ns is None else at <= end_ns)
+    one = levels.groupBy("symbol", "bar_id").agg(F.sort_array(F.collect_list(F.struct("level", (F.col("buy_volume") + F.col("sell_volume")).cast("double").alias("v")))).alias("_p"))
+    rows = bars.where(inside).select("symbol", "bar_id", "ts_ns").join(one, ["symbol", "bar_id"]).select("symbol", "bar_id", "ts_ns", F.col("_p.level").alias("_level"), F.col("_p.v").alias("_volume"))
+
+    def step(s, c):
+        out = {k: np.full(len(c["_level"]), np.nan) for k in ("poc", "hva", "lva", "pct_above_poc")}
+        for i, (level, volume) in enumerate(zip(c["_level"], c["_volume"])):
+            if not len(level):
+                continue
+            low, high = int(level[0]), int(level[-1])
+            if not len(s["sum"]):
+                s["low"] = low
+            before, after = max(0, s["low"] - low), max(0, high - (s["low"] + len(s["sum"]) - 1))
+            s["sum"], s["low"] = np.pad(s["sum"], (before, after)), s["low"] - before
+            s["sum"][np.asarray(level) - s["low"]] += volume
+            if s["sum"].any():
+                area = profile_area(s["low"] + np.arange(len(s["sum"])), s["sum"], share, bins)
+                for k, v in zip(out, area):
+                    out[k][i] = v if k == "pct_above_poc" else v * tick
+        return out
+
+    made = fold(rows, lambda: {"low": 0, "sum": np.zeros(0)}, step, ["_level", "_volume"], "poc double, hva double, lva double, pct_above_poc double", order=("ts_ns", "bar_id"))
+    return made.drop("_level", "_volume")
+
+
+def profile_area(level: np.ndarray, volume: np.ndarray, share: float = 0.6834, bins: int | None = None) -> tuple[float, float, float, float]:
     """Level of most volume, highest and lowest level of the value area, share of volume above the first."""
-    dense = np.zeros(int(level[-1] - level[0]) + 1)
+    names = np.arange(int(level[0]), int(level[-1]) + 1)
+    dense = np.zeros(len(names))
     dense[(level - level[0]).astype(int)] = volume
+    if bins is not None and dense.any():
+        used = np.flatnonzero(dense)
+        names, dense = rebin_levels(names[used[0] : used[-1] + 1], dense[used[0] : used[-1] + 1], bins)
     total, at = dense.sum(), int(dense.argmax())
     lo = hi = at
     inside = dense[at]
@@ -298,17 +342,32 @@ def profile_area(level: np.ndarray, volume: np.ndarray, share: float = 0.6834) -
             hi, inside = min(len(dense) - 1, hi + 2), inside + up
         if grow_down:
             lo, inside = max(0, lo - 2), inside + down
-    base = float(level[0])
-    return base + at, base + hi, base + lo, float(dense[at + 1 :].sum() / total) if total else 0.0
+    return float(names[at]), float(names[hi]), float(names[lo]), float(dense[at + 1 :].sum() / total) if total else 0.0
 
 
 def rebin_levels(level: np.ndarray, volume: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most bins levels of one odd width (the rest at the top), each named by its middle."""
-    width = max(1, (int(level[-1]) - int(level[0]) + 1) // bins) | 1
-    k = (level - level[0]) // width
-    left = level[0] + np.arange(int(k.max()) + 1) * width
-    right = np.minimum(left + width - 1, level[-1])
-    return (left + right) // 2, np.bincount(k.astype(int), volume, len(left))
+    """About bins levels of one odd width, each named by its middle; a highest level that begins a width is its own."""
+    low, high = int(level[0]), int(level[-1])
+    width = max(1, (high - low) // bins) | 1
+    k = ((level - low) // width).astype(int)
+    names = low + np.arange(int(k.max()) + 1) * width + width // 2
+    if (high - low) % width == 0:
+        names[-1] = high
+    return names, np.bincount(k, volume, len(names))
+
+
+def footprint_ok(levels: DataFrame) -> DataFrame:
+    """(symbol, bar_id, ok): whether a bar's levels have no gap, no repeat, no null and no volume or tick count below 0."""
+    parts = ("buy_volume", "sell_volume", "buy_ticks", "sell_ticks")
+    good = F.count_if(F.least(*parts) >= 0) == F.count("*")
+    whole = F.coalesce((F.max("level") - F.min("level") + 1 == F.count("*")) & (F.count_distinct("level") == F.count("*")), F.lit(False))
+    known = F.count_if(F.col("buy_imbalance").isNull() | F.col("sell_imbalance").isNull() | F.least(*[F.col(c).isNotNull() for c in parts]).eqNullSafe(False)) == 0
+    return levels.groupBy("symbol", "bar_id").agg((good & whole & known).alias("ok"))
+
+
+def footprints_between(levels: DataFrame, bars: DataFrame, start_ns: int, end_ns: int) -> DataFrame:
+    """The levels of the bars that close from start_ns to end_ns."""
+    return levels.join(bars.where(F.col("ts_ns").between(start_ns, end_ns)).select("symbol", "bar_id"), ["symbol", "bar_id"], "left_semi")
 
 
 def session_date(ts: Column, from_hour: int = 21) -> Column:

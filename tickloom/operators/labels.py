@@ -51,6 +51,21 @@ def dynamic_cusum_events(df: DataFrame, price: str = "close", span: int = 50, mu
     return cusum_events(rows.withColumn("threshold", F.col("vol") * mult), "log_ret", "threshold", order=order)
 
 
+def z_peaks(x: str, n: int, threshold: float = 3.0, over: Over = TAPE) -> Column:
+    """1 or -1 where x lies over threshold deviations above or below the mean of the n rows before it, else 0; null until they are known."""
+    before = over.rows(n, -1)
+    d, limit = F.col(x) - F.avg(x).over(before), threshold * F.stddev_samp(x).over(before)
+    return F.when(F.col(x).isNotNull() & (F.count(x).over(before) == n), F.when(F.abs(d) > limit, F.signum(d)).otherwise(0).cast("int"))
+
+
+def first_touch(price: str, target: float | str, horizon: int, over: Over = TAPE) -> Column:
+    """The row (from 0) of the first of the next horizon rows whose log return reaches target either way, else the last of them; null where the rows end before."""
+    at = F.row_number().over(over.all) - 1
+    limit = F.lit(float(target)) if isinstance(target, (int, float)) else F.col(target)
+    hit = [F.when(F.abs(F.ln(F.try_divide(F.lead(price, k).over(over.all), F.col(price)))) >= limit, at + k) for k in range(1, horizon + 1)]
+    return F.coalesce(*hit, F.when(F.lead(price, horizon).over(over.all).isNotNull(), at + horizon))
+
+
 def label_events(events: DataFrame, prices: DataFrame, min_target: float, vertical_ns: int) -> DataFrame:
     """events (symbol, ts_ns, target, ...) whose target is known and at least min_target and whose horizon lies within the prices."""
     last = prices.groupBy("symbol").agg(F.max("ts_ns").alias("_last"))

@@ -7,6 +7,7 @@ a few fold ranges only (broadcast; their number is a parameter).
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Callable, Sequence
@@ -40,16 +41,24 @@ def fold_bounds(n: int, folds: int) -> list[tuple[int, int]]:
 
 
 def _splits(df: DataFrame, tests: list[list[tuple[int, int]]], embargo: int) -> DataFrame:
-    """Rows of each split: test inside a range, train outside unless the row's [start, t1] meets a test range's or it lies in the embargo after one."""
-    spark = df.sparkSession
-    ranges = spark.createDataFrame([(k, a, b) for k, t in enumerate(tests) for a, b in t], "split_id int, _a long, _b long")
-    df = df.select("row_id", "ts_ns", "t1_ns")
-    spans = df.join(F.broadcast(ranges), (F.col("row_id") >= F.col("_a")) & (F.col("row_id") < F.col("_b"))).groupBy("split_id", "_a", "_b").agg(F.min("ts_ns").alias("_from"), F.max(F.greatest("ts_ns", F.coalesce("t1_ns", "ts_ns"))).alias("_to"))
-    rows = df.select("row_id", "ts_ns", F.coalesce("t1_ns", "ts_ns").alias("t1"))
-    met = (F.col("ts_ns") < F.col("_to")) & (F.col("t1") > F.col("_from"))
-    late = (F.col("row_id") >= F.col("_b")) & (F.col("row_id") < F.col("_b") + embargo)
-    inside = (F.col("row_id") >= F.col("_a")) & (F.col("row_id") < F.col("_b"))
-    seen = rows.join(F.broadcast(spans), F.lit(True)).groupBy("split_id", "row_id").agg(F.max(inside).alias("test"), F.max(met | late).alias("out"))
+    """Rows of each split: test inside a range, train outside unless the row's [start, t1] meets a test range's or it lies in the embargo after one.
+
+    The times of the test ranges, of which there are as many as folds, are gathered first; then each row is judged by itself.
+    """
+    df = df.select("row_id", "ts_ns", F.greatest("ts_ns", F.coalesce("t1_ns", "ts_ns")).alias("_end"), F.coalesce("t1_ns", "ts_ns").alias("t1"))
+    folds = sorted({r for t in tests for r in t})
+    i = F.col("row_id")
+    inside = [(i >= a) & (i < b) for a, b in folds]
+    times = df.agg(*[F.min(F.when(x, F.col("ts_ns"))).alias(f"a{k}") for k, x in enumerate(inside)], *[F.max(F.when(x, F.col("_end"))).alias(f"b{k}") for k, x in enumerate(inside)]).first()
+    near = []
+    for k, (_, b) in enumerate(folds):
+        met = F.lit(False) if times[f"a{k}"] is None else (F.col("ts_ns") < times[f"b{k}"]) & (F.col("t1") > times[f"a{k}"])
+        near.append(met | ((i >= b) & (i < b + embargo)))
+    rows = df.select("row_id", F.array(*inside).alias("_in"), F.array(*near).alias("_near"))
+    of = {r: k for k, r in enumerate(folds)}
+    any_ = lambda c, t: functools.reduce(lambda x, y: x | y, [F.col(c)[of[r]] for r in t])
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("split_id"), any_("_in", t).alias("test"), any_("_near", t).alias("out")) for k, t in enumerate(tests)]))
+    seen = rows.select("row_id", each.alias("_s")).select("_s.*", "row_id")
     return seen.where(F.col("test") | ~F.col("out")).select("split_id", "row_id", F.when(F.col("test"), "test").otherwise("train").alias("role"))
 
 
@@ -157,12 +166,16 @@ def walk_forward(n: int, train: int, test: int, step: int | None = None, embargo
 
 
 def walk_forward_splits(df: DataFrame, train: int, test: int, step: int | None = None, embargo_pct: float = 0.01) -> DataFrame:
-    """(split_id, row_id, role) of sliding windows over row_id."""
-    rows = [(k, *r) for k, r in enumerate(walk_forward(df.count(), train, test, step, embargo_pct))]
-    table = df.sparkSession.createDataFrame(rows, "split_id int, _a long, _b long, _c long, _d long")
+    """(split_id, row_id, role) of sliding windows over row_id; the splits of a row follow from its number."""
+    gap, hop = int(test * embargo_pct), step or test
+    width, n = train + gap + test, df.count()
+    splits = 0 if n < width else (n - width) // hop + 1
     i = F.col("row_id")
-    role = F.when((i >= F.col("_a")) & (i < F.col("_b")), "train").when((i >= F.col("_c")) & (i < F.col("_d")), "test")
-    return df.select("row_id").join(F.broadcast(table), (i >= F.col("_a")) & (i < F.col("_d"))).select("split_id", "row_id", role.alias("role")).where("role is not null")
+    first, last = F.greatest(F.lit(0), F.floor((i - width) / hop) + 1), F.least(F.lit(splits - 1), F.floor(i / hop))
+    rows = df.select("row_id").where(first <= last).withColumn("split_id", F.explode(F.sequence(first, last).cast("array<int>")))
+    at = i - F.col("split_id") * hop
+    role = F.when(at < train, "train").when(at >= train + gap, "test")
+    return rows.select("split_id", "row_id", role.alias("role")).where("role is not null")
 
 
 def walk_forward_validate(df: DataFrame, splits: DataFrame, strategy: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray], per_year: float = 252.0) -> DataFrame:

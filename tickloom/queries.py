@@ -205,6 +205,13 @@ def volume_profile(t):
     return bars.volume_profile(bars.footprints(b, 10.0), bars.ohlcv(b), 2 * DAY, 10.0)
 
 
+@query()
+def developing_profile(t):
+    """Value areas that grow from a symbol's first bar on; held against a plain loop in the tests."""
+    b = bars.assign_tick_bars(tape.tick_rule(t), 20)
+    return bars.developing_profile(bars.footprints(b, 10.0), bars.ohlcv(b), 10.0)
+
+
 @query(_BARS + """, b AS (SELECT *, ts_ns - ts_ns % 86400000000000 AS k FROM ohlc), c AS (SELECT *, sum(trades) OVER (PARTITION BY symbol, k ORDER BY median_trade_size, ts_ns) AS cum, sum(trades) OVER (PARTITION BY symbol, k) AS al FROM b)
  SELECT symbol, k AS ts_start_ns, round(arg_min(open, ts_ns), 6) AS open, round(max(high), 6) AS high, round(min(low), 6) AS low, round(arg_max(close, ts_ns), 6) AS close, round(sum(volume), 6) AS volume, CAST(sum(trades) AS BIGINT) AS trades, round(sum(vwap * volume) / sum(volume), 6) AS vwap, round(min(CASE WHEN cum >= 0.5 * al THEN median_trade_size END), 6) AS median_trade_size FROM c GROUP BY symbol, k""")
 def resampled_bars(t):
@@ -460,6 +467,11 @@ def money_flow_factors(t):
 _LOGS = _TAPE + ", n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_ns, seq) AS rn, ln(price) - ln(lag(price) OVER (PARTITION BY symbol ORDER BY ts_ns, seq)) AS x FROM tape)"
 
 
+@query(_TAPE + ", b AS (SELECT *, count(price) OVER w AS n, avg(price) OVER w AS m, stddev_samp(price) OVER w AS d FROM tape WINDOW w AS (PARTITION BY symbol ORDER BY ts_ns, seq ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) SELECT symbol, seq, CASE WHEN n = 20 THEN CASE WHEN abs(price - m) > 2 * d THEN CAST(sign(price - m) AS INTEGER) ELSE 0 END END AS event FROM b")
+def z_score_peaks(t):
+    return t.select("symbol", "seq", labels.z_peaks("price", 20, 2.0).alias("event"))
+
+
 _CUSUM = _LOGS + """, f AS (SELECT symbol, rn, 0.0::DOUBLE AS up, 0.0::DOUBLE AS dn, 0.0::DOUBLE AS s_up, 0.0::DOUBLE AS s_down, 0 AS event FROM n WHERE rn = 1 UNION ALL
  SELECT n.symbol, n.rn, CASE WHEN NOT least(0, f.dn + n.x) < -3 AND greatest(0, f.up + n.x) > 3 THEN 0 ELSE greatest(0, f.up + n.x) END, CASE WHEN least(0, f.dn + n.x) < -3 THEN 0 ELSE least(0, f.dn + n.x) END, greatest(0, f.up + n.x), least(0, f.dn + n.x), CASE WHEN least(0, f.dn + n.x) < -3 THEN -1 WHEN greatest(0, f.up + n.x) > 3 THEN 1 ELSE 0 END FROM f JOIN n ON n.symbol = f.symbol AND n.rn = f.rn + 1)"""
 
@@ -540,6 +552,18 @@ def combinatorial_purged(t):
     return validation.combinatorial_purged(rows, 6, 2).withColumn("split_id", F.col("split_id").cast("long"))
 
 
+@query(_TAPE + ", r AS (SELECT row_number() OVER (ORDER BY ts_ns, symbol, seq) - 1 AS i, count(*) OVER () AS n FROM tape), k AS (SELECT unnest(generate_series(0, (n - 121) // 20)) AS k FROM (SELECT DISTINCT n FROM r)) SELECT CAST(k AS INTEGER) AS split_id, i AS row_id, CASE WHEN i - k * 20 < 100 THEN 'train' ELSE 'test' END AS role FROM r JOIN k ON i BETWEEN k * 20 AND k * 20 + 120 AND i <> k * 20 + 100")
+def walk_forward_splits(t):
+    return validation.walk_forward_splits(validation.with_row_id(t, "ts_ns", "symbol", "seq"), 100, 20, embargo_pct=0.05)
+
+
+@query(_BARS + """, w AS (SELECT 0::BIGINT AS k, 1.0::DOUBLE AS w UNION ALL SELECT k + 1, -w * (0.4 - k) / (k + 1) FROM w WHERE k < (SELECT max(bar_id) FROM ohlc)),
+ s AS (SELECT a.symbol, a.bar_id, sum(w * b.close) AS whole, sum(CASE WHEN k < 20 THEN w * b.close END) AS fixed FROM ohlc a JOIN ohlc b ON a.symbol = b.symbol AND b.bar_id <= a.bar_id JOIN w ON k = a.bar_id - b.bar_id GROUP BY 1, 2)
+ SELECT symbol, bar_id, round(CASE WHEN bar_id >= 19 THEN fixed END, 4) AS fracdiff_fixed, round(CASE WHEN bar_id >= 19 THEN whole END, 4) AS fracdiff_expanding FROM s""", digits=4)
+def frac_diff_comparison(t):
+    return breaks.frac_diff_both(tick20(t), "close", 0.4, 20, order=("bar_id",)).select("symbol", "bar_id", "fracdiff_fixed", "fracdiff_expanding")
+
+
 @query(_TAPE + """, v AS (SELECT 'price' AS feature, seq % 2 = 0 AS tr, price AS v FROM tape UNION ALL SELECT 'amount', seq % 2 = 0, amount FROM tape),
  ed AS (SELECT DISTINCT feature, unnest(quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS e FROM v WHERE tr GROUP BY feature),
  bins AS (SELECT feature, row_number() OVER (PARTITION BY feature ORDER BY e) AS bin FROM ed UNION ALL SELECT DISTINCT feature, 0 FROM ed),
@@ -588,6 +612,32 @@ def rolling_backtest(t):
     return backtest.rolling_backtest(b, min_hold=2, commission=0.0005, order=("bar_id",))
 
 
+def _touch_sql(cooldown: int, hold: int, sure: float) -> str:
+    """The trades of signals that leave at their touch row: one step a signal, the position in the step's columns."""
+    hit = "(b.side <> 0 AND b.touch IS NOT NULL AND b.touch < q.i)"
+    return _BARS + f""", bb AS (SELECT symbol, bar_id AS i, ts_ns, open, close, CAST(sign(close / lag(close, 3) OVER w - 1) AS INTEGER) AS side, CASE WHEN count(volume) OVER {_frame(5)} = 5 THEN volume / (volume + avg(volume) OVER {_frame(5)}) END AS prob,
+  lead(ts_ns) OVER w AS ft, lead(open) OVER w AS fp, max(bar_id) OVER (PARTITION BY symbol) AS last FROM ohlc WINDOW w AS (PARTITION BY symbol ORDER BY bar_id)),
+ tc AS (SELECT a.symbol, a.i, min(b.i) AS t FROM bb a JOIN bb b ON a.symbol = b.symbol AND b.i BETWEEN a.i + 1 AND a.i + 6 AND abs(ln(b.close / a.close)) >= 0.8 GROUP BY 1, 2),
+ sg AS (SELECT bb.*, coalesce(tc.t, CASE WHEN bb.i + 6 <= last THEN bb.i + 6 END) AS touch, row_number() OVER (PARTITION BY bb.symbol ORDER BY bb.i) AS k, count(*) OVER (PARTITION BY bb.symbol) AS n FROM bb LEFT JOIN tc ON tc.symbol = bb.symbol AND tc.i = bb.i WHERE side <> 0 AND prob >= 0.45 AND ft IS NOT NULL),
+ sq AS (SELECT sg.*, x.close AS tp, x.ts_ns AS tt, y.close AS lp, y.ts_ns AS lt, CASE WHEN sg.prob >= 0.5 THEN 2.0 ELSE 1.0 END AS m FROM sg LEFT JOIN bb x ON x.symbol = sg.symbol AND x.i = sg.touch JOIN bb y ON y.symbol = sg.symbol AND y.i = sg.last),
+ st AS (SELECT DISTINCT symbol, 0::BIGINT AS k, 0 AS side, 0::BIGINT AS since, 0::BIGINT AS t, 0.0::DOUBLE AS price, 0.0::DOUBLE AS m, NULL::BIGINT AS touch, NULL::DOUBLE AS tp, NULL::BIGINT AS tt, NULL::BIGINT AS gone, NULL::VARCHAR AS reason, 0 AS o_side, 0::BIGINT AS o_t, 0.0::DOUBLE AS o_price, 0.0::DOUBLE AS o_m, 0::BIGINT AS x_t, 0.0::DOUBLE AS x_price FROM sq UNION ALL
+  SELECT symbol, k, CASE WHEN enter OR turn THEN q_side ELSE p1 END, CASE WHEN enter OR turn THEN i + 1 ELSE since END, CASE WHEN enter OR turn THEN ft ELSE t END, CASE WHEN enter OR turn THEN fp ELSE price END, CASE WHEN enter OR turn THEN q_m ELSE m END, CASE WHEN enter OR turn THEN q_touch ELSE touch END, CASE WHEN enter OR turn THEN q_tp ELSE tp END, CASE WHEN enter OR turn THEN q_tt ELSE tt END,
+   CASE WHEN turn THEN i + 1 ELSE gone1 END, CASE WHEN hit THEN 'touch' WHEN turn THEN 'reverse' END, side, t, price, m, CASE WHEN hit THEN tt ELSE ft END, CASE WHEN hit THEN tp ELSE fp END
+  FROM (SELECT *, p1 = 0 AND (gone1 IS NULL OR i + 1 - gone1 > {cooldown}) AS enter, p1 <> 0 AND p1 <> q_side AND i + 1 - since >= {hold} AND prob >= {sure} AS turn
+   FROM (SELECT b.symbol, q.k, b.side, b.since, b.t, b.price, b.m, b.touch, b.tp, b.tt, q.i, q.side AS q_side, q.ft, q.fp, q.m AS q_m, q.touch AS q_touch, q.tp AS q_tp, q.tt AS q_tt, q.prob, {hit} AS hit, CASE WHEN {hit} THEN 0 ELSE b.side END AS p1, CASE WHEN {hit} THEN b.touch ELSE b.gone END AS gone1 FROM st b JOIN sq q ON q.symbol = b.symbol AND q.k = b.k + 1) z1) z2),
+ tr AS (SELECT symbol, o_t AS entry_ns, x_t AS exit_ns, o_side AS side, o_price AS entry_price, x_price AS exit_price, o_m AS multiplier, reason FROM st WHERE reason IS NOT NULL
+  UNION ALL SELECT st.symbol, st.t, CASE WHEN st.touch > st.since THEN st.tt ELSE lt END, st.side, st.price, CASE WHEN st.touch > st.since THEN st.tp ELSE lp END, st.m, 'final' FROM st JOIN sq ON sq.symbol = st.symbol AND sq.k = st.k AND sq.k = sq.n WHERE st.side <> 0)"""
+
+
+@query(_touch_sql(1, 2, 0.5) + " SELECT symbol, entry_ns, exit_ns, side, round(entry_price, 6) AS entry_price, round(exit_price, 6) AS exit_price, round((exit_price - entry_price) * side * multiplier, 6) AS pnl, round(ln(exit_price / entry_price) * multiplier, 6) AS ret, reason, round(multiplier, 6) AS multiplier FROM tr")
+def touch_backtest(t):
+    """Momentum signals filtered by volume, sized by it, leaving at the first touch of a log return of 0.8 or after 6 bars."""
+    prob = F.col("volume") / (F.col("volume") + R.sma("volume", 5, R.BARS))
+    b = tick20(t).withColumns({"side": backtest.momentum_side("close", 3, R.BARS), "prob": prob, "touch": labels.first_touch("close", 0.8, 6, R.BARS)})
+    b = b.withColumns({"meta": (F.col("prob") >= 0.45).cast("int"), "m": F.when(F.col("prob") >= 0.5, 2.0).otherwise(1.0)})
+    return backtest.touch_backtest(b, meta="meta", prob="prob", multiplier="m", cooldown=1, min_hold=2, entry_threshold=0.4, reverse_delta=0.1, order=("bar_id",))
+
+
 @query(_trades_sql(_AVERAGE, 0, 0.0) + _statistics_sql("symbol", "tr"))
 def backtest_statistics(t):
     b = tick20(t).withColumn("signal", backtest.ma_side("close", 5, R.BARS))
