@@ -181,6 +181,12 @@ def test_streaming_bars_equal_batch_bars(spark, tmp_path):
     new = sum(len(live.update(int(t), p, a)) for t, p, a in zip(pdf["ts_ns"], pdf["price"], pdf["amount"]))
     assert new == len(live.bars()) and live.on_bar(live.bars())["safe_mode"]
     live.save(str(tmp_path / "s.json"))
+    again = LiveRuntime(1500.0, symbols={"a": "a2601"})
+    again.load(str(tmp_path / "s.json"))
+    assert again.bars().equals(live.bars()) and again.last_ns == live.last_ns and not len(again.update(int(pdf["ts_ns"][0]), pdf["price"][0], pdf["amount"][0]))
+    assert again.resolve("a") == "a2601"
+    with pytest.raises(KeyError):
+        again.resolve("b")
 
 
 def test_month_store_and_csv_zip(spark, tmp_path):

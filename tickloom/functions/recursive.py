@@ -10,7 +10,9 @@ import math
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from tickloom.functions.rolling import Over, bar_duration
 from tickloom.operators.fold import ORDER, fold
 
 
@@ -51,6 +53,14 @@ def ewma(df: DataFrame, x: str, span: int, name: str = "ewma", order=ORDER) -> D
     return fold(df, lambda: {"top": 0.0, "weight": 0.0}, step, [x], f"{name} double", order=order)
 
 
+def bar_duration_ewma(df: DataFrame, span: int = 20, name: str = "bar_duration_ewma", order=ORDER) -> DataFrame:
+    """Adjusted exponential average of the seconds since the row before; the first row has none and is null."""
+    over = Over(order=tuple(order))
+    rows = df.withColumn("_s", bar_duration(1, over))
+    known = ewma(rows.withColumn("_x", F.coalesce("_s", F.lit(0.0))).withColumn("_w", F.col("_s").isNotNull().cast("double")), "_x", span, "_top", order)
+    return ewma(known, "_w", span, "_weight", order).withColumn(name, F.when(F.col("_s").isNotNull(), F.try_divide("_top", "_weight"))).drop("_s", "_x", "_w", "_top", "_weight")
+
+
 def ew_std(df: DataFrame, x: str, span: int, name: str = "ewms", order=ORDER) -> DataFrame:
     """Bias-corrected exponential standard deviation; a null keeps its place in time and adds nothing."""
     a = 1 - 2 / (span + 1)

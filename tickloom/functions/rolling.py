@@ -117,6 +117,11 @@ def zscore(x, n: int, ddof: int = 0, over: Over = TAPE) -> Column:
     return div(col(x) - sma(x, n, over), rolling_std(x, n, ddof, over))
 
 
+def mean_reversion(x="close", n: int = 48, over: Over = TAPE) -> Column:
+    """Distance to the moving average in sample deviations."""
+    return zscore(x, n, 1, over)
+
+
 def burst_ratio(x, n: int, over: Over = TAPE) -> Column:
     median = full(col(x), n, over, F.percentile(col(x), F.lit(0.5)).over(over.rows(n)))
     return F.when(median > 0, div(col(x), median))

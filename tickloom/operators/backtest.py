@@ -294,6 +294,35 @@ def event_uniqueness(events: DataFrame, bars: int) -> DataFrame:
     return open_.groupBy("symbol", "rn").agg(F.avg(1 / F.col("_c")).alias("_u")).groupBy("symbol").agg(F.avg("_u").alias("uniqueness"))
 
 
+def event_turnover(events: DataFrame, bars: DataFrame) -> DataFrame:
+    """(symbol, events, turnover, mean_gap_hours) of each symbol of bars: events a year times the mean events of a day that has any; the mean time between events.
+
+    A year is 365.25 of the whole days between the first and the last bar.  Without events, or without such a day,
+    turnover is 0; with fewer than two events so is the gap.
+    """
+    day = F.floor(F.col("ts_ns") / 86_400_000_000_000).alias("_day")
+    days = events.groupBy("symbol", day).agg(F.count("*").alias("_n"), F.min("ts_ns").alias("_a"), F.max("ts_ns").alias("_b"))
+    each = days.groupBy("symbol").agg(F.sum("_n").alias("events"), F.avg("_n").alias("_mean"), F.min("_a").alias("_a"), F.max("_b").alias("_b"))
+    span = bars.groupBy("symbol").agg((F.floor((F.max("ts_ns") - F.min("ts_ns")) / 86_400_000_000_000) / 365.25).alias("_years"))
+    out = span.join(each, "symbol", "left")
+    return out.select(
+        "symbol", F.coalesce("events", F.lit(0)).alias("events"), F.coalesce(F.try_divide("events", "_years") * F.col("_mean"), F.lit(0.0)).alias("turnover"),
+        F.coalesce(F.try_divide(F.col("_b") - F.col("_a"), F.col("events") - 1) / 3.6e12, F.lit(0.0)).alias("mean_gap_hours"),
+    )
+
+
+def filter_diagnostics(primary: DataFrame, combined: DataFrame, low: float, high: float, pnl: str = "ret", by: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Per group of primary's trades: how many a filter left (combined), the shrinkage and whether it lies in [low, high], and what short and long trades earn."""
+    short, long_ = F.sum(F.when(F.col("side") == -1, F.col(pnl)).otherwise(0.0)), F.sum(F.when(F.col("side") == 1, F.col(pnl)).otherwise(0.0))
+    left = combined.groupBy(*by).agg(F.count("*").alias("_n"), short.alias("_short"), long_.alias("_long"), F.sum(pnl).alias("_all"))
+    out = primary.groupBy(*by).agg(F.count("*").alias("primary_trades")).join(left, list(by), "left")
+    shrinkage = 1 - F.coalesce("_n", F.lit(0)) / F.col("primary_trades")
+    return out.select(
+        *by, "primary_trades", F.coalesce("_n", F.lit(0)).alias("combined_trades"), shrinkage.alias("shrinkage"), shrinkage.between(low, high).alias("shrinkage_ok"),
+        F.coalesce("_short", F.lit(0.0)).alias("short_pnl"), F.coalesce("_long", F.lit(0.0)).alias("long_pnl"), F.coalesce(F.try_divide("_short", "_all"), F.lit(0.0)).alias("short_share"),
+    )
+
+
 def cost_grid(commissions: Sequence[float], slippages: Sequence[float]) -> list[tuple[float, float]]:
     return list(itertools.product(commissions, slippages))
 

@@ -483,6 +483,26 @@ def cusum_events(t):
     return labels.cusum_events(rows, "x", 3.0).select("symbol", "seq", "s_up", "s_down", "event")
 
 
+@query(_CUSUM + """, e AS (SELECT n.symbol, n.ts_ns FROM f JOIN n ON n.symbol = f.symbol AND n.rn = f.rn WHERE f.event <> 0), d AS (SELECT symbol, ts_ns // 86400000000000 AS day, count(*) AS n FROM e GROUP BY 1, 2), m AS (SELECT symbol, sum(n) AS n, avg(n) AS mean FROM d GROUP BY 1), g AS (SELECT symbol, (max(ts_ns) - min(ts_ns)) / nullif(count(*) - 1, 0) / 3.6e12 AS gap FROM e GROUP BY 1),
+ y AS (SELECT symbol, (max(ts_ns) - min(ts_ns)) // 86400000000000 / 365.25 AS years FROM tape GROUP BY 1)
+ SELECT y.symbol, CAST(coalesce(n, 0) AS BIGINT) AS events, round(coalesce(n / nullif(years, 0) * mean, 0), 4) AS turnover, round(coalesce(gap, 0), 4) AS mean_gap_hours FROM y LEFT JOIN m ON y.symbol = m.symbol LEFT JOIN g ON y.symbol = g.symbol""", digits=4)
+def event_turnover(t):
+    events = cusum_events(t).where("event <> 0").join(t.select("symbol", "seq", "ts_ns"), ["symbol", "seq"])
+    return backtest.event_turnover(events, t)
+
+
+@query(_bar_sql("round((close - avg(close) OVER " + _frame(12) + ") / nullif(CASE WHEN count(close) OVER " + _frame(12) + " = 12 THEN stddev_samp(close) OVER " + _frame(12) + " END, 0), 6) AS mean_reversion", "round(var_ratio, 6) AS variance_ratio", with_=", b1 AS (SELECT *, close / lag(close, 4) OVER w - 1 AS r4 FROM b WINDOW w AS (PARTITION BY symbol ORDER BY bar_id)), b2 AS (SELECT *, CASE WHEN count(r) OVER " + _frame(12) + " = 12 AND count(r4) OVER " + _frame(12) + " = 12 THEN var_pop(r) OVER " + _frame(12) + " / nullif(var_pop(r4) OVER " + _frame(12) + " / 4, 0) END AS var_ratio FROM b1)"))
+def mean_reversion(t):
+    b = tick20(t).withColumns({"r": R.ret("close", over=R.BARS), "r4": R.ret("close", 4, over=R.BARS)})
+    return b.select("symbol", "bar_id", R.mean_reversion("close", 12, R.BARS).alias("mean_reversion"), R.variance_ratio("r", "r4", 12, R.BARS).alias("variance_ratio"))
+
+
+@query(_BARS + """, d AS (SELECT symbol, bar_id, (ts_ns - lag(ts_ns) OVER (PARTITION BY symbol ORDER BY bar_id)) / 1e9 AS s FROM ohlc)
+ SELECT a.symbol, a.bar_id, round(CASE WHEN a.s IS NOT NULL THEN sum(b.s * power(9.0 / 11, a.bar_id - b.bar_id)) / sum(CASE WHEN b.s IS NOT NULL THEN power(9.0 / 11, a.bar_id - b.bar_id) END) END, 3) AS bar_duration_ewma FROM d a JOIN d b ON a.symbol = b.symbol AND b.bar_id <= a.bar_id GROUP BY a.symbol, a.bar_id, a.s""", digits=3)
+def bar_duration_ewma(t):
+    return recursive.bar_duration_ewma(tick20(t), 10, order=("bar_id",)).select("symbol", "bar_id", "bar_duration_ewma")
+
+
 _EV = _CUSUM + ", ev0 AS (SELECT n.symbol, n.ts_ns AS event_ns, 0.5 AS target, 1 AS side FROM f JOIN n ON n.symbol = f.symbol AND n.rn = f.rn WHERE f.event <> 0), ev AS (SELECT e.* FROM ev0 e JOIN (SELECT symbol, max(ts_ns) AS m FROM tape GROUP BY symbol) l ON e.symbol = l.symbol WHERE event_ns + 86400000000000 <= m)"
 _TBM = _EV + """, path AS (SELECT e.*, t.ts_ns AS t, t.seq AS q, t.price AS p, row_number() OVER (PARTITION BY e.symbol, e.event_ns ORDER BY t.ts_ns, t.seq) AS k FROM ev e JOIN tape t ON t.symbol = e.symbol AND t.ts_ns BETWEEN e.event_ns AND e.event_ns + 86400000000000),
  st AS (SELECT a.*, ln(a.p / b.p) AS r FROM path a JOIN path b ON a.symbol = b.symbol AND a.event_ns = b.event_ns AND b.k = 1 WHERE a.k > 1),
@@ -638,6 +658,14 @@ def touch_backtest(t):
     return backtest.touch_backtest(b, meta="meta", prob="prob", multiplier="m", cooldown=1, min_hold=2, entry_threshold=0.4, reverse_delta=0.1, order=("bar_id",))
 
 
+@query(_trades_sql(_MOMENTUM, 0, 0.0) + """, p AS (SELECT symbol, count(*) AS n FROM tr GROUP BY 1), c AS (SELECT symbol, count(*) AS n, sum(CASE WHEN side = -1 THEN ret ELSE 0 END) AS s, sum(CASE WHEN side = 1 THEN ret ELSE 0 END) AS l, sum(ret) AS a FROM tr WHERE bars_held >= 3 GROUP BY 1)
+ SELECT p.symbol, p.n AS primary_trades, coalesce(c.n, 0) AS combined_trades, round(1 - coalesce(c.n, 0) / p.n, 6) AS shrinkage, 1 - coalesce(c.n, 0) / p.n BETWEEN 0.2 AND 0.8 AS shrinkage_ok, round(coalesce(s, 0), 6) AS short_pnl, round(coalesce(l, 0), 6) AS long_pnl, round(coalesce(s / nullif(a, 0), 0), 6) + 0.0 AS short_share FROM p LEFT JOIN c ON p.symbol = c.symbol""")
+def filter_diagnostics(t):
+    """The trades held for three bars or more against all."""
+    trades = backtest.rolling_backtest(tick20(t).withColumn("signal", backtest.momentum_side("close", 3, R.BARS)), order=("bar_id",))
+    return backtest.filter_diagnostics(trades, trades.where("bars_held >= 3"), 0.2, 0.8)
+
+
 @query(_trades_sql(_AVERAGE, 0, 0.0) + _statistics_sql("symbol", "tr"))
 def backtest_statistics(t):
     b = tick20(t).withColumn("signal", backtest.ma_side("close", 5, R.BARS))

@@ -99,8 +99,10 @@ class LiveRuntime:
         self.symbols, self.minutes, self.last_ns, self.last_signal = symbols or {}, {}, -1, 0
 
     def resolve(self, symbol: str) -> str:
-        """The traded symbol of a research symbol; one that is not mapped is itself."""
-        return self.symbols.get(symbol, symbol)
+        """The traded symbol of a research symbol; one that is not mapped is an error."""
+        if symbol not in self.symbols:
+            raise KeyError(f"no traded symbol for {symbol}")
+        return self.symbols[symbol]
 
     def bars(self) -> pd.DataFrame:
         rows = pd.DataFrame([{"ts_ns": t, **m} for t, m in sorted(self.minutes.items())])
@@ -126,9 +128,9 @@ class LiveRuntime:
 
     def save(self, path: str) -> None:
         with open(path, "w") as f:
-            json.dump({"last_ns": self.last_ns, "last_signal": self.last_signal}, f)
+            json.dump({"last_ns": self.last_ns, "last_signal": self.last_signal, "minutes": sorted(self.minutes.items())}, f)
 
     def load(self, path: str) -> None:
         with open(path) as f:
             state = json.load(f)
-        self.last_ns, self.last_signal = state["last_ns"], state["last_signal"]
+        self.last_ns, self.last_signal, self.minutes = state["last_ns"], state["last_signal"], {t: m for t, m in state["minutes"]}
