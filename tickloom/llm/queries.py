@@ -14,6 +14,7 @@ from tickloom.llm.html_text import extract
 from tickloom.llm.jaccard_join import jaccard_classes
 from tickloom.llm.language_id import fit_languages, identify
 from tickloom.llm.packing import pack
+from tickloom.llm.piece_tokens import decode_pieces, encode_pieces
 from tickloom.llm.substring_dedup import repeated_passages
 from tickloom.llm.token_files import read_token_files, write_token_files
 from tickloom.llm.toxicity import fit_labelled, toxicity
@@ -82,6 +83,14 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES, folded=False)
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's SentencePiece ids, with the end id, and of the text they decode to; a null text is an empty one."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    rows = decode_pieces(encode_pieces(_table(spark, sf_dir, "documents"), model), model)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
@@ -93,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_sentencepiece": op11_sentencepiece,
 }
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
