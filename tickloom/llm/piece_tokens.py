@@ -58,7 +58,7 @@ class Pieces:
         names = [sp.id_to_piece(i) for i in range(self.size)]
         ids = {p: i for i, (p, k) in enumerate(zip(names, kinds)) if not any(k)}
         scores = np.array([sp.get_score(i) for i in range(self.size)])
-        self.rank = np.unique(-scores, return_inverse=True)[1].astype(np.int32)
+        self.rank = np.append(np.unique(-scores, return_inverse=True)[1].astype(np.int32), _NONE)  # the last one, at -1, is no piece's
         self.byte_id = np.zeros(256, np.int32)
         self.is_byte = np.array([k[2] for k in kinds])
         shown: list[bytes] = []
@@ -86,74 +86,95 @@ class Pieces:
                     keys.append(a * int(_WIDE) + b)
                     made.append(i)
         lone = {c for p in ids for c in p} - set(ids)
-        self.alone = first > self.rank  # all places of such a pair may be merged at once
-        order = np.argsort(np.array(keys, np.int64))
-        self.keys, self.made = np.array(keys, np.int64)[order], np.array(made, np.int32)[order]
+        self.alone = first > self.rank[:-1]  # all places of such a pair may be merged at once
+        self.of = dict(zip(keys, made))
+        self._slots(np.array(keys, np.int64), np.array(made, np.int32))
         self.char[ord(" ")] = self.char[ord(SPACE)]
         own = [self.encode(t, self.end) for t in _PROBES]
         if inner or lone or own != [sp.encode(t, add_eos=True) for t in _PROBES] or [self.decode(x) for x in own] != [sp.decode(x) for x in own]:
             raise ValueError(f"{path}: not a BPE model with identity normalisation, a dummy prefix and byte fallback")
 
+    def _slots(self, keys: np.ndarray, made: np.ndarray) -> None:
+        """An open hash table of pairs, under half full."""
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.keys, self.made = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        at = self._slot(keys)
+        left = np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[at[left]] < 0]
+            self.keys[at[free]], self.made[at[free]] = keys[free], made[free]  # of several keys for one slot the last one stays
+            left = left[self.keys[at[left]] != keys[left]]
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The pieces that the pairs make, -1 for none."""
         key = left * _WIDE + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.made[at], np.int32(-1))
+        at = self._slot(key)
+        held = self.keys[at]
+        out = self.made[at]
+        todo = np.flatnonzero((held != key) & (held >= 0))
+        out[held < 0] = -1
+        while len(todo):
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+            held = self.keys[at[todo]]
+            out[todo] = np.where(held == key[todo], self.made[at[todo]], np.int32(-1))
+            todo = todo[(held != key[todo]) & (held >= 0)]
+        return out
 
     def _merged(self, sym: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The symbols of words of n characters each after all merges, and the words' new lengths."""
-        word = np.repeat(np.arange(len(n)), n)
+        word = np.repeat(np.arange(len(n), dtype=np.int32), n)
         done_sym, done_word = [], []
-        sym = sym.astype(np.int64)
         piece = np.full(len(sym), -1, np.int32)  # what a symbol makes with the next one of its word
         same = np.flatnonzero(word[1:] == word[:-1])
         piece[same] = self._pairs(sym[same], sym[same + 1])
         while len(sym):
-            rank = np.where(piece >= 0, self.rank[piece], _NONE)
-            starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            least = np.minimum.reduceat(rank, starts)
-            many = np.diff(np.r_[starts, len(sym)])
-            over = np.repeat(least == _NONE, many)
+            rank = self.rank[piece]
+            starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            many = np.diff(starts, append=len(sym))
+            least = np.repeat(np.minimum.reduceat(rank, starts), many)
+            over = least == _NONE
             if over.any():  # words without a pair leave
                 done_sym.append(sym[over])
                 done_word.append(word[over])
                 keep = ~over
-                sym, word, piece, rank, least, many = sym[keep], word[keep], piece[keep], rank[keep], least[least != _NONE], many[least != _NONE]
+                sym, word, piece, rank, least = sym[keep], word[keep], piece[keep], rank[keep], least[keep]
                 if not len(sym):
                     break
-            at = np.flatnonzero(rank == np.repeat(least, many))
-            head = np.r_[True, word[at[1:]] != word[at[:-1]]]  # the leftmost place of each word
-            run = np.r_[True, (np.diff(at) != 1)] | head
-            run_start = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-            at = at[np.where(self.alone[piece[at]], (np.arange(len(at)) - run_start) % 2 == 0, head)]
+            at = np.flatnonzero(rank == least)
+            head = np.concatenate(([True], word[at[1:]] != word[at[:-1]]))  # the leftmost place of each word
+            if not head.all():
+                step = np.arange(len(at))
+                run = np.maximum.accumulate(np.where(head | np.concatenate(([True], np.diff(at) != 1)), step, 0))
+                at = at[np.where(self.alone[piece[at]], (step - run) % 2 == 0, head)]
             sym[at] = piece[at]
             keep = np.ones(len(sym), bool)
             keep[at + 1] = False
-            new = np.cumsum(keep) - 1
-            sym, word, piece = sym[keep], word[keep], piece[keep]
-            at = new[at]
-            near = np.unique(np.concatenate((at, at[at > 0] - 1)))
-            near = near[near < len(sym) - 1]
-            piece[at] = -1
-            inside = word[near] == word[near + 1]
+            near = np.zeros(len(sym), bool)
+            near[at] = True
+            near[at[1:] - 1 if at[0] == 0 else at - 1] = True  # the symbol before, which may itself be the second half of a merge
+            near[np.flatnonzero(near & ~keep) - 1] = True
+            sym, word, piece, near = sym[keep], word[keep], piece[keep], np.flatnonzero(near[keep])
             piece[near] = -1
-            near = near[inside]
+            near = near[near < len(sym) - 1]
+            near = near[word[near] == word[near + 1]]
             piece[near] = self._pairs(sym[near], sym[near + 1])
         if not done_sym:
-            return np.zeros(0, np.int64), np.zeros(len(n), np.int64)
+            return np.zeros(0, np.int32), np.zeros(len(n), np.int64)
         sym, word = np.concatenate(done_sym), np.concatenate(done_word)
         order = np.argsort(word, kind="stable")
         return sym[order], np.bincount(word, minlength=len(n))
 
     def _heaped(self, sym: np.ndarray) -> np.ndarray:
         """The symbols of one long word after all merges, in the order of rank and place."""
-        sym = sym.astype(np.int64)
         made = self._pairs(sym[:-1], sym[1:])
         heap = [(int(self.rank[p]), int(i), int(p), int(i) + 1) for i, p in enumerate(made.tolist()) if p >= 0]
         heapq.heapify(heap)
         s, after, before = sym.tolist(), list(range(1, len(sym) + 1)), list(range(-1, len(sym) - 1))
-        of = dict(zip(self.keys.tolist(), self.made.tolist())) if not hasattr(self, "of") else self.of
-        self.of, wide, n = of, int(_WIDE), len(s)
+        of, wide, n = self.of, int(_WIDE), len(s)
         while heap:
             _, i, p, j = heapq.heappop(heap)
             if s[i] < 0 or after[i] != j or of.get(s[i] * wide + s[j]) != p:
@@ -165,7 +186,7 @@ class Pieces:
             for a, b in ((before[i], i), (i, k)):
                 if a >= 0 and b < n and (q := of.get(s[a] * wide + s[b])) is not None:
                     heapq.heappush(heap, (int(self.rank[q]), a, q, b))
-        return np.array([x for x in s if x >= 0], np.int64)
+        return np.array([x for x in s if x >= 0], np.int32)
 
     def _words(self, raw: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of texts (which begin at the offsets texts), where each word begins, and where its ids do."""
