@@ -14,6 +14,7 @@ from tickloom.llm.html_text import extract
 from tickloom.llm.jaccard_join import jaccard_classes
 from tickloom.llm.language_id import fit_languages, identify
 from tickloom.llm.packing import pack
+from tickloom.llm.periodic_runs import periodic_runs
 from tickloom.llm.piece_tokens import decode_pieces, encode_pieces
 from tickloom.llm.substring_dedup import repeated_passages
 from tickloom.llm.token_files import read_token_files, write_token_files
@@ -91,6 +92,18 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's periodic runs (their number, the one of most periods, digests of all and of the text without repeats); planted in every tenth crc of the ids."""
+    seed = F.crc32(F.col("doc_id").cast("string"))
+    rows = periodic_runs(_table(spark, sf_dir, "documents"), least=24, times=3, repeat=F.when(seed % 10 == 0, seed))
+    # The least element in this order: more periods, then the smaller start, then the smaller period.
+    more = "a.length * b.period <=> b.length * a.period"
+    ordered = f"array_sort(runs, (a, b) -> case when not ({more}) then if(a.length * b.period > b.length * a.period, -1, 1) when a.start <> b.start then if(a.start < b.start, -1, 1) else if(a.period < b.period, -1, if(a.period = b.period, 0, 1)) end)"
+    listed = "array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')"
+    rows = rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.expr(f"get({ordered}, 0)").alias("best"), F.sha2(F.expr(listed), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return rows.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
@@ -103,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_url_filter": op10_url_filter,
     "op11_sentencepiece": op11_sentencepiece,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
