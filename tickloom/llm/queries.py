@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.decontaminate import contained_items
 from tickloom.llm.embedding_dedup import near_vectors
+from tickloom.llm.hard_negatives import hard_negatives
 from tickloom.llm.html_text import extract
 from tickloom.llm.jaccard_join import jaccard_classes
 from tickloom.llm.language_id import fit_languages, identify
@@ -104,6 +105,15 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, labels moved on by one for every seventh; unusable rows take no part."""
+    rows = _table(spark, sf_dir, "embeddings").where("label is not null and embedding is not null")
+    finite = "not exists(embedding, x -> x is null or isnan(x) or abs(double(x)) = double('infinity'))"
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.where(finite).select("vec_id", label.alias("label"), F.expr("transform(embedding, x -> floor(256 * double(x)))").alias("embedding"))
+    return hard_negatives(rows, F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=50, high=95)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
@@ -117,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": op10_url_filter,
     "op11_sentencepiece": op11_sentencepiece,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
@@ -141,4 +152,11 @@ ORACLE_SQL: dict[str, str] = {
  r AS (SELECT vec_id, vec_id AS reach FROM v UNION SELECT r.vec_id, l.y FROM r JOIN l ON r.reach = l.x),
  c AS (SELECT vec_id, min(reach) AS component_id FROM r GROUP BY 1), n AS (SELECT x AS vec_id, count(*) AS n FROM l GROUP BY 1)
  SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept FROM v JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)""",
+    "op13_hard_negatives": """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+ p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+ n AS (SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+ SELECT * FROM n WHERE rank <= 3""",
 }
