@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.text import slices, span_hashes, words
+from tickloom.llm.text import block_hashes, slices, words
 from tickloom.llm.workspace import bound_batches
 
 #: Grid points compared at a time, words joined at a time, words compared in the first chunk of an extension, bytes of text in a batch on its way out.
@@ -144,7 +144,7 @@ def _found(least: int, times: int):
 
             for row, offsets, raw in slices(batch.column(1)):
                 starts, ends, heads = words(offsets, raw)
-                h = span_hashes(raw, starts, ends)
+                h = block_hashes(raw, starts, ends)
                 for i in range(len(offsets) - 1):
                     a, b = int(heads[i]), int(heads[i + 1])
                     if seeds[row + i] is not None and b > a:

@@ -91,26 +91,11 @@ def words(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, offsets, "left")
 
 
-#: Bytes of text whose spans are hashed at a time.
-HASH_BYTES = 1 << 20
-
-
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, alike wherever the span stands; spans are in order and apart.
-
-    The powers and sums of about HASH_BYTES bytes are held at a time, or of one longer span.
-    """
-    out, i = np.zeros(len(starts), np.uint64), 0
-    while i < len(starts):
-        j = max(int(np.searchsorted(ends, starts[i] + HASH_BYTES, "right")), i + 1)
-        a, b = int(starts[i]), int(ends[j - 1])
-        out[i:j] = _hash_spans(raw[a:b], starts[i:j] - a, ends[i:j] - a)
-        i = j
-    return out
-
-
-def _hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, alike wherever the span stands."""
     n = len(raw)
+    if not len(starts):
+        return np.zeros(0, np.uint64)
     power = np.full(n + 1, _P, np.uint64)
     power[0] = 1
     power = np.cumprod(power, dtype=np.uint64)
@@ -122,6 +107,21 @@ def _hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64) * _Q)
 
 
+#: Bytes of text whose spans are hashed at a time by block_hashes.
+HASH_BYTES = 1 << 20
+
+
+def block_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """span_hashes of spans that are in order and apart, holding the sums of about HASH_BYTES bytes at a time, or of one longer span."""
+    out, i = np.zeros(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = max(int(np.searchsorted(ends, starts[i] + HASH_BYTES, "right")), i + 1)
+        a, b = int(starts[i]), int(ends[j - 1])
+        out[i:j] = span_hashes(raw[a:b], starts[i:j] - a, ends[i:j] - a)
+        i = j
+    return out
+
+
 def shingles(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, hashes of its n-word shingles in text order).
 
