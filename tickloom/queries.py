@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import breaks, entropy, recursive
 from tickloom.functions import rolling as R
-from tickloom.operators import backtest, bars, buckets, labels, tape, validation
+from tickloom.operators import backtest, bars, buckets, labels, passage, tape, validation
 from tickloom.plans import pipelines
 from tickloom.plans.kit import Feature, FeatureKit
 from tickloom.sources import tapes
@@ -521,6 +521,43 @@ def triple_barrier(t):
     return _labels(t)
 
 
+_GRID = _CUSUM + """, ev0 AS (SELECT n.symbol, n.ts_ns AS event_ns, 0.3::DOUBLE + 0.1::DOUBLE * (n.seq % 5) AS target, f.event AS side FROM f JOIN n ON n.symbol = f.symbol AND n.rn = f.rn WHERE f.event <> 0),
+ ev AS (SELECT DISTINCT e.* FROM ev0 e JOIN (SELECT symbol, max(ts_ns) AS m FROM tape GROUP BY symbol) l ON e.symbol = l.symbol WHERE event_ns + 86400000000000 <= m),
+ path AS (SELECT e.*, t.ts_ns AS t, t.seq AS q, t.price AS p, row_number() OVER (PARTITION BY e.symbol, e.event_ns, e.target, e.side ORDER BY t.ts_ns, t.seq) AS k FROM ev e JOIN tape t ON t.symbol = e.symbol AND t.ts_ns BETWEEN e.event_ns AND e.event_ns + 86400000000000),
+ st AS (SELECT a.*, ln(a.p / b.p) * a.side AS r, b.p AS entry FROM path a JOIN path b ON a.symbol = b.symbol AND a.event_ns = b.event_ns AND a.target = b.target AND a.side = b.side AND b.k = 1 WHERE a.k > 1),
+ lab AS (SELECT symbol, event_ns, target, side, profit, loss, vertical_ns, min(CASE WHEN (r >= target * profit OR r <= -target * loss) AND t - event_ns >= 600000000000 THEN k END) AS hit, max(k) AS last
+  FROM st, (VALUES (1.0::DOUBLE, 1.0::DOUBLE), (2.0, 1.0), (1.0, 2.0), (4.0, NULL)) c(profit, loss), (VALUES (21600000000000::BIGINT), (86400000000000)) v(vertical_ns) WHERE t <= event_ns + vertical_ns GROUP BY ALL),
+ grid AS (SELECT l.*, s.t AS t1_ns, s.r AS ret, s.entry, s.p AS exit, CASE WHEN hit IS NULL THEN 'vertical' WHEN s.r > 0 THEN 'upper' ELSE 'lower' END AS touch FROM lab l JOIN st s ON s.symbol = l.symbol AND s.event_ns = l.event_ns AND s.target = l.target AND s.side = l.side AND s.k = coalesce(l.hit, l.last))"""
+
+
+def _grid(t: DataFrame) -> DataFrame:
+    """Labels of CUSUM events, with targets and sides of their own, for four pairs of barriers and two horizons."""
+    ev = cusum_events(t).where("event <> 0").join(t, ["symbol", "seq"]).select("symbol", "ts_ns", (F.lit(0.3) + F.lit(0.1) * (F.col("seq") % 5)).alias("target"), F.col("event").alias("side"))
+    return passage.barrier_grid(labels.label_events(ev, t, 0.0, DAY), t, [(1.0, 1.0), (2.0, 1.0), (1.0, 2.0), (4.0, None)], [6 * HOUR, DAY], min_close_ns=600_000_000_000)
+
+
+@query(_GRID + " SELECT symbol, event_ns, round(target, 6) AS target, side, profit, loss, vertical_ns, t1_ns, round(ret, 6) AS ret, round(entry, 6) AS entry, round(exit, 6) AS exit, touch FROM grid")
+def barrier_grid(t):
+    return _grid(t)
+
+
+_PHI = "CASE WHEN {x} >= 0 THEN 0.5 * (1 + {e}) ELSE 0.5 * (1 - {e}) END"
+_ERF = "(1 - u * (0.254829592 + u * (-0.284496736 + u * (1.421413741 + u * (-1.453152027 + u * 1.061405429)))) * exp(-z * z / 2))"
+
+
+@query(_GRID + f""", a AS (SELECT profit, loss, vertical_ns, count(*) AS n, count(*) FILTER (WHERE ret > 0) AS wins, count(*) FILTER (WHERE ret < 0) AS losses, avg(ret) AS avg_ret, sum(ret) AS total_ret, coalesce(avg(ret) FILTER (WHERE ret > 0), 0) AS avg_win, coalesce(-avg(ret) FILTER (WHERE ret < 0), 0) AS avg_loss,
+  avg(CAST(touch = 'upper' AS INT)) AS upper_rate, avg(CAST(touch = 'lower' AS INT)) AS lower_rate, avg(CAST(touch = 'vertical' AS INT)) AS vertical_rate, sum(side * (exit - entry)) AS total_points, avg(CAST(side * (exit - entry) > 0 AS INT)) AS point_win_rate,
+  coalesce(avg(ret) / nullif(stddev_samp(ret), 0), 0) AS sr, skewness(ret) AS g, kurtosis(ret) AS k, avg(CAST(ret >= 0 AS INT)) AS m0, avg(CAST(ret >= 0.05 AS INT)) AS m1 FROM grid GROUP BY 1, 2, 3),
+ b AS (SELECT *, wins / n AS win_rate, coalesce(avg_win / nullif(avg_loss, 0), 0) AS pl_ratio, sr * sqrt(1500) AS sharpe, (sr - {validation.expected_max_sharpe(20)!r}::DOUBLE / sqrt(1500)) / sqrt((1 - g * sr + (k + 2) / 4 * sr * sr) / (n - 1)) AS zz FROM a),
+ c AS (SELECT *, abs(zz) AS z, 1 / (1 + 0.3275911 * abs(zz) / sqrt(2)) AS u, 0.4 * least(greatest((win_rate - 0.5) / 0.1, 0), 1) + 0.4 * least(greatest((pl_ratio - 0.8) / 0.8, 0), 1) + 0.2 * least(n / 500, 1) AS quality FROM b),
+ d AS (SELECT *, CASE WHEN n >= 50 THEN {_PHI.format(x="zz", e=_ERF)} ELSE 0 END AS dsr FROM c), e AS (SELECT *, 0.0::DOUBLE AS min_ret, m0 AS positive FROM d UNION ALL SELECT *, 0.05, m1 FROM d)
+ SELECT profit, loss, vertical_ns, min_ret, round(positive, 6) AS positive, n, wins, losses, round(win_rate, 6) AS win_rate, round(avg_ret, 6) AS avg_ret, round(total_ret, 6) AS total_ret, round(avg_win, 6) AS avg_win, round(avg_loss, 6) AS avg_loss, round(pl_ratio, 6) AS pl_ratio, round(sharpe, 6) AS sharpe, round(dsr, 6) AS dsr, round(upper_rate, 6) AS upper_rate, round(lower_rate, 6) AS lower_rate, round(vertical_rate, 6) AS vertical_rate, round(total_points, 6) AS total_points, round(point_win_rate, 6) AS point_win_rate, round(quality, 6) AS quality,
+  CAST(row_number() OVER (ORDER BY round(quality, 9) DESC, round(dsr, 9) DESC, profit NULLS FIRST, loss NULLS FIRST, vertical_ns, min_ret) AS INTEGER) AS rank FROM e""")
+def barrier_scores(t):
+    return passage.barrier_scores(_grid(t), (0.0, 0.05))
+
+
+
 @query(_TBM + " SELECT t.symbol, t.ts_ns, t.seq, count(o.event_ns) AS concurrency FROM tape t LEFT JOIN out o ON o.symbol = t.symbol AND t.ts_ns BETWEEN o.event_ns AND o.t1_ns GROUP BY 1, 2, 3")
 def concurrency(t):
     return labels.concurrency(_labels(t), t)
