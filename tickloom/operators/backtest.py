@@ -203,7 +203,7 @@ def light_grid(rates: Sequence[float], fast: Sequence[int], slow: Sequence[int])
 
 
 def deep_grid(combos: Sequence[dict], vertical_bars: Sequence[int]) -> list[dict]:
-    return [c | {"combo_id": f"{c['combo_id']}_v{v}", "vertical_bars": v} for c, v in itertools.product(combos, vertical_bars)]
+    return [c | {"combo_id": f"{c['combo_id']}_v{v}", "base_combo_id": c["combo_id"], "vertical_bars": v} for c, v in itertools.product(combos, vertical_bars)]
 
 
 def calibrate_cusum(bars: DataFrame, price: str, rates: Sequence[float], low: float = 1e-5, high: float = 0.05, rounds: int = 16, order=ORDER) -> list[dict]:

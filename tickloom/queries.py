@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import breaks, entropy, recursive
 from tickloom.functions import rolling as R
-from tickloom.operators import backtest, bars, buckets, labels, passage, tape, validation
+from tickloom.operators import backtest, bars, buckets, labels, passage, screening, tape, validation
 from tickloom.plans import pipelines
 from tickloom.plans.kit import Feature, FeatureKit
 from tickloom.sources import tapes
@@ -772,6 +772,74 @@ def primary_factory(t):
     return pipelines.primary_factory(tick20(t), (0.1, 0.2), (3, 5), (10, 20))
 
 
+def _deep_sql() -> str:
+    """The averages and filters by recursion, whole and held out; events of two rates and two pairs of averages; everything else by groups."""
+    a = {3: "(1 - 0.5::DOUBLE) * {p}.m3 + 0.5::DOUBLE * {q}.close", 5: "(1 - 1 / 3::DOUBLE) * {p}.m5 + 1 / 3::DOUBLE * {q}.close", 8: "(1 - 2 / 9::DOUBLE) * {p}.m8 + 2 / 9::DOUBLE * {q}.close"}
+    steps = "".join(f", CASE WHEN NOT least(0, p.dn{i} + q.x) < -{k} AND greatest(0, p.up{i} + q.x) > {k} THEN 0 ELSE greatest(0, p.up{i} + q.x) END, CASE WHEN least(0, p.dn{i} + q.x) < -{k} THEN 0 ELSE least(0, p.dn{i} + q.x) END, CASE WHEN least(0, p.dn{i} + q.x) < -{k} THEN -1 WHEN greatest(0, p.up{i} + q.x) > {k} THEN 1 ELSE 0 END" for i, k in ((0, 2), (1, 1)))
+    start = "SELECT symbol, rn, close AS m3, close AS m5, close AS m8, 0::DOUBLE AS up0, 0::DOUBLE AS dn0, 0 AS e0, 0::DOUBLE AS up1, 0::DOUBLE AS dn1, 0 AS e1 FROM b WHERE "
+    grow = " UNION ALL SELECT q.symbol, q.rn, " + ", ".join(a[n].format(p="p", q="q") for n in (3, 5, 8)) + steps + " FROM {t} p JOIN b q ON q.symbol = p.symbol AND q.rn = p.rn + 1)"
+    pick = " UNION ALL ".join(f"SELECT symbol, rn, 'rate{r}_fast{f}_slow8' AS base_combo_id, {r}::DOUBLE AS rate, {f} AS fast, CASE WHEN m{f} > m8 THEN 1 ELSE -1 END AS side, {held} AS held FROM {t} WHERE e{i} <> 0" for i, r in ((0, "0.1"), (1, "0.2")) for f in (3, 5) for t, held in (("f0", "false"), ("f1", "true")))
+    return _BARS + f""", b0 AS (SELECT symbol, ts_ns, open, close, row_number() OVER w AS rn, ln(close / lag(close) OVER w) AS x, close / lag(close) OVER w - 1 AS pct, ln(lead(close, 5) OVER w / close) AS ahead FROM ohlc WINDOW w AS (PARTITION BY symbol ORDER BY bar_id)),
+ b AS (SELECT *, CAST(floor(count(*) OVER (PARTITION BY symbol) * 0.7::DOUBLE) AS BIGINT) AS split, count(*) OVER (PARTITION BY symbol) AS n FROM b0),
+ lb AS (SELECT symbol, ts_ns, rn, CAST(CASE WHEN abs(ahead) > 0.5 THEN sign(ahead) ELSE 0 END AS INTEGER) AS side FROM b WHERE ahead IS NOT NULL),
+ f0 AS ({start}rn = 1{grow.format(t="f0")}, f1 AS ({start}rn = split + 1{grow.format(t="f1")},
+ v0 AS (SELECT a.symbol, a.rn, sum(power(19 / 21::DOUBLE, a.rn - z.rn)) AS w, sum(power(19 / 21::DOUBLE, 2 * (a.rn - z.rn))) AS w2, sum(power(19 / 21::DOUBLE, a.rn - z.rn) * z.pct) AS s, sum(power(19 / 21::DOUBLE, a.rn - z.rn) * z.pct * z.pct) AS ss FROM b a JOIN b z ON z.symbol = a.symbol AND z.rn <= a.rn AND z.pct IS NOT NULL WHERE a.pct IS NOT NULL GROUP BY 1, 2),
+ v AS (SELECT symbol, rn, CASE WHEN w * w - w2 > 1e-12 * w * w THEN sqrt(greatest(ss / w - (s / w) * (s / w), 0) * w * w / (w * w - w2)) END AS vol FROM v0), m AS (SELECT symbol, quantile_cont(vol, 0.5) AS mark FROM v GROUP BY 1),
+ y AS (SELECT symbol, max(n) AS n, max(split) AS split, min(CASE WHEN rn > split THEN ts_ns END) AS from_ns, (max(ts_ns) - min(ts_ns)) // 86400000000000 / 365.25 AS years FROM b GROUP BY 1),
+ e AS (SELECT c.*, b.ts_ns, b.open, b.close, l.side AS own, v.vol > m.mark AS high FROM ({pick}) c JOIN b ON b.symbol = c.symbol AND b.rn = c.rn LEFT JOIN lb l ON l.symbol = c.symbol AND l.ts_ns = b.ts_ns LEFT JOIN v ON v.symbol = c.symbol AND v.rn = c.rn LEFT JOIN m ON m.symbol = c.symbol),
+ o AS (SELECT y.symbol, count(*) FILTER (WHERE side <> 0) AS sides, greatest(count(*) FILTER (WHERE side > 0), count(*) FILTER (WHERE side < 0)) AS most, count(*) FILTER (WHERE ts_ns >= from_ns) AS held, count(*) FILTER (WHERE ts_ns >= from_ns AND side <> 0) AS held_sides FROM lb JOIN y ON y.symbol = lb.symbol GROUP BY 1),
+ nr AS (SELECT e.symbol, e.base_combo_id, e.rn, e.side, l.ts_ns AS stamp, l.side AS near, row_number() OVER (PARTITION BY e.symbol, e.base_combo_id, e.rn ORDER BY abs(l.ts_ns - e.ts_ns), l.ts_ns) AS k FROM e JOIN lb l ON l.symbol = e.symbol AND l.side <> 0 AND abs(l.ts_ns - e.ts_ns) <= 21600000000000 WHERE e.held),
+ os AS (SELECT nr.symbol, base_combo_id, count(DISTINCT CASE WHEN near = side THEN stamp END) AS tp, count(DISTINCT stamp) AS near FROM nr JOIN y ON y.symbol = nr.symbol WHERE k = 1 AND stamp >= from_ns GROUP BY 1, 2),
+ g AS (SELECT symbol, base_combo_id, count(*) AS events, count(*) FILTER (WHERE own <> 0) AS met, count(*) FILTER (WHERE own <> 0 AND own = side) AS hits, avg(CASE WHEN high AND own <> 0 THEN CAST(own = side AS INT) END) AS hi, avg(CASE WHEN NOT high AND own <> 0 THEN CAST(own = side AS INT) END) AS lo FROM e WHERE NOT held GROUP BY 1, 2),
+ d AS (SELECT symbol, rate, ts_ns // 86400000000000 AS day, count(*) AS n, min(ts_ns) AS a, max(ts_ns) AS z FROM e WHERE NOT held AND fast = 3 GROUP BY 1, 2, 3), bu AS (SELECT symbol, rate, sum(n) AS total, avg(n) AS mean, (max(z) - min(a)) / 3.6e12 AS hours FROM d GROUP BY 1, 2),
+ h AS (SELECT vb FROM (VALUES (5), (10)) t(vb)), r AS (SELECT DISTINCT symbol, rate, rn FROM e WHERE NOT held),
+ cc AS (SELECT b.symbol, r.rate, h.vb, b.rn, count(*) AS c FROM b, h, r WHERE r.symbol = b.symbol AND r.rn BETWEEN b.rn - vb AND b.rn GROUP BY 1, 2, 3, 4),
+ u AS (SELECT symbol, rate, vb, avg(u) AS u FROM (SELECT r.symbol, r.rate, cc.vb, r.rn, avg(1.0::DOUBLE / c) AS u FROM r JOIN cc ON cc.symbol = r.symbol AND cc.rate = r.rate AND cc.rn BETWEEN r.rn AND r.rn + vb GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+ t0 AS (SELECT e.*, lag(side) OVER w AS ps, max(e.rn) OVER (PARTITION BY e.symbol, base_combo_id) AS final, last_value(close) OVER (PARTITION BY e.symbol, base_combo_id ORDER BY e.rn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS final_close FROM e JOIN y ON y.symbol = e.symbol WHERE held AND y.n - y.split >= 10 WINDOW w AS (PARTITION BY e.symbol, base_combo_id ORDER BY e.rn)),
+ t1 AS (SELECT *, lead(rn) OVER w AS nx, lead(open) OVER w AS nopen FROM t0 WHERE ps IS NULL OR ps <> side WINDOW w AS (PARTITION BY symbol, base_combo_id ORDER BY rn)),
+ t2 AS (SELECT symbol, base_combo_id, rn, side, open, CASE WHEN nx IS NULL OR nx = final THEN final_close ELSE nopen END AS out FROM t1 WHERE rn < final),
+ t3 AS (SELECT *, (out - open) * side - ((open + out) * 0.001::DOUBLE + 2 * 0.01::DOUBLE) AS pnl FROM t2), t4 AS (SELECT *, sum(pnl) OVER w AS cum FROM t3 WINDOW w AS (PARTITION BY symbol, base_combo_id ORDER BY rn)), t5 AS (SELECT *, cum - max(cum) OVER (PARTITION BY symbol, base_combo_id ORDER BY rn) AS fall FROM t4),
+ tr AS (SELECT symbol, base_combo_id, sum(pnl) AS net_pnl, avg(pnl) / nullif(stddev_pop(pnl), 0) AS sharpe, min(fall) AS mdd, count(*) AS trade_count FROM t5 GROUP BY 1, 2),
+ cb AS (SELECT DISTINCT y.symbol, 'rate' || rt || '_fast' || fast || '_slow8' AS base_combo_id, CAST(rt AS DOUBLE) AS rate, fast, 8 AS slow, vb FROM y, h, (VALUES ('0.1'), ('0.2')) q(rt), (VALUES (3), (5)) w(fast)),
+ deep AS (SELECT cb.symbol, cb.base_combo_id || '_v' || cb.vb AS combo_id, cb.base_combo_id, cb.rate, cb.fast, cb.slow, cb.vb AS vertical_bars, coalesce(events, 0) AS events, coalesce(hits / nullif(hits + sides - met, 0), 0) AS recall, coalesce(hits / nullif(met, 0), 0) AS precision, coalesce(met / nullif(sides, 0), 0) AS coverage, coalesce(hits / nullif(met, 0) * sides / nullif(most, 0), 0) AS lift,
+  coalesce(u, 0) AS uniqueness, coalesce(u, 0) = 0 AS low_info, coalesce(total / nullif(years, 0) * mean, 0) AS turnover, coalesce(hours / nullif(total - 1, 0), 0) AS mean_gap_hours, coalesce(1 - abs(hi - lo) / 2, 0) AS stability,
+  CASE WHEN coalesce(o.held < 10, true) THEN 0 ELSE coalesce(CASE WHEN near > 0 THEN tp / nullif(tp + held_sides - near, 0) END, 0) END AS oos_recall, coalesce(o.held < 10, true) AS oos_unreliable, coalesce(net_pnl, 0) AS net_pnl, coalesce(sharpe, 0) AS sharpe, coalesce(mdd, 0) AS mdd, coalesce(trade_count, 0) AS trade_count
+  FROM cb JOIN y ON y.symbol = cb.symbol LEFT JOIN g ON g.symbol = cb.symbol AND g.base_combo_id = cb.base_combo_id LEFT JOIN os ON os.symbol = cb.symbol AND os.base_combo_id = cb.base_combo_id LEFT JOIN tr ON tr.symbol = cb.symbol AND tr.base_combo_id = cb.base_combo_id LEFT JOIN bu ON bu.symbol = cb.symbol AND bu.rate = cb.rate LEFT JOIN u ON u.symbol = cb.symbol AND u.rate = cb.rate AND u.vb = cb.vb LEFT JOIN o ON o.symbol = cb.symbol)"""
+
+
+def _deep(t: DataFrame) -> DataFrame:
+    b = tick20(t)
+    ahead = F.ln(F.lead("close", 5).over(R.BARS.all) / F.col("close"))
+    trend = b.withColumn("_a", ahead).where("_a is not null").select("symbol", "ts_ns", F.when(F.abs("_a") > 0.5, F.signum("_a")).otherwise(0).cast("int").alias("side"))
+    combos = backtest.deep_grid(backtest.light_grid((0.1, 0.2), (3, 5), (8,)), (5, 10))
+    return screening.deep_metrics(b, trend, [{"rate": 0.1, "k": 2.0}, {"rate": 0.2, "k": 1.0}], combos, tolerance_ns=6 * HOUR, commission=0.001, slippage=0.01)
+
+
+_DEEP_NUMBERS = ("recall", "precision", "coverage", "lift", "uniqueness", "turnover", "mean_gap_hours", "stability", "oos_recall", "net_pnl", "sharpe", "mdd")
+_DEEP_OUT = "symbol, combo_id, base_combo_id, rate, fast, slow, vertical_bars, events, low_info, oos_unreliable, trade_count, " + ", ".join(f"round({c}, 4) AS {c}" for c in _DEEP_NUMBERS)
+
+
+@query(_deep_sql() + f" SELECT {_DEEP_OUT} FROM deep", digits=4)
+def deep_metrics(t):
+    return _deep(t)
+
+
+def _ranks_sql() -> str:
+    one = "CASE WHEN min({c}) OVER {w} = max({c}) OVER {w} THEN 0.5 ELSE (rank() OVER ({p} ORDER BY {s}{c}) + (count(*) OVER ({p}, {c}) - 1) / 2 - 1) / (count(*) OVER {w} - 1) END"
+    parts = [one.format(c=f"_{c}", p="PARTITION BY symbol, rate" if c == "effective_recall" else "PARTITION BY symbol", w="(PARTITION BY symbol, rate)" if c == "effective_recall" else "(PARTITION BY symbol)", s="-" if c == "turnover" else "") + f" * {w}::DOUBLE" for c, w in screening.WEIGHTS.items()]
+    return " + ".join(parts)
+
+
+@query(_deep_sql() + f""", k AS (SELECT *, row_number() OVER (PARTITION BY symbol, base_combo_id ORDER BY oos_unreliable, low_info, round(oos_recall, 9) DESC, trade_count DESC, round(sharpe, 9) DESC, round(net_pnl, 9) DESC, round(mdd, 9) DESC, round(uniqueness, 9) DESC, vertical_bars) AS k FROM deep),
+ c AS (SELECT *, recall * lift AS effective_recall, round(recall * lift, 9) AS _effective_recall, round(turnover, 9) AS _turnover, round(uniqueness, 9) AS _uniqueness, round(sharpe, 9) AS _sharpe, round(net_pnl, 9) AS _net_pnl, round(mdd, 9) AS _mdd FROM k WHERE k = 1),
+ s AS (SELECT *, {_ranks_sql()} - CASE WHEN oos_unreliable THEN 0.75 ELSE 0 END - CASE WHEN low_info THEN 0.5 ELSE 0 END - CASE WHEN trade_count < 10 THEN 0.5 ELSE 0 END - CASE WHEN oos_recall < 0.01 THEN 0.5 ELSE 0 END AS score,
+  CASE WHEN oos_recall < 0.01 THEN 'low_oos_recall' WHEN trade_count < 10 THEN 'low_trade_count' WHEN low_info THEN 'low_info' WHEN oos_unreliable THEN 'oos_unreliable' ELSE 'verified' END AS reason FROM c)
+ SELECT {_DEEP_OUT}, round(effective_recall, 4) AS effective_recall, round(score, 4) AS score, reason, CAST(row_number() OVER (PARTITION BY symbol ORDER BY round(score, 9) DESC, base_combo_id) AS INTEGER) AS rank FROM s""", digits=4)
+def deep_screen(t):
+    return screening.screen(_deep(t))
+
+
+
 @query()
 def walk_forward_backtest(t):
     b = tick20(t).withColumn("signal", backtest.momentum_side("close", 3, R.BARS))
