@@ -33,11 +33,11 @@ def ffd(x: np.ndarray, d: float, threshold: float = 1e-5) -> np.ndarray:
     return out
 
 
-def frac_diff(df: DataFrame, x: str, d: float, threshold: float = 1e-5, name: str = "ffd", order=ORDER) -> DataFrame:
-    return windowed(df, lambda c: {name: ffd(c[x], d, threshold)}, len(ffd_weights(d, threshold)), [x], f"{name} double", order=order)
+def frac_diff(df: DataFrame, x: str, d: float, threshold: float = 1e-5, name: str = "ffd", order=ORDER, rows: int | None = None) -> DataFrame:
+    return windowed(df, lambda c: {name: ffd(c[x], d, threshold)}, len(ffd_weights(d, threshold)), [x], f"{name} double", order=order, rows=rows)
 
 
-def frac_diff_rolling(df: DataFrame, x: str, d: float, window: int, name: str = "fracdiff", order=ORDER) -> DataFrame:
+def frac_diff_rolling(df: DataFrame, x: str, d: float, window: int, name: str = "fracdiff", order=ORDER, rows: int | None = None) -> DataFrame:
     """Fractional difference with the weights of the last window rows."""
     w = ffd_weights(d, 0.0, window)
     pad = np.zeros(window)
@@ -49,7 +49,7 @@ def frac_diff_rolling(df: DataFrame, x: str, d: float, window: int, name: str =
             out[window - 1 :] = sliding_window_view(c[x], window) @ pad[::-1]
         return {name: out}
 
-    return windowed(df, kernel, window, [x], f"{name} double", order=order)
+    return windowed(df, kernel, window, [x], f"{name} double", order=order, rows=rows)
 
 
 def expanding(x: np.ndarray, d: float, min_window: int = 10) -> np.ndarray:
@@ -160,8 +160,8 @@ def adf_t_windows(y: np.ndarray, window: int, trend: bool = True) -> np.ndarray:
     return out
 
 
-def adf_rolling(df: DataFrame, x: str, window: int, trend: bool = True, name: str = "adf", order=ORDER) -> DataFrame:
-    return windowed(df, lambda c: {name: adf_t_windows(c[x], window, trend)}, window, [x], f"{name} double", order=order)
+def adf_rolling(df: DataFrame, x: str, window: int, trend: bool = True, name: str = "adf", order=ORDER, rows: int | None = None) -> DataFrame:
+    return windowed(df, lambda c: {name: adf_t_windows(c[x], window, trend)}, window, [x], f"{name} double", order=order, rows=rows)
 
 
 def sadf_values(y: np.ndarray, shortest: int = 20, longest: int = 100, trend: bool = True) -> np.ndarray:
@@ -172,8 +172,8 @@ def sadf_values(y: np.ndarray, shortest: int = 20, longest: int = 100, trend: bo
     return out
 
 
-def sadf(df: DataFrame, x: str, shortest: int = 20, longest: int = 100, trend: bool = True, log: bool = True, name: str = "sadf", order=ORDER) -> DataFrame:
-    return windowed(df, lambda c: {name: sadf_values(np.log(c[x]) if log else c[x], shortest, longest, trend)}, longest, [x], f"{name} double", order=order)
+def sadf(df: DataFrame, x: str, shortest: int = 20, longest: int = 100, trend: bool = True, log: bool = True, name: str = "sadf", order=ORDER, rows: int | None = None) -> DataFrame:
+    return windowed(df, lambda c: {name: sadf_values(np.log(c[x]) if log else c[x], shortest, longest, trend)}, longest, [x], f"{name} double", order=order, rows=rows)
 
 
 def qadf(values: str = "sadf", window: int = 20, q: float = 0.95, over=None):
@@ -191,7 +191,7 @@ def cadf(values: str = "sadf", quantiles: str = "qadf", window: int = 20, over=N
     return F.avg(F.when(F.col(values) >= F.col(quantiles), F.col(values))).over(over.rows(window))
 
 
-def martingale(df: DataFrame, x: str = "close", decay: float = 0.95, window: int | None = None, order=ORDER) -> DataFrame:
+def martingale(df: DataFrame, x: str = "close", decay: float = 0.95, window: int | None = None, order=ORDER, rows: int | None = None) -> DataFrame:
     """sub_martingale and super_martingale: the decayed sum of returns over the root of the sum of squared weights, and its negative."""
     from tickloom.functions.recursive import decayed
 
@@ -215,7 +215,7 @@ def martingale(df: DataFrame, x: str = "close", decay: float = 0.95, window: int
             v[window:] = sliding_window_view(c[x][1:] / c[x][:-1] - 1, window) @ w / math.sqrt((w * w).sum())
         return {"sub_martingale": v, "super_martingale": -v}
 
-    return windowed(df, kernel, window + 1, [x], "sub_martingale double, super_martingale double", order=order)
+    return windowed(df, kernel, window + 1, [x], "sub_martingale double, super_martingale double", order=order, rows=rows)
 
 
 def csw_scores(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
@@ -255,14 +255,14 @@ def csw_rolling(y: np.ndarray, window: int, warmup: int = 30) -> np.ndarray:
     return out
 
 
-def csw_cusum(df: DataFrame, x: str = "close", window: int = 1000, warmup: int = 30, order=ORDER) -> DataFrame:
+def csw_cusum(df: DataFrame, x: str = "close", window: int = 1000, warmup: int = 30, order=ORDER, rows: int | None = None) -> DataFrame:
     """csw_up, csw_down and their critical values over the last window rows of log prices."""
     names = ("csw_up", "csw_down", "csw_up_critical", "csw_down_critical")
 
     def kernel(c):
         return dict(zip(names, csw_rolling(np.log(c[x]), window, warmup).T))
 
-    return windowed(df, kernel, window, [x], ", ".join(f"{n} double" for n in names), order=order)
+    return windowed(df, kernel, window, [x], ", ".join(f"{n} double" for n in names), order=order, rows=rows)
 
 
 def csw_features(df: DataFrame, max_age: int = 144, order=ORDER) -> DataFrame:

@@ -73,7 +73,7 @@ def implied_volatility(entropy, annualize: bool = True):
 METHODS: dict[str, Callable[[np.ndarray], float]] = {"shannon": shannon, "lempel_ziv": lempel_ziv, "kontoyiannis": kontoyiannis, "rate": entropy_rate}
 
 
-def rolling_entropy(df: DataFrame, x: str, window: int, bins: int = 3, method: str = "shannon", name: str = "entropy", order=ORDER) -> DataFrame:
+def rolling_entropy(df: DataFrame, x: str, window: int, bins: int = 3, method: str = "shannon", name: str = "entropy", order=ORDER, rows: int | None = None) -> DataFrame:
     """Entropy of the discretised last window rows; null where one is null."""
     f = METHODS[method]
 
@@ -85,10 +85,10 @@ def rolling_entropy(df: DataFrame, x: str, window: int, bins: int = 3, method: s
                 out[window - 1 + i] = f(discretize(v[i], bins))
         return {name: out}
 
-    return windowed(df, kernel, window, [x], f"{name} double", order=order)
+    return windowed(df, kernel, window, [x], f"{name} double", order=order, rows=rows)
 
 
-def hurst(df: DataFrame, x: str, window: int = 24, name: str = "hurst", order=ORDER) -> DataFrame:
+def hurst(df: DataFrame, x: str, window: int = 24, name: str = "hurst", order=ORDER, rows: int | None = None) -> DataFrame:
     """Slope of the log deviation of k-row differences of the summed returns on log k, k = 1, 2, 4, 8."""
     ks = np.array([1, 2, 4, 8])
     lk = np.log(ks) - np.log(ks).mean()
@@ -102,10 +102,10 @@ def hurst(df: DataFrame, x: str, window: int = 24, name: str = "hurst", order=OR
                 out[window - 1 :] = np.where((tau > 0).all(1), np.log(tau) @ lk / (lk @ lk), np.nan)
         return {name: out}
 
-    return windowed(df, kernel, window, [x], f"{name} double", order=order)
+    return windowed(df, kernel, window, [x], f"{name} double", order=order, rows=rows)
 
 
-def approximate_entropy(df: DataFrame, x: str, window: int = 24, m: int = 2, tolerance: float = 0.2, name: str = "apen", order=ORDER) -> DataFrame:
+def approximate_entropy(df: DataFrame, x: str, window: int = 24, m: int = 2, tolerance: float = 0.2, name: str = "apen", order=ORDER, rows: int | None = None) -> DataFrame:
     """Approximate entropy of the last window rows: patterns of m and m + 1 rows within tolerance deviations (Chebyshev)."""
 
     def phi(v, k, r):
@@ -122,7 +122,7 @@ def approximate_entropy(df: DataFrame, x: str, window: int = 24, m: int = 2, tol
                     out[window - 1 + i] = phi(v, m, r) - phi(v, m + 1, r)
         return {name: out}
 
-    return windowed(df, kernel, window, [x], f"{name} double", order=order)
+    return windowed(df, kernel, window, [x], f"{name} double", order=order, rows=rows)
 
 
 def pca_fit(df: DataFrame, columns: list[str], n: int | None = None, variance: float = 0.95, standardize: bool = True) -> dict:
@@ -151,7 +151,7 @@ def pca_transform(df: DataFrame, columns: list[str], fit: dict, prefix: str = "p
     return df.select("*", *[sum((u * float(w) for u, w in zip(unit, row)), F.lit(0.0)).alias(f"{prefix}_{i}") for i, row in enumerate(fit["components"])])
 
 
-def rolling_pca(df: DataFrame, columns: list[str], window: int, n: int = 1, prefix: str = "rolling_pca", order=ORDER) -> DataFrame:
+def rolling_pca(df: DataFrame, columns: list[str], window: int, n: int = 1, prefix: str = "rolling_pca", order=ORDER, rows: int | None = None) -> DataFrame:
     """The last row's scores on the first n right singular vectors of the (uncentred) last window rows."""
 
     def kernel(c):
@@ -164,7 +164,7 @@ def rolling_pca(df: DataFrame, columns: list[str], window: int, n: int = 1, pref
                 out[i, : len(w)] = (w * np.sign(w[np.arange(len(w)), np.abs(w).argmax(1)])[:, None]) @ x[i]
         return {f"{prefix}_{k}": out[:, k] for k in range(n)}
 
-    return windowed(df, kernel, window, columns, ", ".join(f"{prefix}_{k} double" for k in range(n)), order=order)
+    return windowed(df, kernel, window, columns, ", ".join(f"{prefix}_{k} double" for k in range(n)), order=order, rows=rows)
 
 
 def correlation_distance(df: DataFrame, columns: list[str]) -> np.ndarray:

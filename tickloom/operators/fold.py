@@ -77,8 +77,15 @@ def fold(df: DataFrame, start: Callable[[], Any], step: Callable[[Any, Arrays],
     return sorted_by_symbol(df, by, order).mapInArrow(run, schema)
 
 
-def windowed(df: DataFrame, kernel: Callable[[Arrays], Arrays], width: int, inputs: Sequence[str], outputs: str, by: str = "symbol", order: Sequence[str] = ORDER) -> DataFrame:
-    """df with the columns of outputs, made by kernel over arrays of the inputs; row i may depend on rows i - width + 1 to i."""
+def windowed(df: DataFrame, kernel: Callable[[Arrays], Arrays], width: int, inputs: Sequence[str], outputs: str, by: str = "symbol", order: Sequence[str] = ORDER, rows: int | None = None) -> DataFrame:
+    """df with the columns of outputs, made by kernel over arrays of the inputs; row i may depend on rows i - width + 1 to i.
+
+    With rows, each symbol is dealt in blocks of so many rows (see ``ranges``), so that it takes many tasks; the result is the same.
+    """
+    if rows:
+        from tickloom.operators import ranges
+
+        return ranges.windowed(df, kernel, width, inputs, outputs, order, rows)
     start = lambda: {c: np.zeros(0) for c in inputs}
 
     def step(tail: Arrays, new: Arrays) -> Arrays:

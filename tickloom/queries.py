@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import breaks, entropy, recursive
 from tickloom.functions import rolling as R
-from tickloom.operators import backtest, bars, buckets, labels, passage, screening, tape, validation
+from tickloom.operators import backtest, bars, buckets, labels, passage, ranges, screening, tape, validation
 from tickloom.plans import pipelines
 from tickloom.plans.kit import Feature, FeatureKit
 from tickloom.sources import tapes
@@ -840,6 +840,30 @@ def deep_screen(t):
 
 
 
+@query(_TAPE + """, n AS (SELECT symbol, seq, price, first_value(price) OVER w AS shift, row_number() OVER w - 1 AS rn FROM tape WINDOW w AS (PARTITION BY symbol ORDER BY ts_ns, seq)),
+ e AS (SELECT symbol, rn, price, price AS top, 1.0::DOUBLE AS w, 1.0::DOUBLE AS w2, 0.0::DOUBLE AS d, 0.0::DOUBLE AS dd, 0.0::DOUBLE AS up, 0.0::DOUBLE AS down FROM n WHERE rn = 0 UNION ALL
+ SELECT n.symbol, n.rn, n.price, e.top * (9.0::DOUBLE / 11) + n.price, e.w * (9.0::DOUBLE / 11) + 1, e.w2 * (81.0::DOUBLE / 121) + 1, e.d * (9.0::DOUBLE / 11) + n.price - n.shift, e.dd * (9.0::DOUBLE / 11) + (n.price - n.shift) * (n.price - n.shift),
+ CASE WHEN n.rn < 8 THEN e.up + greatest(n.price - e.price, 0) WHEN n.rn = 8 THEN (e.up + greatest(n.price - e.price, 0)) / 8 ELSE e.up * (7.0::DOUBLE / 8) + greatest(n.price - e.price, 0) / 8 END,
+ CASE WHEN n.rn < 8 THEN e.down + greatest(e.price - n.price, 0) WHEN n.rn = 8 THEN (e.down + greatest(e.price - n.price, 0)) / 8 ELSE e.down * (7.0::DOUBLE / 8) + greatest(e.price - n.price, 0) / 8 END FROM e JOIN n ON n.symbol = e.symbol AND n.rn = e.rn + 1)
+ SELECT e.symbol, n.seq, round(top / w, 4) AS ewma, round(CASE WHEN w * w - w2 > 1e-12 * w * w THEN sqrt(greatest(dd / w - (d / w) * (d / w), 0) * w * w / (w * w - w2)) END, 4) AS ewms, round(CASE WHEN e.rn >= 8 AND down > 0 THEN 100 - 100 / (1 + up / down) END, 4) AS rsi FROM e JOIN n ON n.symbol = e.symbol AND n.rn = e.rn""", digits=4)
+def recursions_by_range(t):
+    """Recursive averages of the whole tape, each symbol dealt in blocks of 512 trades."""
+    return ranges.recursions(t, {"ewma": ("price", 10)}, {"ewms": ("price", 10)}, {"rsi": ("price", 8)}, rows=512).select("symbol", "seq", "ewma", "ewms", "rsi")
+
+
+def _ffd_sql(d: float, threshold: float) -> str:
+    w = breaks.ffd_weights(d, threshold).tolist()
+    terms = " + ".join(f"{x!r}::DOUBLE * lag(price, {k}) OVER w" for k, x in enumerate(w))
+    return f" SELECT symbol, seq, round({terms}, 6) AS ffd FROM tape WINDOW w AS (PARTITION BY symbol ORDER BY ts_ns, seq)"
+
+
+@query(_TAPE + _ffd_sql(0.4, 0.02))
+def frac_diff_by_range(t):
+    """A window kernel on blocks of 100 trades that hold the rows before them once more."""
+    return breaks.frac_diff(t, "price", 0.4, 0.02, rows=100).select("symbol", "seq", "ffd")
+
+
+
 @query()
 def walk_forward_backtest(t):
     b = tick20(t).withColumn("signal", backtest.momentum_side("close", 3, R.BARS))
