@@ -168,12 +168,16 @@ def test_streaming_bars_equal_batch_bars(spark, tmp_path):
     from tickloom.streaming.live import LiveRuntime, live_threshold_bars
 
     rng = np.random.default_rng(3)
-    pdf = pd.DataFrame({"symbol": rng.choice(["a", "b"], 400), "ts_ns": np.arange(400) * 10**9, "seq": np.arange(400), "price": 50 + rng.normal(size=400), "amount": rng.integers(1, 9, 400).astype(float)})
+    pdf = pd.DataFrame({"symbol": rng.choice(["a", "b"], 400), "ts_ns": (1000 + np.arange(400)) * 10**9, "seq": np.arange(400), "price": 50 + rng.normal(size=400), "amount": rng.integers(1, 9, 400).astype(float)})
     for k in range(4):
         spark.createDataFrame(pdf[k * 100 : (k + 1) * 100]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    later = pd.DataFrame({"symbol": ["a", "b"], "ts_ns": 10**13, "seq": [900, 901], "price": 1.0, "amount": 0.0})  # the watermark passes the others
+    spark.createDataFrame(later).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     src = spark.readStream.schema("symbol string, ts_ns long, seq long, price double, amount double").option("maxFilesPerTrigger", 4).parquet(str(tmp_path / "in"))
     q = live_threshold_bars(src, 1500.0).writeStream.format("memory").queryName("live_bars").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     got = {(r.symbol, r.bar_id): (r.ts_ns, r.open, r.close, r.trades) for r in spark.table("live_bars").collect()}
     want = {(r.symbol, r.bar_id): (r.ts_ns, r.open, r.close, r.trades) for r in ohlcv(assign_dollar_bars(spark.createDataFrame(pdf), 1500.0)).collect()}
     assert got == want and len(got) > 10

@@ -1,8 +1,8 @@
 """Live bars by Structured Streaming: threshold bars with keyed state, time bars with a watermark.
 
-``live_dollar_bars`` folds each symbol's trades in event-time order and emits a
-bar once, when it closes.  Trades later than the watermark are dropped; a state
-without trades for its time-out is kept until the watermark passes it.
+``live_threshold_bars`` folds each symbol's trades in event-time order behind a
+watermark and emits a bar once, when it closes; trades later than the watermark
+are dropped.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 BAR = "symbol string, bar_id long, ts_ns long, open double, high double, low double, close double, volume double, vwap double, trades long"
 _STATE = "begun boolean, bar_id long, total double, open double, high double, low double, close double, volume double, pv double, trades long"
@@ -47,18 +48,68 @@ def _new() -> list:
     return [False, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0]
 
 
-def live_threshold_bars(tape: DataFrame, limit: float, carry: bool = True) -> DataFrame:
-    """Bars of a streaming tape (symbol, ts_ns, seq, price, amount): dollar bars, or volume bars without carry."""
+class _Ordered(StatefulProcessor):
+    """Bars of one symbol's trades, folded in event-time order once the watermark has passed them."""
 
-    def step(key, frames: Iterator[pd.DataFrame], state):
-        held = list(state.get) if state.exists else _new()
-        rows = pd.concat(list(frames)).sort_values(["ts_ns", "seq"])  # one trigger's trades of a symbol
-        bars = fold_bars(rows, held, limit, carry)
-        state.update(tuple(held))
-        columns = [c.split(" ")[0] for c in BAR.split(", ")]
-        yield pd.DataFrame([(key[0], *b) for b in bars], columns=columns)
+    def __init__(self, limit: float, carry: bool) -> None:
+        self.limit, self.carry = limit, carry
 
-    return tape.groupBy("symbol").applyInPandasWithState(step, BAR, _STATE, "append", "NoTimeout")
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ts_ns long, seq long, price double, amount double")
+        self.folded = handle.getValueState("folded", f"{_STATE}, last_ns long, last_seq long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = pd.concat([r[["ts_ns", "seq", "price", "amount"]] for r in rows])
+        held = self.folded.get() if self.folded.exists() else None
+        if held is not None:  # what was folded before does not come again
+            new = new[(new["ts_ns"] > held[10]) | ((new["ts_ns"] == held[10]) & (new["seq"] > held[11]))]
+        if len(new):
+            self.waiting.appendList(list(new.itertuples(index=False, name=None)))
+        yield from self._fold(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield from self._fold(key, timerValues.getCurrentWatermarkInMs())
+
+    def _fold(self, key, passed_ms: int):
+        """Folds the waiting trades before the watermark, keeps the others and sets the timer of the first of them."""
+        rows = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=["ts_ns", "seq", "price", "amount"])
+        rows = rows.drop_duplicates(["ts_ns", "seq"]).sort_values(["ts_ns", "seq"])
+        ready = rows["ts_ns"] < passed_ms * 1_000_000
+        bars = []
+        if ready.any():
+            held = list(self.folded.get()) if self.folded.exists() else [*_new(), 0, 0]
+            state = held[:10]
+            bars = fold_bars(rows[ready], state, self.limit, self.carry)
+            last = rows[ready].iloc[-1]
+            self.folded.update((*state, int(last["ts_ns"]), int(last["seq"])))
+        left = rows[~ready]
+        if len(left):
+            self.waiting.put(list(left.itertuples(index=False, name=None)))
+            self.handle.registerTimer(int(left["ts_ns"].iloc[0]) // 1_000_000 + 1)
+        elif len(rows):
+            self.waiting.clear()
+        yield pd.DataFrame([(key[0], *b) for b in bars], columns=[c.split(" ")[0] for c in BAR.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def live_threshold_bars(tape: DataFrame, limit: float, carry: bool = True, late: str = "10 minutes") -> DataFrame:
+    """Bars of a streaming tape (symbol, ts_ns, seq, price, amount): dollar bars, or volume bars without carry.
+
+    Trades wait in state until the watermark, late behind the newest trade, has passed them; then they are folded in
+    the order of (ts_ns, seq) and a bar is emitted once, when it closes.  So the bars are those of the batch operator,
+    whatever the order and size of the micro-batches, over all trades that come at most late behind the newest.  Later
+    ones, and repeated (ts_ns, seq), are left out; rows without symbol, time, price or amount too.  Trades of the last
+    stretch stay in state until newer ones come.
+
+    Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).  State is one fold and the trades of
+    the lateness a symbol; it survives a restart from the checkpoint.
+    """
+    rows = tape.where("symbol is not null and ts_ns is not null and seq is not null and price is not null and amount is not null")
+    timed = rows.withColumn("_at", F.timestamp_micros(F.floor(F.col("ts_ns") / 1000))).withWatermark("_at", late)
+    return timed.groupBy("symbol").transformWithStateInPandas(_Ordered(limit, carry), BAR, "Append", "EventTime")
 
 
 def live_time_bars(tape: DataFrame, every: str = "1 minute", late: str = "10 minutes") -> DataFrame:
