@@ -142,3 +142,35 @@ def test_expanding_difference_is_the_whole_convolution():
     got = expanding(x, 0.4, 10)
     assert np.allclose(got[9:300], want[9:300], atol=1e-8) and np.isnan(got[300:]).all()
     assert len(expanding(np.zeros(0), 0.4)) == 0 and isinstance(pd.Series(got).sum(), float)
+
+
+def test_walk_forward_report_and_stability(spark):
+    from tickloom.operators import backtest
+
+    sharpes = {"good": [1.0, 1.1, 0.9, 1.0, 1.2, 1.0, 1.1], "bad": [2.0, 1.9, 1.0, 0.2, -1.0, -1.5, -2.0], "wild": [-2.0, 2.0, -1.0, 3.0], "flat": [0.1, 0.1, 0.1], "one": [0.3]}
+    rows = [(s, i + 1, x, 0.5 + 0.01 * i) for s, xs in sharpes.items() for i, x in enumerate(xs)] + [("one", 9, None, 0.1)]
+    df = spark.createDataFrame(rows, "symbol string, period long, sharpe double, win_rate double").repartition(3)
+    got = {r.symbol: r for r in backtest.walk_forward_stability(df).collect()}
+    assert {s: r.verdict for s, r in got.items()} == {"good": "accept", "bad": "reject", "wild": "warning", "flat": "borderline", "one": "borderline"}
+    for s, xs in sharpes.items():
+        n = len(xs)
+        fall = np.mean(xs[: n // 3]) - np.mean(xs[-n // 3 :]) if n >= 3 else 0.0
+        assert got[s].periods == n and abs(got[s].degradation - fall) < 1e-12 and abs(got[s].sr_range - (max(xs) - min(xs))) < 1e-12
+    text = {r.symbol: r.report for r in backtest.walk_forward_report(df).collect()}
+    assert text["wild"].split("\n")[:3] == ["Walk-forward", "[1] Sharpe -2.0000, win rate 50.0%", "[2] Sharpe 2.0000, win rate 51.0%"]
+    assert text["bad"].endswith("Verdict: reject") and "Periods: 7" in text["bad"]
+    assert backtest.walk_forward_report(df.limit(0)).count() == 0
+
+
+def test_honest_signals_and_label_backtest(spark):
+    from tickloom.operators import backtest
+
+    kind = "symbol string, event_ns long, side int, prob double"
+    oof = spark.createDataFrame([("a", 1, 1, 0.9), ("a", 1, 1, 0.2), ("a", 2, -1, 0.6), ("a", 3, 1, None), (None, 4, 1, 0.5)], kind)
+    held = spark.createDataFrame([("a", 2, -1, 0.65), ("a", 5, 1, 0.5)], kind)
+    got = {r.event_ns: (r.side, r.prob, r.held_out, r.pred) for r in backtest.honest_signals(oof, held, 0.5, 0.2).collect()}
+    assert got == {1: (1, 0.9, False, 1), 2: (-1, 0.65, True, 0), 5: (1, 0.5, True, 1)}
+    signals = spark.createDataFrame([("a", 1, 1), ("a", 2, -1), ("a", 3, 0), ("a", 4, 1), ("b", 1, 1)], "symbol string, event_ns long, signal int")
+    known = spark.createDataFrame([("a", 1, 0.4), ("a", 2, 0.1), ("a", 3, 9.0), ("a", 4, None), ("b", 1, 0.2)], "symbol string, event_ns long, ret double")
+    a, b = backtest.label_backtest(signals, known).orderBy("symbol").collect()
+    assert (a.n, a.wins, a.losses, a.win_rate, b.n, b.pl_ratio) == (2, 1, 1, 0.5, 1, 0.0) and abs(a.pl_ratio - 4) < 1e-9 and abs(a.total_ret - 0.3) < 1e-9

@@ -367,3 +367,68 @@ def bar_score(ac1: float, multi: float, vov: float, jb: float, skew: float, kurt
     """One quality number of a bar series (greater is better): small dependence, stable variance, near-normal returns, wanted density."""
     parts = (abs(ac1), abs(multi) / 10, min(vov, 10) / 10, min(math.log10(1 + jb), 10) / 10, min(abs(skew), 10) / 10, min(abs(kurt), 100) / 100)
     return float(1 - np.dot((0.25, 0.15, 0.2, 0.2, 0.1, 0.1), parts) - 0.1 * abs(math.log(max(per_day, 1e-9) / target)))
+
+
+def honest_signals(oof: DataFrame, holdout: DataFrame, threshold: float, short_penalty: float = 0.0) -> DataFrame:
+    """(symbol, event_ns, side, prob, held_out, pred): each event's prediction by a model that had not seen it.
+
+    oof (out of fold) and holdout have (symbol, event_ns, side, prob); an event in both counts as held out, the greater
+    probability stands for repeated rows of one source.  pred is whether prob reaches the threshold, and short_penalty
+    more where the side is -1.  Rows without event, symbol or probability are left out.
+    """
+    columns = ["symbol", "event_ns", "side", "prob"]
+    both = oof.select(*columns, F.lit(False).alias("held_out")).unionByName(holdout.select(*columns, F.lit(True).alias("held_out")))
+    both = both.where("symbol is not null and event_ns is not null and prob is not null and not isnan(prob)")
+    best = F.max(F.struct("held_out", "prob", "side")).alias("_b")
+    out = both.groupBy("symbol", "event_ns").agg(best).select("symbol", "event_ns", "_b.side", "_b.prob", "_b.held_out")
+    limit = F.when(F.col("side") == -1, threshold + short_penalty).otherwise(threshold)
+    return out.withColumn("pred", (F.col("prob") >= limit).cast("int"))
+
+
+def label_backtest(signals: DataFrame, labels: DataFrame, by: Sequence[str] = ("symbol",)) -> DataFrame:
+    """What signals (symbol, event_ns, signal) of 1, -1 or 0 earn on the labels' returns: one row a group that has signals other than 0.
+
+    The mean loss is negative; pl_ratio is the mean win over its size, 0 without losses.
+    """
+    rows = signals.where("signal <> 0").join(labels.where("ret is not null").select("symbol", "event_ns", "ret"), ["symbol", "event_ns"]).withColumn("_r", F.col("ret") * F.col("signal"))
+    win, lose = F.col("_r") > 0, F.col("_r") < 0
+    out = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(win).alias("wins"), F.count_if(lose).alias("losses"), F.avg(win.cast("double")).alias("win_rate"), F.avg("_r").alias("avg_ret"), F.sum("_r").alias("total_ret"),
+        F.coalesce(F.avg(F.when(win, F.col("_r"))), F.lit(0.0)).alias("avg_win"), F.coalesce(F.avg(F.when(lose, F.col("_r"))), F.lit(0.0)).alias("avg_loss"),
+    )
+    return out.withColumn("pl_ratio", F.coalesce(F.abs(F.try_divide("avg_win", "avg_loss")), F.lit(0.0)))
+
+
+def walk_forward_stability(periods: DataFrame, by: Sequence[str] = ("symbol",)) -> DataFrame:
+    """One row a group of periods (by, period, sharpe, win_rate): how steady the Sharpe ratios of successive out-of-sample periods are.
+
+    consistent_rate is the share over half the mean; degradation the mean of the first n div 3 periods less that of the
+    last n / 3, rounded up (0 under three periods).  stable: a deviation under 0.5 and a degradation under 0.3;
+    degrading: over 0.3.  verdict: accept (stable, mean over 0.5), reject (degrading), warning (deviation over 0.5),
+    else borderline.
+    """
+    whole = Window.partitionBy(*by)
+    rows = periods.where("sharpe is not null").withColumn("_k", F.row_number().over(whole.orderBy("period"))).withColumn("_n", F.count(F.lit(1)).over(whole)).withColumn("_m", F.avg("sharpe").over(whole))
+    early = F.avg(F.when(F.col("_k") <= F.floor(F.col("_n") / 3), F.col("sharpe")))
+    late = F.avg(F.when(F.col("_k") > F.col("_n") - F.ceil(F.col("_n") / 3), F.col("sharpe")))
+    out = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("periods"), F.avg("sharpe").alias("sr_mean"), F.stddev_samp("sharpe").alias("sr_std"), F.min("sharpe").alias("sr_min"), F.max("sharpe").alias("sr_max"),
+        F.avg((F.col("sharpe") > 0).cast("double")).alias("positive_rate"), F.avg((F.col("sharpe") > F.col("_m") * 0.5).cast("double")).alias("consistent_rate"),
+        F.coalesce(early - late, F.lit(0.0)).alias("degradation"), F.avg("win_rate").alias("win_rate_mean"), F.stddev_samp("win_rate").alias("win_rate_std"),
+    )
+    out = out.withColumn("sr_range", F.col("sr_max") - F.col("sr_min"))
+    out = out.withColumn("is_stable", F.coalesce((F.col("sr_std") < 0.5) & (F.col("degradation") < 0.3), F.lit(False))).withColumn("is_degrading", F.col("degradation") > 0.3)
+    verdict = F.when(F.col("is_stable") & (F.col("sr_mean") > 0.5), "accept").when(F.col("is_degrading"), "reject").when(F.col("sr_std") > 0.5, "warning").otherwise("borderline")
+    return out.withColumn("verdict", verdict)
+
+
+def walk_forward_report(periods: DataFrame, by: Sequence[str] = ("symbol",)) -> DataFrame:
+    """(by, report): the periods and what ``walk_forward_stability`` says of them as text, a line a period."""
+    line = F.format_string("[%d] Sharpe %.4f, win rate %.1f%%", F.col("period").cast("long"), "sharpe", F.col("win_rate") * 100)
+    lines = periods.where("sharpe is not null").groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("period", line.alias("line")))).alias("_l"))  # a line a period
+    table = walk_forward_stability(periods, by).join(lines, list(by))
+    summary = F.format_string(
+        "Periods: %d\nMean %.4f, deviation %.4f, range %.4f to %.4f\nPositive %.1f%%, consistent %.1f%%, degradation %.4f\nVerdict: %s",
+        "periods", "sr_mean", F.coalesce("sr_std", F.lit(0.0)), "sr_min", "sr_max", F.col("positive_rate") * 100, F.col("consistent_rate") * 100, "degradation", "verdict",
+    )
+    return table.select(*by, F.concat_ws("\n", F.lit("Walk-forward"), F.concat_ws("\n", F.col("_l.line")), summary).alias("report"))

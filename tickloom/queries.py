@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tickloom.functions import breaks, entropy, recursive
 from tickloom.functions import rolling as R
@@ -864,6 +865,57 @@ def frac_diff_by_range(t):
 
 
 
+@query(_TBM + """, oof AS (SELECT symbol, event_ns, CASE WHEN event_ns // 1000000000 % 2 = 0 THEN 1 ELSE -1 END AS side, 0.5::DOUBLE + 0.1::DOUBLE * sign(ret) AS prob, false AS held_out FROM out),
+ alls AS (SELECT * FROM oof UNION ALL SELECT symbol, event_ns, side, 1 - prob, true FROM oof WHERE event_ns // 1000000000 % 3 = 0),
+ h AS (SELECT *, row_number() OVER (PARTITION BY symbol, event_ns ORDER BY held_out DESC, prob DESC) AS k FROM alls)
+ SELECT symbol, event_ns, side, round(prob, 6) AS prob, held_out, CAST(prob >= CASE WHEN side = -1 THEN 0.5::DOUBLE + 0.2::DOUBLE ELSE 0.5 END AS INTEGER) AS pred FROM h WHERE k = 1""")
+def honest_meta_signals(t):
+    return backtest.honest_signals(*_predictions(_labels(t)), 0.5, 0.2)
+
+
+def _predictions(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Predictions out of fold of all labels, and held-out ones, which differ, of a third of them."""
+    second = F.expr("event_ns div 1000000000")
+    oof = known.select("symbol", "event_ns", F.when(second % 2 == 0, 1).otherwise(-1).alias("side"), (F.lit(0.5) + F.lit(0.1) * F.signum("ret")).alias("prob"))
+    return oof.unionByName(oof), oof.where(second % 3 == 0).withColumn("prob", 1 - F.col("prob"))
+
+
+@query(_TBM + """, s AS (SELECT symbol, event_ns, ret * CASE WHEN event_ns // 1000000000 % 3 = 0 THEN -sign(ret) ELSE sign(ret) END AS r FROM out WHERE ret <> 0)
+ SELECT symbol, count(*) AS n, count(*) FILTER (WHERE r > 0) AS wins, count(*) FILTER (WHERE r < 0) AS losses, round(avg(CAST(r > 0 AS INT)), 6) AS win_rate, round(avg(r), 6) AS avg_ret, round(sum(r), 6) AS total_ret, round(coalesce(avg(r) FILTER (WHERE r > 0), 0), 6) AS avg_win, round(coalesce(avg(r) FILTER (WHERE r < 0), 0), 6) AS avg_loss, round(coalesce(abs(avg(r) FILTER (WHERE r > 0) / avg(r) FILTER (WHERE r < 0)), 0), 6) AS pl_ratio FROM s GROUP BY 1""")
+def label_backtest(t):
+    known = _labels(t)
+    signals = backtest.honest_signals(*_predictions(known), 0.5)
+    signal = F.when(F.col("prob") > 0.55, 1).when(F.col("prob") < 0.45, -1).otherwise(0)
+    return backtest.label_backtest(signals.withColumn("signal", signal), known)
+
+
+_PERIODS = _BARS + """, r0 AS (SELECT symbol, bar_id, close / lag(close) OVER w - 1 AS r, row_number() OVER w AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM ohlc WINDOW w AS (PARTITION BY symbol ORDER BY bar_id)),
+ r1 AS (SELECT *, r * sign(lag(r) OVER (PARTITION BY symbol ORDER BY rn)) AS s FROM r0), pd AS (SELECT symbol, rn * 8 // (n + 1) AS period, avg(s) / nullif(stddev_samp(s), 0) * sqrt(252) AS sharpe, avg(CAST(s > 0 AS INT)) AS win_rate FROM r1 WHERE s IS NOT NULL AND rn * 8 // (n + 1) >= 1 GROUP BY 1, 2)"""
+
+
+def _periods(t: DataFrame) -> DataFrame:
+    """Sharpe ratio and win rate of one-bar momentum in seven successive periods behind the first eighth."""
+    b = tick20(t).withColumn("r", R.ret("close", over=R.BARS))
+    b = b.withColumn("s", F.col("r") * F.signum(F.lag("r").over(R.BARS.all))).withColumn("_k", F.row_number().over(R.BARS.all)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("symbol")))
+    b = b.withColumn("period", F.expr("_k * 8 div (_n + 1)")).where("s is not null and period >= 1")
+    return b.groupBy("symbol", "period").agg((F.try_divide(F.avg("s"), F.stddev_samp("s")) * F.sqrt(F.lit(252.0))).alias("sharpe"), F.avg((F.col("s") > 0).cast("double")).alias("win_rate"))
+
+
+@query(_PERIODS + """, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY period) AS k, count(*) OVER (PARTITION BY symbol) AS n, avg(sharpe) OVER (PARTITION BY symbol) AS m FROM pd WHERE sharpe IS NOT NULL),
+ a AS (SELECT symbol, count(*) AS periods, avg(sharpe) AS sr_mean, stddev_samp(sharpe) AS sr_std, min(sharpe) AS sr_min, max(sharpe) AS sr_max, avg(CAST(sharpe > 0 AS INT)) AS positive_rate, avg(CAST(sharpe > m * 0.5 AS INT)) AS consistent_rate, coalesce(avg(sharpe) FILTER (WHERE k <= n // 3) - avg(sharpe) FILTER (WHERE k > n - (n + 2) // 3), 0) AS degradation, avg(win_rate) AS win_rate_mean, stddev_samp(win_rate) AS win_rate_std FROM k GROUP BY 1),
+ v AS (SELECT *, coalesce(sr_std < 0.5 AND degradation < 0.3, false) AS is_stable, degradation > 0.3 AS is_degrading FROM a)
+ SELECT symbol, periods, round(sr_mean, 5) AS sr_mean, round(sr_std, 5) AS sr_std, round(sr_min, 5) AS sr_min, round(sr_max, 5) AS sr_max, round(positive_rate, 5) AS positive_rate, round(consistent_rate, 5) AS consistent_rate, round(degradation, 5) AS degradation, round(win_rate_mean, 5) AS win_rate_mean, round(win_rate_std, 5) AS win_rate_std, round(sr_max - sr_min, 5) AS sr_range, is_stable, is_degrading,
+ CASE WHEN is_stable AND sr_mean > 0.5 THEN 'accept' WHEN is_degrading THEN 'reject' WHEN sr_std > 0.5 THEN 'warning' ELSE 'borderline' END AS verdict FROM v""", digits=5)
+def walk_forward_stability(t):
+    return backtest.walk_forward_stability(_periods(t))
+
+
+@query()
+def walk_forward_report(t):
+    return backtest.walk_forward_report(_periods(t))
+
+
+
 @query()
 def walk_forward_backtest(t):
     b = tick20(t).withColumn("signal", backtest.momentum_side("close", 3, R.BARS))
