@@ -120,6 +120,40 @@ def live_time_bars(tape: DataFrame, every: str = "1 minute", late: str = "10 min
     return out.select("symbol", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "open", "high", "low", "close", "volume", "trades")
 
 
+def live_exits(signals: DataFrame, prices: DataFrame, horizon_ns: int, profit: float | None = 1.0, loss: float | None = 1.0, late: str = "10 minutes") -> DataFrame:
+    """(symbol, event_ns, target, side, entry, t1_ns, ret, exit, touch): where each streaming signal's position ends, emitted once.
+
+    signals has (symbol, ts_ns, seq, price, target, side): the trade at which a position opens; prices is the streaming
+    tape (symbol, ts_ns, seq, price).  A position ends at the first later trade within horizon_ns whose log return
+    times side reaches target * profit or -target * loss, else at the last one: the label of ``labels.triple_barrier``
+    for the same event.  A None barrier is none.  Signals without a later trade in their horizon have no row.
+
+    Both streams may come late behind their newest row; the interval join keeps a signal, and the trades it may still
+    meet, until both watermarks have passed its horizon, and no longer.  Then its row comes out.  Rows with a null in
+    these columns are left out, and repeated signals are one.
+    """
+    at = lambda c: F.timestamp_micros(F.floor(F.col(c) / 1000))
+    known = lambda df, *cols: df.where(" and ".join(f"{c} is not null" for c in cols))
+    s = known(signals, "symbol", "ts_ns", "seq", "price", "target", "side").select("symbol", F.col("ts_ns").alias("event_ns"), F.col("seq").alias("_eq"), F.col("price").alias("entry"), "target", "side", at("ts_ns").alias("_at")).withWatermark("_at", late)
+    p = known(prices, "symbol", "ts_ns", "seq", "price").select(F.col("symbol").alias("_s"), F.col("ts_ns").alias("_t"), F.col("seq").alias("_q"), F.col("price").alias("_p"), at("ts_ns").alias("_when")).withWatermark("_when", late)
+    micros = horizon_ns // 1000 + 1  # times are cut to microseconds for the join; the exact bounds follow
+    near = F.expr(f"symbol = _s and _when >= _at and _when <= _at + interval {micros // 1_000_000} seconds {micros % 1_000_000} microseconds")
+    exact = (F.struct("_t", "_q") > F.struct("event_ns", "_eq")) & (F.col("_t") <= F.col("event_ns") + horizon_ns)
+    r = F.ln(F.try_divide("_p", "entry")) * F.col("side")
+    hit = F.lit(False)
+    if profit is not None:
+        hit = hit | (r >= F.col("target") * profit)
+    if loss is not None:
+        hit = hit | (r <= -F.col("target") * loss)
+    order, what = F.struct("_t", "_q"), F.struct("_t", "_p", r.alias("r"))
+    met = s.join(p, near).where(exact)
+    keys = ["symbol", "event_ns", "_eq", "target", "side", "entry"]
+    ends = met.groupBy(F.window("_at", "1 second").alias("_w"), *keys).agg(F.min_by(what, F.when(hit, order)).alias("_hit"), F.max_by(what, order).alias("_end"))
+    out = F.coalesce("_hit", "_end")
+    touch = F.when(F.col("_hit").isNull(), "vertical").when(out["r"] > 0, "upper").otherwise("lower")
+    return ends.select("symbol", "event_ns", "target", "side", "entry", out["_t"].alias("t1_ns"), out["r"].alias("ret"), out["_p"].alias("exit"), touch.alias("touch"))
+
+
 class SignalModel:
     """A model of class 1's probability for a feature table; without a model, or on an error, it is in safe mode and gives no signals."""
 
