@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from tickloom.functions import breaks, entropy, recursive
 from tickloom.functions import rolling as R
-from tickloom.operators import backtest, bars, buckets, labels, passage, ranges, screening, tape, validation
+from tickloom.operators import backtest, bars, buckets, labels, passage, ranges, screening, stationarity, tape, validation
 from tickloom.plans import pipelines
 from tickloom.plans.kit import Feature, FeatureKit
 from tickloom.sources import tapes
@@ -916,6 +916,21 @@ def walk_forward_report(t):
 
 
 
+@query(_TAPE + """, u AS (SELECT symbol, ts_ns, seq, 'price' AS feature, price AS y FROM tape UNION ALL SELECT symbol, ts_ns, seq, 'amount', amount FROM tape),
+ d AS (SELECT symbol, feature, lag(y) OVER w - first_value(y) OVER w AS l, y - lag(y) OVER w AS d, row_number() OVER w - 1 AS i FROM u WINDOW w AS (PARTITION BY symbol, feature ORDER BY ts_ns, seq)),
+ m AS (SELECT symbol, feature, count(*) AS n, var_pop(l) - covar_pop(l, i) * covar_pop(l, i) / var_pop(i) AS ll, covar_pop(l, d) - covar_pop(l, i) * covar_pop(d, i) / var_pop(i) AS ld, var_pop(d) - covar_pop(d, i) * covar_pop(d, i) / var_pop(i) AS dd FROM d WHERE l IS NOT NULL GROUP BY 1, 2)
+ SELECT symbol, feature, round(ld / ll / sqrt((dd - ld * ld / ll) / (n - 3) / ll), 5) AS t, 0::BIGINT AS lag, n, round(n * ln(dd - ld * ld / ll) + 6, 5) AS aic FROM m""", digits=5)
+def adf_by_feature(t):
+    """Every symbol's prices and amounts without lagged changes, in blocks of 500 trades; tests hold lags against whole columns."""
+    return stationarity.adf_by_feature(t, ["price", "amount"], 0, rows=500).select("symbol", "feature", "t", "lag", "n", "aic")
+
+
+@query()
+def stationary_orders(t):
+    return stationarity.stationary_orders(tick20(t), ["close", "volume"], 0.25, threshold=0.02, order=("bar_id",))
+
+
+
 @query()
 def walk_forward_backtest(t):
     b = tick20(t).withColumn("signal", backtest.momentum_side("close", 3, R.BARS))
