@@ -174,3 +174,73 @@ def test_honest_signals_and_label_backtest(spark):
     known = spark.createDataFrame([("a", 1, 0.4), ("a", 2, 0.1), ("a", 3, 9.0), ("a", 4, None), ("b", 1, 0.2)], "symbol string, event_ns long, ret double")
     a, b = backtest.label_backtest(signals, known).orderBy("symbol").collect()
     assert (a.n, a.wins, a.losses, a.win_rate, b.n, b.pl_ratio) == (2, 1, 1, 0.5, 1, 0.0) and abs(a.pl_ratio - 4) < 1e-9 and abs(a.total_ret - 0.3) < 1e-9
+
+
+def _exit_bars(spark, n=140):
+    rng = np.random.default_rng(8)
+    frames = []
+    for s in "ab":
+        close = 50 + np.cumsum(rng.normal(size=n))
+        open_ = close + rng.normal(size=n) * 0.2
+        frames.append(pd.DataFrame({"symbol": s, "ts_ns": np.arange(n) * 10, "seq": np.arange(n), "open": open_, "high": np.maximum(open_, close) + 0.3, "low": np.minimum(open_, close) - 0.3, "close": close, "side": rng.choice([1.0, -1.0, 0.0, np.nan], n, p=[0.2, 0.2, 0.3, 0.3]), "atr": rng.choice([np.nan, 0.8, 1.2], n)}))
+    pdf = pd.concat(frames)
+    return pdf, spark.createDataFrame(pdf).withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("side", "atr")}).repartition(3)
+
+
+@pytest.mark.parametrize("exit_, args", [("reverse", {}), ("hold", {"hold": 7}), ("trail", {"multiplier": 1.5})])
+def test_exits_against_a_plain_loop(spark, exit_, args):
+    pdf, df = _exit_bars(spark)
+    want = []
+    for s, p in pdf.groupby("symbol"):
+        p, pos = p.reset_index(drop=True), None
+        for i, r in p.iterrows():
+            side, gone = 0 if np.isnan(r.side) else int(r.side), False
+            if pos:
+                e, d = pos
+                since, end = p.iloc[e : i + 1], i == len(p) - 1
+                out = None
+                if exit_ == "trail" and r.atr > 0:
+                    far = since["high"].max() - r.close if d > 0 else r.close - since["low"].min()
+                    out = (r.close, "trail") if far > 1.5 * r.atr else None
+                elif exit_ == "reverse" and side * d < 0 or exit_ == "hold" and i - e >= 7:
+                    out = r.open, exit_
+                if end and not (out and out[1] == "trail"):
+                    out = r.close, "final"
+                if out:
+                    want.append((s, e * 10, i * 10, d, round(p.open[e], 9), round(out[0], 9), round((out[0] - p.open[e]) * d, 9), out[1]))
+                    pos, gone = None, out[1] == "trail"
+            if pos is None and side and not gone and i < len(p) - 1:
+                pos = i, side
+    got = [(r.symbol, r.entry_ns, r.exit_ns, r.side, round(r.entry_price, 9), round(r.exit_price, 9), round(r.pnl, 9), r.reason) for r in backtest.exit_backtest(df, "side", exit_, **args).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 8
+    table = {r.symbol: r for r in backtest.exit_comparison(df, "side", {"x": {"exit_": exit_, **args}}, 0.01, 0.02).collect()}
+    x = pd.Series([w[6] for w in want if w[0] == "a"])
+    assert table["a"].trade_count == len(x) and abs(table["a"].total_pnl - (x.sum() - 0.03 * len(x))) < 1e-6 and abs(table["a"].sharpe - x.mean() / x.std()) < 1e-6
+
+
+def test_supertrend_votes(spark):
+    from tickloom.functions import recursive
+
+    _, df = _exit_bars(spark)
+    df = df.drop("side", "atr")
+    one = {}
+    for n, m in ((5, 1.0), (9, 2.0)):
+        for r in recursive.supertrend(recursive.atr(df, n), "atr", m).collect():
+            one.setdefault((r.symbol, r.ts_ns), []).append(r.direction)
+    for how in ("or", "and"):
+        rows = backtest.supertrend_votes(df, [(5, 1.0), (9, 2.0)], how).collect()
+        assert len(rows) == len(one)
+        for r in rows:
+            d = one[r.symbol, r.ts_ns]
+            ups = sum(x == 1 for x in d)
+            want = (None, None) if d == [None, None] else (1 if ups >= (1 if how == "or" else 2) else -1, ups / 2)
+            assert (r.side, r.confidence) == want
+        assert {r.confidence for r in rows} == {None, 0.0, 0.5, 1.0}
+
+
+def test_bar_scores(spark):
+    kind = "symbol string, ac1 double, acf_sum double, vov_ratio double, jarque_bera double, skew double, kurt double, bars_per_day double"
+    rows = [("best", 0.0, 0.0, 0.0, 0.5, 0.0, 0.0, 20.0), ("worst", -0.2, 0.9, None, 1e12, -5.0, 99.0, 0.0), ("mid", 0.05, 0.25, 0.05, 1000.0, 1.0, 23.5, 12.0), ("thin", 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 7.5)]
+    got = {r.symbol: r.score for r in backtest.bar_scores(spark.createDataFrame(rows, kind)).collect()}
+    want = {"best": 0.0, "worst": 1.1, "mid": 0.175 + 0.075 + 0.125 + 0.1 / 3 + 0.025 + 0.025 + 0.15 * 0.18, "thin": 0.15 * 0.5}
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)

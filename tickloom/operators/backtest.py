@@ -432,3 +432,96 @@ def walk_forward_report(periods: DataFrame, by: Sequence[str] = ("symbol",)) ->
         "periods", "sr_mean", F.coalesce("sr_std", F.lit(0.0)), "sr_min", "sr_max", F.col("positive_rate") * 100, F.col("consistent_rate") * 100, "degradation", "verdict",
     )
     return table.select(*by, F.concat_ws("\n", F.lit("Walk-forward"), F.concat_ws("\n", F.col("_l.line")), summary).alias("report"))
+
+
+def exit_backtest(bars: DataFrame, side: str, exit_: str = "reverse", hold: int = 20, multiplier: float = 2.0, atr: str = "atr", order=ORDER) -> DataFrame:
+    """Trades (symbol, entry_ns, exit_ns, side, entry_price, exit_price, pnl, reason) of one position a symbol.
+
+    A flat symbol enters at the open of a bar whose side is not null or 0.  A position leaves at the open of a bar
+    that shows the other side (reverse) or comes hold bars after the entry's (hold), or at the close of a bar that
+    closes more than multiplier times the bar's atr under the highest high since the entry, above the lowest low for a
+    short one (trail; the close is the first price at which that is known), and at the close of the symbol's last bar
+    (final).  A bar may end a position and begin another at its open; after a trailing exit the next bar may.
+    Bars with a null atr or one not over 0 trail nothing.
+    """
+    if exit_ not in ("reverse", "hold", "trail"):
+        raise ValueError(f"no exit called {exit_}")
+    last = F.lead("ts_ns").over(Window.partitionBy("symbol").orderBy(*order)).isNull()
+    wide = F.col(atr).cast("double") if exit_ == "trail" else F.lit(None).cast("double")
+    rows = bars.select("symbol", *dict.fromkeys([*order, "ts_ns"]), *[F.col(c).cast("double").alias(f"_{c}") for c in ("open", "high", "low", "close")], F.coalesce(F.col(side).cast("int"), F.lit(0)).alias("_side"), wide.alias("_atr"), last.alias("_last"))
+
+    def step(s, c):
+        out = {k: [None] * len(c["_side"]) for k in ("entry_ns", "side", "entry_price", "exit_price", "reason")}
+        for i, (t, o, h, low, close, side_, a, end) in enumerate(zip(*(c[k].tolist() for k in ("ts_ns", "_open", "_high", "_low", "_close", "_side", "_atr", "_last")))):
+            done = None
+            if s["side"]:
+                s["bars"] += 1
+                s["best"] = max(s["best"], h) if s["side"] > 0 else min(s["best"], low)
+                if exit_ == "trail" and a > 0 and (s["best"] - close) * s["side"] > multiplier * a:
+                    done = close, "trail"
+                elif exit_ == "reverse" and side_ * s["side"] < 0 or exit_ == "hold" and s["bars"] >= hold:
+                    done = o, exit_
+                if end and (done is None or done[1] != "trail"):
+                    done = close, "final"
+                if done:
+                    for k, v in zip(out, (s["t"], s["side"], s["price"], *done)):
+                        out[k][i] = v
+                    s["side"] = 0
+            if not s["side"] and side_ and not end and (done is None or done[1] != "trail"):
+                s.update(side=1 if side_ > 0 else -1, t=t, price=o, bars=0, best=h if side_ > 0 else low)
+        return out
+
+    kinds = "entry_ns long, side int, entry_price double, exit_price double, reason string"
+    out = fold(rows, lambda: {"side": 0}, step, ["ts_ns", "_open", "_high", "_low", "_close", "_side", "_atr", "_last"], kinds, order=order).where("reason is not null")
+    pnl = (F.col("exit_price") - F.col("entry_price")) * F.col("side")
+    return out.select("symbol", "entry_ns", F.col("ts_ns").alias("exit_ns"), "side", "entry_price", "exit_price", pnl.alias("pnl"), "reason")
+
+
+def exit_comparison(bars: DataFrame, side: str, exits: dict[str, dict], commission: float = 0.0, slippage: float = 0.0, order=ORDER) -> DataFrame:
+    """One row a symbol and named exit (arguments of ``exit_backtest``): trade_count, total_pnl after commission and slippage a trade, sharpe (mean over sample deviation, 0 where that is unknown or 0) and mean_trade before costs."""
+    out = None
+    for name, args in exits.items():
+        trades = exit_backtest(bars, side, order=order, **args).withColumn("exit", F.lit(name))
+        out = trades if out is None else out.unionByName(trades)
+    cost = F.count(F.lit(1)) * (commission + slippage)
+    return out.groupBy("symbol", "exit").agg(F.count(F.lit(1)).alias("trade_count"), (F.sum("pnl") - cost).alias("total_pnl"), F.coalesce(F.try_divide(F.avg("pnl"), F.stddev_samp("pnl")), F.lit(0.0)).alias("sharpe"), F.avg("pnl").alias("mean_trade"))
+
+
+def supertrend_votes(bars: DataFrame, params: Sequence[tuple[int, float]], how: str = "or", order=ORDER) -> DataFrame:
+    """bars with side and confidence: the vote of SuperTrends of several (atr length, multiplier).
+
+    side is 1 where any (or) or each (and) of them shows an upward trend, else -1, and null before the first is known;
+    confidence is the share that does, 1 where all must and do.
+    """
+    from tickloom.functions import recursive
+
+    if how not in ("or", "and"):
+        raise ValueError(f"no vote called {how}")
+    out, names = bars, []
+    for i, (n, m) in enumerate(params):
+        out = recursive.supertrend(recursive.atr(out, n, name="_atr", order=order), "_atr", m, order=order)
+        out = out.withColumnRenamed("direction", f"_d{i}").drop("_atr", "line", "upper", "lower")
+        names.append(f"_d{i}")
+    ups = sum((F.when(F.col(d) == 1, 1).otherwise(0) for d in names), F.lit(0))
+    enough = ups >= (1 if how == "or" else len(names))
+    known = F.coalesce(*[F.col(d) for d in names]).isNotNull()
+    return out.withColumns({"side": F.when(known, F.when(enough, 1).otherwise(-1)), "confidence": F.when(known, ups / len(names))}).drop(*names)
+
+
+def bar_scores(quality: DataFrame) -> DataFrame:
+    """quality (ac1, acf_sum, vov_ratio, jarque_bera, skew, kurt (excess), bars_per_day) with the parts and score of a bar series; less is better.
+
+    Half is dependence (first autocorrelation 0.35, the sum of their sizes 0.15), a quarter the spread of monthly
+    variances (unknown counts in full), 0.2 distance from normal returns, and up to 0.15 a density under 15 bars a day.
+    """
+    upto = lambda c: F.least(c, F.lit(1.0))
+    day = F.col("bars_per_day")
+    thin = F.when(day >= 15, 0.0).when(day >= 10, 0.3 * (15 - day) / 5).when(day >= 5, 0.3 + 0.4 * (10 - day) / 5).otherwise(0.7 + 0.3 * (5 - day) / 5)
+    vov = F.col("vov_ratio")
+    parts = {
+        "independence": 0.35 * upto(F.abs("ac1") / 0.10) + 0.15 * upto(F.col("acf_sum") / 0.50),
+        "stability": 0.25 * F.when(vov.isNull() | F.isnan(vov), 1.0).otherwise(upto(vov / 0.1)),
+        "normality": 0.10 * upto(F.log10(F.greatest(F.col("jarque_bera"), F.lit(1.0))) / 9) + 0.05 * upto(F.abs("skew") / 2) + 0.05 * upto(F.abs("kurt") / 47),
+        "density": 0.15 * thin,
+    }
+    return quality.withColumns(parts).withColumn("score", F.col("independence") + F.col("stability") + F.col("normality") + F.col("density"))

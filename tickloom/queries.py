@@ -931,6 +931,25 @@ def stationary_orders(t):
 
 
 
+@query(_BARS + """, n AS (SELECT symbol, ts_ns, open, high, low, close, row_number() OVER w AS rn, count(*) OVER (PARTITION BY symbol) AS n, coalesce(CAST(sign(close - lag(close, 3) OVER w) AS INTEGER), 0) AS side, avg(high - low) OVER (PARTITION BY symbol ORDER BY bar_id ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS atr FROM ohlc WINDOW w AS (PARTITION BY symbol ORDER BY bar_id)),
+ e AS (SELECT symbol, x AS exit, rn, CASE WHEN rn < n THEN side ELSE 0 END AS s, open AS p, 0 AS k, CASE WHEN side > 0 THEN high ELSE low END AS b, NULL::VARCHAR AS reason, NULL::DOUBLE AS pnl FROM n, (VALUES ('reverse'), ('hold'), ('trail')) v(x) WHERE rn = 1 UNION ALL
+  SELECT symbol, exit, rn, CASE WHEN enter THEN side WHEN reason IS NULL THEN s0 ELSE 0 END, CASE WHEN enter THEN open ELSE p0 END, CASE WHEN enter THEN 0 ELSE k1 END, CASE WHEN enter THEN CASE WHEN side > 0 THEN high ELSE low END ELSE b1 END, reason, CASE WHEN reason IS NOT NULL THEN (CASE WHEN reason IN ('trail', 'final') THEN close ELSE open END - p0) * s0 END FROM
+  (SELECT *, (s0 = 0 OR reason IS NOT NULL) AND side <> 0 AND NOT last AND coalesce(reason, '') <> 'trail' AS enter FROM
+   (SELECT *, CASE WHEN s0 = 0 THEN NULL WHEN exit = 'trail' AND atr > 0 AND (b1 - close) * s0 > 1.0 * atr THEN 'trail' WHEN last THEN 'final' WHEN exit = 'reverse' AND side * s0 < 0 OR exit = 'hold' AND k1 >= 5 THEN exit END AS reason FROM
+    (SELECT n.symbol, e.exit, n.rn, n.side, n.open, n.high, n.low, n.close, n.atr, n.rn = n.n AS last, e.s AS s0, e.p AS p0, e.k + 1 AS k1, CASE WHEN e.s > 0 THEN greatest(e.b, n.high) ELSE least(e.b, n.low) END AS b1 FROM e JOIN n ON n.symbol = e.symbol AND n.rn = e.rn + 1) a) c) d)
+ SELECT symbol, exit, count(*) AS trade_count, round(sum(pnl) - count(*) * (0.01::DOUBLE + 0.02::DOUBLE), 5) AS total_pnl, round(coalesce(avg(pnl) / nullif(stddev_samp(pnl), 0), 0), 5) AS sharpe, round(avg(pnl), 5) AS mean_trade FROM e WHERE reason IS NOT NULL GROUP BY 1, 2""", digits=5)
+def exit_comparison(t):
+    b = tick20(t).withColumn("side", F.signum(F.col("close") - F.lag("close", 3).over(R.BARS.all)).cast("int")).withColumn("atr", F.avg(F.col("high") - F.col("low")).over(R.BARS.rows(8)))
+    exits = {"reverse": {"exit_": "reverse"}, "hold": {"exit_": "hold", "hold": 5}, "trail": {"exit_": "trail", "multiplier": 1.0}}
+    return backtest.exit_comparison(b, "side", exits, 0.01, 0.02, order=("bar_id",))
+
+
+@query()
+def supertrend_votes(t):
+    return backtest.supertrend_votes(tick20(t), [(5, 1.0), (10, 2.0)], "or", order=("bar_id",)).select("symbol", "bar_id", "close", "side", "confidence")
+
+
+
 @query()
 def walk_forward_backtest(t):
     b = tick20(t).withColumn("signal", backtest.momentum_side("close", 3, R.BARS))
