@@ -2,12 +2,13 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from tickloom.llm.embedding_dedup import near_vectors
 from tickloom.llm.html_text import extract, main_text
 from tickloom.llm.language_id import BiGRU, document_probabilities, fit_languages, identify
 from tickloom.llm.queries import URL_RULES
-from tickloom.llm.toxicity import drop_toxic, fit, fit_labelled, toxicity
+from tickloom.llm.toxicity import FLOOR, PENALTY, TOXIC, drop_toxic, features, fit, fit_binary, fit_labelled, toxicity
 from tickloom.llm.url_filter import filter_urls, judge_urls
 
 
@@ -80,6 +81,65 @@ def test_toxicity_on_held_out_rows(spark):
     assert not toxicity(df, none).where("toxic").count()
 
 
+@pytest.mark.parametrize("n", [1, 3, 7])
+def test_toxicity_of_few_labels(spark, n):
+    rnd = random.Random(n)
+    text = lambda *more: " ".join([*(rnd.choice("abcdefgh") * 3 + str(rnd.randrange(9)) for _ in range(80)), *more])
+    rows = [(i, text("vile", "scum", "rotten") if i < 2 * n else text()) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < n)) for i in [*range(n), *range(2 * n, 100)]], "doc_id long, toxic int")
+    assert {r.doc_id for r in toxicity(df, fit_labelled(df, labels)).where("toxic").collect()} == set(range(2 * n))
+
+
+@pytest.mark.parametrize("sf, recall, rejected", [("sf0.001", 0.25, 0.03), ("sf0.01", 0.6, 0.02), ("sf0.1", 0.82, 0.01)])
+def test_toxicity_held_out_on_given_tables(sf, recall, rejected):
+    """Half the labels in turn, over all labelled documents, in three splits."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    toxic = dict(zip(*(pq.read_table(f"/root/testdata/{sf}/labels.parquet")[c].to_pylist() for c in ("doc_id", "toxic"))))
+    docs = pq.read_table(f"/root/testdata/{sf}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    docs = [r for r in docs if toxic.get(r["doc_id"]) is not None]
+    rows = [np.unique(h) for _, h in features(pa.array([r["text"] for r in docs], pa.string()))]
+    y = np.array([toxic[r["doc_id"]] > 0 for r in docs])
+    seen = np.zeros((3, len(y)), bool)
+    for split in range(3):
+        at = np.random.default_rng(5 + split).permutation(len(y))
+        for half in (0, 1):
+            model = fit_binary([rows[i] for i in at[half::2]], y[at[half::2]])
+            seen[split, at[1 - half :: 2]] = [model.over(rows[i]).sum() >= TOXIC for i in at[1 - half :: 2]]
+    assert seen[:, y].mean() >= recall and seen[:, ~y].mean() <= rejected
+    model = fit_binary(rows, y)
+    caught = np.array([model.over(r).sum() >= TOXIC for r in rows])
+    assert caught[y].mean() > 0.98 and not caught[~y].any()
+
+
+def test_toxicity_fit_has_the_least_loss():
+    """A plain cumulative-link loss with its penalty grows where a weight or threshold of the fit is moved."""
+    rng = np.random.default_rng(1)
+    grades = rng.choice([0, 1, 2], 300, p=[0.6, 0.3, 0.1])
+    rows = [np.flatnonzero(rng.random(12) < np.r_[np.full(6, 0.2 + 0.3 * g), np.full(6, 0.4)]).astype(np.uint64) for g in grades]
+    model = fit(rows, grades, steps=5000)
+
+    def loss(w, t):
+        total = PENALTY * w.sum()
+        for r, g in zip(rows, grades):
+            x = sum(w[list(model.keys).index(k)] for k in r if k in model.keys)
+            for k in range(2):
+                p = 1 / (1 + np.exp(t[k] - x))
+                total -= np.log(p if g > k else 1 - p)
+        return total
+
+    least = loss(model.weights, model.thresholds)
+    assert (model.weights > 0).all() and (np.diff(model.thresholds) >= 0).all() and model.thresholds[0] >= FLOOR
+    for i in range(len(model.keys)):
+        for by in (-0.3, 0.3):
+            w = model.weights.copy()
+            w[i] = max(w[i] + by, 0)
+            assert loss(w, model.thresholds) >= least - 1e-2
+    assert loss(model.weights, np.maximum(model.thresholds - 0.3, FLOOR)) >= least - 1e-2 and loss(model.weights, model.thresholds + 0.3) >= least - 1e-2
+
+
 def test_ordinal_grades_are_ordered():
     rng = np.random.default_rng(0)
     rows, y = [], []

@@ -3,8 +3,9 @@
 P(grade > k) = sigmoid(w.x - t_k) with one weight vector w for all thresholds
 t_0 <= t_1 <= ...; the expected severity is the sum of these probabilities.
 Features are the words of a text and their first four and five bytes, present
-or absent, known by 64-bit hash.  The model keeps the features that most clearly
-mark toxic texts, so neither a long clean text nor an empty one gathers noise.
+or absent, known by 64-bit hash.  Weights are not negative and their sum is
+penalised, so features that do not mark toxic texts have none, whatever the number
+of labelled rows; neither a long clean text nor an empty one gathers noise.
 
 The classifier is fitted on a bounded sample of labelled rows (``FIT_ROWS`` of
 toxic and ``CLEAN`` times as many clean ones); every text is scored whole.
@@ -22,12 +23,12 @@ from pyspark.sql import functions as F
 from tickloom.llm.text import _LOWER, signed, slices, span_hashes
 from tickloom.llm.workspace import bound_batches
 
-#: Toxic labelled rows to fit on, clean ones for each of them, features kept, and severity from which a document is toxic.
-FIT_ROWS, CLEAN, FEATURES, TOXIC = 2500, 3, 4096, 0.3
+#: Toxic labelled rows to fit on, clean ones for each of them, and severity from which a document is toxic.
+FIT_ROWS, CLEAN, TOXIC = 2500, 3, 0.3
 #: Distinct markers that make a toxic text of grade 2 and 3 where labels only say toxic or not.
 GRADES = (7, 13)
-#: Least log odds of a marker, and toxic texts that it must be seen in.
-MARGIN, SEEN = 2.0, 8
+#: Penalty of each weight beside the summed loss of all rows, and the least threshold: a text without a known feature is clean.
+PENALTY, FLOOR = 0.1, 3.0
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _MASK = (1 << 20) - 1
@@ -76,69 +77,58 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(total - self.thresholds, -40, 40)))
 
 
-def markers(rows: list[np.ndarray], toxic: np.ndarray, n_features: int = FEATURES) -> np.ndarray:
-    """The features that surely mark toxic texts: log odds two deviations over MARGIN, seen in SEEN toxic texts."""
-    bad = [r for r, y in zip(rows, toxic) if y > 0]
-    m1, m0 = max(len(bad), 1), max(len(rows) - len(bad), 1)
-    keys, n1 = np.unique(np.concatenate(bad), return_counts=True) if bad else (np.zeros(0, np.uint64), np.zeros(0, int))
-    keys, n1 = keys[n1 >= SEEN], n1[n1 >= SEEN]
-    if not len(keys):
-        return keys
-    row, col = _hits([r for r, y in zip(rows, toxic) if y <= 0], keys)
-    n0 = np.bincount(col, minlength=len(keys))
-    odds = np.log((n1 + 0.5) / (m1 - n1 + 0.5)) - np.log((n0 + 0.5) / (m0 - n0 + 0.5))
-    least = odds - 2 * np.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))
-    best = np.argsort(-least, kind="stable")[:n_features]
-    return np.sort(keys[best[least[best] > MARGIN]])
-
-
 def _hits(rows: list[np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, key index) of every known feature of the rows."""
     out_row, out_col = [], []
     for i, r in enumerate(rows):
         at = np.minimum(np.searchsorted(keys, r), len(keys) - 1)
-        at = at[keys[at] == r]
-        out_row.append(np.full(len(at), i))
+        at = at[keys[at] == r].astype(np.int32)
+        out_row.append(np.full(len(at), i, np.int32))
         out_col.append(at)
-    none = [np.zeros(0, np.int64)]
+    none = [np.zeros(0, np.int32)]
     return np.concatenate(out_row or none), np.concatenate(out_col or none)
 
 
-def grade(rows: list[np.ndarray], toxic: np.ndarray, steps: tuple[int, ...] = GRADES) -> np.ndarray:
-    """Severity grades where labels only say toxic or not: 0 for clean texts, else 1 and
-    one more for each step that the number of the text's markers reaches."""
-    out = (toxic > 0).astype(np.int64)
-    keys = markers(rows, toxic) if out.any() else np.zeros(0, np.uint64)
-    if len(keys):
-        n = np.bincount(_hits(rows, keys)[0], minlength=len(rows))
-        out += out * sum((n >= s).astype(np.int64) for s in steps)
-    return out
+def fit(rows: list[np.ndarray], grades: np.ndarray, keys: np.ndarray | None = None, penalty: float = PENALTY, steps: int = 300) -> Ordinal:
+    """The model of least cumulative-link loss and penalty over rows of distinct feature hashes.
 
-
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_features: int = FEATURES, steps: int = 1500, l2: float = 1e-6) -> Ordinal:
-    """The model of least penalised cumulative-link loss over rows of distinct feature hashes."""
+    Proximal gradient steps over keys, or else over every feature of a row of grade 1 or more: no other can have a
+    weight, as weights are not negative.  Features whose weight is 0 after some rounds are left.
+    """
     top = int(grades.max()) if len(grades) else 0
-    keys = markers(rows, grades, n_features) if top else np.zeros(0, np.uint64)
+    if keys is None:
+        keys = np.unique(np.concatenate([r for r, y in zip(rows, grades) if y > 0])) if top else np.zeros(0, np.uint64)
     if not len(keys):
         return Ordinal(keys, np.zeros(0), np.full(max(top, 1), 40.0))
     row, col = _hits(rows, keys)
-    w, t = np.zeros(len(keys)), np.arange(top, dtype=float)
-    steps_w, steps_t = np.full(len(w), 1e-12), np.full(top, 1e-12)
     over = grades[:, None] > np.arange(top)
-    for _ in range(steps):
+    w, t = np.zeros(len(keys)), np.maximum.accumulate(np.maximum(np.log((~over).sum(0) + 0.5) - np.log(over.sum(0) + 0.5), FLOOR))
+    steps_w, steps_t = np.full(len(w), 1e-12), np.full(top, 1e-12)
+    for step in range(steps):
         x = np.bincount(row, w[col], len(rows))
-        p = 1 / (1 + np.exp(-np.clip(x[:, None] - t, -40, 40)))
-        g = (p - over) / len(rows)
-        gw = np.bincount(col, g.sum(1)[row], len(w)) + l2 * w
-        gt = -g.sum(0)
+        g = 1 / (1 + np.exp(-np.clip(x[:, None] - t, -40, 40))) - over
+        gw, gt = np.bincount(col, g.sum(1)[row], len(w)), -g.sum(0)
         steps_w += gw**2
         steps_t += gt**2
-        w -= 0.5 * gw / np.sqrt(steps_w)
-        t -= 0.5 * gt / np.sqrt(steps_t)
-        t = np.maximum.accumulate(t)
+        w = np.maximum(w - 0.5 * (gw + penalty) / np.sqrt(steps_w), 0)
+        t = np.maximum.accumulate(np.maximum(t - 0.5 * gt / np.sqrt(steps_t), FLOOR))
+        if step in (20, 60, 150, steps - 1):
+            live = w > 0
+            some = live[col]
+            row, col = row[some], (np.cumsum(live) - 1)[col[some]]
+            keys, w, steps_w = keys[live], w[live], steps_w[live]
     return Ordinal(keys, w, t)
 
 
+def fit_binary(rows: list[np.ndarray], toxic: np.ndarray, steps: tuple[int, ...] = GRADES) -> Ordinal:
+    """A model where labels only say toxic or not: toxic rows are of grade 1 and one more for each step that the
+    number of the row's features with a weight in a fit of the labels reaches; these features are then fitted to the grades."""
+    toxic = (toxic > 0).astype(np.int64)
+    first = fit(rows, toxic)
+    n = np.bincount(_hits(rows, first.keys)[0], minlength=len(rows)) if len(first.keys) else np.zeros(len(rows), np.int64)
+    return fit(rows, toxic + toxic * sum((n >= s).astype(np.int64) for s in steps), first.keys)
+
+
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [np.unique(h).tobytes() for _, h in features(batch.column(1))]
@@ -149,7 +139,7 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """A model from at most fit_rows rows labelled over 0 and CLEAN times as many labelled 0.
 
     Labels of more than two values are the grades; labels 0 and 1 are graded by
-    grade().  Rows with a null label, id or text are not used.  Without a toxic
+    fit_binary().  Rows with a null label, id or text are not used.  Without a toxic
     row the model finds nothing toxic.
     """
     bound_batches(docs.sparkSession)
@@ -160,7 +150,7 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     got = text.join(known, "_id").select("grade", "_text").mapInArrow(_gather, "grade int, features binary").toArrow()
     rows = [np.frombuffer(x.as_py(), np.uint64) for x in got["features"]]
     grades = np.array(got["grade"].to_pylist(), np.int64)
-    return fit(rows, grade(rows, grades) if len(grades) and grades.max() == 1 else grades)
+    return fit_binary(rows, grades) if len(grades) and grades.max() == 1 else fit(rows, grades)
 
 
 def _score(model):
