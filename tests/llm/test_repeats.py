@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from tickloom.llm.decontaminate import contained_items, drop_contaminated
-from tickloom.llm.substring_dedup import chunk_ends, cut_passages, repeated_passages
+from tickloom.llm.substring_dedup import SURE, _Run, chunk_ends, cut_passages, repeated_passages
 
 VOCAB = [f"{a}{b}{c}" for a in ("ka", "to", "mir", "és", "ul") for b in ("ne", "so", "rat", "üb") for c in ("", "n", "den", "lo", "z")]
 
@@ -153,3 +153,26 @@ def test_rows_are_decided_by_row_where_ids_are_null_or_shared(spark):
         assert texts(drop_contaminated(df([(i, leak), (j, clean[1]), (i, clean[2])]), spark.createDataFrame([(1, item)], "item_id long, text string"))) == sorted(clean[1:3])
         assert texts(drop_copies(df([(i, clean[0]), (j, clean[0]), (i, clean[1]), (j, clean[2])]))) == sorted(clean[:3])
     assert texts(drop_copies(df([(1, clean[0]), (7, clean[0]), (7, clean[1])]))) == sorted(clean[:2])
+
+
+def test_ends_of_runs_of_any_number_of_short_chunks():
+    """Against all chunks in a list: short ones at either end go as far as they are another owner's."""
+    rnd = random.Random(4)
+    for n in [*range(1, 60), 5000, 5001]:
+        chunks = [(rnd.randint(3, 30), rnd.choice([1, 2, 3] if rnd.random() < 0.9 or n >= 5000 else [SURE, 6]), rnd.randrange(4)) for _ in range(n)]
+        if n == 5001:
+            chunks[2500] = 31, SURE, 2
+            chunks[:1800] = [(5, 1, 3)] * 1800
+        run = _Run(9, 100)
+        for chunk in chunks:
+            run.add(*chunk)
+        owner = max(chunks, key=lambda c: c[0])[2]
+        sure = [i for i, c in enumerate(chunks) if c[1] >= SURE]
+        i, j = 0, n
+        if sure:
+            while i < sure[0] and chunks[i][2] != owner:
+                i += 1
+            while j > sure[-1] + 1 and chunks[j - 1][2] != owner:
+                j -= 1
+        place = lambda k: 100 + sum(c[0] for c in chunks[:k])
+        assert run.passage() == (9, place(i), place(j), sum(c[1] for c in chunks[i:j]), owner)

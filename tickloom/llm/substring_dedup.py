@@ -33,8 +33,8 @@ MEAN, LONGEST = 18, 1 << 15
 WINDOW, AROUND = 16, 64
 #: Words that a run of repeated chunks must hold.  Up to a chunk is lost at either end of a passage.
 MIN_WORDS = 30
-#: Words from which a repeated chunk surely belongs to its run, and shorter ones held at an end of a run.
-SURE, HELD = 4, 1000
+#: Words from which a repeated chunk surely belongs to its run.
+SURE = 4
 #: Bits of the length in characters and of the number of words of a chunk in its place.
 _SIZE, _WORDS = 16, 15
 _GEAR = np.random.default_rng(7).integers(0, 1 << 16, 256, dtype=np.uint16)
@@ -144,31 +144,34 @@ class _Run:
     def __init__(self, doc: int, start: int) -> None:
         self.doc, self.start, self.end, self.longest, self.owner = doc, start, start, -1, doc
         self.core: int | None = None  # where the first sure chunk starts
-        self.words, self.lead, self.trail = 0, [], []  # words up to the last sure chunk, (start, words, owner) of the chunks before and after
+        self.core_end = start  # where the last one ends
+        self.words, self.lead_words, self.trail_words = 0, 0, 0  # words of the sure chunks and between them, before and after
+        self.lead: dict[int, tuple[int, int]] = {}  # where an owner's first chunk before the core starts, words before it
+        self.trail: dict[int, tuple[int, int]] = {}  # where an owner's last chunk after the core ends, words up to there
 
     def add(self, size: int, count: int, owner: int) -> None:
         if size > self.longest:
             self.longest, self.owner = size, owner
-        if count >= SURE or len(self.trail) == HELD or len(self.lead) == HELD:
+        if count >= SURE:
             if self.core is None:
                 self.core = self.end
-            self.words += sum(w for _, w, _ in self.trail) + count
+            self.words += self.trail_words + count
+            self.core_end, self.trail_words = self.end + size, 0
             self.trail.clear()
+        elif self.core is None:
+            self.lead.setdefault(owner, (self.end, self.lead_words))
+            self.lead_words += count
         else:
-            (self.lead if self.core is None else self.trail).append((self.end, count, owner))
+            self.trail_words += count
+            self.trail[owner] = self.end + size, self.trail_words
         self.end += size
 
     def passage(self) -> tuple[int, int, int, int, int]:
-        lead, trail = self.lead, self.trail
         if self.core is None:  # no sure chunk
-            return self.doc, self.start, self.end, sum(w for _, w, _ in lead), self.owner
-        i, j = 0, len(trail)
-        while i < len(lead) and lead[i][2] != self.owner:
-            i += 1
-        while j and trail[j - 1][2] != self.owner:
-            j -= 1
-        words = self.words + sum(w for _, w, _ in (*lead[i:], *trail[:j]))
-        return self.doc, lead[i][0] if i < len(lead) else self.core, trail[j][0] if j < len(trail) else self.end, words, self.owner
+            return self.doc, self.start, self.end, self.lead_words, self.owner
+        start, before = self.lead.get(self.owner, (self.core, self.lead_words))
+        end, after = self.trail.get(self.owner, (self.core_end, 0))
+        return self.doc, start, end, self.words + self.lead_words - before + after, self.owner
 
 
 def _runs(min_words: int):
