@@ -152,16 +152,24 @@ def pca_transform(df: DataFrame, columns: list[str], fit: dict, prefix: str = "p
 
 
 def rolling_pca(df: DataFrame, columns: list[str], window: int, n: int = 1, prefix: str = "rolling_pca", order=ORDER, rows: int | None = None) -> DataFrame:
-    """The last row's scores on the first n right singular vectors of the (uncentred) last window rows."""
+    """The last row's scores on the first n principal axes of the (uncentred) last window rows, largest weight positive.
+
+    Axes are those of the windows' Gram matrices, columns squared numbers a row, made and solved for many rows at once.
+    Null where a value of the window is, or where there are fewer than n columns or rows.
+    """
+    step = max(1, (1 << 20) // (window * len(columns)))  # windows at a time
 
     def kernel(c):
         x = np.stack([c[k] for k in columns], 1)
         out = np.full((len(x), n), np.nan)
-        for i in range(window - 1, len(x)):
-            v = x[i - window + 1 : i + 1]
-            if np.isfinite(v).all():
-                w = np.linalg.svd(v, full_matrices=False)[2][:n]
-                out[i, : len(w)] = (w * np.sign(w[np.arange(len(w)), np.abs(w).argmax(1)])[:, None]) @ x[i]
+        if len(x) >= window:
+            v = sliding_window_view(x, window, axis=0)  # row, column, place
+            whole = np.flatnonzero(np.isfinite(v).all((1, 2)))
+            for at in (whole[i : i + step] for i in range(0, len(whole), step)):
+                some = v[at]
+                w = np.linalg.eigh(some @ some.transpose(0, 2, 1))[1][:, :, ::-1].transpose(0, 2, 1)[:, : min(n, window)]
+                largest = np.take_along_axis(w, np.abs(w).argmax(2)[:, :, None], 2)
+                out[window - 1 + at, : w.shape[1]] = (w * np.sign(largest) @ x[window - 1 + at][:, :, None])[:, :, 0]
         return {f"{prefix}_{k}": out[:, k] for k in range(n)}
 
     return windowed(df, kernel, window, columns, ", ".join(f"{prefix}_{k} double" for k in range(n)), order=order, rows=rows)

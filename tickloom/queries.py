@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tickloom.functions import breaks, entropy, recursive
+from tickloom.functions import breaks, entropy, recursive, sliding
 from tickloom.functions import rolling as R
 from tickloom.operators import backtest, bars, buckets, labels, passage, ranges, screening, stationarity, tape, validation
 from tickloom.plans import pipelines
@@ -983,6 +983,22 @@ def run_lengths(t):
     return b.select("symbol", "bar_id", R.direction_run_length("r", "run", R.BARS).alias("length"))
 
 
+_W64 = "(PARTITION BY symbol ORDER BY ts_ns, seq ROWS BETWEEN 63 PRECEDING AND CURRENT ROW)"
+
+
+@query(_TAPE + " SELECT symbol, seq, " + ", ".join(f"round(CASE WHEN count(price) OVER {_W64} = 64 THEN {v} END, 6) AS {name}" for name, v in (
+    *((name, f"quantile_cont(price, {q}) OVER {_W64}") for name, q in (("low", 0.1), ("median", 0.5), ("high", 0.9))), ("burst", f"price / nullif(greatest(quantile_cont(price, 0.5) OVER {_W64}, 0), 0)"),
+)) + " FROM tape")
+def sliding_quantiles(t):
+    found = sliding.sliding_quantiles(t, "price", 64, {"low": 0.1, "median": 0.5, "high": 0.9}, rows=2048)
+    return found.withColumn("burst", F.when(F.col("median") > 0, R.div("price", "median"))).select("symbol", "seq", "low", "median", "high", "burst")
+
+
+@query(digits=5)
+def rolling_components(t):
+    return entropy.rolling_pca(tick20(t), ["close", "high", "volume"], 16, 2, "pc", order=("bar_id",)).select("symbol", "bar_id", "pc_0", "pc_1")
+
+
 # A negative number that rounds to zero is -0.0 in DuckDB and 0.0 in Spark; adding zero makes it 0.0.
 for _name in ("rolling_spreads", "recursive_indicators", "volume_factors", "return_vol_factors", "money_flow_factors", "feature_ema", "psi_drift", "rolling_backtest", "backtest_statistics", "cost_pressure", "bar_quality"):
     ORACLE_SQL[_name] = re.sub(r", 6\) AS (\w+)", r", 6) + 0.0::DOUBLE AS \1", ORACLE_SQL[_name])
