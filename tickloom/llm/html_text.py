@@ -1,15 +1,21 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
 A page is cut into blocks of text at block-level tags.  Each block has its word
-count and link density, those of the blocks before and after it, and whether it
-stands in the article or in a part of the page that is no article (menu,
-footer, advert, ...).  A CART tree trained on the small labelled table below
-tells text from the rest.
+count and link density, those of the blocks before and after it that stand in no
+marked part, how surely it stands in a part of the page that is no article
+(menu, footer, advert, ...) and whether it stands in the article.  A CART tree
+trained on the small labelled table below tells text from the rest: beside the
+marks it reads a block's own link density and words and its neighbours'.
+
+Inline elements mark parts too: text in a marked span, label or button is a block
+of its own and leaves the block around it, which stays one.
 
 A word of a class, id or role marks a part less surely than an element's name:
 it marks no wrapper of the page's article, main or h1, none in a compound that
 tells a state (``has-sidebar``, ``comments-open``), and where no block of a page
-passes, the tree judges the blocks so marked without the mark.
+passes, the tree judges the blocks so marked without the mark.  Words that also
+name an article's subject (``discussion``, ``search``, ``social``) are weaker
+still: within the article they count only for blocks made of links.
 """
 
 from __future__ import annotations
@@ -40,18 +46,20 @@ _RAW = set("script style textarea title noscript template iframe noembed noframe
 _TO_END = set("script style textarea title xmp".split())
 # Start tags that end an svg or math element which is not closed before them.
 _BREAKS = "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var"
-_BOILER = set("nav aside footer form button select dialog menu fieldset".split())
+_BOILER = set("nav aside footer form button select dialog menu fieldset label option datalist search".split())
 _MAIN = set("article main".split())
 # Words in class, id or role that mark parts of a page.
 _BAD = set("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disclaimer discussion disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice outbrain pager pagination popup promo promoted promotion related reply replies respond share sharing sidebar skip social sponsor sponsored subscribe subscription taboola toolbar topbar warning widget alert complementary contentinfo search".split())
+# Those of them that also name what an article is about.
+_WEAK = set("discussion search social skip respond widget modal subscription complementary".split())
 _GOOD = set("article entry post story content main body".split())
 # Words that open or close a class, id or role which tells of the page or of a state, not of a part.
 _STATE, _STATES = set("has with without no not is page".split()), set("open opened closed enabled disabled on off page layout".split())
 # Words in class, id or role of a site's header, whose h1 is not the article's.
 _SITE = set("masthead banner header topbar toolbar navbar".split())
 
-#: Small labelled table: words, link density, words and link density of the block before, of the block after,
-#: in a non-article part (0/1), in the article (0/1), text (1) or not (0).
+#: Small labelled table: words, link density, words and link density of the block before, of the block after (unmarked ones),
+#: mark of a non-article part (0 none, 1 weak word, 2 word, 3 element or hidden), in the article (0/1), text (1) or not (0).
 LABELLED = [
     (60, 0.0, 45, 0.0, 80, 0.0, 0, 1, 1), (12, 0.0, 5, 0.9, 70, 0.0, 0, 1, 1), (3, 0.0, 60, 0.0, 55, 0.0, 0, 1, 1),
     (1, 0.0, 20, 0.0, 0, 0.0, 0, 1, 1), (25, 0.3, 40, 0.0, 30, 0.1, 0, 1, 1), (9, 0.0, 0, 0.0, 0, 0.0, 0, 1, 1),
@@ -59,17 +67,26 @@ LABELLED = [
     (1, 0.0, 1, 1.0, 0, 0.0, 0, 1, 1), (4, 0.0, 3, 1.0, 5, 0.5, 0, 1, 1), (2, 1.0, 3, 1.0, 0, 0.0, 0, 1, 1),
     (3, 0.5, 2, 1.0, 4, 1.0, 0, 1, 1), (2, 0.0, 1, 1.0, 2, 0.0, 0, 1, 1), (6, 0.6, 6, 0.0, 3, 0.0, 0, 1, 1),
     (3, 0.0, 2, 1.0, 1, 1.0, 0, 1, 1), (5, 1.0, 4, 1.0, 6, 1.0, 0, 1, 1), (1, 0.0, 0, 0.0, 3, 0.0, 0, 1, 1),
-    (60, 0.0, 45, 0.0, 80, 0.0, 1, 0, 0), (12, 0.0, 5, 0.9, 70, 0.0, 1, 0, 0), (3, 1.0, 2, 1.0, 3, 1.0, 1, 0, 0),
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0), (30, 0.2, 4, 1.0, 6, 0.5, 1, 0, 0), (9, 0.0, 40, 0.0, 0, 0.0, 1, 0, 0),
-    (20, 0.0, 60, 0.0, 30, 0.0, 1, 1, 0), (4, 0.5, 60, 0.0, 30, 0.0, 1, 1, 0), (80, 0.0, 60, 0.0, 0, 0.0, 1, 1, 0),
-    (2, 1.0, 50, 0.0, 40, 0.0, 1, 1, 0), (6, 0.0, 3, 0.0, 7, 0.0, 1, 1, 0), (15, 0.0, 2, 1.0, 15, 0.0, 1, 0, 0),
+    (60, 0.0, 45, 0.0, 80, 0.0, 3, 0, 0), (12, 0.0, 5, 0.9, 70, 0.0, 3, 0, 0), (3, 1.0, 2, 1.0, 3, 1.0, 3, 0, 0),
+    (1, 1.0, 0, 0.0, 1, 1.0, 3, 0, 0), (30, 0.2, 4, 1.0, 6, 0.5, 2, 0, 0), (9, 0.0, 40, 0.0, 0, 0.0, 2, 0, 0),
+    (20, 0.0, 60, 0.0, 30, 0.0, 2, 1, 0), (4, 0.5, 60, 0.0, 30, 0.0, 2, 1, 0), (80, 0.0, 60, 0.0, 0, 0.0, 2, 1, 0),
+    (2, 1.0, 50, 0.0, 40, 0.0, 3, 1, 0), (6, 0.0, 3, 0.0, 7, 0.0, 3, 1, 0), (15, 0.0, 2, 1.0, 15, 0.0, 2, 0, 0),
+    (8, 0.0, 60, 0.0, 30, 0.0, 2, 1, 0), (1, 0.0, 60, 0.0, 30, 0.0, 2, 1, 0), (2, 0.0, 20, 0.0, 20, 0.0, 3, 1, 0),
+    (45, 0.0, 60, 0.0, 50, 0.0, 1, 1, 1), (1, 0.0, 60, 0.0, 50, 0.0, 1, 1, 1), (2, 0.0, 1, 0.0, 2, 0.0, 1, 1, 1),
+    (70, 0.2, 60, 0.0, 0, 0.0, 1, 1, 1), (12, 0.3, 4, 0.0, 20, 0.1, 1, 1, 1), (2, 1.0, 40, 0.0, 2, 1.0, 1, 1, 0),
+    (1, 1.0, 2, 1.0, 0, 0.0, 1, 1, 0), (9, 0.6, 40, 0.0, 30, 0.0, 1, 1, 0), (3, 0.0, 40, 0.0, 3, 1.0, 1, 0, 0),
+    (25, 0.0, 40, 0.0, 30, 0.0, 1, 0, 0), (6, 0.0, 0, 0.0, 40, 0.0, 1, 0, 0), (2, 1.0, 1, 1.0, 2, 1.0, 1, 0, 0),
     (45, 0.0, 50, 0.0, 38, 0.0, 0, 0, 1), (70, 0.1, 20, 0.0, 65, 0.0, 0, 0, 1), (30, 0.0, 5, 0.0, 40, 0.0, 0, 0, 1),
     (25, 0.05, 3, 1.0, 50, 0.0, 0, 0, 1), (8, 0.0, 40, 0.0, 45, 0.0, 0, 0, 1), (6, 0.0, 2, 1.0, 60, 0.0, 0, 0, 1),
     (5, 0.0, 35, 0.0, 50, 0.0, 0, 0, 1), (12, 0.0, 60, 0.0, 3, 1.0, 0, 0, 1), (18, 0.0, 18, 0.0, 20, 0.0, 0, 0, 1),
+    (2, 0.0, 1, 0.0, 1, 1.0, 0, 0, 1), (3, 0.0, 8, 0.0, 2, 1.0, 0, 0, 1), (60, 0.45, 50, 0.1, 40, 0.0, 0, 0, 1),
+    (20, 0.4, 30, 0.0, 2, 1.0, 0, 0, 1), (40, 0.0, 3, 1.0, 2, 1.0, 0, 0, 1), (22, 0.1, 4, 1.0, 3, 1.0, 0, 0, 1),
     (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0), (1, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0), (4, 0.8, 3, 1.0, 5, 0.9, 0, 0, 0),
     (30, 0.7, 5, 1.0, 4, 1.0, 0, 0, 0), (2, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0), (3, 0.0, 1, 1.0, 0, 0.0, 0, 0, 0),
     (4, 0.0, 2, 1.0, 4, 0.0, 0, 0, 0), (10, 0.6, 50, 0.0, 3, 1.0, 0, 0, 0), (3, 1.0, 60, 0.0, 4, 1.0, 0, 0, 0),
+    (2, 1.0, 60, 0.0, 0, 0.0, 0, 0, 0), (1, 1.0, 2, 0.0, 0, 0.0, 0, 0, 0), (6, 1.0, 40, 0.0, 35, 0.0, 0, 0, 0),
     (15, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (3, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (40, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1),
+    (1, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (2, 0.0, 0, 0.0, 5, 0.0, 0, 0, 1),
 ]
 
 
@@ -173,39 +190,39 @@ def _after_raw(following: _Next, name: str, at: int) -> int:
     return close.end() if close else len(following.page) if name in _TO_END else at
 
 
-def blocks(page: str) -> list[tuple[str, int, float, int, bool]]:
-    """(text, words, link density, non-article part, in the article) of each text block in page order.
+#: A piece of text: as written, within a link, its mark (3, or minus the number of the element that words mark), in the article.
+_Piece = tuple[str, bool, int, bool]
 
-    A non-article part is 2 where an element's name or hiding says so, 1 where only words do, else 0.
-    """
-    out: list[tuple[str, int, float, int, bool]] = []
+
+def pieces(page: str) -> tuple[list[list[_Piece]], list[int]]:
+    """The pieces of each block in page order, and the mark of each element that words mark (0 where none)."""
+    out: list[list[_Piece]] = []
     stack: list[tuple[str, bool, int, bool]] = []
     bad = good = links = 0
     # elements that words mark: the one around it, its words, whether it holds the article; 0 is none
     worded: list[tuple[int, frozenset[str]]] = [(0, frozenset())]
     wraps, inner = [True], 0
     seen: set[str] = set()
-    held: list[tuple[str, bool]] = []
+    held: list[_Piece] = []
     at, head, following = 0, False, _Next(page)
     opened: dict[str, int] = {}  # how many elements of a name are on the stack
+    blocky: list[int] = []  # places of block-level elements on the stack
 
     def text(raw: str) -> None:
         if raw and not head:
-            held.append((raw, links > 0))
+            held.append((raw, links > 0, 3 if bad else -inner, good > 0))
 
     def flush() -> None:
         if held:
-            whole = " ".join(html.unescape("".join(t for t, _ in held)).split())
-            if whole:
-                n = len(whole.split(" "))
-                linked = len(html.unescape(" ".join(t for t, link in held if link)).split())
-                out.append((whole, n, min(1.0, linked / n), 2 if bad else -inner, good > 0))
+            out.append(held[:])
             held.clear()
 
     def pop() -> None:
         nonlocal bad, good, links, inner
         name, was_bad, mark, was_good = stack.pop()
         opened[name] -= 1
+        if blocky and blocky[-1] == len(stack):
+            blocky.pop()
         inner = worded[mark][0] if mark else inner
         bad, good, links = bad - was_bad, good - was_good, links - (name == "a")
 
@@ -238,8 +255,9 @@ def blocks(page: str) -> list[tuple[str, int, float, int, bool]]:
             head = False
         if name in _BLOCK:
             flush()
-            if stack and stack[-1][0] in ("p", "li", "td", "th", "dt", "dd", "option", "tr") and (stack[-1][0] == name or stack[-1][0] == "p"):
-                pop()
+            if blocky and stack[blocky[-1]][0] in ("p", "li", "td", "th", "dt", "dd", "option", "tr") and stack[blocky[-1]][0] in (name, "p"):
+                for _ in range(len(stack) - blocky[-1]):  # inline elements left open in it end with it
+                    pop()
         if name == "br":
             text(" ")
         if name in _VOID or attrs.endswith("/"):
@@ -257,27 +275,45 @@ def blocks(page: str) -> list[tuple[str, int, float, int, bool]]:
             worded.append((inner, words))
             wraps.append(False)
             inner = mark
+        if name in _BLOCK:
+            blocky.append(len(stack))
         stack.append((name, is_bad, mark, is_good))
         opened[name] = opened.get(name, 0) + 1
         bad, good, links = bad + is_bad, good + is_good, links + (name == "a")
     text(page[at:])
     flush()
     marked = [0]
-    for (around, _), wrap in zip(worded[1:], wraps[1:]):
-        marked.append(marked[around] if wrap else 1)
-    return [(t, n, density, part if part > 0 else marked[-part], main) for t, n, density, part, main in out]
+    for (around, words), wrap in zip(worded[1:], wraps[1:]):
+        marked.append(max(marked[around], 0 if wrap else 1 if words <= _WEAK else 2))
+    return out, marked
+
+
+def blocks(found: list[list[_Piece]], marked: list[int]) -> Iterator[tuple[str, int, float, int, bool]]:
+    """(text, words, link density, mark, in the article) of each block, whose pieces of another mark are a block each."""
+    for block in found:
+        groups: dict[int, list[_Piece]] = {}
+        for piece in block:
+            groups.setdefault(piece[2] if piece[2] > 0 else marked[-piece[2]], []).append(piece)
+        for mark, group in groups.items():
+            whole = " ".join(html.unescape("".join(p[0] for p in group)).split())
+            if whole:
+                n = len(whole.split(" "))
+                linked = len(html.unescape(" ".join(p[0] for p in group if p[1])).split())
+                yield whole, n, min(1.0, linked / n), mark, any(p[3] for p in group if p[0].strip())
 
 
 def main_text(page: str | None) -> str:
     """The page's text blocks, joined by a newline; empty where there are none."""
-    found = blocks(page or "")
-    for sure in (1, 2):  # words count, or they do not
-        out = []
-        for i, (text, n, density, part, good) in enumerate(found):
-            before = found[i - 1][1:3] if i else (0, 0.0)
-            after = found[i + 1][1:3] if i + 1 < len(found) else (0, 0.0)
-            if is_text((n, density, *before, *after, part >= sure, good)):
+    found, marked = pieces(page or "")
+    out: list[str] = []
+    for marks in (marked, [0] * len(marked)):  # words count, or they do not
+        each = list(blocks(found, marks))
+        plain = [(0, 0.0), *((n, density) for _, n, density, mark, _ in each if not mark), (0, 0.0)]
+        at = 1  # the place in plain of the next unmarked block
+        for text, n, density, mark, good in each:
+            if is_text((n, density, *plain[at - 1], *plain[min(at + (not mark), len(plain) - 1)], mark, good)):
                 out.append(text)
+            at += not mark
         if out:
             break
     return "\n".join(out)
@@ -293,7 +329,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(page_id, url, text, n_chars), one row per row of pages.
 
     Null or empty html: empty text.  Null ids and urls and repeated rows are
-    returned as they are; other columns are not read.  Empty table: no rows.
+    returned as they are; other columns are not read.  Empty table: no rows.  A
+    page is read whole in time linear in its length, whatever its markup.
     """
     bound_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col).cast("string"))
