@@ -170,9 +170,12 @@ def test_main_text_of_a_page(spark):
     assert got[4].text == "plain words without any markup at all" and got[5].n_chars == 0
 
 
-def test_vectors_match_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize(("fit_rows", "product"), [(20_000, 1 << 20), (0, 64)])  # fitted on the driver, and on the executors in narrow strips
+def test_vectors_match_brute_force(spark, monkeypatch, fit_rows, product):
     import tickloom.llm.embedding_dedup as m
 
+    monkeypatch.setattr(m, "FIT_ROWS", fit_rows)
+    monkeypatch.setattr(m, "PRODUCT", product)
     monkeypatch.setattr(m, "CELL", 64)
     monkeypatch.setattr(m, "BLOCK", 40)
     rng = np.random.default_rng(0)

@@ -25,6 +25,8 @@ from tickloom.llm.workspace import Workspace
 
 #: Vectors that k-means is fitted on, or FIT_EACH for each cell where that is more; vectors aimed at in a cell; vectors of a block; most nodes that may stream past a block in one task.
 FIT_ROWS, FIT_EACH, CELL, BLOCK, SLICE = 20_000, 4, 2048, 2048, 1 << 16
+#: Numbers in one product of vectors and centroids: many cells take fewer vectors at a time.
+PRODUCT = 1 << 20
 #: Slack of the bounds, far over the rounding of a dot product.
 _EPS = 1e-6
 
@@ -34,7 +36,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), k, replace=False)]
     for _ in range(rounds):
-        near = np.concatenate([(x[i : i + 4096] @ c.T).argmax(1) for i in range(0, len(x), 4096)])
+        near = _nearest(x, c)[0]
         total = np.zeros_like(c)
         np.add.at(total, near, x)
         size = np.linalg.norm(total, axis=1)
@@ -45,6 +47,68 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray
     return c
 
 
+def _strips(n: int, cells: int) -> Iterator[slice]:
+    """Slices of n rows whose product with the cells holds about PRODUCT numbers."""
+    size = max(1, PRODUCT // cells)
+    yield from (slice(i, i + size) for i in range(0, n, size))
+
+
+def _nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cell of the greatest inner product of each vector, and that product."""
+    near, best = np.zeros(len(x), np.int32), np.zeros(len(x))
+    for at in _strips(len(x), len(c)):
+        dot = x[at] @ c.T
+        near[at], best[at] = dot.argmax(1), dot.max(1)
+    return near, best
+
+
+def _partial_sums(centroids):
+    """(vector) to (cell, total): each task's sum of the unit vectors nearest to a centroid."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = centroids.value
+        total = np.zeros_like(c)
+        for batch in batches:
+            if len(batch):
+                x = _unit(batch.column(0))
+                np.add.at(total, _nearest(x, c)[0], x)
+        some = np.flatnonzero(total.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(list(total[some]), pa.list_(pa.float64()))], names=["cell", "total"])
+
+    return run
+
+
+def _add_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the partial sums (cell, total) of a task's cells."""
+    totals: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for cell, total in zip(batch.column(0).to_pylist(), batch.column(1)):
+            v = total.values.to_numpy()
+            totals[cell] = totals[cell] + v if cell in totals else v
+    yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(list(totals.values()), pa.list_(pa.float64()))], names=["cell", "total"])
+
+
+def spread_kmeans(vectors: DataFrame, k: int, ws: Workspace, rounds: int = 12) -> np.ndarray:
+    """kmeans with its rounds on the executors: assign, sum by cell; the driver holds the k centroids alone.
+
+    Starts from the k vectors of least hash; an empty cell keeps its centroid.
+    """
+    vectors = ws.write(vectors, "fit")
+    first = vectors.orderBy(F.xxhash64("vector"), "vector").limit(k).toArrow()  # k rows
+    c = _unit(first["vector"].combine_chunks())
+    for _ in range(rounds):
+        seen = vectors.sparkSession.sparkContext.broadcast(c)
+        parts = vectors.mapInArrow(_partial_sums(seen), "cell int, total array<double>")
+        sums = parts.repartition("cell").mapInArrow(_add_sums, "cell int, total array<double>").toArrow()  # a row a cell
+        total, at = np.array(sums["total"].to_pylist(), np.float64), sums["cell"].to_numpy()
+        size = np.linalg.norm(total, axis=1)
+        c = c.copy()
+        c[at[size > 1e-12]] = total[size > 1e-12] / size[size > 1e-12, None]
+        seen.destroy()
+    ws.drop("fit")
+    return c
+
+
 def cells_of(n: int) -> int:
     """Cells for n vectors of one length: of CELL each, but no more than four times the root of n, at least two."""
     return max(2, min(n // CELL, 4 * math.isqrt(n)))
@@ -76,9 +140,8 @@ def _homes(centroids):
             for at, end in _runs(dims):
                 c = centroids.value.get(int(dims[at]))
                 if c is not None:
-                    dot = _unit(batch.column(3).slice(at, end - at)) @ c.T
-                    home[at:end] = dot.argmax(1)
-                    angle[at:end] = np.arccos(np.clip(dot.max(1), -1, 1))
+                    home[at:end], dot = _nearest(_unit(batch.column(3).slice(at, end - at)), c)
+                    angle[at:end] = np.arccos(np.clip(dot, -1, 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(home), batch.column(1), batch.column(2), pa.array(angle), batch.column(3)], names=["dim", "home", "node", "mult", "angle", "vector"])
 
     return run
@@ -102,14 +165,17 @@ def _visits(cells, threshold: float):
                 if int(dims[at]) not in cells.value:
                     continue
                 c, radius = cells.value[int(dims[at])]
-                dot, own = _unit(batch.column(4).slice(at, end - at)) @ c.T, home[at:end]
-                apart = np.sqrt(np.maximum(2 - 2 * c @ c.T, 0))
-                may = np.arccos(np.clip(dot, -1, 1)) <= radius + reach + _EPS
-                may &= dot[np.arange(len(own)), own][:, None] - dot <= across * apart[own] + _EPS
-                may &= np.arange(len(c)) > own[:, None]
-                i, k = np.nonzero(may)
-                row.append(i + at)
-                cell.append(k.astype(np.int32))
+                x = _unit(batch.column(4).slice(at, end - at))
+                for strip in _strips(len(x), len(c)):
+                    dot, own = x[strip] @ c.T, home[at:end][strip]
+                    # an angle is within a bound below pi where its cosine is not less
+                    may = dot >= np.cos(np.minimum(radius + reach + _EPS, np.pi)) - 1e-12
+                    may &= radius > -4  # a cell of no node
+                    may &= dot[np.arange(len(own)), own][:, None] - dot <= across * np.sqrt(np.maximum(2 - 2 * (c[own] @ c.T), 0)) + _EPS
+                    may &= np.arange(len(c)) > own[:, None]
+                    i, k = np.nonzero(may)
+                    row.append(i + at + strip.start)
+                    cell.append(k.astype(np.int32))
             guest = np.arange(sum(map(len, row))) >= len(dims)
             row, cell = np.concatenate(row), np.concatenate(cell)
             for k in range(0, len(row), 4096):
@@ -229,7 +295,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     centroids = {}
     for r in nodes.groupBy("dim").count().where("count > 1").orderBy("dim").collect():  # a row a length of vectors
         k = cells_of(r["count"])
-        sample = nodes.where(F.col("dim") == r.dim).orderBy(F.xxhash64("vector"), "vector").limit(max(FIT_ROWS, FIT_EACH * k)).select("vector").toArrow()  # of a stated size
+        these = nodes.where(F.col("dim") == r.dim)
+        if FIT_EACH * k > FIT_ROWS:  # more than the driver fits itself
+            share = math.ceil((1 << 30) * FIT_EACH * k / r["count"])
+            fit = these.where(F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) < share)
+            centroids[r.dim] = spread_kmeans(fit.select("vector"), k, ws)
+            continue
+        sample = these.orderBy(F.xxhash64("vector"), "vector").limit(FIT_ROWS).select("vector").toArrow()  # of a stated size
         centroids[r.dim] = kmeans(_unit(sample["vector"].combine_chunks()), min(k, len(sample)))
     homes = nodes.select("dim", "node", "mult", "vector").mapInArrow(_homes(spark.sparkContext.broadcast(centroids)), f"dim int, home int, node long, mult long, angle double, vector {kind}")
     homes = ws.write(homes, "cells")
