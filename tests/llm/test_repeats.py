@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from tickloom.llm.decontaminate import contained_items, drop_contaminated
 from tickloom.llm.substring_dedup import SURE, _Run, chunk_ends, cut_passages, repeated_passages
@@ -176,3 +177,31 @@ def test_ends_of_runs_of_any_number_of_short_chunks():
                 j -= 1
         place = lambda k: 100 + sum(c[0] for c in chunks[:k])
         assert run.passage() == (9, place(i), place(j), sum(c[1] for c in chunks[i:j]), owner)
+
+
+def test_a_long_text_is_hashed_in_segments_as_a_whole(monkeypatch):
+    from tickloom.llm import language_id, substring_dedup, text, toxicity
+
+    rnd = random.Random(4)
+    word = [("".join(rnd.choice("abcdefé中h") for _ in range(rnd.randint(1, 9)))) for _ in range(300)]
+    column = pa.array(["short one", None, " ".join(rnd.choice(word) for _ in range(9000)), "", "la " * 9000, "x" * 30000, "kurz"])
+    net = language_id.BiGRU(3)
+
+    def all_of():
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(column))), column], names=["doc_id", "text"])
+        return (
+            [(row, h.tolist()) for f in (lambda c: text.shingles(c, 4), toxicity.features) for row, h in f(column)],
+            [x.to_pydict() for x in substring_dedup._chunks(iter([batch]))],
+            language_id.document_probabilities(net, column).tolist(),
+        )
+
+    monkeypatch.setattr(text, "HASH_BYTES", 1 << 30)
+    monkeypatch.setattr(substring_dedup, "SEGMENT", 1 << 30)
+    monkeypatch.setattr(language_id, "BATCH", 1 << 20)
+    whole = all_of()
+    monkeypatch.setattr(text, "HASH_BYTES", 700)
+    monkeypatch.setattr(substring_dedup, "SEGMENT", 1500)
+    monkeypatch.setattr(language_id, "BATCH", 4)
+    parts = all_of()
+    assert parts[:2] == whole[:2]
+    assert np.allclose(parts[2], whole[2], rtol=0, atol=1e-6)  # the network counts in single precision

@@ -135,12 +135,14 @@ def document_probabilities(net: BiGRU, column: pa.Array) -> np.ndarray:
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + BATCH * WINDOW, "right")) - 1
         j = min(max(j, i + 1), n)
-        windows, row = cut_windows(offsets[i : j + 1] - offsets[i], raw[offsets[i] : offsets[j]])
-        for k in range(0, len(windows), 2 * BATCH):
-            w = windows[k : k + 2 * BATCH].T
-            p = net.positions(w)
-            p[w == 256] = 0
-            np.add.at(out, i + row[k : k + 2 * BATCH], p.sum(0))
+        for a in range(offsets[i], offsets[j], 2 * BATCH * WINDOW):  # several only in one text that is longer
+            b = min(a + 2 * BATCH * WINDOW, offsets[j])
+            windows, row = cut_windows(np.clip(offsets[i : j + 1], a, b) - a, raw[a:b])
+            for k in range(0, len(windows), 2 * BATCH):
+                w = windows[k : k + 2 * BATCH].T
+                p = net.positions(w)
+                p[w == 256] = 0
+                np.add.at(out, i + row[k : k + 2 * BATCH], p.sum(0))
         i = j
     size = np.maximum(np.diff(offsets), 1)
     return out / size[:, None]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.jaccard_join import BROADCAST_ROWS
-from tickloom.llm.text import mix, signed, slices, span_hashes, words
+from tickloom.llm.text import block_hashes, mix, signed, slices, words
 from tickloom.llm.workspace import Workspace, bound_batches
 
 #: Bytes for each cut by the threshold; longer chunks than LONGEST bytes are cut there.
@@ -38,6 +38,8 @@ SURE = 4
 #: Bits of the length in characters and of the number of words of a chunk in its place.
 _SIZE, _WORDS = 16, 15
 _GEAR = np.random.default_rng(7).integers(0, 1 << 16, 256, dtype=np.uint16)
+#: Bytes whose hashes are held at a time, and the bytes on either side that a cut depends on.
+SEGMENT, _MARGIN = 1 << 20, 2 * AROUND + 64
 _NO_ID = -(1 << 63)
 
 
@@ -56,14 +58,22 @@ def _least_around(h: np.ndarray) -> np.ndarray:
     return least & (h == low) & (h == ahead)
 
 
-def chunk_ends(offsets: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """Ends of all chunks of the texts, each text's end included; no cut falls inside a character."""
-    n = len(raw)
+def _hash_cuts(raw: np.ndarray) -> np.ndarray:
+    """Where the gear hash cuts: under the threshold or the least around."""
     h = _GEAR[raw]
     for k in (1, 2, 4, 8):  # sums over 2, 4, 8, 16 bytes
         shifted = h.copy()
         h[k:] += shifted[:-k] << np.uint16(k)
-    cut = (h < np.uint16((1 << 16) // MEAN)) | _least_around(h)
+    return (h < np.uint16((1 << 16) // MEAN)) | _least_around(h)
+
+
+def chunk_ends(offsets: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Ends of all chunks of the texts, each text's end included; no cut falls inside a character."""
+    n = len(raw)
+    cut = np.zeros(n, bool)
+    for at in range(0, n, SEGMENT):
+        a, b = max(at - _MARGIN, 0), min(at + SEGMENT, n)
+        cut[at:b] = _hash_cuts(raw[a : b + _MARGIN])[at - a : b - a]
     cut[:-1] &= (raw[1:] & 0xC0) != 0x80
     for k in range(WINDOW - 1):  # the hash still reaches into the text before
         at = offsets[:-1] + k
@@ -98,11 +108,12 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = chunk_ends(offsets, raw)
             starts = np.concatenate(([0], ends[:-1]))
             doc = np.searchsorted(offsets, starts, "right") - 1
-            chars = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+            size = np.add.reduceat(((raw & 0xC0) != 0x80).view(np.uint8), starts, dtype=np.int64)  # characters of each chunk
+            chars = np.cumsum(size) - size
             first = words(offsets, raw)[0]
             count = np.diff(np.searchsorted(first, np.concatenate(([0], ends))))
-            place = ((chars[starts] - chars[offsets[doc]]) << (_SIZE + _WORDS)) | ((chars[ends] - chars[starts]) << _WORDS) | count
-            parts.append((span_hashes(raw, starts, ends), ids[row + doc], place))
+            place = ((chars - chars[np.searchsorted(starts, offsets[doc])]) << (_SIZE + _WORDS)) | (size << _WORDS) | count
+            parts.append((block_hashes(raw, starts, ends), ids[row + doc], place))
         if not parts:
             continue
         digest, doc, place = (np.concatenate(x) for x in zip(*parts))

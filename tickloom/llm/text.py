@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text hashed at a time; one longer text makes a slice of its own.
+#: Bytes of text in a slice; one longer text makes a slice of its own, whose spans block_hashes hashes HASH_BYTES at a time.
 SLICE_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, bool)
@@ -130,7 +130,7 @@ def shingles(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
     for row, offsets, raw in slices(column):
         raw = _LOWER[raw]
         starts, ends, heads = words(offsets, raw)
-        h = span_hashes(raw, starts, ends)
+        h = block_hashes(raw, starts, ends)
         acc = np.zeros(max(len(h) - n + 1, 0), np.uint64)
         for k in range(n):
             acc = acc * _Q + h[k : k + len(acc)]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.text import _LOWER, signed, slices, span_hashes
+from tickloom.llm.text import _LOWER, block_hashes, signed, slices
 from tickloom.llm.workspace import bound_batches
 
 #: Toxic labelled rows to fit on, clean ones for each of them, and severity from which a document is toxic.
@@ -49,10 +49,10 @@ def features(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         cut = cut[(cut > 0) & (cut < len(raw))]
         first[cut], last[cut - 1] = inside[cut], inside[cut - 1]
         a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
-        all_of = [span_hashes(raw, a, b)]
-        for k in (4, 5):
-            all_of.append(span_hashes(raw, a, np.minimum(a + k, b)) ^ np.uint64(k))
-        h = np.stack(all_of, 1)
+        h = np.empty((len(a), 3), np.uint64)
+        h[:, 0] = block_hashes(raw, a, b)
+        for i, k in enumerate((4, 5), 1):
+            h[:, i] = block_hashes(raw, a, np.minimum(a + k, b)) ^ np.uint64(k)
         heads = np.searchsorted(a, offsets)
         for i in range(len(offsets) - 1):
             yield row + i, h[heads[i] : heads[i + 1]].ravel()
