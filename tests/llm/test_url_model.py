@@ -2,25 +2,26 @@
 
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 from tickloom.llm.queries import URL_RULES
 from tickloom.llm.url_filter import ORDER, judge_urls
 
 
-def symbol(c):
-    c = c.lower() if c.isascii() else c
-    if "a" <= c <= "z":
-        return ord(c) - 96
-    return 27 if "0" <= c <= "9" else {"/": 28, ".": 29, "-": 30}.get(c, 31)
+def symbols(u):
+    """The url's characters, A-Z lower-cased up to the end of its host, after the pad."""
+    end = re.match("[^:]*://[^/?#]*", u).end()
+    return ["\0"] * ORDER + [c.lower() if c.isascii() and i < end else c for i, c in enumerate(u)]
 
 
 class Model:
-    def __init__(self, urls):
+    def __init__(self, urls, kinds):
+        self.uniform = 1 / kinds
         self.n = [Counter() for _ in range(ORDER + 1)]
         self.all, self.kinds = ([defaultdict(int) for _ in range(ORDER + 1)] for _ in range(2))
         for u in urls:
-            s = [0] * ORDER + [symbol(c) for c in u]
+            s = symbols(u)
             for i in range(ORDER, len(s)):
                 for k in range(ORDER + 1):
                     self.n[k][tuple(s[i - k : i + 1])] += 1
@@ -30,7 +31,7 @@ class Model:
                 self.kinds[k][g[:-1]] += 1
 
     def p(self, gram):
-        out = 1 / 32
+        out = self.uniform
         for k in range(ORDER + 1):
             g = gram[ORDER - k :]
             if self.all[k][g[:-1]]:
@@ -46,11 +47,12 @@ def test_scores_and_threshold(spark):
     rule = {r.page_id: r.rule for r in got}
     allow = [urls[i] for i in rule if rule[i] in ("com/", "www.example.com/en/")]
     block = [urls[i] for i in rule if rule[i] in ("example.com/en/", "net/es/", "net/fr/")]
-    yes, no = Model(allow), Model(block)
+    kinds = len({c for u in urls for c in symbols(u)})  # the pad is one
+    yes, no = Model(allow, kinds), Model(block, kinds)
     assert len(allow) > 50 and len(block) > 20
 
     def score(u):
-        s = [0] * ORDER + [symbol(c) for c in u]
+        s = symbols(u)
         grams = [tuple(s[i - ORDER : i + 1]) for i in range(ORDER, len(s))]
         return sum(math.log(yes.p(g)) - math.log(no.p(g)) for g in grams) / len(grams)
 
@@ -70,7 +72,7 @@ def test_real_characters_and_long_contexts_decide(spark):
     for good, bad in pairs:
         rows = [(i, f"http://a{'bcd'[i % 3]}.com/{good}") for i in range(30)] + [(100 + i, f"http://a{'bcd'[i % 3]}.net/es/{bad}") for i in range(30)]
         rows += [(200, f"http://ab.org/{good}"), (201, f"http://ab.org/{bad}"), (202, f"http://ab.org/{bad}"), (203, None)]
-        got = {r.page_id: r for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string"), URL_RULES, folded=False).collect()}
+        got = {r.page_id: r for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string"), URL_RULES).collect()}
         assert len(got) == len(rows) and got[203].score is None
         assert got[200].score > got[201].score == got[202].score, (good, bad)
 

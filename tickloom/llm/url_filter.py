@@ -21,8 +21,6 @@ from tickloom.llm.workspace import Workspace
 
 #: Longest context, and the share of either side's examples beyond the mark that calibrates the threshold.
 ORDER, FALSE_BLOCKS = 5, 0.02
-#: Symbols of the folded alphabet: pad, letters, digit, slash, dot, hyphen, other.
-FOLDED = 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 Rule = tuple[str, str, str]  # verdict (allow or block), host, path
@@ -47,17 +45,13 @@ def fitting_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return F.array_max(F.array(*found)) if found else F.lit(None).cast("struct<size:int,rule:string,verdict:string>")
 
 
-def grams(url: Column, host: Column, folded: bool) -> Column:
+def grams(url: Column, host: Column) -> Column:
     """The run of ORDER + 1 characters that ends at each character, the start padded by NUL, as array<string>.
 
-    The characters are the url's own, A-Z lower-cased up to the end of its host;
-    folded: all A-Z lower-cased, digits made 0, all but letters, digits, slash, dot and hyphen made one.
+    The characters are the url's own, A-Z lower-cased up to the end of its host.
     """
-    if folded:
-        text = F.regexp_replace(F.translate(url, _UPPER + "123456789", _LOWER + "0" * 9), r"(?s)[^a-z0/.\-]", "?")
-    else:
-        end = F.when(F.instr(url, "://") > 0, F.instr(url, "://") + 2 + F.length(host)).otherwise(0)
-        text = F.concat(F.translate(F.substring(url, F.lit(1), end), _UPPER, _LOWER), F.substring(url, end + 1, F.length(url)))
+    end = F.when(F.instr(url, "://") > 0, F.instr(url, "://") + 2 + F.length(host)).otherwise(0)
+    text = F.concat(F.translate(F.substring(url, F.lit(1), end), _UPPER, _LOWER), F.substring(url, end + 1, F.length(url)))
     padded = F.concat(F.array_repeat(F.lit("\0"), ORDER), F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)))
     return F.transform(F.array(padded), lambda s: F.transform(F.sequence(F.lit(1), F.size(s) - ORDER), lambda i: F.array_join(F.slice(s, i, ORDER + 1), "")))[0]
 
@@ -84,15 +78,14 @@ def log_ratios(counts: DataFrame, symbols: int) -> DataFrame:
     return table.select("gram", F.when(both, F.log("p_yes") - F.log("p_no")).otherwise(0.0).alias("ratio"))
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], false_blocks: float = FALSE_BLOCKS, id_col: str = "page_id", url_col: str = "url", folded: bool = True) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[Rule], false_blocks: float = FALSE_BLOCKS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, score), one row per row of pages.
 
     The longest fitting rule gives the verdict; elsewhere a score under the
     threshold blocks.  score is null for a null or empty url, which is allowed.
     Null ids and repeated rows are judged alike; other columns are not read.
     Without examples of both verdicts all scores are 0 and nothing is blocked
-    but by rule.  Empty table: no rows.  The models read the urls' own
-    characters, or folded ones (see grams).
+    but by rule.  Empty table: no rows.
     """
     ws = Workspace(pages.sparkSession, "url-filter")
     host, path = split_url(F.col("url"))
@@ -100,10 +93,10 @@ def judge_urls(pages: DataFrame, rules: list[Rule], false_blocks: float = FALSE_
     rows = rows.withColumn("fits", fitting_rule(F.col("host"), F.col("path"), rules)).withColumn("accepted", F.col("fits.verdict") == "allow")
     urls = rows.where("url <> ''").groupBy("url", "host", "accepted").agg(F.count("*").alias("n"))
     urls = ws.write(urls.withColumn("u", F.monotonically_increasing_id()), "urls")
-    each = urls.select("u", "n", "accepted", F.explode(grams(F.col("url"), F.col("host"), folded)).alias("gram"))
+    each = urls.select("u", "n", "accepted", F.explode(grams(F.col("url"), F.col("host"))).alias("gram"))
     counts = each.groupBy("gram").agg(*(F.coalesce(F.sum(F.when(w, F.col("n"))), F.lit(0)).alias(c) for c, w in (("yes", F.col("accepted")), ("no", ~F.col("accepted")))))
     counts = ws.write(counts, "counts")
-    symbols = FOLDED if folded else 1 + counts.select(F.substring("gram", ORDER + 1, 1)).distinct().count()  # the pad is one
+    symbols = 1 + counts.select(F.substring("gram", ORDER + 1, 1)).distinct().count()  # the pad is one
     ratios = ws.write(log_ratios(counts, symbols), "ratios")
     small = ratios.count() <= BROADCAST_ROWS
     scores = each.select("u", "gram").join(F.broadcast(ratios) if small else ratios, "gram").groupBy("u").agg(F.avg("ratio").alias("score"))
@@ -117,6 +110,6 @@ def judge_urls(pages: DataFrame, rules: list[Rule], false_blocks: float = FALSE_
     return scored.select("page_id", "host", "path", F.col("fits.rule").alias("rule"), F.coalesce(F.col("fits.verdict"), by_model).alias("verdict"), "score")
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", folded: bool = False) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, score) of the allowed rows."""
-    return judge_urls(pages, rules, id_col=id_col, url_col=url_col, folded=folded).where("verdict = 'allow'")
+    return judge_urls(pages, rules, id_col=id_col, url_col=url_col).where("verdict = 'allow'")
