@@ -259,3 +259,17 @@ def test_bars_that_share_their_bounds(spark):
     pdf = pd.DataFrame({"symbol": "a", "ts_ns": range(7), "open": range(7), "high": range(7), "low": range(7), "close": range(7), "volume": 1.0, "_close": [1, 0, 0, 1, 0, 1, 0]})
     rows = overlapping_bars(spark.createDataFrame(pdf)).orderBy("bar_id").collect()
     assert [(r.open, r.close, r.volume) for r in rows] == [(0, 3, 4.0), (3, 5, 3.0)]
+
+
+def test_weights_run_to_their_threshold_or_say_so():
+    for d, threshold, longest in [(0.4, 1e-2, None), (0.1, 1e-4, None), (1.0, 1e-5, None), (0.0, 1e-5, None), (0.35, 0.0, 5000), (0.7, 0.0, 1)]:
+        want = [1.0]
+        while longest is None or len(want) < longest:
+            x = -want[-1] * (d - len(want) + 1) / len(want)
+            if abs(x) < threshold:
+                break
+            want.append(x)
+        assert np.allclose(breaks.ffd_weights(d, threshold, longest), want, rtol=1e-12, atol=0)
+    assert len(breaks.ffd_weights(0.3, 1e-8)) > 100_000
+    with pytest.raises(ValueError):
+        breaks.ffd_weights(-0.9)

@@ -13,15 +13,27 @@ from pyspark.sql import functions as F
 from tickloom.operators.fold import ORDER, fold, windowed
 
 
-def ffd_weights(d: float, threshold: float = 1e-5, longest: int = 100_000) -> np.ndarray:
-    """Weights of (1 - L)^d, newest first, down to the threshold."""
-    w = [1.0]
-    while len(w) < longest:
-        x = -w[-1] * (d - len(w) + 1) / len(w)
-        if abs(x) < threshold:
+#: Widest fractional difference that is worked out to a threshold; one that needs more is an error, not cut.
+WIDEST = 10_000_000
+
+
+def ffd_weights(d: float, threshold: float = 1e-5, longest: int | None = None) -> np.ndarray:
+    """Weights of (1 - L)^d, newest first, down to the threshold, or the first longest of them if that is given and less.
+
+    The weights come in batches: each is the product of the ratios before it.
+    """
+    w, size = np.ones(1), 1024
+    while longest is None or len(w) < longest:
+        if longest is None and len(w) > WIDEST:
+            raise ValueError(f"the weights of order {d} do not fall under {threshold} within {WIDEST} rows; give longest")
+        k = np.arange(len(w), len(w) + size)
+        more = w[-1] * np.cumprod((k - 1 - d) / k)
+        under = np.flatnonzero(np.abs(more) < threshold)
+        w = np.concatenate((w, more[: under[0]] if len(under) else more))
+        if len(under):
             break
-        w.append(x)
-    return np.array(w)
+        size = min(2 * size, 1 << 20)
+    return w[:longest]
 
 
 def ffd(x: np.ndarray, d: float, threshold: float = 1e-5) -> np.ndarray:

@@ -24,8 +24,12 @@ from tickloom.operators.buckets import sample_kurtosis, sample_skew
 NORMAL = NormalDist()
 
 
-def with_row_id(df: DataFrame, *order: str, chunks: int = 64) -> DataFrame:
-    """df with row_id from 0 in the order of the columns, without one task for all: ranges, their counts, then a number in each."""
+def with_row_id(df: DataFrame, *order: str, chunks: int | None = None) -> DataFrame:
+    """df with row_id from 0 in the order of the columns, without one task for all: ranges, their counts, then a number in each.
+
+    There are chunks ranges, as many as the session's shuffle partitions where it is not given.
+    """
+    chunks = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(chunks, *order).withColumn("_part", F.spark_partition_id())
     dealt = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     counts = dealt.groupBy("_part").agg(F.count("*").alias("_k"))
