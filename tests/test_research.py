@@ -244,3 +244,36 @@ def test_bar_scores(spark):
     got = {r.symbol: r.score for r in backtest.bar_scores(spark.createDataFrame(rows, kind)).collect()}
     want = {"best": 0.0, "worst": 1.1, "mid": 0.175 + 0.075 + 0.125 + 0.1 / 3 + 0.025 + 0.025 + 0.15 * 0.18, "thin": 0.15 * 0.5}
     assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def shuffled_spans(spark, n):
+    """n spans in no order, whose rank is their start, with more columns than the order needs."""
+    starts = np.random.default_rng(7).permutation(n)
+    return spark.createDataFrame(pd.DataFrame({"ts_ns": starts, "symbol": "x", "t1_ns": starts + starts % 40}), "ts_ns long, symbol string, t1_ns long").repartition(5)
+
+
+def plain_splits(n, tests, embargo):
+    start = np.arange(n)
+    end, want = start + start % 40, []
+    for k, ranges in enumerate(tests):
+        test, out = np.zeros(n, bool), np.zeros(n, bool)
+        for a, b in ranges:
+            test |= (start >= a) & (start < b)
+            out |= ((start < end[a:b].max()) & (end > a)) | ((start >= b) & (start < b + embargo))
+        want += [(k, i, "test" if test[i] else "train") for i in start[test | ~out].tolist()]
+    return want
+
+
+@pytest.mark.parametrize("n, chunks", [(20_000, None), (20_000, 3), (5, 4), (0, 4)])
+def test_row_ids_are_ranks_whatever_columns_are_read(spark, n, chunks):
+    rows = validation.with_row_id(shuffled_spans(spark, n), "ts_ns", "symbol", chunks=chunks)
+    assert rows.columns == ["ts_ns", "symbol", "t1_ns", "row_id"]
+    for some in (rows, rows.select("ts_ns", "row_id"), rows.where("t1_ns > ts_ns")):
+        assert all(r.row_id == r.ts_ns for r in some.collect())
+    assert sorted(r.row_id for r in rows.select("row_id").collect()) == list(range(n))
+
+
+def test_purged_splits_of_numbered_rows(spark):
+    rows = validation.with_row_id(shuffled_spans(spark, 20_000), "ts_ns", "symbol")
+    got = sorted(tuple(r) for r in validation.purged_kfold(rows, 5, 0.01).collect())
+    assert got == sorted(plain_splits(20_000, [[r] for r in validation.fold_bounds(20_000, 5)], 200))

@@ -20,21 +20,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tickloom.operators.buckets import sample_kurtosis, sample_skew
+from tickloom.sources.scratch import Scratch
 
 NORMAL = NormalDist()
 
 
-def with_row_id(df: DataFrame, *order: str, chunks: int | None = None) -> DataFrame:
+def with_row_id(df: DataFrame, *order: str, chunks: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """df with row_id from 0 in the order of the columns, without one task for all: ranges, their counts, then a number in each.
 
-    There are chunks ranges, as many as the session's shuffle partitions where it is not given.
+    There are chunks ranges, as many as the session's shuffle partitions where it is not given.  Spark draws their limits
+    from a sample, another one wherever the plan occurs, so the dealt rows are written once (to scratch) and both the
+    counts and the rows are read from that table.
     """
     chunks = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(chunks, *order).withColumn("_part", F.spark_partition_id())
-    dealt = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    ranges = df.repartitionByRange(chunks, *order).sortWithinPartitions(*order)
+    # the range in the upper bits, the row's number in it in the lower 33
+    dealt = (scratch or Scratch(df.sparkSession)).write(ranges.withColumn("_at", F.monotonically_increasing_id()))
+    dealt = dealt.withColumn("_part", F.shiftright("_at", 33)).withColumn("_n", F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at")
     counts = dealt.groupBy("_part").agg(F.count("*").alias("_k"))
     base = counts.withColumn("_base", F.coalesce(F.sum("_k").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_k")
-    return dealt.join(F.broadcast(base), "_part").withColumn("row_id", F.col("_base") + F.col("_n") - 1).drop("_part", "_n", "_base")
+    return dealt.join(F.broadcast(base), "_part").withColumn("row_id", F.col("_base") + F.col("_n")).drop("_part", "_n", "_base")
 
 
 def fold_bounds(n: int, folds: int) -> list[tuple[int, int]]:
