@@ -277,3 +277,24 @@ def test_purged_splits_of_numbered_rows(spark):
     rows = validation.with_row_id(shuffled_spans(spark, 20_000), "ts_ns", "symbol")
     got = sorted(tuple(r) for r in validation.purged_kfold(rows, 5, 0.01).collect())
     assert got == sorted(plain_splits(20_000, [[r] for r in validation.fold_bounds(20_000, 5)], 200))
+
+
+def test_combinatorial_splits_of_numbered_rows(spark):
+    rows = validation.with_row_id(shuffled_spans(spark, 20_000), "ts_ns", "symbol")
+    bounds = validation.fold_bounds(20_000, 6)
+    tests = [[a, b] for i, a in enumerate(bounds) for b in bounds[i + 1 :]]
+    got = sorted(tuple(r) for r in validation.combinatorial_purged(rows, 6, 2, 0.01).collect())
+    assert got == sorted(plain_splits(20_000, tests, 200))
+
+
+def test_permuted_columns_keep_all_rows(spark):
+    from tickloom.operators.importance import permuted
+    from tickloom.sources.scratch import Scratch
+
+    df, scratch = spark.range(20_000).select(F.col("id").alias("row_id"), (F.col("id") + 1).alias("a"), (F.col("id") + 2).alias("b"), (F.col("id") + 3).alias("kept")), Scratch(spark)
+    rows = permuted(df, ["a", "b"], 3, scratch).toPandas().sort_values("row_id")
+    assert rows["row_id"].tolist() == list(range(20_000)) and (rows["kept"] == rows["row_id"] + 3).all()
+    assert sorted(rows["a"]) == list(range(1, 20_001)) and (rows["b"] == rows["a"] + 1).all() and (rows["a"] != rows["row_id"] + 1).mean() > 0.99
+    scratch.drop()
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch.root)
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)

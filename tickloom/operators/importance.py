@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.entropy import correlation_distance
+from tickloom.sources.scratch import Scratch
 
 
 def varying(df: DataFrame, columns: Sequence[str]) -> list[str]:
@@ -107,12 +108,12 @@ def log_loss(df: DataFrame, prob: str = "prob") -> float:
     return float(df.agg(-F.avg(F.col("label") * F.ln(p) + (1 - F.col("label")) * F.ln(1 - p))).first()[0] or 0.0)
 
 
-def permuted(df: DataFrame, columns: Sequence[str], seed: int) -> DataFrame:
+def permuted(df: DataFrame, columns: Sequence[str], seed: int, scratch: Scratch | None = None) -> DataFrame:
     """df with the columns jointly permuted among its rows: two hash orders of the row ids matched by rank, no single-task sort."""
     from tickloom.operators.validation import with_row_id
 
-    a = with_row_id(df.withColumn("_h", F.xxhash64("row_id", F.lit(seed))).withColumnRenamed("row_id", "_id"), "_h", "_id")
-    b = with_row_id(df.select(F.col("row_id").alias("_id"), *columns, F.xxhash64("row_id", F.lit(seed + 1)).alias("_h")), "_h", "_id").select("row_id", *columns)
+    a = with_row_id(df.withColumn("_h", F.xxhash64("row_id", F.lit(seed))).withColumnRenamed("row_id", "_id"), "_h", "_id", scratch=scratch)
+    b = with_row_id(df.select(F.col("row_id").alias("_id"), *columns, F.xxhash64("row_id", F.lit(seed + 1)).alias("_h")), "_h", "_id", scratch=scratch).select("row_id", *columns)
     return a.drop(*columns, "_h").join(b, "row_id").drop("row_id").withColumnRenamed("_id", "row_id")
 
 
@@ -127,7 +128,12 @@ def clustered_mda(df: DataFrame, splits: DataFrame, clusters: dict[int, list[str
         score = lambda d: log_loss(fitted.transform(with_vector(d, columns)).select("label", vector_to_array("probability")[1].alias("prob")))  # noqa: E731, B023
         base = score(test)
         for k, names in clusters.items():
-            rises[k].append(float(np.mean([score(permuted(test, names, seed + 2 * r)) - base for r in range(repeats)])))
+            risen = []
+            for r in range(repeats):
+                scratch = Scratch(df.sparkSession)
+                risen.append(score(permuted(test, names, seed + 2 * r, scratch)) - base)
+                scratch.drop()
+            rises[k].append(float(np.mean(risen)))
         test.unpersist()
     return [{"cluster": k, "mean": float(np.mean(v)), "std": float(np.std(v, ddof=1)) if len(v) > 1 else 0.0} for k, v in rises.items()]
 
