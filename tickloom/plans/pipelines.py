@@ -216,7 +216,7 @@ def walk_forward_backtest(b: DataFrame, signal: str, splits: int = 3, train_rati
     """Trade statistics of each symbol's out-of-sample slices behind a fixed training prefix."""
     rows = b.withColumn("_n", F.row_number().over(over.all)).withColumn("_all", F.count("*").over(Window.partitionBy("symbol")))
     head, size = F.floor(F.col("_all") * train_ratio), F.floor(F.col("_all") * test_ratio)
-    rows = rows.withColumn("_slice", F.floor((F.col("_n") - 1 - head) / size)).where((F.col("_n") > head) & (F.col("_slice") < splits))
+    rows = rows.withColumn("_slice", F.floor(F.try_divide(F.col("_n") - 1 - head, size))).where((F.col("_n") > head) & (F.col("_slice") < splits))
     keyed = rows.withColumn("symbol", F.concat_ws("@", "symbol", "_slice"))
     out = backtest.trade_statistics(backtest.rolling_backtest(keyed, signal, order=over.order, **guards))
     return out.withColumn("slice", F.element_at(F.split("symbol", "@"), -1).cast("int")).withColumn("symbol", F.regexp_replace("symbol", "@[^@]*$", ""))
