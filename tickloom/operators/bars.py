@@ -8,6 +8,7 @@ resets are folds.  Aggregates are plain groupBys on (symbol, bar_id).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from tickloom.functions.rolling import natural_log
 from tickloom.operators.fold import fold
 
 
@@ -118,12 +120,13 @@ def assign_dynamic_dollar_bars(tape: DataFrame, thresholds: DataFrame, day: Colu
     return _close_fold(joined, step, start, ["price", "amount", "limit"]).drop("_day", "limit")
 
 
-def assign_cusum_bars(tape: DataFrame, sigma: str, floor: float = 0.0005, mult: float = 2.0) -> DataFrame:
-    """A bar closes where the upward or downward sum of log returns passes max(mult * sigma, floor), at the end of a block of one time.
+def assign_cusum_bars(tape: DataFrame, sigma: str, floor: float = 0.0005, mult: float = 2.0, whole_times: bool = True) -> DataFrame:
+    """A bar closes where the upward or downward sum of log returns passes max(mult * sigma, floor), at the end of a block of one time or, without whole_times, at any trade.
 
     sigma is carried forward; bars begin with the first known sigma; only the side that fired restarts.
     """
-    ready = tape.withColumn("_sigma", F.last(sigma, ignorenulls=True).over(_up_to())).withColumn("_r", F.log("price") - F.log(F.lag("price").over(_by_time())))
+    ready = tape.withColumn("_sigma", F.last(sigma, ignorenulls=True).over(_up_to())).withColumn("_r", natural_log("price")).withColumn("_r", F.col("_r") - F.lag("_r").over(_by_time()))
+    ready = ready.withColumn("_r", F.when(F.isnan("_r"), math.inf).otherwise(F.col("_r")))  # between prices of 0; passes any bound, where null is nothing
     ready = ready.withColumn("_last", F.coalesce(F.lead("ts_ns").over(_by_time()) != F.col("ts_ns"), F.lit(True)).cast("int"))
 
     def step(state, x):
@@ -133,7 +136,7 @@ def assign_cusum_bars(tape: DataFrame, sigma: str, floor: float = 0.0005, mult:
                 continue
             state["up"], state["down"] = max(0.0, state["up"] + r), min(0.0, state["down"] + r)
             bound = max(mult * s, floor)
-            if last:
+            if last or not whole_times:
                 if state["up"] >= bound:
                     closes[i], state["up"] = 1, 0.0
                 elif state["down"] <= -bound:
