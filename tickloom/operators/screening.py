@@ -9,6 +9,7 @@ combination), so no combination costs a pass of its own.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tickloom.functions.recursive import decayed, ew_std
-from tickloom.functions.rolling import BARS, Over, ret
+from tickloom.functions.rolling import BARS, Over, natural_log, quotient, ret
 from tickloom.operators import labels
 from tickloom.operators.backtest import unit_rank
 from tickloom.operators.fold import fold
@@ -137,8 +138,11 @@ def deep_metrics(
     whole = Window.partitionBy("symbol")
     rows = b.withColumn("rn", F.row_number().over(over.all)).withColumn("_n", F.count(F.lit(1)).over(whole))
     rows = rows.withColumn("_split", F.floor(F.col("_n") * (1 - test_ratio))).withColumn("_test", F.col("rn") > F.col("_split"))
-    rows = rows.withColumn("_r", F.ln(F.try_divide("close", F.lag("close").over(over.all)))).withColumn("_pct", ret("close", 1, over=over))
+    rows = rows.withColumn("_r", natural_log(quotient("close", F.lag("close").over(over.all)))).withColumn("_pct", ret("close", 1, over=over, ieee=True))
+    rows = rows.withColumn("_r", F.when(F.isnan("_r"), math.inf).otherwise(F.col("_r")))  # 0 over 0 fires upwards as 1 over 0 does, only null is nothing
     rows = ew_std(rows, "_pct", 20, "_vol", order=over.order)
+    lost = F.max(F.isnan("_pct") | (F.abs("_pct") == math.inf)).over(over.up_to)  # no deviation behind a return that is no number
+    rows = rows.withColumn("_vol", F.when(F.col("_pct").isNotNull() & lost, math.nan).otherwise(F.col("_vol")))
     rows = _recursions(rows, rates, spans, over.order).drop("_pct", "_r")
     rows = nearest_label(rows, trend, tolerance_ns)
     rows = rows.join(trend.select("symbol", "ts_ns", F.col("side").cast("int").alias("_own")), ["symbol", "ts_ns"], "left")
