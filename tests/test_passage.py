@@ -76,6 +76,38 @@ def test_no_rows(spark):
     assert barrier_grid(ev.limit(0), df, PAIRS, VERTICALS).count() == 0
 
 
+def test_no_event_is_joined_with_the_rows_of_its_path(spark):
+    df = spark.createDataFrame(tape(50), "symbol string, ts_ns long, seq long, price double")
+    ev = spark.createDataFrame(events(tape()), "symbol string, ts_ns long, target double, side int")
+    for found in (labels.triple_barrier(ev, df, 40), barrier_grid(ev, df, PAIRS, VERTICALS)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "CoGroup" in plan
+
+
+def test_rows_of_unknown_and_of_no_price(spark):
+    """Null and negative prices are rows without a return; from 0 the first price above is an infinite one."""
+    rows = [("a", 0, 0, 1.0), ("a", 1, 1, None), ("a", 2, 2, -1.0), ("b", 0, 0, 0.0), ("b", 1, 1, None), ("b", 2, 2, 5.0), ("c", 0, 0, None), ("c", 1, 1, 2.0), ("d", 0, 0, 3.0), ("d", 1, 1, 0.0), ("d", 2, 2, 3.0)]
+    df = spark.createDataFrame(rows, "symbol string, ts_ns long, seq long, price double")
+    ev = spark.createDataFrame([(s, 0, 0.1) for s in "abcd"], "symbol string, ts_ns long, target double")
+    got = {r.symbol: (r.t1_ns, r.ret, r.touch, r.bin) for r in labels.triple_barrier(ev, df, 10).collect()}
+    assert got == {"a": (2, None, "vertical", None), "b": (2, math.inf, "upper", 1), "c": (1, None, "vertical", None), "d": (1, -math.inf, "lower", -1)}
+
+
+def test_first_beyond_against_a_loop():
+    import numpy as np
+
+    from tickloom.operators.passage import first_beyond, tree
+
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 7, 64, 100):
+        p = np.where(rng.random(n) < 0.1, np.nan, rng.normal(size=n))
+        start, last, level = rng.integers(0, n + 2, 300), rng.integers(-1, n + 3, 300), rng.normal(size=300) * 1.5
+        for high, sign in ((True, 1), (False, -1)):
+            got = first_beyond(tree(p, high), start, last, lambda x, i, sign=sign: sign * x >= level[i])
+            want = [next((j for j in range(a, min(b, n - 1) + 1) if sign * p[j] >= k), n) for a, b, k in zip(start.tolist(), last.tolist(), level.tolist())]
+            assert got.tolist() == want
+
+
 def test_records():
     import numpy as np
 

@@ -10,7 +10,7 @@ from tickloom.queries import ORACLE_SQL, QUERIES
 
 NAMES = ["rolling_backtest", "backtest_statistics", "cost_pressure", "filter_diagnostics"]
 NAMES += ["deep_metrics", "deep_screen", "bar_quality", "time_window_return", "touch_backtest", "volatility_factors", "volume_factors", "walk_forward_stability", "rolling_levels", "rolling_returns", "run_lengths", "cross_ma"]
-NAMES += ["cusum_bars", "cusum_events", "event_turnover"]
+NAMES += ["cusum_bars", "cusum_events", "event_turnover", "triple_barrier", "barrier_grid", "purged_kfold", "combinatorial_purged"]
 
 
 @pytest.fixture(scope="module")

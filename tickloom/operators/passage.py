@@ -1,22 +1,17 @@
-"""Barrier grids by first-passage staircases.
-
-A barrier is reached first at a record of the path: a price above (below) all
-before it.  So a path is reduced to its record highs and lows, and any profit
-and loss barrier is then two binary searches, for as many pairs and horizons as
-one likes.
-
-Records of prices do not depend on the event that looks at them.  The tape is
-put in order once, by range and not by symbol, and cut into chunks of a bounded
-number of rows; each chunk keeps its records for all events before it.  An event
-adds the records of the rest of its own chunk and meets the chunks behind it by
-an equi-join on time buckets as wide as the longest horizon: the path's rows are
-never joined or shuffled, only one summary for every ``rows`` of them.
+"""Barriers of many events, and grids of barriers, by first passages.
+
+A barrier of an event is a price level, and the path reaches it first at the first
+row beyond it.  Events are grouped by symbol and by time buckets as wide as the
+longest horizon; a group has its events and the prices of two buckets, so a price
+is dealt twice whatever the number of events, and no event is joined with the rows
+of its path.  In a group the prices' running maxima and minima by powers of two
+(a tree) answer each barrier of all events at once in as many steps as the tree is high.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +22,8 @@ from pyspark.sql.window import Window
 from tickloom.operators.buckets import normal_cdf
 from tickloom.operators.validation import expected_max_sharpe, sample_kurtosis, sample_skew
 
-_POINT = "struct<t:long,q:long,p:double>"
-_KEY = "symbol string, event_ns long, target double, side int"
-_PIECE = f"kind int, first {_POINT}, last {_POINT}, highs array<{_POINT}>, lows array<{_POINT}>"
-#: Kinds of pieces: a chunk, an event's entry, the rest of its chunk; from _END on the last price of its horizons.
-_CHUNK, _ENTRY, _REST, _END = range(4)
-_ARROW_POINT = pa.struct([("t", pa.int64()), ("q", pa.int64()), ("p", pa.float64())])
+_OUT = "symbol string, event_ns long, target double, side int, profit double, loss double, vertical_ns long, t1_ns long, ret double, entry double, exit double, touch string"
+_TOUCHES = ("upper", "lower", "vertical")
 
 
 def records(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,184 +34,137 @@ def records(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(np.r_[True, p[1:] > high[:-1]]), np.flatnonzero(np.r_[True, p[1:] < low[:-1]])
 
 
-class _Chunks:
-    """Rows of one symbol in order, cut into chunks; gives pieces as tuples (symbol, event, kind, first, last, highs, lows)."""
-
-    def __init__(self, symbol, rows: int) -> None:
-        self.symbol, self.size = symbol, rows
-        self.parts: list[tuple[np.ndarray, ...]] = []  # of the open chunk
-        self.marks: list[tuple[int, int, tuple]] = []  # (rows of the chunk before it, what, event)
-        self.n = 0
-        self.before = None  # the last row of the chunk before
-
-    def add(self, t, q, p, price, what, event) -> Iterator[tuple]:
-        """Rows of the stream: prices, and marks where price is false."""
-        at = 0
-        while at < len(t):
-            held = np.cumsum(price[at:])
-            end = at + int(np.searchsorted(held, self.size - self.n, "left")) + 1  # up to the row that fills the chunk
-            for i in (at + np.flatnonzero(~price[at:end])).tolist():
-                self.marks.append((self.n + int(held[i - at]), int(what[i]), event(i)))
-            own = price[at:end]
-            self.parts.append((t[at:end][own], q[at:end][own], p[at:end][own]))
-            self.n += int(own.sum())
-            at = end
-            if self.n >= self.size:
-                yield from self.close()
-
-    def close(self) -> Iterator[tuple]:
-        t, q, p = (np.concatenate(c) for c in zip(*self.parts)) if self.parts else (np.zeros(0, np.int64),) * 3
-        n = len(t)
-        point = lambda i: (int(t[i]), int(q[i]), float(p[i]))
-
-        def steps(a: int) -> tuple[list, list]:
-            """The records of the rows behind a."""
-            high, low = records(p[a + 1 :])
-            return [point(a + 1 + i) for i in high.tolist()], [point(a + 1 + i) for i in low.tolist()]
-
-        waiting = []
-        for at, what, event in self.marks:
-            if what == _ENTRY:
-                if at < n:
-                    yield self.symbol, event, _ENTRY, point(at), None, [], []
-                elif n:
-                    waiting.append((0, what, event))
-                else:
-                    waiting.append((at, what, event))
-            elif what == _REST:
-                if 0 < at < n:  # at the first row the whole chunk does
-                    yield self.symbol, event, _REST, point(at), point(n - 1), *steps(at)
-            elif at or self.before:
-                yield self.symbol, event, what, point(at - 1) if at else self.before, None, [], []
-        if n:
-            yield self.symbol, None, _CHUNK, point(0), point(n - 1), *steps(0)
-            self.before = point(n - 1)
-        self.parts, self.marks, self.n = [], waiting, 0
-
-
-def _reduced(rows: int):
-    """The ordered stream of prices and marks to pieces."""
-
-    def table(out: list[tuple]) -> pa.RecordBatch:
-        symbol, event, kind, first, last, highs, lows = zip(*out)
-        as_points = lambda x: pa.array([None if v is None else dict(zip("tqp", v)) for v in x], _ARROW_POINT)
-
-        def lists(x):
-            flat = [v for part in x for v in part]
-            t, q, p = zip(*flat) if flat else ((), (), ())
-            points = pa.StructArray.from_arrays([pa.array(t, pa.int64()), pa.array(q, pa.int64()), pa.array(p, pa.float64())], fields=list(_ARROW_POINT))
-            return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), points)
-
-        key = [[None if e is None else e[i] for e in event] for i in range(3)]
-        columns = [pa.array(symbol, pa.string()), pa.array(key[0], pa.int64()), pa.array(key[1], pa.float64()), pa.array(key[2], pa.int32()), pa.array(kind, pa.int32()), as_points(first), as_points(last), lists(highs), lists(lows)]
-        return pa.RecordBatch.from_arrays(columns, names=["symbol", "event_ns", "target", "side", "kind", "first", "last", "highs", "lows"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, out = None, []
-        for batch in batches:
-            symbols = batch.column("symbol")
-            t, q, p, what, event_ns, target, side = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("t", "q", "p", "what", "event_ns", "target", "side"))
-            codes = symbols.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-            cuts = np.r_[0, np.flatnonzero(codes[1:] != codes[:-1]) + 1, len(codes)] if len(codes) else np.zeros(1, int)
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                symbol = symbols[a].as_py()
-                if chunks is None or chunks.symbol != symbol:
-                    out += chunks.close() if chunks else []
-                    chunks = _Chunks(symbol, rows)
-                event = lambda i, a=a: (int(event_ns[a + i]), float(target[a + i]), int(side[a + i]))
-                out += chunks.add(t[a:b], q[a:b], p[a:b], what[a:b] == _CHUNK, what[a:b], event)
-            while len(out) > 2000:
-                yield table(out[:2000])
-                out = out[2000:]
-        out += chunks.close() if chunks else []
-        for i in range(0, len(out), 2000):
-            yield table(out[i : i + 2000])
+def tree(p: np.ndarray, high: bool) -> list[np.ndarray]:
+    """Maxima (minima) of p by blocks of 1, 2, 4, ... rows; NaN rows and those behind the end are never beyond a level."""
+    none = -np.inf if high else np.inf
+    levels = [np.where(np.isnan(p), none, p)]
+    while len(levels[-1]) > 1:
+        x = levels[-1]
+        x = np.append(x, none) if len(x) % 2 else x
+        levels.append((np.maximum if high else np.minimum)(x[::2], x[1::2]))
+    return levels
 
-    return run
 
+def first_beyond(levels: list[np.ndarray], start: np.ndarray, last: np.ndarray, beyond) -> np.ndarray:
+    """For each i the first row from start[i] to last[i] for which beyond(values, i) holds, else the number of rows.
 
-def _points(x: pa.StructArray) -> tuple[np.ndarray, ...]:
-    return tuple(x.field(c).fill_null(0).to_numpy(zero_copy_only=False) for c in "tqp")
-
-
-def passages(pieces: pa.StructArray, event_ns: int, target: float, side: int, pairs: np.ndarray, verticals: Sequence[int], min_close_ns: int) -> list[tuple]:
-    """(pair, vertical, t1_ns, ret, entry price, exit price, touch) of one event for every pair of barriers and horizon that has a price behind the entry."""
-    kind = pieces.field("kind").to_numpy(zero_copy_only=False)
-    first = pieces.field("first")
-    t, q, p = _points(first)
-    begin = event_ns + min_close_ns
-    entries = np.flatnonzero((kind == _ENTRY) | ((kind == _CHUNK) & (t >= event_ns)))
-    if not len(entries):
-        return []
-    e = entries[np.lexsort((q[entries], t[entries]))[0]]
-    t0, q0, p0 = int(t[e]), int(q[e]), float(p[e])
-    path = np.flatnonzero((kind == _REST) | ((kind == _CHUNK) & (t >= begin)))
-    path = path[np.lexsort((q[path], t[path]))]
-
-    def staircase(name: str, sign: int) -> tuple[np.ndarray, ...]:
-        """Times, order and sign * log return of the path's records, rising."""
-        lists = pieces.field(name)
-        bounds, (at, aq, ap) = lists.offsets.to_numpy(), _points(lists.values)
-        pick = np.concatenate([np.r_[-1 - i, np.arange(bounds[i], bounds[i + 1])] for i in path]).astype(np.int64) if len(path) else np.zeros(0, np.int64)
-        own = pick < 0  # the first row of a piece
-        where = np.where(own, -1 - pick, pick)
-        rt, rq, rp = (np.where(own, a[np.where(own, where, 0)], b[np.where(own, 0, where)] if len(b) else 0) for a, b in ((t, at), (q, aq), (p, ap)))
-        keep = (rt != t0) | (rq != q0)
-        rt, rq, r = rt[keep], rq[keep], sign * np.log(rp[keep] / p0)
-        if not len(r):
-            return rt, rq, r, rp[keep]
-        top = np.flatnonzero(np.r_[True, r[1:] > np.maximum.accumulate(r)[:-1]])
-        return rt[top], rq[top], r[top], rp[keep][top]
-
-    rise, fall = staircase("highs", 1), staircase("lows", -1)
-    gain, pain = (rise, fall) if side >= 0 else (fall, rise)
-    scale = abs(side)
-    hits = []
-    for steps, multiple in ((gain, pairs[:, 0]), (pain, pairs[:, 1])):
-        level = target * multiple
-        hits.append(np.where(np.isnan(level), len(steps[2]), np.searchsorted(steps[2] * scale, level, "left")))  # a null barrier is none
-    lasts = pieces.field("last")
-    lt, lq, lp = _points(lasts)
-    known = lasts.is_valid().to_numpy(zero_copy_only=False) & (lt >= event_ns)
-    out = []
-    for v, vertical in enumerate(verticals):
-        stop = event_ns + vertical
-        ends = [(int(t[i]), int(q[i]), float(p[i])) for i in np.flatnonzero(kind == _END + v)]
-        ends += [(int(lt[i]), int(lq[i]), float(lp[i])) for i in np.flatnonzero(known & (lt <= stop))]
-        ends = [x for x in ends if x[:2] > (t0, q0)]
-        if not ends:
-            continue
-        end = max(ends)
-        for k in range(len(pairs)):
-            best = None
-            for steps, at, touch, sign in ((gain, hits[0][k], "upper", 1), (pain, hits[1][k], "lower", -1)):
-                if at < len(steps[0]) and steps[0][at] <= stop and (best is None or (int(steps[0][at]), int(steps[1][at])) < best[:2]):
-                    best = (int(steps[0][at]), int(steps[1][at]), float(sign * scale * steps[2][at]), float(steps[3][at]), touch)
-            if best is None:
-                best = (*end[:2], math.log(end[2] / p0) * side, end[2], "vertical")
-            out.append((k, v, best[0], best[2], p0, best[3], best[4]))
+    beyond is true of a block's maximum (minimum) if and only if it is true of one of the block's rows.
+    """
+    n = len(levels[0])
+    out = np.full(len(start), n)
+    i = np.flatnonzero(start <= np.minimum(last, n - 1))
+    at, h = start[i].copy(), 0
+    while len(i):  # up: blocks that begin where all before them is seen
+        odd = np.flatnonzero((at & 1 == 1) | (h == len(levels) - 1))
+        hit = odd[beyond(levels[h][at[odd]], i[odd])]
+        row, who = at[hit], i[hit]
+        for below in range(h - 1, -1, -1):  # down: the left half if it holds the row
+            row = row * 2
+            left = beyond(levels[below][row], who)
+            row = np.where(left, row, row + 1)
+        out[who] = np.where(row <= last[who], row, n)
+        at[odd] += 1
+        left = np.ones(len(i), bool)
+        left[hit] = False
+        at, i, h = at[left] >> 1, i[left], h + 1
+        if h == len(levels):
+            break
+        more = (at << h <= last[i]) & (at < len(levels[h]))
+        at, i = at[more], i[more]
     return out
 
 
-def _gridded(pairs: Sequence[tuple[float | None, float | None]], verticals: Sequence[int], min_close_ns: int):
-    levels = np.array([[np.nan if x is None else x for x in pair] for pair in pairs], float).reshape(-1, 2)
+def _log_ratio(p: np.ndarray, p0: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.log(p / p0)
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, found = [], []
-            for i, (event_ns, target, side) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))):
-                got = passages(batch.column(4)[i].values, event_ns, target, side, levels, verticals, min_close_ns)
-                rows += [i] * len(got)
-                found += got
-            pair, v, t1, ret, entry, exit_, touch = zip(*found) if found else ((),) * 7
-            made = [pa.array([pairs[k][0] for k in pair], pa.float64()), pa.array([pairs[k][1] for k in pair], pa.float64()), pa.array([verticals[k] for k in v], pa.int64()), pa.array(t1, pa.int64()), pa.array(ret, pa.float64()), pa.array(entry, pa.float64()), pa.array(exit_, pa.float64()), pa.array(touch, pa.string())]
-            keys = [batch.column(c).take(pa.array(rows, pa.int64())) for c in range(4)]
-            yield pa.RecordBatch.from_arrays([*keys, *made], names=["symbol", "event_ns", "target", "side", "profit", "loss", "vertical_ns", "t1_ns", "ret", "entry", "exit", "touch"])
+def passages(t: np.ndarray, p: np.ndarray, event_ns: np.ndarray, target: np.ndarray, side: np.ndarray, pairs: Sequence[tuple[float | None, float | None]], verticals: Sequence[int], min_close_ns: int, trees: tuple | None = None):
+    """(event, pair, vertical, row of the exit, ret, row of the entry, touch) arrays of all events, pairs of barriers and horizons that have a row behind the entry.
+
+    t and p are the rows of the path in order; a price of NaN is unknown: it is no touch, and a return from or to it is NaN.
+    """
+    highs, lows = trees or (tree(p, True), tree(p, False))
+    entry = np.searchsorted(t, event_ns, "left")
+    ends = [np.searchsorted(t, event_ns + v, "right") - 1 for v in verticals]
+    far = np.max(ends, axis=0) if len(ends) else np.full(len(entry), -1)
+    some = np.flatnonzero(far > entry)
+    entry, far, side, target, e_ns = entry[some], far[some], side[some], target[some], event_ns[some]
+    start = np.maximum(entry + 1, np.searchsorted(t, e_ns + min_close_ns, "left"))
+    p0, up = p[entry], side >= 0
+    plain = p0 > 0
+    n = len(p)
+    got: dict[tuple[bool, float | None], np.ndarray] = {}
+
+    def search(levels, which, beyond):
+        out = np.full(len(entry), n)
+        k = np.flatnonzero(which)
+        out[k] = first_beyond(levels, start[k], far[k], lambda x, i: beyond(x, k[i]))
+        return out
+
+    def reach(gain: bool, multiple: float | None) -> np.ndarray:
+        """The first row whose return is at least target * multiple (gain), or at most minus that."""
+        if (gain, multiple) in got:
+            return got[gain, multiple]
+        out = np.full(len(entry), n)
+        if multiple is not None:
+            limit, sign = target * multiple, 1 if gain else -1
+            for levels, which in ((highs, up == gain), (lows, up != gain)):
+                out = np.minimum(out, search(levels, plain & which, lambda x, k: sign * _log_ratio(x, p0[k]) * side[k] >= limit[k]))
+            # from 0 every price above is an infinite return, and 0 is NaN, which is greater than any number
+            zero = p0 == 0
+            out = np.minimum(out, search(highs, zero & (up == gain) & (side != 0), lambda x, k: x > 0))
+            if gain:
+                out = np.minimum(out, search(lows, zero, lambda x, k: x == 0))
+        return got.setdefault((gain, multiple), out)
+
+    found = []
+    for v, end in enumerate(ends):
+        end = end[some]
+        for k, (profit, loss) in enumerate(pairs):
+            gain, pain = reach(True, profit), reach(False, loss)
+            row = np.minimum(gain, pain)
+            hit = row <= np.minimum(end, n - 1)
+            touch = np.where(~hit, 2, np.where(gain <= pain, 0, 1))
+            row = np.where(hit, row, end)
+            has = np.flatnonzero(end > entry)
+            row, touch = row[has], touch[has]
+            with np.errstate(invalid="ignore"):
+                found.append((some[has], np.full(len(has), k), np.full(len(has), v), row, _log_ratio(p[row], p0[has]) * side[has], entry[has], touch))
+    return [np.concatenate(x) for x in zip(*found)]
+
+
+def _gridded(pairs: Sequence[tuple[float | None, float | None]], verticals: Sequence[int], min_close_ns: int, rows: int):
+    names = [x.split()[0] for x in _OUT.split(", ")]
+
+    def known(x: np.ndarray, null: np.ndarray) -> pa.Array:
+        return pa.array(x, pa.float64(), mask=null)
+
+    def run(events: pa.Table, prices: pa.Table) -> pa.Table:
+        numbers = lambda table, c: table.column(c).to_numpy()
+        t, q = numbers(prices, "t"), numbers(prices, "q")
+        p = prices.column("p").combine_chunks().fill_null(math.nan).to_numpy(zero_copy_only=False)
+        order = np.lexsort((q, t))
+        t, p = t[order], p[order]
+        trees = (tree(p, True), tree(p, False)) if len(p) else None
+        event_ns, target, side = numbers(events, "event_ns"), numbers(events, "target"), numbers(events, "side").astype(np.int64)
+        made = []
+        for a in range(0, len(event_ns) if len(p) else 0, rows):
+            b = slice(a, a + rows)
+            e, k, v, row, ret, entry, touch = passages(t, p, event_ns[b], target[b], side[b], pairs, verticals, min_close_ns, trees)
+            key = [events.column(c).combine_chunks().take(pa.array(a + e)) for c in ("symbol", "event_ns", "target", "side")]
+            multiples = [pa.array([x[i] for x in pairs], pa.float64()).take(pa.array(k)) for i in (0, 1)]
+            first, last = np.isnan(p[entry]), np.isnan(p[row])
+            made.append(pa.table([
+                *key, *multiples, pa.array(list(verticals), pa.int64()).take(pa.array(v)), pa.array(t[row]), known(ret, first | last), known(p[entry], first), known(p[row], last), pa.array(_TOUCHES).take(pa.array(touch)),
+            ], names=names))
+        kinds = pa.schema([pa.field(n, {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "int": pa.int32()}[x.split()[1]]) for n, x in zip(names, _OUT.split(", "))])
+        return pa.concat_tables(made).cast(kinds) if made else kinds.empty_table()
 
     return run
 
 
-def barrier_grid(events: DataFrame, prices: DataFrame, pairs: Sequence[tuple[float | None, float | None]], verticals: Sequence[int], min_close_ns: int = 0, price: str = "price", rows: int = 4096) -> DataFrame:
+def barrier_grid(events: DataFrame, prices: DataFrame, pairs: Sequence[tuple[float | None, float | None]], verticals: Sequence[int], min_close_ns: int = 0, price: str = "price", rows: int = 4096, every: bool = False) -> DataFrame:
     """(symbol, event_ns, target, side, profit, loss, vertical_ns, t1_ns, ret, entry, exit, touch): each event's label for every pair of barriers and every horizon.
 
     As ``labels.triple_barrier`` with that pair and horizon: the path runs from the first price at or after the event,
@@ -229,27 +173,19 @@ def barrier_grid(events: DataFrame, prices: DataFrame, pairs: Sequence[tuple[flo
 
     events has symbol, ts_ns, target and, if sides differ from 1, side; equal events are one.  Events whose target is
     null or NaN, or without symbol or time, have no label, nor has a horizon without a price behind the entry.  Prices that are null or not above 0
-    are left out.  rows is the size of a chunk and changes no result.
+    are left out, unless every row counts: then logs of 0 and quotients over 0 are infinite or NaN (which reaches a
+    profit), as in SQL, and a price that is null or under 0 is a row without a return.  Events are searched so many rows at a time, which changes no result.
+    A task holds the prices of two of the longest horizons of a symbol.
     """
     longest = max(verticals)
     side = F.coalesce(F.col("side").cast("int"), F.lit(1)) if "side" in events.columns else F.lit(1)
-    ev = events.where(F.col("symbol").isNotNull() & F.col("ts_ns").isNotNull() & F.col("target").isNotNull() & ~F.isnan("target")).select("symbol", F.col("ts_ns").alias("event_ns"), F.col("target").cast("double").alias("target"), side.alias("side")).distinct()
-    marks = [(_ENTRY, 0), (_REST, min_close_ns), *((_END + i, v) for i, v in enumerate(verticals))]
-    # An end mark stands behind the prices of its time, the others before them.
-    mark = F.explode(F.array(*[F.struct(F.lit(k).alias("what"), (F.col("event_ns") + after).alias("t"), F.lit(0 if k < _END else 2).alias("place")) for k, after in marks]))
-    placed = ev.withColumn("m", mark).select("symbol", "m.t", "m.place", F.lit(0).cast("long").alias("q"), F.lit(0.0).alias("p"), "m.what", "event_ns", "target", "side")
-    tape = prices.where((F.col(price) > 0) & F.col("symbol").isNotNull() & F.col("ts_ns").isNotNull()).select("symbol", F.col("ts_ns").alias("t"), F.lit(1).alias("place"), F.col("seq").alias("q"), F.col(price).cast("double").alias("p"), F.lit(_CHUNK).alias("what"), F.lit(0).cast("long").alias("event_ns"), F.lit(0.0).alias("target"), F.lit(0).alias("side"))
-    order = ["symbol", "t", "place", "q"]
-    pieces = tape.unionByName(placed).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_reduced(rows), f"{_KEY}, {_PIECE}")
-    piece = F.struct("kind", "first", "last", "highs", "lows").alias("piece")
-    key = ["symbol", "event_ns", "target", "side"]
-    chunks = pieces.where(F.col("kind") == _CHUNK).select("symbol", F.floor(F.col("first.t") / longest).alias("_k"), piece)
-    k = F.floor(F.col("event_ns") / longest)
-    behind = ev.withColumn("_k", F.explode(F.array(k, k + 1))).join(chunks, ["symbol", "_k"]).where(F.col("piece.first.t").between(F.col("event_ns"), F.col("event_ns") + longest))
-    own = pieces.where(F.col("kind") != _CHUNK).select(*key, piece)
-    paths = own.unionByName(behind.select(*key, "piece")).groupBy(*key).agg(F.collect_list("piece").alias("pieces"))  # a piece for each chunk of the horizon
-    schema = f"{_KEY}, profit double, loss double, vertical_ns long, t1_ns long, ret double, entry double, exit double, touch string"
-    return paths.mapInArrow(_gridded(list(pairs), list(verticals), min_close_ns), schema)
+    ev = events.where(F.col("symbol").isNotNull() & F.col("ts_ns").isNotNull() & F.col("target").isNotNull() & ~F.isnan("target")).select("symbol", F.col("ts_ns").alias("event_ns"), F.col("target").cast("double").alias("target"), side.alias("side"))
+    ev = ev.distinct().withColumn("_k", F.floor(F.col("event_ns") / longest))
+    tape = prices.where(F.col("symbol").isNotNull() & F.col("ts_ns").isNotNull() & (F.lit(True) if every else F.col(price) > 0))
+    k = F.floor(F.col("ts_ns") / longest)
+    tape = tape.select("symbol", F.col("ts_ns").alias("t"), F.col("seq").alias("q"), F.when(F.col(price) >= 0, F.col(price).cast("double")).alias("p"), F.explode(F.array(k - 1, k)).alias("_k"))
+    both = ev.groupBy("symbol", "_k").cogroup(tape.groupBy("symbol", "_k"))
+    return both.applyInArrow(_gridded(list(pairs), list(verticals), min_close_ns, rows), _OUT)
 
 
 def barrier_scores(grid: DataFrame, min_rets: Sequence[float] = (0.0,), by: Sequence[str] = (), periods: int = 1500, trials: int = 20, least: int = 50) -> DataFrame:
