@@ -9,6 +9,7 @@ resets are folds.  Aggregates are plain groupBys on (symbol, bar_id).
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Callable
 
 import numpy as np
@@ -264,27 +265,59 @@ def explode_footprints(arrays: DataFrame, tick: float) -> DataFrame:
 def volume_profile(levels: DataFrame, bars: DataFrame, window_ns: int, tick: float, share: float = 0.6834, bins: int | None = None) -> DataFrame:
     """(symbol, bar_id, poc, hva, lva, pct_above_poc) of the levels of each bar and the bars up to window_ns before it.
 
-    Bars are joined to their window by time buckets of window_ns, so a bar meets two buckets, not all bars.
     The value area grows from the level of most volume by the two levels on the side that has more, both sides at a tie.
     With bins, the levels are first put together in about so many of one width.
+
+    Bars are dealt by time buckets of window_ns, each with the bucket before it, and folded in order: the levels of a
+    bar are added once and taken off once, whatever the window holds.  Bars of one time have one window.
     """
-    times = bars.select("symbol", "bar_id", "ts_ns")
-    left = times.withColumn("_k", F.explode(F.array(F.floor(F.col("ts_ns") / window_ns), F.floor(F.col("ts_ns") / window_ns) - 1)))
-    right = levels.join(times, ["symbol", "bar_id"]).select("symbol", F.col("ts_ns").alias("_t"), "level", (F.col("buy_volume") + F.col("sell_volume")).alias("_v"), F.floor(F.col("ts_ns") / window_ns).alias("_k"))
-    near = left.join(right, ["symbol", "_k"]).where((F.col("_t") <= F.col("ts_ns")) & (F.col("_t") >= F.col("ts_ns") - window_ns))
+    times = bars.where(F.col("symbol").isNotNull() & F.col("ts_ns").isNotNull()).select("symbol", "bar_id", "ts_ns")
+    volume = levels.join(times, ["symbol", "bar_id"]).groupBy("symbol", "ts_ns", "level").agg(F.sum(F.col("buy_volume") + F.col("sell_volume")).cast("double").alias("v"))
+    volume = volume.groupBy("symbol", "ts_ns").agg(F.sort_array(F.collect_list(F.struct("level", "v"))).alias("_p"))
     first = times.groupBy("symbol").agg(F.min("ts_ns").alias("_t0"))
-    sums = near.groupBy("symbol", "bar_id", "ts_ns", "level").agg(F.sum("_v").alias("_v")).groupBy("symbol", "bar_id", "ts_ns").agg(F.sort_array(F.collect_list(F.struct("level", "_v"))).alias("_p"))
-    full = sums.join(F.broadcast(first), "symbol").where(F.col("ts_ns") >= F.col("_t0") + window_ns)
-
-    def profiles(frames):
-        import pandas as pd
+    rows = times.select("symbol", "ts_ns").distinct().join(volume, ["symbol", "ts_ns"], "left").join(F.broadcast(first), "symbol")
+    rows = rows.select("symbol", "ts_ns", F.col("_p.level").alias("_level"), F.col("_p.v").alias("_volume"), (F.col("ts_ns") >= F.col("_t0") + window_ns).alias("_full"), F.explode(F.array(F.lit(0), F.lit(1))).alias("_later"))
+    rows = rows.withColumn("_full", F.col("_full") & (F.col("_later") == 0)).withColumn("_key", F.concat_ws("@", "symbol", F.floor(F.col("ts_ns") / window_ns) + F.col("_later")))
 
-        for f in frames:
-            rows = [profile_area(np.array([x["level"] for x in p]), np.array([x["_v"] for x in p]), share, bins) for p in f["_p"]]
-            poc, hva, lva, above = zip(*rows) if rows else ((), (), (), ())
-            yield pd.DataFrame({"symbol": f["symbol"], "bar_id": f["bar_id"], "poc": [x * tick for x in poc], "hva": [x * tick for x in hva], "lva": [x * tick for x in lva], "pct_above_poc": above})
+    def step(s, c):
+        out = {k: np.full(len(c["ts_ns"]), np.nan) for k in ("poc", "hva", "lva", "pct_above_poc")}
+
+        def put(level, x, count):
+            """Adds x to the levels' sums, kept as two doubles each, so that what is taken off leaves no trace."""
+            i = np.searchsorted(s["level"], level)
+            h = s["high"][i]
+            total = h + x
+            part = total - h
+            s["low"][i] += (h - (total - part)) + (x - part)
+            s["high"][i] = total
+            s["n"][i] += count
+
+        for i, (t, level, volume, full) in enumerate(zip(c["ts_ns"].tolist(), c["_level"], c["_volume"], c["_full"].tolist())):
+            while s["open"] and s["open"][0][0] < t - window_ns:
+                _, old, x = s["open"].popleft()
+                put(old, -x, -1)
+            if level is not None and len(level):
+                level, volume = np.asarray(level), np.asarray(volume, float)
+                new = np.setdiff1d(level, s["level"], assume_unique=True)
+                if len(new):
+                    live = s["n"] > 0
+                    at = np.searchsorted(s["level"][live], new)
+                    s.update({k: np.insert(s[k][live], at, new if k == "level" else 0) for k in ("level", "high", "low", "n")})
+                    # a level of the bar may have been dropped with those that no bar holds
+                    lost = np.setdiff1d(level, s["level"], assume_unique=True)
+                    at = np.searchsorted(s["level"], lost)
+                    s.update({k: np.insert(s[k], at, lost if k == "level" else 0) for k in ("level", "high", "low", "n")})
+                put(level, volume, 1)
+                s["open"].append((t, level, volume))
+            live = np.flatnonzero(s["n"] > 0) if full else ()
+            if len(live):
+                poc, hva, lva, above = profile_area(s["level"][live], s["high"][live] + s["low"][live], share, bins)
+                out["poc"][i], out["hva"][i], out["lva"][i], out["pct_above_poc"][i] = poc * tick, hva * tick, lva * tick, above
+        return out
 
-    return full.select("symbol", "bar_id", "_p").mapInPandas(profiles, "symbol string, bar_id long, poc double, hva double, lva double, pct_above_poc double")
+    start = lambda: {"open": deque(), "level": np.zeros(0, np.int64), "high": np.zeros(0), "low": np.zeros(0), "n": np.zeros(0, np.int64)}
+    made = fold(rows, start, step, ["ts_ns", "_level", "_volume", "_full"], "poc double, hva double, lva double, pct_above_poc double", by="_key", order=("ts_ns",))
+    return times.join(made.where("_full and poc is not null").drop("_level", "_volume", "_full", "_later", "_key", "_t0"), ["symbol", "ts_ns"]).select("symbol", "bar_id", "poc", "hva", "lva", "pct_above_poc")
 
 
 def volume_profile_between(levels: DataFrame, bars: DataFrame, start_ns: int, end_ns: int, window_ns: int, tick: float, share: float = 0.6834, bins: int | None = None) -> DataFrame:
