@@ -82,3 +82,20 @@ def test_contexts_of_five_characters_count(spark):
     rows += [(200, "http://a.org/kxyzt"), (201, "http://a.org/kxyzu")]
     got = {r.page_id: r.score for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string"), URL_RULES).collect()}
     assert got[200] > got[201] + 0.05
+
+
+def test_tables_that_grow_do_not_pass_the_driver(spark, monkeypatch):
+    """Tables of long contexts are merged, however small the planner thinks them; scores are the same by either join."""
+    from pyspark.sql import functions as F
+
+    from tickloom.llm import url_filter
+
+    counts = spark.range(2000).select(F.lpad(F.conv(F.col("id"), 10, 6), 6, "a").alias("gram"), (F.col("id") % 3).alias("yes"), (F.col("id") % 2).alias("no"))
+    plan = url_filter.log_ratios(counts, 7)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 8
+    rows = [(i, f"http://a{'bcd'[i % 3]}.com/{i}") for i in range(40)] + [(100 + i, f"http://a.net/es/{i}") for i in range(40)] + [(200, "http://x.org/7")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    score = lambda: {r.page_id: round(r.score, 9) for r in judge_urls(pages, URL_RULES).collect()}
+    one = score()
+    monkeypatch.setattr(url_filter, "BROADCAST_GRAMS", 0)
+    assert score() == one and len(one) == 81
